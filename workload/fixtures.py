@@ -119,3 +119,36 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.lit("img0").alias("image_id"), F.col("vec_id").alias("row"), "embedding", _rows(0, 20).alias("col"))
         .select("image_id", "row", F.col("col").cast("bigint").alias("col"), plane(0).alias("g"), plane(1).alias("b"), plane(2).alias("r"))
     )
+
+
+BODY_CHUNK = 1000
+LINE_STRIDE = 131  # 126 bytes of pixels and a gap
+
+
+def body(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The pixel image as body chunks (image_id, chunk_no, data) and line starts.
+
+    Line r starts at r * 131 + r % 3; bytes between lines are 0xEE.
+    """
+    px = pixels(spark, sf_dir)
+    start = F.expr(f"row * {LINE_STRIDE} + row % 3")
+    plane = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(p).alias("v")) for i, p in enumerate("gbr")]))
+    values = px.select("image_id", (start + F.col("col") * 6).alias("at"), plane.alias("p")).select(
+        "image_id", (F.col("at") + F.col("p.i") * 2).alias("at"), F.col("p.v").alias("v")
+    )
+    pair = F.explode(F.array(F.struct(F.col("at").alias("at"), F.expr("v % 256").alias("x")),
+                             F.struct((F.col("at") + 1).alias("at"), F.expr("v div 256").alias("x"))))
+    data = values.select("image_id", pair.alias("b")).select("image_id", "b.at", "b.x")
+    gaps = px.filter("col = 0").select(
+        "image_id", F.explode(F.sequence(start + 126, start + LINE_STRIDE)).alias("at"), F.lit(238).cast("bigint").alias("x")
+    )
+    # the byte after a gap may belong to the next line, whose data wins; bytes before line 0 do not exist
+    bytes_ = gaps.withColumn("o", F.lit(1)).unionByName(data.withColumn("o", F.lit(0)).withColumn("x", F.col("x").cast("bigint")))
+    bytes_ = bytes_.groupBy("image_id", "at").agg(F.min_by("x", "o").alias("x"))
+    chunks = (
+        bytes_.groupBy("image_id", F.expr(f"at div {BODY_CHUNK}").alias("chunk_no"))
+        .agg(F.array_sort(F.collect_list(F.struct("at", F.format_string("%02X", "x").alias("h")))).alias("xs"))
+        .select("image_id", "chunk_no", F.unhex(F.concat_ws("", F.col("xs.h"))).alias("data"))
+    )
+    lines = px.filter("col = 0").select("image_id", "row", start.alias("line_start"))
+    return chunks, lines
