@@ -70,6 +70,7 @@ def spi_decode(
 class ControlledCapture:
     control: DataFrame
     words: DataFrame
+    edges: DataFrame
     records: DataFrame
     index: DataFrame
 
@@ -91,16 +92,18 @@ def controlled_capture(
 ) -> ControlledCapture:
     """Bus words gated and split into sessions by serial commands, with line records.
 
-    ``commands`` are serial words (capture_id, t_ns, mosi). Control rows, session words
-    and line records feed several outputs each, so ``keep`` writes them once.
+    ``commands`` are serial words (capture_id, t_ns, mosi). Every step feeds several
+    later ones, so ``keep`` writes each once to the shared folder; the index stays lazy.
     """
     hold = stage if keep else lambda df, name: df
     control = hold(control_state(commands, enable, disable, width), "control")
-    bus = parallel.parallel_words(blocks, strobe=strobe, data=data, cs=cs, mode=mode, polarity=polarity)
+    bus = hold(
+        parallel.parallel_words(blocks, strobe=strobe, data=data, cs=cs, mode=mode, polarity=polarity), "bus"
+    )
     words = hold(sessions.assign_sessions(bus, control, width), "words")
-    edges = sessions.line_edge_to_word(line_clock, words, width)
+    edges = hold(sessions.line_edge_to_word(line_clock, words, width), "edges")
     records = hold(sessions.line_records(edges, width), "records")
-    return ControlledCapture(control, words, records, sessions.capture_index(words, records, width))
+    return ControlledCapture(control, words, edges, records, sessions.capture_index(words, records, width))
 
 
 def register_dump(

@@ -101,11 +101,25 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def line_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slow square wave (B4) as runs."""
+def blocky_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Command log with sessions of some 64 events, long enough for several lines."""
+    kind, turn = F.col("event_type"), F.expr("event_id div 64 % 2")
+    return table(spark, sf_dir, "events").select(
+        F.lit(CAPTURE).alias("capture_id"),
+        (F.col("event_id") * 1000).alias("t_ns"),
+        F.when((kind == "signup") & (turn == 0), F.lit(ENABLE))
+        .when((kind == "error") & (turn == 1), F.lit(DISABLE))
+        .otherwise(F.lit(0))
+        .cast("bigint")
+        .alias("mosi"),
+    )
+
+
+def line_clock(spark: SparkSession, sf_dir: str, samples: int = 5) -> DataFrame:
+    """Square wave (B4) as runs of ``samples`` events."""
     return (
         table(spark, sf_dir, "events")
-        .groupBy(F.expr("event_id div 25").alias("k"))
+        .groupBy(F.expr(f"event_id div {samples}").alias("k"))
         .agg((F.min("event_id") * 1000).alias("start_time"))
         .select(F.lit(CAPTURE).alias("capture_id"), (F.col("k") % 2 == 1).alias("value"), "start_time")
     )

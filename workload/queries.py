@@ -62,16 +62,12 @@ def bus_words(spark: SparkSession, sf: str) -> DataFrame:
     return parallel.parallel_words(blocks(spark, sf, 1000), strobe=STROBE, data=DATA, mode=StrobeMode.ANY)
 
 
-def session_words(spark: SparkSession, sf: str) -> DataFrame:
-    return sessions.assign_sessions(bus_words(spark, sf), control_rows(spark, sf), width=T)
-
-
-def session_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return sessions.line_edge_to_word(fx.line_clock(spark, sf), session_words(spark, sf), width=T)
-
-
-def records(spark: SparkSession, sf: str) -> DataFrame:
-    return sessions.line_records(session_edges(spark, sf), width=T)
+def capture_job(spark: SparkSession, sf: str) -> jobs.ControlledCapture:
+    """Sessions of the noisy bus under the command log; every step is written once."""
+    return jobs.controlled_capture(
+        blocks(spark, sf, 1000), fx.line_clock(spark, sf), fx.blocky_commands(spark, sf),
+        strobe=STROBE, data=DATA, mode=StrobeMode.ANY, width=T,
+    )
 
 
 # --- serial --------------------------------------------------------------------
@@ -115,8 +111,8 @@ def _noisy_words(mode: SpiMode, polarity: CsPolarity, bits: int) -> Query:
     return run
 
 
-QUERIES["spi_word_noise_rising"] = _noisy_words(SpiMode.MODE0, CsPolarity.ACTIVE_LOW, 2)
-QUERIES["spi_word_noise_falling"] = _noisy_words(SpiMode.MODE1, CsPolarity.ACTIVE_HIGH, 1)
+QUERIES["spi_word_noise_rising"] = _noisy_words(SpiMode.MODE0, CsPolarity.ACTIVE_HIGH, 1)
+QUERIES["spi_word_noise_falling"] = _noisy_words(SpiMode.MODE1, CsPolarity.ACTIVE_LOW, 1)
 
 
 @query
@@ -341,22 +337,22 @@ def session_asof(spark, sf):
 
 @query
 def session_id(spark, sf):
-    return session_words(spark, sf).select("t_ns", "value", "file_num")
+    return capture_job(spark, sf).words.select("t_ns", "value", "file_num")
 
 
 @query
 def byte_index(spark, sf):
-    return session_words(spark, sf).select("file_num", "byte_index", "t_ns")
+    return capture_job(spark, sf).words.select("file_num", "byte_index", "t_ns")
 
 
 @query
 def session_summary(spark, sf):
-    return sessions.session_summary(session_words(spark, sf)).drop("capture_id")
+    return sessions.session_summary(capture_job(spark, sf).words).drop("capture_id")
 
 
 @query
 def capture_index(spark, sf):
-    return sessions.capture_index(session_words(spark, sf), records(spark, sf), width=T).drop("capture_id")
+    return capture_job(spark, sf).index.drop("capture_id")
 
 
 @query
@@ -364,35 +360,35 @@ def capture_body_sink(spark, sf):
     """Bodies as byte chunks, one session after another (what the sink writes)."""
     from logicspark.sources.sinks import body_chunks
 
-    return body_chunks(session_words(spark, sf), 64).select("file_num", "chunk_no", F.hex("data").alias("data_hex"))
+    return body_chunks(capture_job(spark, sf).words, 64).select("file_num", "chunk_no", F.hex("data").alias("data_hex"))
 
 
 @query
 def line_edge_to_word(spark, sf):
-    return session_edges(spark, sf).select("file_num", "edge_t", "byte_index", "clock_t", *as_int("rising"))
+    return capture_job(spark, sf).edges.select("file_num", "edge_t", "byte_index", "clock_t", *as_int("rising"))
 
 
 @query
 def line_records(spark, sf):
-    return records(spark, sf).drop("capture_id")
+    return capture_job(spark, sf).records.drop("capture_id")
 
 
 @query
 def line_width(spark, sf):
-    return sessions.line_width(records(spark, sf), width=T).drop("capture_id")
+    return sessions.line_width(capture_job(spark, sf).records, width=T).drop("capture_id")
 
 
 @query
 def line_offsets(spark, sf):
-    return sessions.line_offsets(records(spark, sf), width=T).drop("capture_id")
+    return sessions.line_offsets(capture_job(spark, sf).records, width=T).drop("capture_id")
 
 
 @query
 def controlled_capture(spark, sf):
     """The composed job: serial commands on one side gate and split the bus words."""
     job = jobs.controlled_capture(
-        blocks(spark, sf, 1000), fx.line_clock(spark, sf), capture_commands(spark, sf),
-        strobe=STROBE, data=DATA, mode=StrobeMode.ANY, width=T,
+        blocks(spark, sf, 1000), fx.line_clock(spark, sf), fx.blocky_commands(spark, sf),
+        strobe=STROBE, data=[11, 9, 4], cs=CS, mode=StrobeMode.RISING, polarity=CsPolarity.ACTIVE_LOW, width=T,
     )
     return job.index.select("file_num", "bytes", "width", "start_pos", "end_pos")
 
