@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logicspark.functions.scalar import ns_to_us
 from logicspark.operators.ordered import DEFAULT_WIDTH, asof_state
-from logicspark.operators.signal import _bits, first_bit, last_bit
+from logicspark.operators.signal import _bits, first_bit, last_bit, last_bits
 from logicspark.schemas import BLOCKS, CONTROL, CsPolarity, StrobeMode, fields, require_columns
 
 _TRIGGERS = fields(capture_id="string", position="bigint", t_ns="bigint")
@@ -102,7 +102,9 @@ def cs_inactive_gate(triggers: DataFrame, blocks: DataFrame, cs: int, polarity:
     )
 
 
-def align_blocks(blocks: DataFrame, channels: Sequence[int], strobe: int | None = None) -> DataFrame:
+def align_blocks(
+    blocks: DataFrame, channels: Sequence[int], strobe: int | None = None, tails: DataFrame | None = None
+) -> DataFrame:
     """One row per block number with the packed bytes of every wanted channel.
 
     A missing or misaligned channel fails the job. With ``strobe``, its level just
@@ -114,14 +116,16 @@ def align_blocks(blocks: DataFrame, channels: Sequence[int], strobe: int | None
         "capture_id", "block_num", "channel", "data", "start_position", "num_samples", "timestamp_step"
     )
     if strobe is not None:
-        line = blocks.filter(F.col("channel") == strobe)
+        line = last_bits(blocks.filter(F.col("channel") == strobe))
+        if tails is not None:
+            line = line.unionByName(tails.filter(F.col("channel") == strobe))
         none = F.lit(None).cast("bigint")
         rows = rows.unionByName(
             line.select(
                 "capture_id",
                 (F.col("block_num") + 1).alias("block_num"),
                 F.lit(_PREVIOUS).alias("channel"),
-                F.unhex(F.format_string("%02X", last_bit(line))).alias("data"),
+                F.unhex(F.format_string("%02X", "last")).alias("data"),
                 none.alias("start_position"),
                 none.alias("num_samples"),
                 none.alias("timestamp_step"),
@@ -167,6 +171,7 @@ def parallel_words(
     mode: StrobeMode = StrobeMode.RISING,
     polarity: CsPolarity = CsPolarity.DISABLED,
     control: DataFrame | None = None,
+    tails: DataFrame | None = None,
     width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Words on the bus: trigger, then chip-select, then data line i as bit i, then enable.
@@ -209,7 +214,7 @@ def parallel_words(
                     names=_WORDS.names,
                 )
 
-    aligned = align_blocks(blocks.filter("num_samples > 0"), channels, strobe)
+    aligned = align_blocks(blocks.filter("num_samples > 0"), channels, strobe, tails)
     words = aligned.select("capture_id", "channels", "start_position", "num_samples", "timestamp_step").mapInArrow(
         decode, _WORDS
     )

@@ -149,28 +149,35 @@ def _interior_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 )
 
 
-def edge_runs(blocks: DataFrame) -> DataFrame:
+def edge_runs(blocks: DataFrame, tails: DataFrame | None = None) -> DataFrame:
     """Blocks to runs of equal value, stamped with their start.
 
     Changes inside a block need no neighbour, so they never shuffle. Whether a block
     opens a run is decided on its first bit and the last bit of the block before,
-    one small row per block joined on ``block_num - 1``.
+    one small row per block joined on ``block_num - 1``. ``tails`` (capture_id,
+    channel, block_num, last) gives last bits of blocks that came earlier.
     """
     require_columns(blocks, BLOCKS, "edge_runs")
     blocks = blocks.filter("num_samples > 0")
     interior = blocks.select(
         "capture_id", "channel", "data", "start_position", "num_samples", "timestamp_step"
     ).mapInArrow(_interior_edges, RUNS)
-    return interior.unionByName(opening_runs(blocks))
+    return interior.unionByName(opening_runs(blocks, tails))
 
 
-def opening_runs(blocks: DataFrame) -> DataFrame:
+def last_bits(blocks: DataFrame) -> DataFrame:
+    """(capture_id, channel, block_num, last) of every block."""
+    return blocks.select(*LINE, "block_num", last_bit(blocks).alias("last"))
+
+
+def opening_runs(blocks: DataFrame, tails: DataFrame | None = None) -> DataFrame:
     """Runs that begin on the first sample of a block."""
     edges = blocks.select(
-        *LINE, "block_num", first_bit(blocks).alias("first"), last_bit(blocks).alias("last"),
+        *LINE, "block_num", first_bit(blocks).alias("first"),
         (F.col("start_position") * F.col("timestamp_step")).alias("start_time"),
     )
-    before = edges.select(*LINE, (F.col("block_num") + 1).alias("block_num"), F.col("last").alias("before"))
+    ends = last_bits(blocks) if tails is None else last_bits(blocks).unionByName(tails)
+    before = ends.select(*LINE, (F.col("block_num") + 1).alias("block_num"), F.col("last").alias("before"))
     return (
         edges.join(before, [*LINE, "block_num"], "left")
         .filter(F.col("before").isNull() | (F.col("before") != F.col("first")))

@@ -307,7 +307,7 @@ def _carry(summary: DataFrame, target: bool, initial_clock: bool) -> DataFrame:
         .withColumn("in_gap", F.last(gap_known("gap"), True).over(before))
         .withColumn("in_cs", F.last(cs_known, True).over(before))
         .select(
-            *BY, BUCKET, "in_mosi", "in_miso", "final_cs",
+            *BY, BUCKET, "in_mosi", "in_miso", "in_hits", "final_cs",
             F.col("in_clk.v").alias("clk_v"), F.col("in_clk.t").alias("clk_t"),
             F.col("in_clk.mosi").alias("clk_mosi"), F.col("in_clk.miso").alias("clk_miso"),
             F.col("in_gap.t").alias("gap_t"), F.col("in_gap.level").alias("gap_level"),
@@ -389,18 +389,70 @@ def _emit_words(target: bool, initial_clock: bool, n: int):
     return one
 
 
-def _scan(clk, cs, mosi, miso, emit, schema, *, mode=SpiMode.MODE0, polarity=CsPolarity.ACTIVE_LOW,
-          initial_clock=False, width=DEFAULT_WIDTH) -> DataFrame:
+_BEFORE_ALL, _AFTER_ALL = -1, 1 << 62
+_EVERY_WINDOW = (1 << 63) - 1
+
+
+def _check(polarity: CsPolarity) -> None:
     if polarity is CsPolarity.DISABLED:
         raise ValueError("without chip-select a window never closes, so no word could be decoded")
+
+
+def _scan(clk, cs, mosi, miso, emit, schema, *, mode=SpiMode.MODE0, polarity=CsPolarity.ACTIVE_LOW,
+          initial_clock=False, width=DEFAULT_WIDTH) -> DataFrame:
+    _check(polarity)
     target = mode.samples_on_rising
-    merged = _merge_lines(clk, cs, mosi, miso, polarity).withColumn(BUCKET, bucket_of("__order", width))
-    buckets = merged.repartition(*BY, BUCKET).groupBy(*BY, BUCKET)
-    summary = buckets.applyInArrow(_summarise(target), _SUMMARY)
+    buckets, summary = _buckets(clk, cs, mosi, miso, target, polarity, width)
     carry = _carry(summary, target, initial_clock)
     return buckets.cogroup(carry.groupBy(*BY, BUCKET)).applyInArrow(emit(target, initial_clock), schema)
 
 
+def _buckets(clk, cs, mosi, miso, target: bool, polarity: CsPolarity, width: int):
+    merged = _merge_lines(clk, cs, mosi, miso, polarity).withColumn(BUCKET, bucket_of("__order", width))
+    buckets = merged.repartition(*BY, BUCKET).groupBy(*BY, BUCKET)
+    return buckets, buckets.applyInArrow(_summarise(target), _SUMMARY)
+
+
+def spi_parts(
+    clk: DataFrame, cs: DataFrame, mosi: DataFrame | None, miso: DataFrame | None, prefix: DataFrame,
+    *, bits_per_word: int, mode: SpiMode = SpiMode.MODE0, polarity: CsPolarity = CsPolarity.ACTIVE_LOW,
+    width: int = DEFAULT_WIDTH,
+) -> tuple[DataFrame, DataFrame]:
+    """One piece of a capture, given what the pieces before it left behind.
+
+    Returns folded words, also of windows still open, and the state after this piece
+    (``prefix`` of the next one): one row per capture. Start with an empty ``prefix``.
+    """
+    _check(polarity)
+    target = mode.samples_on_rising
+    buckets, summary = _buckets(clk, cs, mosi, miso, target, polarity, width)
+    known = prefix.select(*_SUMMARY.names).unionByName(summary)
+    ends = known.select(*BY).distinct().withColumn(BUCKET, F.lit(_AFTER_ALL).cast("bigint"))
+    carry = _carry(known.unionByName(ends, allowMissingColumns=True), target, False)
+    entering = carry.filter(F.col(BUCKET).between(0, _AFTER_ALL - 1)).withColumn(
+        "final_cs", F.lit(_EVERY_WINDOW).cast("bigint")
+    )
+    parts = buckets.cogroup(entering.groupBy(*BY, BUCKET)).applyInArrow(
+        _emit_words(target, False, bits_per_word), _PARTIAL_WORDS
+    )
+    none = F.lit(None)
+    after = carry.filter(F.col(BUCKET) == _AFTER_ALL).select(
+        *BY, F.lit(_BEFORE_ALL).cast("bigint").alias(BUCKET),
+        F.col("in_mosi").alias("mosi"), F.col("in_miso").alias("miso"), F.col("in_hits").alias("n_target"),
+        F.when(F.col("clk_t").isNotNull(), F.struct(
+            F.col("clk_v").alias("v"), F.col("clk_t").alias("t"),
+            F.col("clk_mosi").alias("mosi"), F.col("clk_miso").alias("miso"),
+        )).alias("clk"),
+        F.when(F.col("gap_t").isNotNull(), F.struct(
+            F.col("gap_t").alias("t"), F.col("gap_level").alias("level"))).alias("gap"),
+        F.when(F.col("cs_t").isNotNull(), F.struct(
+            F.col("cs_active").alias("active"), F.col("cs_t").alias("t"),
+            (F.col("in_hits") - F.col("bits_done")).alias("n_target"))).alias("cs"),
+        none.cast(_CLK_STATE).alias("cs_clk"), none.cast(_GAP_STATE).alias("cs_gap"),
+    )
+    return parts, after
+
+
 def spi_bits(
     clk: DataFrame, cs: DataFrame, mosi: DataFrame | None = None, miso: DataFrame | None = None, **options
 ) -> DataFrame:
@@ -442,16 +494,23 @@ def spi_words(
         raise ValueError(f"bits_per_word must be 1 to 63, got {bits_per_word}")
     n = bits_per_word
     parts = _scan(clk, cs, mosi, miso, partial(_emit_words, n=n), _PARTIAL_WORDS, **options)
-    return (
-        parts.groupBy(*BY, "window_id", "word_no")
-        .agg(
-            F.bit_or("mosi").alias("mosi"),
-            F.bit_or("miso").alias("miso"),
-            F.min("t_ns").alias("t_ns"),
-            F.sum("bits").alias("__bits"),
-        )
-        .filter(F.col("__bits") == n)
-        .select(
-            *BY, "window_id", "word_no", "mosi", "miso", "t_ns", ns_to_us(F.col("t_ns")).alias("timestamp_us")
-        )
+    return finish_words(fold_parts(parts), n)
+
+
+def fold_parts(parts: DataFrame) -> DataFrame:
+    """Merge the pieces of words that were cut by a bucket or batch border."""
+    return parts.groupBy(*BY, "window_id", "word_no").agg(
+        F.bit_or("mosi").alias("mosi"), F.bit_or("miso").alias("miso"),
+        F.min("t_ns").alias("t_ns"), F.sum("bits").alias("bits"),
+    )
+
+
+def finish_words(parts: DataFrame, bits_per_word: int) -> DataFrame:
+    """Complete words only."""
+    return parts.filter(F.col("bits") == bits_per_word).select(
+        *BY, "window_id", "word_no", "mosi", "miso", "t_ns", ns_to_us(F.col("t_ns")).alias("timestamp_us")
     )
+
+
+PREFIX = _SUMMARY
+PARTS = _PARTIAL_WORDS

@@ -369,8 +369,6 @@ from range(0, 60) a(dy) cross join range(0, 84) b(dx) left join sc on row = dy /
     "scan_image": f"""with {SCALED}, {_shift('sc', '- 1', '+ 2')} select row, col, (r << 16) + (g << 8) + b as rgb from shifted""",
     "parse_sample_rate": """with t as (
   select event_id, user_id, cast(event_id % 9 as int) as n from events)
-select event_id, user_id || (['MHz', 'GHz', 'KHz', 'kHz', 'Hz', 'mhz', '', 'x', '.5'])[n + 1] as text, null as hz from t where false
-union all
 select event_id, user_id || ([' MHz', ' GHz', ' KHz', ' kHz', ' Hz', ' mhz', '', 'x MHz', '.5 MHz'])[n + 1] as text,
   case n when 0 then user_id * 1e6 when 1 then user_id * 1e9 when 2 then user_id * 1e3 when 3 then user_id * 1e3
     when 4 then cast(user_id as double) when 8 then (user_id + 0.5) * 1e6 end as hz from t""",
