@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logicspark.functions.scalar import ns_to_us
+from logicspark.functions.scalar import bit_of, ns_to_us
 from logicspark.operators.ordered import DEFAULT_WIDTH, asof_state
 from logicspark.operators.signal import _bits, first_bit, last_bit, last_bits
 from logicspark.schemas import BLOCKS, CONTROL, CsPolarity, StrobeMode, fields, require_columns
@@ -80,8 +80,6 @@ def strobe_triggers(blocks: DataFrame, strobe: int, mode: StrobeMode) -> DataFra
 
 def cs_inactive_gate(triggers: DataFrame, blocks: DataFrame, cs: int, polarity: CsPolarity) -> DataFrame:
     """Keep triggers at which chip-select is inactive (the bus side uses it inverted)."""
-    from logicspark.functions.scalar import bit_of
-
     if polarity is CsPolarity.DISABLED:
         return triggers
     line = blocks.filter(F.col("channel") == cs).select(
@@ -178,12 +176,57 @@ def parallel_words(
 
     64-bit values are two's complement. Without ``control`` the bus is always enabled.
     """
+    _check_lines(data, cs, polarity)
+    channels = [strobe, *data, *([] if polarity is CsPolarity.DISABLED else [cs])]
+    aligned = align_blocks(blocks.filter("num_samples > 0"), channels, strobe, tails)
+    words = _decode(aligned, strobe, data, cs, mode, polarity)
+    return words if control is None else enable_gate(words, control, width=width)
+
+
+def decode_aligned(
+    aligned: DataFrame,
+    *,
+    strobe: int,
+    data: Sequence[int],
+    cs: int | None = None,
+    mode: StrobeMode = StrobeMode.RISING,
+    polarity: CsPolarity = CsPolarity.DISABLED,
+    control: DataFrame | None = None,
+    width: int = DEFAULT_WIDTH,
+) -> DataFrame:
+    """``parallel_words`` over blocks that are already aligned, as an archive scan gives them.
+
+    The strobe level before each block is one small row, joined by block number; the
+    packed bytes go only through that join.
+    """
+    _check_lines(data, cs, polarity)
+    line = F.element_at("channels", F.lit(strobe))
+    last = bit_of(line, F.col("num_samples") - 1)
+    before = aligned.select(
+        "capture_id", (F.col("block_num") + 1).alias("block_num"), F.unhex(F.format_string("%02X", last)).alias("__before")
+    )
+    joined = aligned.join(before, ["capture_id", "block_num"], "left").withColumn(
+        "channels",
+        F.when(
+            F.col("__before").isNotNull(),
+            F.map_concat("channels", F.create_map(F.lit(_PREVIOUS), F.col("__before"))),
+        ).otherwise(F.col("channels")),
+    )
+    words = _decode(joined, strobe, data, cs, mode, polarity)
+    return words if control is None else enable_gate(words, control, width=width)
+
+
+def _check_lines(data: Sequence[int], cs: int | None, polarity: CsPolarity) -> None:
     if not 1 <= len(data) <= 64:
         raise ValueError(f"1 to 64 data lines, got {len(data)}")
-    gated = polarity is not CsPolarity.DISABLED
-    if gated and cs is None:
+    if polarity is not CsPolarity.DISABLED and cs is None:
         raise ValueError("a chip-select polarity needs a chip-select channel")
-    channels = [strobe, *data, *([cs] if gated else [])]
+
+
+def _decode(
+    aligned: DataFrame, strobe: int, data: Sequence[int], cs: int | None, mode: StrobeMode, polarity: CsPolarity
+) -> DataFrame:
+    gated = polarity is not CsPolarity.DISABLED
     idle = 1 if polarity is CsPolarity.ACTIVE_LOW else 0
     lines = list(data)
 
@@ -214,12 +257,9 @@ def parallel_words(
                     names=_WORDS.names,
                 )
 
-    aligned = align_blocks(blocks.filter("num_samples > 0"), channels, strobe, tails)
     words = aligned.select("capture_id", "channels", "start_position", "num_samples", "timestamp_step").mapInArrow(
         decode, _WORDS
     )
-    if control is not None:
-        words = enable_gate(words, control, width=width)
     return words.withColumn("timestamp_us", ns_to_us(F.col("t_ns")))
 
 

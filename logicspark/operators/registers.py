@@ -126,7 +126,9 @@ def snapshot_pick(
 ) -> DataFrame:
     """Snapshot of the chosen capture, or of the longest one; fails when there is none.
 
-    ``enabled`` lets a capture without any known register count as found.
+    The choice is one row per log, looked at once here so that a missing capture is an
+    error and not an empty table. ``enabled`` lets a capture without any known register
+    count as found.
     """
     if (durations is None) == (capture_num is None):
         raise ValueError("give either durations or capture_num")
@@ -137,12 +139,9 @@ def snapshot_pick(
     else:
         chosen = longest_capture(durations).select(*LOG, "enable_num")
         missing = "No enable/disable pairs found"
-    # a global count is one row whatever the input, so it can fail the job when empty
-    found = chosen.agg(F.count(F.lit(1)).alias("__found")).select(
-        F.when(F.col("__found") > 0, True).otherwise(F.raise_error(F.lit(missing)).cast("boolean")).alias("__ok")
-    )
-    guarded = chosen.join(F.broadcast(found), F.col("__ok"))
-    return snapshots.join(guarded.drop("__ok"), [*LOG, "enable_num"])
+    if chosen.isEmpty():
+        raise LookupError(missing)
+    return snapshots.join(chosen, [*LOG, "enable_num"])
 
 
 def ordered_registers(snapshot: DataFrame) -> DataFrame:

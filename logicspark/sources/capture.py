@@ -168,14 +168,17 @@ class _BlockReader(DataSourceReader):
         self.only: set[int] | None = None
 
     def pushFilters(self, filters):
-        """Channel equality and IN prune scan partitions; everything else goes back to Spark."""
+        """Channel equality and IN prune scan partitions.
+
+        Every filter also goes back to Spark: scans of one path look alike to exchange
+        reuse, and only the filter above them tells the channels apart.
+        """
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("channel",):
                 self._restrict({f.value})
             elif isinstance(f, In) and f.attribute == ("channel",):
                 self._restrict(set(f.value))
-            else:
-                yield f
+            yield f
 
     def _restrict(self, channels: set[int]) -> None:
         self.only = channels if self.only is None else self.only & channels

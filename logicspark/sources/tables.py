@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from logicspark.functions.scalar import parse_hex
 from logicspark.schemas import LINE_RECORD_COLUMNS, fields
 
-_FILE = F.col("_metadata.file_path")
 BODY_BYTES = fields(image_id="string", byte_index="bigint", byte="int")
 
 
@@ -24,7 +23,7 @@ def stem(path: Column) -> Column:
 
 def companion_path(body_path: Column) -> Column:
     """Line-clock table that belongs to a capture body."""
-    return F.regexp_replace(body_path, r"(\.[^./]*)?$", "_tgck.csv")
+    return F.regexp_replace(body_path, r"^(.*?)(\.[^./]*)?$", "$1_tgck.csv")
 
 
 def read_log_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -37,7 +36,7 @@ def read_log_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return (
         spark.read.schema(columns)
         .csv(path, header=True, enforceSchema=True, mode="PERMISSIVE")
-        .select(stem(_FILE).alias("log_id"), "id", "time_text", "mosi_text")
+        .select(stem(F.col("_metadata.file_path")).alias("log_id"), "id", "time_text", "mosi_text")
     )
 
 
@@ -77,7 +76,7 @@ def read_line_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
         spark.read.schema(columns)
         .csv(path, header=True, enforceSchema=True)
         .select(
-            F.regexp_replace(stem(_FILE), "_tgck$", "").alias("image_id"),
+            F.regexp_replace(stem(F.col("_metadata.file_path")), "_tgck$", "").alias("image_id"),
             F.trim("rising_timestamp").try_cast("bigint").alias("rising_timestamp"),
             F.when(F.trim("falling_byte_index").rlike(r"^\+?[0-9]+$"), F.trim("falling_byte_index").try_cast("bigint")).alias(
                 "falling_byte_index"
