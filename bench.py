@@ -15,6 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from logicspark import CsPolarity, StrobeMode  # noqa: E402
 from logicspark.operators import parallel, signal, spi  # noqa: E402
+from logicspark.plans import jobs  # noqa: E402
 from workload import fixtures as fx  # noqa: E402
 from workload import queries as q  # noqa: E402
 
@@ -62,6 +63,8 @@ def main() -> None:
 
     lines = {k: stored(k, v) for k, v in fx.waveform(spark, SF_DIR, "orders").items()}
     blocks = stored("blocks", q.blocks(spark, SF_DIR))
+    wave = stored("wave", fx.waveform_blocks(spark, SF_DIR))
+    wave_samples = wave.agg(F.sum("num_samples")).collect()[0][0]
     clock_rows, frame_count = lines["clk"].count(), lines["cs"].count() // 2
     samples = blocks.agg(F.sum("num_samples")).collect()[0][0]
     spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().collect()
@@ -70,6 +73,8 @@ def main() -> None:
         spi.spi_words(lines["clk"], lines["cs"], lines["mosi"], bits_per_word=24)
     )
     rates["spi_words_per_s"], rates["clock_runs_per_s"] = frame_count / t, clock_rows / t
+    t = seconds["decode_words_blocks"] = timed(jobs.spi_decode(wave, cs=0, clk=1, mosi=2))
+    rates["spi_words_per_s_from_blocks"], rates["spi_samples_per_s"] = frame_count / t, wave_samples / t
     t = seconds["edge_runs_blocks"] = timed(signal.edge_runs(blocks))
     rates["edge_run_samples_per_s"] = samples / t
     t = seconds["bus_words_blocks"] = timed(

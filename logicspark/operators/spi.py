@@ -10,6 +10,7 @@ clock and chip-select rows finds every sampling edge.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from logicspark.functions.scalar import ns_to_us
-from logicspark.operators.ordered import BUCKET, DEFAULT_WIDTH, RANKS, bucket_of, neighbours, order_key
+from logicspark.operators.ordered import BUCKET, DEFAULT_WIDTH, neighbours, order_key
+from logicspark.operators.signal import _bits, opening_runs
 from logicspark.schemas import LINE_RUNS, CsPolarity, SpiMode, fields, require_columns
 
 BY = ["capture_id"]
@@ -61,7 +63,7 @@ def _merge_lines(
     Ties: data from the start of the capture, inactive edge, clock, active edge, other
     data. So a clock run at the end of a window is outside it, one at its start is the
     gap's last run, and data is read just before the clock edge (at 0 for edge 0).
-    ``code`` is line * 2 + level.
+    ``key`` is the time, then the tie rank, then line * 2 + level, three bits each.
     """
     active = cs_active(F.col("value"), polarity)
     ranks = {
@@ -78,11 +80,8 @@ def _merge_lines(
         require_columns(line, LINE_RUNS, f"{name} runs")
         level = active if name == "cs" else F.col("value")
         code = F.lit(2 * code_of[name]) + level.cast("int")
-        parts.append(
-            line.select(
-                "capture_id", order_key("start_time", ranks[name]).alias("__order"), code.cast("tinyint").alias("code")
-            )
-        )
+        key = order_key("start_time", ranks[name]) * 8 + code
+        parts.append(line.select("capture_id", key.alias("key")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -185,6 +184,7 @@ _PARTIAL_WORDS = fields(
     capture_id="string", window_id="bigint", word_no="bigint", mosi="bigint", miso="bigint",
     t_ns="bigint", bits="bigint",
 )
+_PACKED = fields(capture_id="string", __bucket="bigint", keys="binary")
 _CS, _CLK, _MOSI, _MISO = range(4)
 
 
@@ -192,13 +192,10 @@ class _Bucket:
     """Index arrays over one bucket of merged line rows, in reading order."""
 
     def __init__(self, rows: pa.Table, target: bool):
-        order = rows.column("__order").to_numpy()
-        code = rows.column("code").to_numpy()
-        by_order = np.argsort(order, kind="stable")
-        order, code = order[by_order], code[by_order]
-        self.t = order // RANKS
-        self.high = (code & 1).astype(bool)
-        line = code >> 1
+        keys = np.sort(np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.int64))
+        self.t = keys >> 6
+        self.high = (keys & 1).astype(bool)
+        line = (keys >> 1) & 3
         self.is_cs, self.is_clk = line == _CS, line == _CLK
         self.last_cs = self._last(self.is_cs)
         self.last_clk = self._last(self.is_clk)
@@ -393,23 +390,86 @@ _BEFORE_ALL, _AFTER_ALL = -1, 1 << 62
 _EVERY_WINDOW = (1 << 63) - 1
 
 
-def _check(polarity: CsPolarity) -> None:
+def _check(polarity: CsPolarity, bits_per_word: int = 1) -> None:
     if polarity is CsPolarity.DISABLED:
         raise ValueError("without chip-select a window never closes, so no word could be decoded")
+    if not 1 <= bits_per_word <= 63:
+        raise ValueError(f"bits_per_word must be 1 to 63, got {bits_per_word}")
 
 
-def _scan(clk, cs, mosi, miso, emit, schema, *, mode=SpiMode.MODE0, polarity=CsPolarity.ACTIVE_LOW,
-          initial_clock=False, width=DEFAULT_WIDTH) -> DataFrame:
-    _check(polarity)
+def _scan(packed: DataFrame, emit, schema, mode: SpiMode, initial_clock: bool) -> DataFrame:
     target = mode.samples_on_rising
-    buckets, summary = _buckets(clk, cs, mosi, miso, target, polarity, width)
+    buckets, summary = _buckets(packed, target)
     carry = _carry(summary, target, initial_clock)
     return buckets.cogroup(carry.groupBy(*BY, BUCKET)).applyInArrow(emit(target, initial_clock), schema)
 
 
-def _buckets(clk, cs, mosi, miso, target: bool, polarity: CsPolarity, width: int):
-    merged = _merge_lines(clk, cs, mosi, miso, polarity).withColumn(BUCKET, bucket_of("__order", width))
-    buckets = merged.repartition(*BY, BUCKET).groupBy(*BY, BUCKET)
+def _packed_rows(capture: pa.Array, group: np.ndarray, keys: np.ndarray, width: int) -> pa.RecordBatch:
+    """One row per (capture, bucket); ``group`` indexes ``capture`` per key."""
+    bucket = (keys >> 6) // width
+    by = np.lexsort((bucket, group))
+    group, bucket, keys = group[by], bucket[by], keys[by]
+    starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (bucket[1:] != bucket[:-1])])
+    ends = np.r_[starts[1:], len(keys)]
+    return pa.RecordBatch.from_arrays(
+        [
+            capture.take(pa.array(group[starts])).cast(pa.string()),
+            pa.array(bucket[starts]),
+            pa.array([keys[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()),
+        ],
+        names=_PACKED.names,
+    )
+
+
+def _pack_runs(merged: DataFrame, width: int) -> DataFrame:
+    """Rows of each batch folded per (capture, bucket) before the shuffle.
+
+    The shuffle and the grouping then move a few byte strings instead of every row.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                capture = batch.column("capture_id").dictionary_encode()
+                yield _packed_rows(
+                    capture.dictionary, capture.indices.to_numpy(), batch.column("key").to_numpy(), width
+                )
+
+    return merged.mapInArrow(pack, _PACKED)
+
+
+def _pack_blocks(blocks: DataFrame, lines: dict[int, list[int]], polarity: CsPolarity, width: int) -> DataFrame:
+    """Level changes inside packed blocks, folded per bucket without becoming rows.
+
+    ``lines`` maps a channel to the lines it serves.
+    """
+    inverted = polarity is CsPolarity.ACTIVE_LOW
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                bits = _bits(row["data"], row["num_samples"])
+                at = np.flatnonzero(bits[1:] != bits[:-1]) + 1
+                if not len(at):
+                    continue
+                t = (at + row["start_position"]) * row["timestamp_step"]
+                for line in lines[row["channel"]]:
+                    high = bits[at].astype(np.int64)
+                    if line == _CS:
+                        high = 1 - high if inverted else high
+                        rank = np.where(high == 1, 3, 1)
+                    else:
+                        rank = 2 if line == _CLK else 4
+                    keys = (t << 6) + rank * 8 + 2 * line + high
+                    yield _packed_rows(pa.array([row["capture_id"]]), np.zeros(len(keys), np.int64), keys, width)
+
+    return blocks.select(
+        "capture_id", "channel", "data", "start_position", "num_samples", "timestamp_step"
+    ).mapInArrow(pack, _PACKED)
+
+
+def _buckets(packed: DataFrame, target: bool):
+    buckets = packed.repartition(*BY, BUCKET).groupBy(*BY, BUCKET)
     return buckets, buckets.applyInArrow(_summarise(target), _SUMMARY)
 
 
@@ -423,9 +483,9 @@ def spi_parts(
     Returns folded words, also of windows still open, and the state after this piece
     (``prefix`` of the next one): one row per capture. Start with an empty ``prefix``.
     """
-    _check(polarity)
+    _check(polarity, bits_per_word)
     target = mode.samples_on_rising
-    buckets, summary = _buckets(clk, cs, mosi, miso, target, polarity, width)
+    buckets, summary = _buckets(_pack_runs(_merge_lines(clk, cs, mosi, miso, polarity), width), target)
     known = prefix.select(*_SUMMARY.names).unionByName(summary)
     ends = known.select(*BY).distinct().withColumn(BUCKET, F.lit(_AFTER_ALL).cast("bigint"))
     carry = _carry(known.unionByName(ends, allowMissingColumns=True), target, False)
@@ -454,20 +514,29 @@ def spi_parts(
 
 
 def spi_bits(
-    clk: DataFrame, cs: DataFrame, mosi: DataFrame | None = None, miso: DataFrame | None = None, **options
+    clk: DataFrame,
+    cs: DataFrame,
+    mosi: DataFrame | None = None,
+    miso: DataFrame | None = None,
+    *,
+    mode: SpiMode = SpiMode.MODE0,
+    polarity: CsPolarity = CsPolarity.ACTIVE_LOW,
+    initial_clock: bool = False,
+    width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Every sampling edge: (capture_id, a, t, bit_no, mosi, miso).
 
-    All lines are merged and shuffled once, by time bucket. A first pass leaves one row
-    per bucket with the state at its end; those rows are chained per capture; a second
+    All lines are merged, packed per time bucket and shuffled once. A first pass leaves one
+    row per bucket with the state at its end; those rows are chained per capture; a second
     pass over the same shuffled buckets reads the bits from a known state. Levels must
     alternate along each line, as runs do.
 
-    Options: ``mode``, ``polarity``, ``width`` and ``initial_clock``. The level before
-    the first clock run is low, which gives an idle-high clock one extra edge in mode 3;
-    ``initial_clock=True`` starts it high instead.
+    The level before the first clock run is low, which gives an idle-high clock one extra
+    edge in mode 3; ``initial_clock=True`` starts it high instead.
     """
-    return _scan(clk, cs, mosi, miso, _emit_bits, _BITS, **options)
+    _check(polarity)
+    packed = _pack_runs(_merge_lines(clk, cs, mosi, miso, polarity), width)
+    return _scan(packed, _emit_bits, _BITS, mode, initial_clock)
 
 
 def sampling_edges(clk: DataFrame, cs: DataFrame, **options) -> DataFrame:
@@ -487,14 +556,50 @@ def spi_words(
     miso: DataFrame | None = None,
     *,
     bits_per_word: int = 8,
-    **options,
+    mode: SpiMode = SpiMode.MODE0,
+    polarity: CsPolarity = CsPolarity.ACTIVE_LOW,
+    initial_clock: bool = False,
+    width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Complete words, most significant bit first, timed at their first sampling edge."""
-    if not 1 <= bits_per_word <= 63:
-        raise ValueError(f"bits_per_word must be 1 to 63, got {bits_per_word}")
-    n = bits_per_word
-    parts = _scan(clk, cs, mosi, miso, partial(_emit_words, n=n), _PARTIAL_WORDS, **options)
-    return finish_words(fold_parts(parts), n)
+    _check(polarity, bits_per_word)
+    packed = _pack_runs(_merge_lines(clk, cs, mosi, miso, polarity), width)
+    parts = _scan(packed, partial(_emit_words, n=bits_per_word), _PARTIAL_WORDS, mode, initial_clock)
+    return finish_words(fold_parts(parts), bits_per_word)
+
+
+def spi_words_from_blocks(
+    blocks: DataFrame,
+    *,
+    cs: int,
+    clk: int,
+    mosi: int | None = None,
+    miso: int | None = None,
+    bits_per_word: int = 8,
+    mode: SpiMode = SpiMode.MODE0,
+    polarity: CsPolarity = CsPolarity.ACTIVE_LOW,
+    initial_clock: bool = False,
+    width: int = DEFAULT_WIDTH,
+) -> DataFrame:
+    """``spi_words`` straight from packed blocks: no run ever becomes a row.
+
+    Only the first sample of a block needs the block before; those runs are few and take
+    the row path.
+    """
+    _check(polarity, bits_per_word)
+    channels = {"cs": cs, "clk": clk, "mosi": mosi, "miso": miso}
+    served: dict[int, list[int]] = {}
+    for line, channel in zip((_CS, _CLK, _MOSI, _MISO), channels.values(), strict=True):
+        if channel is not None:
+            served.setdefault(channel, []).append(line)
+    used = blocks.filter(F.col("channel").isin(sorted(served)) & (F.col("num_samples") > 0))
+    opening = opening_runs(used)
+    first = {n: None if c is None else opening.filter(F.col("channel") == c) for n, c in channels.items()}
+    packed = _pack_blocks(used, served, polarity, width).unionByName(
+        _pack_runs(_merge_lines(first["clk"], first["cs"], first["mosi"], first["miso"], polarity), width)
+    )
+    parts = _scan(packed, partial(_emit_words, n=bits_per_word), _PARTIAL_WORDS, mode, initial_clock)
+    return finish_words(fold_parts(parts), bits_per_word)
 
 
 def fold_parts(parts: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +41,7 @@ def line_of(runs: DataFrame, channel: int) -> DataFrame:
 
 
 def spi_decode(
-    blocks: DataFrame,
+    blocks: DataFrame | Callable[[list[int]], DataFrame],
     *,
     cs: int,
     clk: int,
@@ -52,16 +52,15 @@ def spi_decode(
     polarity: CsPolarity = CsPolarity.ACTIVE_LOW,
     width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
-    """Packed blocks to serial words. Only the channels in use are read."""
-
-    def runs(channel: int | None) -> DataFrame | None:
-        if channel is None:
-            return None
-        one = signal.project_channels(blocks, [channel])
-        return signal.edge_runs(one).select("capture_id", "value", "start_time")
+    """Packed blocks to serial words. Only the channels in use are read.
 
-    return spi.spi_words(
-        runs(clk), runs(cs), runs(mosi), runs(miso),
+    ``blocks`` is a table laid out by channel (``save_blocks``), or a function that opens
+    the wanted channels, such as an archive scan with its ``channels`` option.
+    """
+    channels = sorted({c for c in (cs, clk, mosi, miso) if c is not None})
+    used = blocks(channels) if callable(blocks) else signal.project_channels(blocks, channels)
+    return spi.spi_words_from_blocks(
+        used, cs=cs, clk=clk, mosi=mosi, miso=miso,
         bits_per_word=bits_per_word, mode=mode, polarity=polarity, width=width,
     )
 

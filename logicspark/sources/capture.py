@@ -154,7 +154,7 @@ class _HeaderReader(DataSourceReader):
 
 
 class _BlockReader(DataSourceReader):
-    """Options: path, channels ("0,3,9"), max_samples, blocks_per_partition, table."""
+    """Options: path, channels ("0,3,9"), max_samples, blocks_per_partition, table, prune."""
 
     def __init__(self, options):
         self.paths = _list(options["path"])
@@ -165,16 +165,21 @@ class _BlockReader(DataSourceReader):
             raise CaptureError(f"between 1 and 16 channels, got {len(self.channels)}")
         self.max_samples = int(options["max_samples"]) if options.get("max_samples") else None
         self.per_partition = int(options.get("blocks_per_partition", "64"))
+        self.prune = options.get("prune", "false") == "true"
         self.only: set[int] | None = None
 
     def pushFilters(self, filters):
-        """Channel equality and IN prune scan partitions.
+        """With option ``prune``, channel equality and IN prune scan partitions.
 
-        Every filter also goes back to Spark: scans of one path look alike to exchange
-        reuse, and only the filter above them tells the channels apart.
+        Spark keeps one pruned reader per ``load()``, so a table filtered in two ways in
+        one query would read the wrong channels. Pruning is therefore asked for, by
+        readers that filter once; ``channels`` prunes without that limit. Every filter
+        also goes back to Spark, which keeps scans of different channels apart.
         """
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("channel",):
+            if not self.prune:
+                pass
+            elif isinstance(f, EqualTo) and f.attribute == ("channel",):
                 self._restrict({f.value})
             elif isinstance(f, In) and f.attribute == ("channel",):
                 self._restrict(set(f.value))

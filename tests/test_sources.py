@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logicspark import SpiMode, StrobeMode
-from logicspark.operators import parallel, sessions, signal
+from logicspark.operators import parallel, sessions, signal, spi
 from logicspark.plans import jobs
 from logicspark.sources import capture, sinks, tables
 from tests.conftest import SF, rows
@@ -77,11 +77,21 @@ def test_bounded_and_projected(spark, archive, wanted):
 
 def test_channel_filter_prunes_partitions(spark, archive):
     capture.register(spark)
-    raw = spark.read.format("logic_capture").option("blocks_per_partition", 1).load(archive)
-    assert raw.rdd.getNumPartitions() == 9
-    assert raw.filter("channel = 1").rdd.getNumPartitions() == 3
-    assert raw.filter("channel in (0, 1)").rdd.getNumPartitions() == 6
-    assert {r.channel for r in raw.filter("channel = 1").collect()} == {1}
+    reader = spark.read.format("logic_capture").option("blocks_per_partition", 1)
+    assert reader.load(archive).rdd.getNumPartitions() == 9
+    for cond, n in (("channel = 1", 3), ("channel in (0, 1)", 6)):
+        kept = reader.option("prune", "true").load(archive).filter(cond)
+        assert kept.rdd.getNumPartitions() == n
+        assert kept.count() == n
+
+
+def test_one_table_filtered_in_several_ways(spark, archive):
+    """Every branch sees its own channel, whatever the scan pushes down."""
+    capture.register(spark)
+    raw = spark.read.format("logic_capture").load(archive)
+    parts = [raw.filter(f"channel = {c}").groupBy("channel").count() for c in (2, 0, 1)]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    assert rows(both) == [(0, 3), (1, 3), (2, 3)]
 
 
 def test_missing_block_ends_the_channel(spark, tmp_path, wanted):
@@ -135,10 +145,14 @@ def test_save_and_prune(spark, tmp_path, wanted):
 
 
 def test_spi_job_from_archive(spark, archive, wanted):
-    got = jobs.spi_decode(capture.read_capture(spark, archive).blocks, cs=2, clk=0, mosi=1, bits_per_word=1, mode=SpiMode.MODE1)
-    want = jobs.spi_decode(wanted, cs=2, clk=0, mosi=1, bits_per_word=1, mode=SpiMode.MODE1)
-    assert rows(got) == rows(want)
-    assert got.count() > 10
+    options = dict(cs=2, clk=0, mosi=1, miso=0, bits_per_word=1, mode=SpiMode.MODE1)
+    runs = signal.edge_runs(wanted)
+    line = {c: runs.filter(F.col("channel") == c) for c in range(3)}
+    want = rows(spi.spi_words(line[0], line[2], line[1], line[0], bits_per_word=1, mode=SpiMode.MODE1))
+    assert len(want) > 10
+    assert rows(jobs.spi_decode(capture.read_capture(spark, archive).blocks, width=777, **options)) == want
+    opened = jobs.spi_decode(lambda cs: capture.read_capture(spark, archive, channels=cs).blocks, **options)
+    assert rows(opened) == want
 
 
 LOG = "Id,Time[ns],1:SPI: MOSI data\n1,10.50,600081\n2,20,00C0FF\nshort,3\n3,30.00, 600000 \n"

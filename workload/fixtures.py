@@ -6,8 +6,13 @@ rules as SQL (``workload.oracle_text``).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from logicspark.schemas import BLOCKS
 
 CAPTURE = "c0"
 STEP_NS = 10
@@ -71,6 +76,37 @@ def waveform(spark: SparkSession, sf_dir: str, source: str = "customer") -> dict
     return {"cs": cs, "clk": clk, "mosi": mosi}
 
 
+FRAMES_PER_BLOCK = 64
+
+
+def waveform_blocks(spark: SparkSession, sf_dir: str, source: str = "orders") -> DataFrame:
+    """The same serial lines (cs 0, clk 1, mosi 2) as packed blocks, 100 samples a frame."""
+
+    def build(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        n = FRAMES_PER_BLOCK
+        bits = {c: np.full((n, 100), 1 if c == 0 else 0, np.uint8) for c in range(3)}
+        at = 12 + 2 * np.arange(24)
+        for base, word in zip(rows.column("base").to_pylist(), rows.column("word").to_pylist(), strict=True):
+            f = base // 1000 - block * n
+            bits[0][f, 10:70] = 0
+            bits[1][f, at] = 1
+            sent = (word >> np.arange(23, -1, -1)) & 1
+            bits[2][f, 11:59] = np.repeat(sent, 2)
+        data = [np.packbits(b.reshape(-1), bitorder="little").tobytes() for b in bits.values()]
+        return pa.Table.from_pylist(
+            [
+                {"capture_id": CAPTURE, "channel": c, "block_num": block, "data": d, "start_position": block * n * 100,
+                 "num_samples": n * 100, "timestamp_step": STEP_NS}
+                for c, d in enumerate(data)
+            ],
+            schema=to_arrow_schema(BLOCKS),
+        )
+
+    block = F.expr(f"base div {1000 * FRAMES_PER_BLOCK}").alias("block")
+    return frames(spark, sf_dir, source).select(block, "base", "word").groupBy("block").applyInArrow(build, BLOCKS)
+
+
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve noisy channels, one sample per event (B2)."""
     return table(spark, sf_dir, "events").select(

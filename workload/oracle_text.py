@@ -217,6 +217,8 @@ ORACLES: dict[str, str] = {
   select 0 as t, 1 as v union all select base + 100, 0 from frames union all select base + 700, 1 from frames)
 select t as start_time, 1 - v as low, v as high, 1 as none from r""",
     "spi_word": f"with {FRAMES} select base + 100 as window_id, 0 as word_no, word as mosi, 0 as miso, base + 120 as t_ns, (base + 120) / 1000 as timestamp_us from frames",
+    "spi_word_blocks": """select o_orderkey * 1000 + 100 as window_id, 0 as word_no,
+  (o_orderkey % 256) * 65536 + (o_custkey * 251 + o_orderkey * 7) % 65536 as mosi, 0 as miso, o_orderkey * 1000 + 120 as t_ns from orders""",
     "spi_word_bytes": f"""with {FRAMES} select base + 100 as window_id, n as word_no, (word >> cast(16 - 8 * n as int)) & 255 as mosi, base + 120 + 160 * n as t_ns
 from frames cross join (values (0),(1),(2)) t(n)""",
     "spi_word_noise_rising": _noise_words(1, True),

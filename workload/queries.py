@@ -96,6 +96,13 @@ def spi_word(spark, sf):
     return frames_spi(spark, sf).select("window_id", "word_no", "mosi", "miso", "t_ns", "timestamp_us")
 
 
+@query
+def spi_word_blocks(spark, sf):
+    """The round trip from packed blocks, over all orders."""
+    d = jobs.spi_decode(fx.waveform_blocks(spark, sf), cs=0, clk=1, mosi=2, width=T)
+    return d.select("window_id", "word_no", "mosi", "miso", "t_ns")
+
+
 @query
 def spi_word_bytes(spark, sf):
     return frames_spi(spark, sf, 8).select("window_id", "word_no", "mosi", "t_ns")
