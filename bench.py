@@ -57,8 +57,8 @@ def main() -> None:
     folder = tempfile.mkdtemp(prefix="spark-")
 
     def stored(name: str, df: DataFrame) -> DataFrame:
-        """Fixture written before the clock starts."""
-        df.write.parquet(f"{folder}/{name}")
+        """Fixture written before the clock starts, in enough files for every core."""
+        df.repartition(4 * int(CPUS)).write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     lines = {k: stored(k, v) for k, v in fx.waveform(spark, SF_DIR, "orders").items()}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logicspark.functions import scalar
 from logicspark.functions.scalar import BACKGROUND, BYTES_PER_PIXEL
-from logicspark.schemas import PIXELS, DisplayMode, fields, require_columns
+from logicspark.schemas import PIXELS, DisplayMode, require_columns
 
 IMAGE = ["image_id"]
 CHUNK_BYTES = 1 << 20

@@ -35,9 +35,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def line_of(runs: DataFrame, channel: int) -> DataFrame:
-    """Runs of one channel."""
-    return runs.filter(F.col("channel") == channel).select("capture_id", "value", "start_time")
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Broadcast a narrow table when it is seen to be small, else leave the join to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def spi_decode(
@@ -149,8 +149,10 @@ def scan_image(
     shape = lines.groupBy("image_id").agg(
         (F.max("row") + 1).alias("total_rows"), F.lit(pixel_width).cast("bigint").alias("pixel_width")
     )
+    shifted = bool(bg_delta or gr_delta) and mode is DisplayMode.COLOR
     return image.frame_decode(
-        pixels, mode, bg_delta=bg_delta, gr_delta=gr_delta, gain=gain, gamma=gamma, shape=shape
+        pixels, mode, bg_delta=bg_delta, gr_delta=gr_delta, gain=gain, gamma=gamma,
+        shape=small_side(shape) if shifted else None,
     )
 
 
@@ -162,7 +164,7 @@ def aligned_scan_image(
     pixel_width = width_bytes // image.BYTES_PER_PIXEL
     cut = image.line_bytes(chunks, lines, F.lit(pixel_width * image.BYTES_PER_PIXEL), chunk_bytes)
     pixels = stage(image.pixels_u16(cut, pixel_width), "pixels")
-    shape = stage(image.geometry(pixels), "shape")
+    shape = small_side(stage(image.geometry(pixels), "shape"))
     deltas = stage(alignment.auto_deltas(pixels, shape, max_delta), "deltas")
     one = deltas.limit(2).collect()
     if len(one) != 1:

@@ -57,11 +57,8 @@ def _open(path: str):
 def _list(path: str) -> list[str]:
     if "://" not in path or path.startswith("file://"):
         local = path.removeprefix("file://")
-        if os.path.isdir(local):
-            found = glob.glob(os.path.join(local, "*.dsl")) + glob.glob(os.path.join(local, "*.zip"))
-        else:
-            found = glob.glob(local)
-        return sorted(found)
+        found = glob.glob(os.path.join(local, "*") if os.path.isdir(local) else local)
+        return sorted(f for f in found if os.path.isfile(f))
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(path)
@@ -69,7 +66,7 @@ def _list(path: str) -> list[str]:
         return [path]
     prefix = path[: path.index("://") + 3]
     found = store.get_file_info(fs.FileSelector(inner, recursive=False))
-    return sorted(prefix + f.path for f in found if f.is_file and f.path.endswith((".dsl", ".zip")))
+    return sorted(prefix + f.path for f in found if f.is_file)
 
 
 def _capture_id(path: str) -> str:

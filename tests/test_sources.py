@@ -40,7 +40,7 @@ def write_archive(path, blocks, header=HEADER, skip=()):
 
 @pytest.fixture(scope="module")
 def archive(tmp_path_factory, wanted):
-    path = str(tmp_path_factory.mktemp("dsl") / "one.dsl")
+    path = str(tmp_path_factory.mktemp("archive") / "one.zip")
     write_archive(path, wanted.collect())
     return path
 
@@ -95,7 +95,7 @@ def test_one_table_filtered_in_several_ways(spark, archive):
 
 
 def test_missing_block_ends_the_channel(spark, tmp_path, wanted):
-    path = str(tmp_path / "gap.dsl")
+    path = str(tmp_path / "gap.zip")
     write_archive(path, wanted.collect(), skip=("L-1/1",))
     got = capture.read_capture(spark, path, blocks_per_partition=1).blocks
     assert rows(got.select("channel", "block_num")) == [(0, 0), (0, 1), (0, 2), (1, 0), (2, 0), (2, 1), (2, 2)]
@@ -113,11 +113,11 @@ def test_bad_headers(spark, tmp_path, wanted):
     }
     blocks = wanted.collect()
     for name, (header, message) in cases.items():
-        path = str(tmp_path / f"{name}.dsl")
+        path = str(tmp_path / f"{name}.zip")
         write_archive(path, blocks, header)
         with pytest.raises(Exception, match=message):
             capture.read_capture(spark, path).header.collect()
-    path = str(tmp_path / "noblock.dsl")
+    path = str(tmp_path / "noblock.zip")
     write_archive(path, blocks, skip=("L-0/0",))
     with pytest.raises(Exception, match="could not read first block"):
         capture.read_capture(spark, path).header.collect()

@@ -166,7 +166,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     plane = lambda p: F.floor((F.get("embedding", F.col("col") * 3 + p).cast("double") + 1) * 20000).cast("int")
     return (
         table(spark, sf_dir, "embeddings")
-        .select(F.lit("img0").alias("image_id"), F.col("vec_id").alias("row"), "embedding", _rows(0, 20).alias("col"))
+        .select(F.concat(F.lit("img"), F.col("vec_id") * 0).alias("image_id"), F.col("vec_id").alias("row"), "embedding", _rows(0, 20).alias("col"))
         .select("image_id", "row", F.col("col").cast("bigint").alias("col"), plane(0).alias("g"), plane(1).alias("b"), plane(2).alias("r"))
     )
 
