@@ -50,10 +50,33 @@ def timed(df: DataFrame) -> float:
     return time.time() - start
 
 
+def count_work(spark: SparkSession, work: dict, name: str, run) -> float:
+    """Seconds of ``run``; its tasks and shuffle megabytes go into ``work``."""
+    before = tasks_and_shuffle(spark)
+    seconds = run()
+    after = tasks_and_shuffle(spark)
+    work[name] = {"tasks": after[0] - before[0], "shuffle_mb": round((after[1] - before[1]) / 1e6, 1)}
+    return seconds
+
+
+def timed_query(spark: SparkSession, name: str) -> float:
+    start = time.time()
+    q.QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
+    return time.time() - start
+
+
+def tasks_and_shuffle(spark: SparkSession) -> tuple[int, int]:
+    """Tasks run and shuffle bytes written by this session so far."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    each = [executors.apply(i) for i in range(executors.size())]
+    return sum(e.completedTasks() for e in each), sum(e.totalShuffleWrite() for e in each)
+
+
 def main() -> None:
     spark = session()
     seconds: dict[str, float] = {}
     rates: dict[str, float] = {}
+    work: dict[str, dict[str, int]] = {}
     folder = tempfile.mkdtemp(prefix="spark-")
 
     def stored(name: str, df: DataFrame) -> DataFrame:
@@ -69,11 +92,14 @@ def main() -> None:
     samples = blocks.agg(F.sum("num_samples")).collect()[0][0]
     spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().collect()
 
-    t = seconds["decode_words_orders"] = timed(
-        spi.spi_words(lines["clk"], lines["cs"], lines["mosi"], bits_per_word=24)
+    t = seconds["decode_words_orders"] = count_work(
+        spark, work, "decode_words_orders",
+        lambda: timed(spi.spi_words(lines["clk"], lines["cs"], lines["mosi"], bits_per_word=24)),
     )
     rates["spi_words_per_s"], rates["clock_runs_per_s"] = frame_count / t, clock_rows / t
-    t = seconds["decode_words_blocks"] = timed(jobs.spi_decode(wave, cs=0, clk=1, mosi=2))
+    t = seconds["decode_words_blocks"] = count_work(
+        spark, work, "decode_words_blocks", lambda: timed(jobs.spi_decode(wave, cs=0, clk=1, mosi=2))
+    )
     rates["spi_words_per_s_from_blocks"], rates["spi_samples_per_s"] = frame_count / t, wave_samples / t
     t = seconds["edge_runs_blocks"] = timed(signal.edge_runs(blocks))
     rates["edge_run_samples_per_s"] = samples / t
@@ -84,9 +110,7 @@ def main() -> None:
     )
     rates["bus_samples_per_s"] = samples / t
     for name in REGISTERED:
-        start = time.time()
-        q.QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
-        seconds[name] = time.time() - start
+        seconds[name] = count_work(spark, work, name, lambda name=name: timed_query(spark, name))
     print(
         json.dumps(
             {
@@ -95,6 +119,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": {k: round(v, 3) for k, v in seconds.items()},
                 "rates": {k: round(v) for k, v in rates.items()},
+                "work": work,
                 "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
             }
         )

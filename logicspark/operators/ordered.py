@@ -109,27 +109,18 @@ def running_sum(
     order: str,
     sums: Mapping[str, Column],
     *,
-    span: tuple[Column, Column] | None = None,
     width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
-    """Add inclusive running sums in order; ``F.lit(1)`` gives a 1-based row number.
-
-    ``span`` gives the first and last time a key can have. Keys whose span lies in
-    one bucket carry nothing over, so only the others go through the carry step.
-    """
+    """Add inclusive running sums in order; ``F.lit(1)`` gives a 1-based row number."""
     d = df.withColumns(dict(sums)).withColumn(BUCKET, bucket_of(order, width))
     names = list(sums)
-    crossing = d
-    if span is not None:
-        first, last = (F.floor(t / F.lit(width)) for t in span)
-        crossing = d.filter(first != last)
-    summary = crossing.groupBy(*by, BUCKET).agg(*[F.sum(c).alias(c) for c in names])
+    summary = d.groupBy(*by, BUCKET).agg(*[F.sum(c).alias(c) for c in names])
     carry = bucket_carry(summary, by, total=names)
     w = W.partitionBy(*by, BUCKET).orderBy(F.col(order)).rowsBetween(W.unboundedPreceding, 0)
     local = d.withColumns({f"__at_{c}": F.sum(c).over(w) for c in names})
     keep = [c for c in df.columns if c not in names]
-    return local.join(carry, [*by, BUCKET], "inner" if span is None else "left").select(
-        *keep, *[(F.col(f"__at_{c}") + F.coalesce(F.col(_in(c)), F.lit(0))).alias(c) for c in names]
+    return local.join(carry, [*by, BUCKET]).select(
+        *keep, *[(F.col(f"__at_{c}") + F.col(_in(c))).alias(c) for c in names]
     )
 
 

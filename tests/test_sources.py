@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logicspark import SpiMode, StrobeMode
 from logicspark.operators import parallel, sessions, signal, spi
-from logicspark.plans import jobs
+from logicspark.plans import jobs, progress
 from logicspark.sources import capture, sinks, tables
 from tests.conftest import SF, rows
 from workload import fixtures as fx
@@ -230,3 +230,22 @@ def test_csv_sinks(spark, tmp_path):
         "file_num,filename,bytes,width,start_time_us,end_time_us,duration_us,start_pos,end_pos",
         "1,capture_0001.bin,3,0,1.000000,2.500000,1.500000,10,20",
     ]
+
+
+def test_line_record_sink(spark, tmp_path):
+    names = tables.LINE_RECORD_COLUMNS
+    schema = "capture_id string, file_num long, " + ", ".join(f"{n} long" for n in names)
+    data = [("c", 1, 9, 200, 10, 210, 9, 201, 10, 211), ("c", 1, 3, 100, 4, 110, 3, 101, 4, 111), ("c", 2, 0, 5, 0, 0, 0, 6, 0, 0)]
+    sinks.write_line_records(spark.createDataFrame(data, schema), str(tmp_path / "t"))
+    folder = tmp_path / "t" / "capture_id=c" / "file_num=1"
+    text = "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+    assert text.splitlines()[0] == ",".join(names)
+    assert [x for x in text.splitlines() if x[0].isdigit()] == ["3,100,4,110,3,101,4,111", "9,200,10,210,9,201,10,211"]
+
+
+def test_progress(spark, archive):
+    runs = signal.edge_runs(capture.read_capture(spark, archive).blocks)
+    watched, seen = progress.observe_progress(runs, "runs")
+    n = watched.count()
+    assert seen.get["rows"] == n
+    assert seen.get["first_ns"] == 0
