@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logicspark.llm import mixing, sharding
+from logicspark.llm import fingerprints, mixing, sharding
 from logicspark.llm.shared import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.curriculum(table(spark, sf_dir, "documents"))
     first = F.try_element_at("positions", F.lit(1)).alias("first_position")
@@ -60,6 +64,7 @@ from taken
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
 }
