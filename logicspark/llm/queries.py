@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logicspark.llm import fingerprints, mixing, sharding
+from logicspark.llm import fingerprints, mixing, near_copies, sharding
 from logicspark.llm.shared import table
 
 
@@ -25,6 +25,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 OP7 = r"""
 with sized as (
   select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as digest,
@@ -67,5 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
+    "op9_near_copies": op9_near_copies,
 }
 ORACLES: dict[str, str] = {"op7_mixing": OP7}
