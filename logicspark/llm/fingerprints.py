@@ -125,8 +125,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Texts move once, by id; the needed start of each text once more, at most a quarter of the next one's length."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    place = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
-    base = docs.select("doc_id", place.alias("place"), F.xxhash64(text).alias("key"), text.alias("text"))
+    base = docs.select(F.col("doc_id").alias("place"), F.xxhash64(text).alias("key"), text.alias("text"))
     order = successors(base.select("place", "key", F.expr("char_length(text) div 4").alias("need")).distinct())
     prints = fingerprint(base, "text", "print")
     wanted = order.select(
@@ -136,16 +135,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.col("key").alias("for_key"),
         "need",
     )
+
+    def same(other: DataFrame):
+        return prints["place"].eqNullSafe(other["place"]) & (prints["key"] == other["key"])
+
+    # Both joins read texts and fingerprints with equal columns by equal keys, so one shuffle serves both.
     starts = (
-        prints.join(wanted, ["place", "key"])
+        prints.join(wanted, same(wanted))
         .groupBy(F.col("for_place").alias("place"), F.col("for_key").alias("key"))
         .agg(
             F.first(F.expr("substring(text, 1, need)")).alias("start"),
             F.first("print").alias("next_print"),
         )
     )
-    joined = prints.join(starts, ["place", "key"]).select(
-        "doc_id",
+    joined = prints.join(starts, same(starts)).select(
+        prints["place"].alias("doc_id"),
         F.char_length("text").cast("bigint").alias("n_chars"),
         F.expr("concat(left(text, char_length(text) - char_length(text) div 4), start)").alias("edited"),
         "print",
