@@ -175,22 +175,43 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     return similarity if similarity >= least - 1e-12 else 0.0
 
 
-def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts to pairs of contents with their similarity; only those at SIMILARITY or more."""
-    powers = Powers()
+def most_matches(a: np.ndarray, b: np.ndarray) -> int:
+    """Shingles the two have in common in any order, counted with repeats: no alignment matches more."""
+    x, n = np.unique(a, return_counts=True)
+    y, m = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
 
-    def sequences(column: pa.Array) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for _, texts in pieces(column):
+def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to their shingles in order, as packed 32-bit hashes."""
+    powers = Powers()
+    for batch in batches:
+        for begin, texts in pieces(batch.column("text")):
             doc, value = shingles(words(texts, powers), powers)
-            out += np.split(value, np.searchsorted(doc, np.arange(1, len(texts))))
-        return out
+            packed = (value >> np.uint64(32)).astype(np.uint32)
+            parts = np.split(packed, np.searchsorted(doc, np.arange(1, len(texts))))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "content": batch.column("content").slice(begin, len(texts)),
+                    "ordered": pa.array([p.tobytes() for p in parts], pa.binary()),
+                }
+            )
 
+
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of shingle sequences to pairs of contents; only those at SIMILARITY or more."""
     for batch in batches:
-        left, right = sequences(batch.column("text_a")), sequences(batch.column("text_b"))
-        found = pa.array([aligned(x, y) for x, y in zip(left, right, strict=True)], pa.float64())
-        rows = pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "similarity": found})
-        yield rows.filter(pc.greater(found, 0.0))
+        sides = [
+            [np.frombuffer(x, dtype=np.uint32) for x in batch.column(c).to_pylist()] for c in ("ordered_a", "ordered_b")
+        ]
+        found = []
+        for x, y in zip(*sides, strict=True):
+            most = most_matches(x, y)
+            could = most >= (SIMILARITY - 1e-9) * (len(x) + len(y) - most)
+            found.append(could and aligned(x, y) > 0)
+        rows = pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")})
+        yield rows.filter(pa.array(found, pa.bool_()))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -201,25 +222,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def verified(pairs: DataFrame, contents: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts align. One text of each content is fetched, by id and hash of the text."""
-
-    def side(s: str) -> DataFrame:
-        return contents.select(
-            F.col("content").alias(s), F.col("doc_id").alias(f"id_{s}"), F.col("text_key").alias(f"key_{s}")
-        )
-
-    located = cut(pairs.join(side("a"), "a").join(side("b"), "b"))
-
-    def with_text(rows: DataFrame, s: str) -> DataFrame:
-        own = texts.select(
-            F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("text").alias(f"text_{s}")
-        )
-        same = rows[f"id_{s}"].eqNullSafe(own["_id"]) & (rows[f"key_{s}"] == own["_key"])
-        return rows.join(own, same).drop("_id", "_key", f"id_{s}", f"key_{s}")
-
-    both = with_text(with_text(located, "a"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary, similarity double")
+def verified(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sequences align. Both sides of each join are written tables, so that
+    Spark may split a content with very many pairs."""
+    rows = cut(pairs)
+    for s in ("a", "b"):
+        own = ordered.select(F.col("content").alias(s), F.col("ordered").alias(f"ordered_{s}"))
+        rows = rows.join(own, s)
+    return rows.select("a", "b", "ordered_a", "ordered_b").mapInArrow(compare, "a binary, b binary")
 
 
 def apart(s: str, other: str) -> str:
@@ -232,6 +242,23 @@ def apart(s: str, other: str) -> str:
     )
 
 
+def with_labels(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    return rows.join(grouped, "content", "left").withColumn("label", F.coalesce("label", "content"))
+
+
+def in_several(members: DataFrame) -> DataFrame:
+    """Rows of buckets with several groups, and the largest group of the bucket."""
+    largest = (
+        members.groupBy("key", "label")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key")
+        .agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
+        .where("labels > 1")
+        .select("key", F.col("most.label").alias("largest"))
+    )
+    return members.join(largest, "key")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """Near-copy groups of ``docs`` (doc_id, text; further columns are ignored), one row per row.
 
@@ -242,14 +269,13 @@ def groups(docs: DataFrame) -> DataFrame:
     in all its rows. No rows give no rows.
 
     1. Contents: texts of equal words become one. 2. Buckets of contents with an equal key; in each, all are compared
-    with the one of the smallest id. 3. Links so found make groups; in buckets that still hold several groups, all
-    pairs across groups are compared, except those that length or sketch set apart. So a bucket of one group costs one
-    comparison for each member, and no link between different texts is left out."""
+    with the one of the smallest id, then, where groups are still apart, with one picked at random for each bucket.
+    3. In buckets that still hold several groups, all pairs across groups are compared, except those that length or
+    sketch set apart. So a bucket of one group costs one comparison for each member, and no link between different
+    texts is left out."""
     texts = keyed(docs)
     signed = cut(texts.mapInArrow(sign, SIGNED))
-    rows, apart_rows = signed.count(), signed.select("doc_id", "text_key").distinct().count()
-    if rows != apart_rows:  # an equal row would multiply the pairs below
-        texts = texts.dropDuplicates(["doc_id", "text_key"])
+    repeated_rows = signed.count() != signed.select("doc_id", "text_key").distinct().count()
     same_for_all = ("shingles", "bits1", "bits2", "keys")
     contents = cut(
         signed.groupBy("content")
@@ -259,58 +285,64 @@ def groups(docs: DataFrame) -> DataFrame:
         )
         .select("content", "first.last", "first.doc_id", "first.text_key", *same_for_all)
     )
-    bucket = Window.partitionBy("key")
-    entry = F.struct("last", "doc_id", "content", "shingles", "bits1", "bits2")
-    entries = contents.select(
-        "content", "last", "doc_id", "shingles", "bits1", "bits2", F.explode(F.array_distinct("keys")).alias("key")
-    )
-    shared = entries.select(
-        "*",
-        F.first(entry).over(bucket.orderBy("last", "doc_id", "content")).alias("head"),
-        F.lead(F.lit(1)).over(bucket.orderBy("last", "doc_id", "content")).alias("more"),
-    ).where("more is not null or head.content <> content")
+    by_id = Window.partitionBy("key").orderBy("last", "doc_id", "content")
+    sketch = ("content", "shingles", "bits1", "bits2")
     shared = cut(
-        shared.select(
+        contents.select(*sketch, "last", "doc_id", F.explode(F.array_distinct("keys")).alias("key"))
+        .select(
             "key",
-            "content",
-            "shingles",
-            "bits1",
-            "bits2",
+            *sketch,
+            F.first(F.struct(*sketch)).over(by_id).alias("head"),
+            F.lead(F.lit(1)).over(by_id).alias("more"),
+        )
+        .where("more is not null or head.content <> content")
+        .select(
+            "key",
+            *sketch,
             F.expr("head.content").alias("head"),
             F.expr(f"head.content <> content and not ({apart('head.', '')})").alias("near_head"),
         )
     )
-    stars = shared.where("near_head").select(F.col("head").alias("a"), F.col("content").alias("b")).distinct()
-    links = cut(verified(stars, contents, texts).select("a", "b").distinct())
+    in_buckets = shared.select("content").distinct()
+    located = contents.join(in_buckets, "content", "left_semi").select(
+        "content", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")
+    )
+    fetched = texts.join(located, texts["doc_id"].eqNullSafe(located["_id"]) & (texts["text_key"] == located["_key"]))
+    ordered = fetched.select("content", "text").mapInArrow(sequence, "content binary, ordered binary")
+    if repeated_rows:  # an equal row would multiply the pairs
+        ordered = ordered.dropDuplicates(["content"])
+    ordered = cut(ordered)
+
+    first = shared.where("near_head").select(F.col("head").alias("a"), F.col("content").alias("b")).distinct()
+    links = cut(verified(first, ordered))
 
     grouped = connected(links).withColumnRenamed("node", "content")
-    members = cut(
-        shared.drop("head", "near_head")
-        .join(grouped, "content", "left")
-        .withColumn("label", F.coalesce("label", "content"))
+    members = cut(with_labels(shared.select("key", *sketch), grouped))
+    picked = Window.partitionBy("key").orderBy(F.xxhash64("key", "content"))
+    across = F.expr(f"head.label <> label and not ({apart('head.', '')})")
+    second = (
+        in_several(members)
+        .select("*", F.first(F.struct(*sketch, "label")).over(picked).alias("head"))
+        .where(across)
+        .select(F.expr("least(head.content, content)").alias("a"), F.expr("greatest(head.content, content)").alias("b"))
+        .distinct()
     )
+    links = cut(links.union(verified(second, ordered)))
+
+    grouped = connected(links).withColumnRenamed("node", "content")
+    mixed = cut(in_several(with_labels(members.drop("label"), grouped)))
     # All pairs across groups have one end outside the bucket's largest group.
-    largest = (
-        members.groupBy("key", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("key")
-        .agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
-        .where("labels > 1")
-        .select("key", F.col("most.label").alias("largest"))
-    )
-    mixed = cut(members.join(largest, "key"))
-    columns = ("content", "shingles", "bits1", "bits2", "label")
+    columns = (*sketch, "label")
     left = mixed.where("label <> largest").select("key", *[F.col(c).alias(f"l_{c}") for c in columns])
     right = mixed.select(F.col("key").alias("r_key"), "largest", *[F.col(c).alias(f"r_{c}") for c in columns])
-    across = left.join(
+    rest = left.join(
         right,
         F.expr(
             "key = r_key and l_label <> r_label and (r_label = largest or l_content < r_content)"
             f" and not ({apart('l_', 'r_')})"
         ),
-    )
-    rest = across.select(F.col("l_content").alias("a"), F.col("r_content").alias("b")).distinct()
-    links = links.union(verified(rest, contents, texts).select("a", "b").distinct())
+    ).select(F.expr("least(l_content, r_content)").alias("a"), F.expr("greatest(l_content, r_content)").alias("b"))
+    links = links.union(verified(rest.distinct(), ordered))
 
     final = connected(links).withColumnRenamed("node", "content")
     keyed_rows = signed.select("doc_id", "text_key", "content")
