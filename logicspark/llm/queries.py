@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logicspark.llm import fingerprints, mixing, near_copies, sharding
+from logicspark.llm import fingerprints, mixing, near_copies, passages, sharding
 from logicspark.llm.shared import table
 
 
@@ -15,6 +15,17 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.without_repeats(docs).select(
+        "doc_id",
+        F.char_length("text").cast("bigint").alias("kept_chars"),
+        F.size("removed").alias("n_removed"),
+        "removed",
+        "text",
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.curriculum(table(spark, sf_dir, "documents"))
     first = F.try_element_at("positions", F.lit(1)).alias("first_position")
@@ -69,6 +80,7 @@ from taken
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_repeats": op2_repeats,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_near_copies": op9_near_copies,
