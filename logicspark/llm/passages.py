@@ -1,7 +1,7 @@
 """Substring dedup by hashing of normalised units: of every passage that repeats, the earliest occurrence stays.
 
-A unit is a stretch of words inside a line that ends with a sentence mark, with the line, or after a word whose hash is
-the least among ``REACH`` words on either side (the first of equal ones). All three depend on the words near that place
+A unit is a stretch of words inside a line that ends with a sentence mark before white space, with the line, after a
+word whose hash is the least among ``REACH`` words on either side, or after REACH equal words. All three depend on the words near that place
 alone, so a passage is cut into the same units wherever it stands, also inside longer lines. Letter case, punctuation and white space do not count. Units below
 ``UNIT_WORDS`` words have no digest of their own: they go with repeated units on both sides. Of units whose digests are
 equal all over the table the first by (doc_id, text, place) stays; others are removed where together, without a gap,
@@ -24,9 +24,11 @@ from logicspark.llm.words import Powers, mix, pieces, segment_hashes, words
 #: A power of two.
 REACH = 8
 UNIT_WORDS = 4
-PASSAGE_WORDS = 10
+PASSAGE_WORDS = 8
 SENTENCE_END = np.zeros(256, dtype=bool)
 SENTENCE_END[[ord(c) for c in ".!?"]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[ord(c) for c in " \t\n\r"]] = True
 C = np.uint64(0xA24BAED4963EE407)
 
 
@@ -56,6 +58,14 @@ def anchors(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return (values < least[place - REACH]) & (values <= least[place + 1])
 
 
+def steps(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Every REACH-th word of a stretch of one repeated word, which has no least word."""
+    fresh = np.ones(len(values), dtype=bool)
+    fresh[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
+    place = np.arange(len(values))
+    return (place - np.maximum.accumulate(np.where(fresh, place, 0))) % REACH == REACH - 1
+
+
 def units(texts: pa.Array, powers: Powers) -> Units:
     found = words(texts, powers)
     n = len(found.hash)
@@ -67,7 +77,10 @@ def units(texts: pa.Array, powers: Powers) -> Units:
     np.cumsum(found.data == ord("\n"), out=lines[1:])
     last = np.ones(n, dtype=bool)
     last[:-1] = (found.doc[1:] != found.doc[:-1]) | (lines[start[1:]] != lines[end[:-1]])
-    last |= SENTENCE_END[found.data[np.minimum(end, len(found.data) - 1)]] | anchors(found.hash, found.doc)
+    after = np.append(found.data, np.full(2, ord(" "), dtype=np.uint8))
+    same_again = np.append(found.hash[1:] == found.hash[:-1], False)
+    last |= SENTENCE_END[after[end]] & SPACE[after[end + 1]] & ~same_again
+    last |= anchors(found.hash, found.doc) | steps(found.hash, found.doc)
     to = np.flatnonzero(last) + 1
     begin = np.concatenate([[0], to[:-1]])
     doc = found.doc[begin]
