@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logicspark.llm import fingerprints, mixing, near_copies, passages, sharding
+from logicspark.llm import bpe, fingerprints, mixing, near_copies, passages, sharding
 from logicspark.llm.shared import table
 
 
@@ -26,6 +27,11 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.curriculum(table(spark, sf_dir, "documents"))
     first = F.try_element_at("positions", F.lit(1)).alias("first_position")
@@ -81,6 +87,7 @@ from taken
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_repeats": op2_repeats,
+    "op5_bpe": op5_bpe,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_near_copies": op9_near_copies,
