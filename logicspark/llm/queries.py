@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logicspark.llm import bpe, fingerprints, mixing, near_copies, passages, sharding
+from logicspark.llm import bpe, fingerprints, mixing, near_copies, passages, quality, sharding
 from logicspark.llm.shared import table
 
 
@@ -27,6 +27,17 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
@@ -87,6 +98,7 @@ from taken
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_repeats": op2_repeats,
+    "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
