@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logicspark.llm import bpe, fingerprints, mixing, near_copies, passages, quality, sharding
+from logicspark.llm import bpe, fingerprints, language, mixing, near_copies, passages, quality, sharding
 from logicspark.llm.shared import table
 
 
@@ -43,6 +43,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.predicted(docs, language.fit(docs)).select(
+        "doc_id", quality.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.curriculum(table(spark, sf_dir, "documents"))
     first = F.try_element_at("positions", F.lit(1)).alias("first_position")
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repeats": op2_repeats,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
+    "op6_language": op6_language,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_near_copies": op9_near_copies,
