@@ -61,74 +61,84 @@ class Network:
         )
 
     def run(self, data: np.ndarray, side: str, memory: list | None = None) -> Iterator[tuple[int, np.ndarray]]:
-        """States of one direction, step by step, over ``data`` (length, segments); ``memory`` gets what training
-        needs to go back."""
-        table, state_weights, n = self.weights["bytes_" + side], self.weights["state_" + side], HIDDEN
-        state = np.zeros((data.shape[1], n), dtype=np.float32)
+        """States (HIDDEN, segments) of one direction, step by step, over ``data`` (length, segments); ``memory`` gets
+        what training needs to go back. Segments lie along the last axis, so each operation runs over long rows."""
+        n = HIDDEN
+        table = np.ascontiguousarray(self.weights["bytes_" + side].T)
+        state_weights = np.ascontiguousarray(self.weights["state_" + side].T)
+        state = np.zeros((n, data.shape[1]), dtype=np.float32)
         order = range(len(data)) if side == "f" else range(len(data) - 1, -1, -1)
         for t in order:
-            given, own = table[data[t]], state @ state_weights
-            gate_in = given[:, : 2 * n] + own[:, : 2 * n]
-            gates = squash(gate_in) * 0.5 + 0.5
-            keep, reset = gates[:, :n], gates[:, n:]
-            new_in = given[:, 2 * n :] + reset * own[:, 2 * n :]
+            given, own = np.take(table, data[t], axis=1), state_weights @ state
+            gate_in = given[: 2 * n] + own[: 2 * n]
+            gates = squash(gate_in)
+            gates *= 0.5
+            gates += 0.5
+            keep, reset = gates[:n], gates[n:]
+            new_in = reset * own[2 * n :]
+            new_in += given[2 * n :]
             new = squash(new_in)
-            following = new + keep * (state - new)
+            following = state - new
+            following *= keep
+            following += new
             if memory is not None:
-                memory.append((t, state, gate_in, gates, own[:, 2 * n :], new_in, new))
+                memory.append((t, state, gate_in, gates, own[2 * n :], new_in, new))
             state = following
             yield t, state
 
     def probabilities(self, data: np.ndarray) -> np.ndarray:
-        """(length, segments, languages) of ``data`` (length, segments)."""
-        out, n = self.weights["out"], HIDDEN
-        logits = np.empty((*data.shape, len(self.languages)), dtype=np.float32)
+        """(length, languages, segments) of ``data`` (length, segments)."""
+        n, bias = HIDDEN, self.weights["bias"][:, None]
+        front, back = (np.ascontiguousarray(part.T) for part in np.split(self.weights["out"], [n]))
+        logits = np.empty((len(data), len(self.languages), data.shape[1]), dtype=np.float32)
         for t, state in self.run(data, "f"):
-            logits[t] = state @ out[:n]
+            np.matmul(front, state, out=logits[t])
+        # States lie between -1 and 1, which bounds every logit.
+        most = float((np.abs(front).sum(axis=1) + np.abs(back).sum(axis=1) + np.abs(bias[:, 0])).max())
         for t, state in self.run(data, "b"):
-            logits[t] += state @ out[n:]
-            logits[t] += self.weights["bias"]
-        logits -= logits.max(axis=2, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=2, keepdims=True)
+            here = logits[t]
+            here += back @ state
+            here += bias
+            if most > 80:
+                here -= here.max(axis=0)
+            np.exp(here, out=here)
+            here /= here.sum(axis=0)
         return logits
 
     def gradients(self, data: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross entropy over all positions that hold a byte, by backpropagation through time."""
         n, out = HIDDEN, self.weights["out"]
         length, width = data.shape
-        states = {s: np.empty((length, width, n), dtype=np.float32) for s in "fb"}
+        states = np.empty((length, 2 * n, width), dtype=np.float32)
         memories: dict[str, list] = {"f": [], "b": []}
-        for s in "fb":
+        for s, part in (("f", slice(0, n)), ("b", slice(n, 2 * n))):
             for t, state in self.run(data, s, memories[s]):
-                states[s][t] = state
-        both = np.concatenate([states["f"], states["b"]], axis=2)
-        p = both @ out + self.weights["bias"]
-        p = np.exp(p - p.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        p[:, np.arange(width), label] -= 1
-        p *= (data > 0)[:, :, None] / max(1, int((data > 0).sum()))
-        found = {"out": np.einsum("tbi,tbj->ij", both, p, optimize=True), "bias": p.sum(axis=(0, 1))}
-        towards = p @ out.T
+                states[t, part] = state
+        p = out.T @ states + self.weights["bias"][:, None]
+        p = np.exp(p - p.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[:, label, np.arange(width)] -= 1
+        p *= (data > 0)[:, None, :] / max(1, int((data > 0).sum()))
+        found = {"out": np.einsum("tib,tjb->ij", states, p, optimize=True), "bias": p.sum(axis=(0, 2))}
+        towards = out @ p
         for s, part in (("f", slice(0, n)), ("b", slice(n, 2 * n))):
-            weights, later = self.weights["state_" + s], np.zeros((width, n), dtype=np.float32)
-            given = np.empty((length, width, 3 * n), dtype=np.float32)
-            own, before = np.empty_like(given), np.empty((length, width, n), dtype=np.float32)
+            weights, later = self.weights["state_" + s], np.zeros((n, width), dtype=np.float32)
+            given = np.empty((3 * n, length, width), dtype=np.float32)
+            found["state_" + s] = np.zeros_like(weights)
             for t, state, gate_in, gates, own_new, new_in, new in reversed(memories[s]):
-                d = towards[t][:, part] + later
-                keep, reset = gates[:, :n], gates[:, n:]
+                d = towards[t, part] + later
+                keep, reset = gates[:n], gates[n:]
                 d_new = d * (1 - keep) * slope(new_in)
-                d_gates = np.concatenate([d * (state - new), d_new * own_new], axis=1) * (0.5 * slope(gate_in))
-                given[t] = np.concatenate([d_gates, d_new], axis=1)
-                own[t] = np.concatenate([d_gates, d_new * reset], axis=1)
-                before[t] = state
-                later = d * keep + own[t] @ weights.T
-            found["state_" + s] = before.reshape(-1, n).T @ own.reshape(-1, 3 * n)
+                d_gates = np.concatenate([d * (state - new), d_new * own_new]) * (0.5 * slope(gate_in))
+                given[: 2 * n, t], given[2 * n :, t] = d_gates, d_new
+                own = np.concatenate([d_gates, d_new * reset])
+                found["state_" + s] += state @ own.T
+                later = d * keep + weights @ own
             flat = data.ravel()
             order = np.argsort(flat, kind="stable")
             values, starts = np.unique(flat[order], return_index=True)
             table = np.zeros((256, 3 * n), dtype=np.float32)
-            table[values] = np.add.reduceat(given.reshape(-1, 3 * n)[order], starts, axis=0)
+            table[values] = np.add.reduceat(given.reshape(3 * n, -1)[:, order], starts, axis=1).T
             found["bytes_" + s] = table
         return found
 
@@ -161,7 +171,7 @@ class Network:
             part = slice(at, at + WIDTH)
             inside = steps < filled[None, part]
             segment = np.where(inside, padded[start[None, part] + steps], 0)
-            sums[part] = np.einsum("tbl,tb->bl", self.probabilities(segment), inside.astype(np.float32), optimize=True)
+            sums[part] = (self.probabilities(segment) * inside[:, None, :]).sum(axis=0, dtype=np.float64).T
         total = np.zeros((len(sizes), len(self.languages)))
         np.add.at(total, owner, sums)
         return total / np.maximum(1, sizes)[:, None]
