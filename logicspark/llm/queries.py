@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logicspark.llm import bpe, fingerprints, language, mixing, near_copies, passages, quality, sharding
+from logicspark.llm import bpe, embeddings, fingerprints, language, mixing, near_copies, passages, quality, sharding
 from logicspark.llm.shared import table
 
 
@@ -27,6 +27,10 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -105,6 +109,7 @@ from taken
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_repeats": op2_repeats,
+    "op3_embeddings": op3_embeddings,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_language": op6_language,
