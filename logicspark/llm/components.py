@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,27 @@ from logicspark.llm.shared import cut
 MOST_ROUNDS = 200
 
 
+def forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links (query, member) or (member, member) that join what the links of a block join.
+
+    Least labels spread over rows and columns until they settle; each row and column links to its label's member."""
+    rows, columns = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    part = linked[np.ix_(rows, columns)]
+    label = np.arange(len(columns))
+    none = len(columns)
+    while True:
+        by_row = np.where(part, label[None, :], none).min(axis=1, initial=none)
+        following = np.minimum(label, np.where(part, by_row[:, None], none).min(axis=0, initial=none))
+        if np.array_equal(following, label):
+            break
+        label = following
+    for k, row in enumerate(rows):
+        yield int(row), int(columns[by_row[k]])
+    for k in range(len(columns)):
+        if label[k] != k:
+            yield -1 - int(columns[k]), int(columns[label[k]])
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): label is the smallest node reachable.
 

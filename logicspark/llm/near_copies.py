@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logicspark.llm.components import connected
+from logicspark.llm.components import connected, forest
 from logicspark.llm.shared import cut
 from logicspark.llm.words import Powers, Words, mix, pieces, segment_hashes, words
 
@@ -34,8 +34,11 @@ EVERY_PLACE = 48
 BITS = 128
 #: Differing bits of the two sketches at which a pair in one bucket is set aside. At similarity 0.8 a bit differs with
 #: chance 0.1: 12.8 bits with deviation 3.4. Short texts repeat shingles over marks and so get more room.
-BITS_APART = 34
-BITS_APART_SHORT = 56
+#: The bounds hold up to 24, up to 96 and from 97 shingles.
+BITS_APART = (64, 44, 30)
+#: Contents of a bucket, or of a candidate group, that a task compares in one go; more are split into blocks.
+BUCKET_BLOCK = 1_024
+GROUP_BLOCK = 256
 C = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -175,12 +178,13 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     return similarity if similarity >= least - 1e-12 else 0.0
 
 
-def most_matches(a: np.ndarray, b: np.ndarray) -> int:
-    """Shingles the two have in common in any order, counted with repeats: no alignment matches more."""
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    return int(np.minimum(n[i], m[j]).sum())
+def most_matches(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Shingles the two have in common in any order, counted with repeats: no alignment matches more. Both are given
+    as distinct values and their counts."""
+    place = np.searchsorted(a[0], b[0])
+    place[place == len(a[0])] = 0
+    same = a[0][place] == b[0]
+    return int(np.minimum(a[1][place[same]], b[1][same]).sum())
 
 
 def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,21 +203,123 @@ def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+class Sequences:
+    """Shingle sequences and their distinct values, unpacked once."""
+
+    def __init__(self, packed: list[bytes]) -> None:
+        self.ordered = [np.frombuffer(x, dtype=np.uint32) for x in packed]
+        self.counted = [np.unique(x, return_counts=True) for x in self.ordered]
+
+    def near(self, i: int, j: int) -> bool:
+        most = most_matches(self.counted[i], self.counted[j])
+        total = len(self.ordered[i]) + len(self.ordered[j])
+        return most >= (SIMILARITY - 1e-9) * (total - most) and aligned(self.ordered[i], self.ordered[j]) > 0
+
+
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of shingle sequences to pairs of contents; only those at SIMILARITY or more."""
     for batch in batches:
-        sides = [
-            [np.frombuffer(x, dtype=np.uint32) for x in batch.column(c).to_pylist()] for c in ("ordered_a", "ordered_b")
-        ]
-        found = []
-        for x, y in zip(*sides, strict=True):
-            most = most_matches(x, y)
-            could = most >= (SIMILARITY - 1e-9) * (len(x) + len(y) - most)
-            found.append(could and aligned(x, y) > 0)
+        size = len(batch)
+        sides = Sequences(batch.column("ordered_a").to_pylist() + batch.column("ordered_b").to_pylist())
+        found = [sides.near(k, size + k) for k in range(size)]
         rows = pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b")})
         yield rows.filter(pa.array(found, pa.bool_()))
 
 
+def close(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Matrix of pairs that length and sketch do not set apart."""
+    n, m = rows["shingles"][left][:, None], rows["shingles"][right][None, :]
+    differing = sum(
+        np.bitwise_count((rows[b][left][:, None] ^ rows[b][right][None, :]).view(np.uint64)).astype(np.int64)
+        for b in ("bits1", "bits2")
+    )
+    least = np.minimum(n, m)
+    room = np.where(least <= 24, BITS_APART[0], np.where(least <= 96, BITS_APART[1], BITS_APART[2]))
+    return (differing <= room) & (least >= SIMILARITY * np.maximum(n, m))
+
+
+def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Whole cells of sorted batches (columns cell, low, high, block): rows, and which are of either block."""
+    held: list[pa.RecordBatch] = []
+    at: tuple | None = None
+
+    def whole() -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        rows = pa.Table.from_batches(held)
+        block = np.asarray(rows.column("block"))
+        return rows, np.flatnonzero(block == at[1]), np.flatnonzero(block == at[2])
+
+    for batch in batches:
+        names = list(zip(*(batch.column(c).to_pylist() for c in ("cell", "low", "high")), strict=True))
+        begin = 0
+        for k in range(1, len(names) + 1):
+            if k == len(names) or names[k] != names[begin]:
+                if names[begin] != at:
+                    if held:
+                        yield whole()
+                    held, at = [], names[begin]
+                held.append(batch.slice(begin, k - begin))
+                begin = k
+    if held:
+        yield whole()
+
+
+def sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the close pairs of each cell of a bucket."""
+    a: list[bytes] = []
+    b: list[bytes] = []
+    for table, left, right in cells(batches):
+        rows = {c: np.asarray(table.column(c)) for c in ("shingles", "bits1", "bits2")}
+        names = table.column("content").to_pylist()
+        near = close(rows, left, right)
+        if left is right or np.array_equal(left, right):
+            np.fill_diagonal(near, False)
+        if near.any():
+            for i, j in forest(near):
+                a.append(names[left[i] if i >= 0 else right[-1 - i]])
+                b.append(names[right[j]])
+        if len(a) >= 10_000:
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+            a, b = [], []
+    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each cell of a candidate group that join contents not yet joined, the closest sketches first. Contents
+    of one label are joined already."""
+    for table, left, right in cells(batches):
+        rows = {c: np.asarray(table.column(c)) for c in ("shingles", "bits1", "bits2")}
+        names, labels = table.column("content").to_pylist(), table.column("label").to_pylist()
+        root = list(range(len(names)))
+        first: dict[bytes, int] = {}
+        for k, label in enumerate(labels):
+            root[k] = first.setdefault(label, k)
+
+        def find(k: int, root: list[int] = root) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        i, j = np.nonzero(close(rows, left, right))
+        i, j = left[i], right[j]
+        if np.array_equal(left, right):
+            i, j = i[i < j], j[i < j]
+        differing = sum(np.bitwise_count((rows[c][i] ^ rows[c][j]).view(np.uint64)) for c in ("bits1", "bits2"))
+        sides: Sequences | None = None
+        a, b = [], []
+        for k in np.argsort(differing, kind="stable"):
+            p, q = int(i[k]), int(j[k])
+            x, y = find(p), find(q)
+            if x == y:
+                continue
+            sides = sides or Sequences(table.column("ordered").to_pylist())
+            if sides.near(p, q):
+                root[max(x, y)] = min(x, y)
+                a.append(names[p])
+                b.append(names[q])
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -233,30 +339,31 @@ def verified(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
 
 
 def apart(s: str, other: str) -> str:
-    """SQL: the two bucket rows cannot be near copies, by length or by sketch."""
-    short = f"least({s}shingles, {other}shingles) <= {2 * EVERY_PLACE}"
+    """SQL of what ``close`` denies: length or sketch sets two rows apart."""
+    least = f"least({s}shingles, {other}shingles)"
     differing = f"bit_count({s}bits1 ^ {other}bits1) + bit_count({s}bits2 ^ {other}bits2)"
-    return (
-        f"least({s}shingles, {other}shingles) < {SIMILARITY} * greatest({s}shingles, {other}shingles)"
-        f" or {differing} > if({short}, {BITS_APART_SHORT}, {BITS_APART})"
-    )
+    room = f"case when {least} <= 24 then {BITS_APART[0]} when {least} <= 96 then {BITS_APART[1]} else {BITS_APART[2]} end"
+    return f"{least} < {SIMILARITY} * greatest({s}shingles, {other}shingles) or {differing} > {room}"
 
 
 def with_labels(rows: DataFrame, grouped: DataFrame) -> DataFrame:
     return rows.join(grouped, "content", "left").withColumn("label", F.coalesce("label", "content"))
 
 
-def in_several(members: DataFrame) -> DataFrame:
-    """Rows of buckets with several groups, and the largest group of the bucket."""
-    largest = (
-        members.groupBy("key", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("key")
-        .agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
-        .where("labels > 1")
-        .select("key", F.col("most.label").alias("largest"))
+def in_cells(members: DataFrame, cell: str, block: int) -> DataFrame:
+    """Rows of the cells that hold several labels, dealt so that each pair of a cell's blocks is one sorted stretch."""
+    sizes = (
+        members.groupBy(cell)
+        .agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+        .where("least <> most")
+        .select(cell, F.ceil(F.col("n") / block).cast("int").alias("many"))
     )
-    return members.join(largest, "key")
+    dealt = members.join(cut(sizes), cell).withColumnRenamed(cell, "cell")
+    dealt = dealt.withColumn("block", F.expr("cast(pmod(xxhash64(content, 7), many) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, many - 1)")))
+    dealt = dealt.select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    keys = ("cell", "low", "high")
+    return dealt.drop("many", "other").repartition(*keys).sortWithinPartitions(*keys, "block", "content")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -268,11 +375,11 @@ def groups(docs: DataFrame) -> DataFrame:
     their bytes. Rows that repeat an id are rows of their own. A group without any id has class_id null and kept true
     in all its rows. No rows give no rows.
 
-    1. Contents: texts of equal words become one. 2. Buckets of contents with an equal key; in each, all are compared
-    with the one of the smallest id, then, where groups are still apart, with one picked at random for each bucket.
-    3. In buckets that still hold several groups, all pairs across groups are compared, except those that length or
-    sketch set apart. So a bucket of one group costs one comparison for each member, and no link between different
-    texts is left out."""
+    1. Contents: texts of equal words become one. 2. Buckets of contents with an equal key: each is compared with the
+    bucket's content of the smallest id, and what links makes groups. 3. In buckets that still hold several groups,
+    sketches and lengths tell which contents may be near; these are joined to candidate groups. 4. In a candidate group
+    all pairs that may be near and are not joined yet are compared, block by block, so no link between different texts
+    is left out. Tasks return spanning forests of what they find, never all pairs."""
     texts = keyed(docs)
     signed = cut(texts.mapInArrow(sign, SIGNED))
     repeated_rows = signed.count() != signed.select("doc_id", "text_key").distinct().count()
@@ -318,31 +425,16 @@ def groups(docs: DataFrame) -> DataFrame:
 
     grouped = connected(links).withColumnRenamed("node", "content")
     members = cut(with_labels(shared.select("key", *sketch), grouped))
-    picked = Window.partitionBy("key").orderBy(F.xxhash64("key", "content"))
-    across = F.expr(f"head.label <> label and not ({apart('head.', '')})")
-    second = (
-        in_several(members)
-        .select("*", F.first(F.struct(*sketch, "label")).over(picked).alias("head"))
-        .where(across)
-        .select(F.expr("least(head.content, content)").alias("a"), F.expr("greatest(head.content, content)").alias("b"))
-        .distinct()
+    edge = "a binary, b binary"
+    may_be = in_cells(members, "key", BUCKET_BLOCK).mapInArrow(sketch_links, edge)
+    candidates = connected(may_be.union(links)).select(F.col("node").alias("content"), F.col("label").alias("group"))
+    grown = (
+        members.select(*sketch, "label")
+        .dropDuplicates(["content"])
+        .join(candidates, "content")
+        .join(ordered, "content")
     )
-    links = cut(links.union(verified(second, ordered)))
-
-    grouped = connected(links).withColumnRenamed("node", "content")
-    mixed = cut(in_several(with_labels(members.drop("label"), grouped)))
-    # All pairs across groups have one end outside the bucket's largest group.
-    columns = (*sketch, "label")
-    left = mixed.where("label <> largest").select("key", *[F.col(c).alias(f"l_{c}") for c in columns])
-    right = mixed.select(F.col("key").alias("r_key"), "largest", *[F.col(c).alias(f"r_{c}") for c in columns])
-    rest = left.join(
-        right,
-        F.expr(
-            "key = r_key and l_label <> r_label and (r_label = largest or l_content < r_content)"
-            f" and not ({apart('l_', 'r_')})"
-        ),
-    ).select(F.expr("least(l_content, r_content)").alias("a"), F.expr("greatest(l_content, r_content)").alias("b"))
-    links = links.union(verified(rest.distinct(), ordered))
+    links = links.union(in_cells(grown, "group", GROUP_BLOCK).mapInArrow(group_links, edge))
 
     final = connected(links).withColumnRenamed("node", "content")
     keyed_rows = signed.select("doc_id", "text_key", "content")
