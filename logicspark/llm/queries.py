@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logicspark.llm import bpe, embeddings, fingerprints, language, mixing, near_copies, passages, quality, sharding
+from logicspark.llm import bpe, chat, embeddings, fingerprints, language, mixing, near_copies, passages, quality, sharding
 from logicspark.llm.shared import table
 
 
@@ -68,6 +68,17 @@ def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.read_back(chat.formatted(turns.union(own)))
+
+
 OP7 = r"""
 with sized as (
   select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as digest,
@@ -116,5 +127,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op9_near_copies": op9_near_copies,
+    "op10_chat": op10_chat,
 }
 ORACLES: dict[str, str] = {"op7_mixing": OP7}
