@@ -1,6 +1,68 @@
-"""Training corpus from ``documents``, in stages that are each written and read again."""
+"""Training corpus from ``documents``: five stages, each written as Parquet and read again by the next.
+
+Bad texts go, one text of each group of near copies stays, repeated passages are cut out, sources are mixed to their
+weights over training time, and the result is encoded.
+"""
 
 from __future__ import annotations
 
-PIPELINE_QUERIES: dict = {}
-PIPELINE_ORACLES: dict = {}
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logicspark.llm import bpe, mixing, near_copies, passages, quality
+from logicspark.llm.shared import shared_folder, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    good = quality.scored(docs, model).where(F.col("score") >= quality.THRESHOLD)
+    return good.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_copies.without_near_copies(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = passages.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    return cleaned.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", keep_good),
+    ("near copies", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("source mixing", mix_sources),
+    ("byte-level BPE", encode),
+]
+
+#: The stages compress, align and hash in ways that SQL cannot express; tests hold them against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage over the whole of ``documents``: doc_id, n_tokens, ids and digests, in training order."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+    return docs
+
+
+PIPELINE_QUERIES = {"pipeline": run}
+PIPELINE_ORACLES: dict[str, str] = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}

@@ -126,30 +126,37 @@ def curriculum(
 def mix(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: rows of ``docs`` with all their columns, repeated as planned and range-sorted by position.
 
-    Documents of size 0 are kept once, at the end. Equal rows count once each."""
-    key = F.coalesce(F.xxhash64("text"), F.lit(0))
-    plan = curriculum(docs, **options).select(
-        F.col("doc_id").alias("_mix_id"),
-        F.col("source").alias("_mix_source"),
-        F.col("text_key").alias("_mix_key"),
-        F.when(F.col("size") == 0, F.array(F.lit(1.0))).otherwise(F.col("positions")).alias("_mix_at"),
+    Documents of size 0 are kept once, at the end. Repeated rows count once each."""
+    keys = ["_id", "_source", "_key"]
+    plan = cut(
+        curriculum(docs, **options).select(
+            F.col("doc_id").alias("_mix_id"),
+            F.col("source").alias("_mix_source"),
+            F.col("text_key").alias("_mix_key"),
+            F.when(F.col("size") == 0, F.array(F.lit(1.0))).otherwise(F.col("positions")).alias("_mix_at"),
+        )
     )
-    # Equal rows share one plan row per copy: number both sides, so that a join pairs them one to one.
-    keys = ["_mix_id", "_mix_source", "_mix_key"]
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
     rows = docs.select(
-        "*", F.col("doc_id").alias("_own_id"), F.col("source").alias("_own_source"), key.alias("_own_key")
-    ).withColumn("_own_nth", F.row_number().over(Window.partitionBy("_own_id", "_own_source", "_own_key").orderBy(F.lit(0))))
-    plan = plan.withColumn("_mix_nth", nth)
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.col("doc_id").alias("_own_id"),
+        F.col("source").alias("_own_source"),
+        F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_own_key"),
+    )
     same = (
         F.col("_own_id").eqNullSafe(F.col("_mix_id"))
         & F.col("_own_source").eqNullSafe(F.col("_mix_source"))
         & (F.col("_own_key") == F.col("_mix_key"))
-        & (F.col("_own_nth") == F.col("_mix_nth"))
     )
+    if plan.count() != plan.select("_mix_id", "_mix_source", "_mix_key").distinct().count():
+        # Equal rows have a plan each: number both sides, so that the join pairs them one to one.
+        def nth(side: str):
+            return F.row_number().over(Window.partitionBy(*[f"_{side}{k}" for k in keys]).orderBy(F.lit(0)))
+
+        rows, plan = rows.withColumn("_own_nth", nth("own")), plan.withColumn("_mix_nth", nth("mix"))
+        same &= F.col("_own_nth") == F.col("_mix_nth")
     return (
         rows.join(plan, same)
         .withColumn("_mix_position", F.explode("_mix_at"))
-        .orderBy("_mix_position", "_mix_id")
+        .orderBy("_mix_position", "_mix_id", "_mix_key")
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

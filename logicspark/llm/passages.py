@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logicspark.llm.shared import cut
 from logicspark.llm.words import Powers, mix, pieces, segment_hashes, words
@@ -140,7 +141,7 @@ def runs(repeated: set[int], size: np.ndarray, least: int) -> list[tuple[int, in
     return [(a, b) for a, b in found if size[a : b + 1].sum() >= least]
 
 
-REMOVED = "removed array<struct<start: bigint, length: bigint>>"
+REMOVED = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
 
 
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,24 +174,21 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left.append(raw[at:])
                 text_out.append(b"".join(left).decode())
                 spans_out.append(spans)
-        columns = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "_repeated")}
         spans = pa.array(spans_out, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
-        columns |= {"text": pa.array(text_out, pa.string()), "removed": spans}
+        columns = {"row": batch.column("row"), "text": pa.array(text_out, pa.string()), "removed": spans}
         yield pa.RecordBatch.from_pydict(columns)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and any other columns, which stay) with repeated passages cut out of text.
 
-    Adds column removed: ranges (start, length) of the original text in code points. Every row stays; a text that
+    Adds column removed, in place of one that is there: ranges (start, length) of the original text in code points.
+    Every row stays; a text that
     repeats wholly becomes empty, a null text stays null. Null ids rank last. Rows equal in id and text are one
     document: they are cut alike. No rows give no rows.
 
     Digests are summed up in each task before they move; the table of repeated digests is written, so that the join may
     split a digest with very many rows. Only numbers of units move back to the texts."""
-    taken = {"_repeated", "removed", "text_key"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns with names of the operator: {sorted(taken)}")
     key = F.coalesce(F.xxhash64("text"), F.lit(0))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("text_key"), "text")
     found = texts.mapInArrow(digests, DIGESTS)
@@ -207,9 +205,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     marks = later.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
         F.collect_set("number").alias("_repeated")
     )
-    rows = docs.withColumn("text_key", key)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", key.alias("text_key"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
-    marked = rows.join(marks, same, "left").drop("_id", "_key", "text_key")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    cleaned = marked.mapInArrow(remove, ", ".join([*fields, "text string", REMOVED]))
-    return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns], "removed")
+    marked = rows.join(marks, same, "left").select("row", "text", "_repeated")
+    schema = T.StructType([marked.schema["row"], marked.schema["text"], T.StructField("removed", REMOVED)])
+    cleaned = marked.mapInArrow(remove, schema)
+    kept = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "removed"]
+    return cleaned.select(*kept, "removed")

@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logicspark.llm.shared import id_digest
 
@@ -130,18 +131,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def scored(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    """``docs`` with double column ``out``, 0 to 1: how likely label 1 is. A null text counts as the empty one, whose
-    sizes do not differ. All columns stay; ``out`` must not be one of them."""
-    if out in docs.columns:
-        raise ValueError(f"column {out} is there already")
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` as column row (a struct of all columns) with double column score, 0 to 1: how likely label 1 is.
+
+    A null text counts as the empty one, whose sizes do not differ. Every row gives a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(s.as_py() or "").encode() for s in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(model.scores(texts), pa.float64())], names=[*batch.schema.names, out]
+                [batch.column("row"), pa.array(model.scores(texts), pa.float64())], names=["row", "score"]
             )
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{out}` double"]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))

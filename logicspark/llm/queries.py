@@ -35,8 +35,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.scored(docs, model).select(
-        "doc_id",
-        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "row.doc_id",
+        quality.held_out(F.col("row.doc_id")).alias("held_out"),
         "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )

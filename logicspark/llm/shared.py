@@ -13,15 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results that the session names, shared by driver and executors.
 
     Only a local session without such a folder gets one of its own."""
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared folder, so that a lost executor costs no more than its tasks.
+
+    Spark removes the files when nothing refers to them, if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
