@@ -7,8 +7,10 @@ import pytest
 
 import __spark_entry__ as entry_module
 from tests.conftest import SF
+from workload import queries as workload_queries
 
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+ORACLES = {k: v for k, v in entry_module.oracle_sql().items() if k in workload_queries.QUERIES}
+QUERIES = {k: v for k, v in entry_module.queries().items() if k in workload_queries.QUERIES}
 
 
 @pytest.fixture(scope="module")
