@@ -70,7 +70,7 @@ def pixels_u16(lines: DataFrame, pixel_width: int) -> DataFrame:
                 g, b, r = planes.reshape(pixel_width, 3).T
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row["image_id"]] * pixel_width, pa.string()),
+                        pa.repeat(row["image_id"], pixel_width),
                         pa.array(np.full(pixel_width, row["row"], np.int64)),
                         pa.array(np.arange(pixel_width, dtype=np.int64)),
                         *(pa.array(np.ascontiguousarray(p)) for p in (g, b, r)),

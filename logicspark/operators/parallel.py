@@ -50,7 +50,7 @@ def strobe_triggers(blocks: DataFrame, strobe: int, mode: StrobeMode) -> DataFra
                 if len(at):
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([row["capture_id"]] * len(at), pa.string()),
+                            pa.repeat(row["capture_id"], len(at)),
                             pa.array(at),
                             pa.array(at * row["timestamp_step"]),
                         ],
@@ -196,10 +196,15 @@ def decode_aligned(
 ) -> DataFrame:
     """``parallel_words`` over blocks that are already aligned, as an archive scan gives them.
 
-    The strobe level before each block is one small row, joined by block number; the
-    packed bytes go only through that join.
+    An archive scan knows the levels before each block (column ``previous``), so nothing moves. For other tables they
+    are joined by block number.
     """
     _check_lines(data, cs, polarity)
+    if "previous" in aligned.columns:
+        level = F.unhex(F.format_string("%02X", F.coalesce(F.element_at("previous", F.lit(strobe)), F.lit(0))))
+        known = aligned.withColumn("channels", F.map_concat("channels", F.create_map(F.lit(_PREVIOUS), level)))
+        words = _decode(known, strobe, data, cs, mode, polarity)
+        return words if control is None else enable_gate(words, control, width=width)
     line = F.element_at("channels", F.lit(strobe))
     last = bit_of(line, F.col("num_samples") - 1)
     before = aligned.select(
@@ -249,7 +254,7 @@ def _decode(
                 position = at + row["start_position"]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row["capture_id"]] * len(at), pa.string()),
+                        pa.repeat(row["capture_id"], len(at)),
                         pa.array(position),
                         pa.array(value.view(np.int64)),
                         pa.array(position * row["timestamp_step"]),

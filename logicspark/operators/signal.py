@@ -23,11 +23,12 @@ def _bits(data: bytes, count: int) -> np.ndarray:
 
 
 def first_bit(blocks: DataFrame) -> Column:
-    return bit_of(blocks.data, F.lit(0).cast("bigint"))
+    """First bit of a block, from its own column where the table has one."""
+    return blocks["first"] if "first" in blocks.columns else bit_of(blocks.data, F.lit(0).cast("bigint"))
 
 
 def last_bit(blocks: DataFrame) -> Column:
-    return bit_of(blocks.data, blocks.num_samples - 1)
+    return blocks["last"] if "last" in blocks.columns else bit_of(blocks.data, blocks.num_samples - 1)
 
 
 def project_channels(blocks: DataFrame, channels: Sequence[int], total_probes: int | None = None) -> DataFrame:
@@ -47,7 +48,8 @@ def bound_blocks(blocks: DataFrame, max_samples: int | None) -> DataFrame:
     if max_samples is None:
         return blocks
     left = F.lit(max_samples) - F.col("start_position")
-    return blocks.filter(F.col("start_position") < max_samples).withColumn(
+    # a stored last bit would no longer be that of the cut block
+    return blocks.drop("last").filter(F.col("start_position") < max_samples).withColumn(
         "num_samples", F.least("num_samples", left)
     )
 
@@ -74,7 +76,7 @@ def unpack_bits(blocks: DataFrame) -> DataFrame:
                 n = row["num_samples"]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row["capture_id"]] * n, pa.string()),
+                        pa.repeat(row["capture_id"], n),
                         pa.array(np.full(n, row["channel"], np.int32)),
                         pa.array(np.arange(n, dtype=np.int64) + row["start_position"]),
                         pa.array(_bits(row["data"], n).astype(bool)),
@@ -140,7 +142,7 @@ def _interior_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if len(at):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([row["capture_id"]] * len(at), pa.string()),
+                        pa.repeat(row["capture_id"], len(at)),
                         pa.array(np.full(len(at), row["channel"], np.int32)),
                         pa.array(bits[at].astype(bool)),
                         pa.array((at + row["start_position"]) * row["timestamp_step"]),
@@ -223,7 +225,9 @@ def probe_bits(blocks: DataFrame, header: DataFrame, keys: DataFrame) -> DataFra
     located = keys.join(facts, "capture_id", "left").withColumn(
         "block_num", F.expr("position div samples_per_block")
     )
-    hit = blocks.select(*LINE, "block_num", "data")
+    # Packed bytes meet only the keys' blocks, and only those few go on to the keys.
+    asked = located.select(*LINE, "block_num").distinct()
+    hit = blocks.select(*LINE, "block_num", "data").join(asked, [*LINE, "block_num"], "left_semi")
     inside = F.pmod(F.col("position"), F.col("samples_per_block"))
     status = (
         F.when(F.col("total_probes").isNull(), "unknown_capture")

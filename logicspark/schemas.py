@@ -69,6 +69,8 @@ BLOCKS = fields(
     capture_id="string", channel="int", block_num="bigint", data="binary",
     start_position="bigint", num_samples="bigint", timestamp_step="bigint",
 )
+# Blocks as archives and stored tables hold them: with the bits at both ends.
+STORED_BLOCKS = T.StructType([*BLOCKS.fields, *fields(first="int", last="int").fields])
 LEVELS = fields(capture_id="string", channel="int", position="bigint", value="boolean")
 RUNS = fields(capture_id="string", channel="int", value="boolean", start_time="bigint")
 LINE_RUNS = fields(capture_id="string", value="boolean", start_time="bigint")

@@ -8,17 +8,21 @@ of packed bits per channel and block. ``format("logic_capture")`` reads three ta
 * ``aligned`` - one row per block with the bytes of every channel, so a bus decode
   needs no shuffle of packed data
 
-The driver reads only header entries and entry names; a scan task opens the archive
-itself and reads the entries of its own block range.
+The driver only lists files. Scan partitions are slices of an archive, as many as its
+size asks for; a task opens the archive, reads header and directory, and works out its
+own block range. Time step, first and last bit of a block come from the scan, so no
+table needs a join of packed bytes.
+
+A capture is named by its path below the folder that was opened, without extension.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+import re
 import zipfile
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,17 +31,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-from logicspark.functions.scalar import parse_sample_rate, timestamp_step
-from logicspark.schemas import BLOCKS, HEADER, fields
+from logicspark.functions.scalar import RATE_UNITS, bit_of, parse_sample_rate
+from logicspark.schemas import BLOCKS, HEADER, STORED_BLOCKS, fields
 
 RAW_HEADER = fields(capture_id="string", path="string", header="string", first_block_bytes="bigint")
-RAW_BLOCKS = fields(
-    capture_id="string", channel="int", block_num="bigint", data="binary", start_position="bigint", num_samples="bigint"
-)
 RAW_ALIGNED = fields(
     capture_id="string", block_num="bigint", channels=T.MapType(T.IntegerType(), T.BinaryType()),
-    start_position="bigint", num_samples="bigint",
+    previous=T.MapType(T.IntegerType(), T.IntegerType()),
+    start_position="bigint", num_samples="bigint", timestamp_step="bigint",
 )
+BYTES_PER_PARTITION = 64 << 20
 
 
 class CaptureError(ValueError):
@@ -54,23 +57,38 @@ def _open(path: str):
     return store.open_input_file(inner)
 
 
-def _list(path: str) -> list[str]:
+def _list(path: str) -> list[tuple[str, int]]:
+    """Files of a file, glob or folder with their sizes."""
     if "://" not in path or path.startswith("file://"):
         local = path.removeprefix("file://")
-        found = glob.glob(os.path.join(local, "*") if os.path.isdir(local) else local)
-        return sorted(f for f in found if os.path.isfile(f))
+        found = glob.glob(os.path.join(local, "*") if os.path.isdir(local) else local, recursive=True)
+        return sorted((f, os.path.getsize(f)) for f in found if os.path.isfile(f))
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(path)
-    if store.get_file_info(inner).type == fs.FileType.File:
-        return [path]
+    info = store.get_file_info(inner)
+    if info.type == fs.FileType.File:
+        return [(path, info.size)]
     prefix = path[: path.index("://") + 3]
     found = store.get_file_info(fs.FileSelector(inner, recursive=False))
-    return sorted(prefix + f.path for f in found if f.is_file)
+    return sorted((prefix + f.path, f.size) for f in found if f.is_file)
+
+
+def root_folder(path: str) -> str:
+    """Folder below which the files of ``path`` get their names: the part before any wildcard."""
+    fixed = path.removeprefix("file://").rstrip("/")
+    if re.search(r"[*?\[{]", fixed):
+        return os.path.dirname(re.split(r"[*?\[{]", fixed)[0])
+    if "://" not in fixed and os.path.isdir(fixed):
+        return fixed
+    return os.path.dirname(fixed) if os.path.splitext(fixed)[1] else fixed
 
 
-def _capture_id(path: str) -> str:
-    return os.path.splitext(os.path.basename(path))[0]
+def name_below(path: str, root: str) -> str:
+    """Path below ``root`` without extension."""
+    name = path.removeprefix("file://")
+    name = name[len(root) + 1 :] if root and name.startswith(root + "/") else os.path.basename(name)
+    return os.path.splitext(name)[0]
 
 
 def _header_value(text: str, key: str) -> str | None:
@@ -82,24 +100,52 @@ def _header_value(text: str, key: str) -> str | None:
     return value
 
 
-def _plan_facts(path: str) -> tuple[str, int, int, int, int]:
-    """(path, probes, samples, blocks, samples per block) needed to cut an archive."""
-    with _open(path) as f, zipfile.ZipFile(f) as archive:
-        try:
-            text = archive.read("header").decode("utf-8", "replace")
-        except KeyError:
-            raise CaptureError(f"{path}: cannot find header") from None
-        numbers = []
-        for key in ("total probes", "total samples", "total blocks"):
-            value = _header_value(text, key)
-            if value is None or not value.removeprefix("+").isdigit():
-                raise CaptureError(f"{path}: missing field {key}")
-            numbers.append(int(value))
-        try:
-            size = archive.getinfo("L-0/0").file_size * 8
-        except KeyError:
-            raise CaptureError(f"{path}: could not read first block") from None
-    return path, *numbers, size
+@dataclass
+class _Facts:
+    """What a task needs to know of its archive."""
+
+    probes: int
+    samples: int
+    blocks: int
+    samples_per_block: int
+    step: int
+
+
+def _step(path: str, rate: str | None) -> int:
+    """Whole nanoseconds per sample of a rate such as ``50 MHz``."""
+    if rate is None:
+        raise CaptureError(f"{path}: missing field samplerate")
+    parts = rate.split()
+    try:
+        hz = float(parts[0]) * RATE_UNITS[parts[1]]
+    except (IndexError, KeyError, ValueError):
+        raise CaptureError(f"{path}: invalid sample rate: {rate}") from None
+    step = int(1e9 // hz) if hz > 0 else 0
+    if step < 1:
+        raise CaptureError(f"{path}: sample rate without a whole ns step: {rate}")
+    return step
+
+
+def _facts(path: str, archive: zipfile.ZipFile) -> _Facts:
+    try:
+        text = archive.read("header").decode("utf-8", "replace")
+    except KeyError:
+        raise CaptureError(f"{path}: cannot find header") from None
+    numbers = []
+    for key in ("total probes", "total samples", "total blocks"):
+        value = _header_value(text, key)
+        if value is None or not value.removeprefix("+").isdigit():
+            raise CaptureError(f"{path}: missing field {key}")
+        numbers.append(int(value))
+    try:
+        size = archive.getinfo("L-0/0").file_size * 8
+    except KeyError:
+        raise CaptureError(f"{path}: could not read first block") from None
+    return _Facts(*numbers, size, _step(path, _header_value(text, "samplerate")))
+
+
+def _bit(data: bytes, index: int) -> int:
+    return data[index >> 3] >> (index & 7) & 1 if 0 <= index < 8 * len(data) else 0
 
 
 @dataclass
@@ -109,12 +155,12 @@ class _HeaderPart(InputPartition):
 
 @dataclass
 class _BlockPart(InputPartition):
+    """Slice ``part`` of ``parts`` of an archive; no channels means all of them."""
+
     path: str
-    channels: list[int]
-    first: int
-    last: int
-    samples_per_block: int
-    limit: int
+    channels: list[int] | None
+    part: int
+    parts: int
 
 
 class CaptureSource(DataSource):
@@ -123,7 +169,7 @@ class CaptureSource(DataSource):
         return "logic_capture"
 
     def schema(self) -> T.StructType:
-        return {"header": RAW_HEADER, "blocks": RAW_BLOCKS, "aligned": RAW_ALIGNED}[self.options.get("table", "blocks")]
+        return {"header": RAW_HEADER, "blocks": STORED_BLOCKS, "aligned": RAW_ALIGNED}[self.options.get("table", "blocks")]
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         if self.options.get("table", "blocks") == "header":
@@ -133,7 +179,8 @@ class CaptureSource(DataSource):
 
 class _HeaderReader(DataSourceReader):
     def __init__(self, options):
-        self.paths = _list(options["path"])
+        self.paths = [path for path, _ in _list(options["path"])]
+        self.root = root_folder(options["path"])
 
     def partitions(self):
         size = max(1, len(self.paths) // 1000)
@@ -147,21 +194,22 @@ class _HeaderReader(DataSourceReader):
                     raise CaptureError(f"{path}: cannot find header")
                 text = archive.read("header").decode("utf-8", "replace")
                 first = archive.getinfo("L-0/0").file_size if "L-0/0" in names else None
-            yield (_capture_id(path), path, text, first)
+            yield (name_below(path, self.root), path, text, first)
 
 
 class _BlockReader(DataSourceReader):
-    """Options: path, channels ("0,3,9"), max_samples, blocks_per_partition, table, prune."""
+    """Options: path, channels ("0,3,9"), max_samples, bytes_per_partition, table, prune."""
 
     def __init__(self, options):
-        self.paths = _list(options["path"])
+        self.files = _list(options["path"])
+        self.root = root_folder(options["path"])
         self.aligned = options.get("table") == "aligned"
         wanted = options.get("channels")
         self.channels = sorted({int(c) for c in wanted.split(",")}) if wanted else None
         if self.channels is not None and not 1 <= len(self.channels) <= 16:
             raise CaptureError(f"between 1 and 16 channels, got {len(self.channels)}")
         self.max_samples = int(options["max_samples"]) if options.get("max_samples") else None
-        self.per_partition = int(options.get("blocks_per_partition", "64"))
+        self.per_partition = int(options.get("bytes_per_partition", str(BYTES_PER_PARTITION)))
         self.prune = options.get("prune", "false") == "true"
         self.only: set[int] | None = None
 
@@ -186,68 +234,61 @@ class _BlockReader(DataSourceReader):
         self.only = channels if self.only is None else self.only & channels
 
     def partitions(self):
-        with ThreadPoolExecutor(32) as pool:
-            facts = list(pool.map(_plan_facts, self.paths))
+        channels = self.channels
+        if self.only is not None:
+            channels = sorted(self.only if channels is None else self.only & set(channels))
+        groups: list[list[int] | None] = [[c] for c in channels] if channels is not None and not self.aligned else [channels]
         parts = []
-        for path, probes, samples, blocks, size in facts:
-            channels = self.channels if self.channels is not None else list(range(probes))
-            if any(c < 0 or c >= probes for c in channels):
-                raise CaptureError(f"{path}: has only {probes} channels, asked for {channels}")
-            if self.only is not None:
-                channels = [c for c in channels if c in self.only]
-            limit = samples if self.max_samples is None else min(self.max_samples, samples)
-            used = min(blocks, -(-limit // size)) if size else 0
-            groups = [channels] if self.aligned else [[c] for c in channels]
-            parts += [
-                _BlockPart(path, group, first, min(first + self.per_partition, used), size, limit)
-                for group in groups
-                if group
-                for first in range(0, used, self.per_partition)
-            ]
-        return parts or [_BlockPart("", [], 0, 0, 1, 0)]
+        for path, size in self.files:
+            slices = max(1, -(-size // self.per_partition))
+            parts += [_BlockPart(path, group, k, slices) for group in groups for k in range(slices)]
+        return parts or [_BlockPart("", None, 0, 1)]
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         p = partition
         if not p.path:
             return
-        capture, schema = _capture_id(p.path), self._arrow_schema()
+        capture, schema = name_below(p.path, self.root), self._arrow_schema()
         with _open(p.path) as f, zipfile.ZipFile(f) as archive:
-            names = set(archive.namelist())
-            # a channel ends at its first missing block, also one of an earlier range
-            ends = {
-                c: next((b for b in range(p.last) if f"L-{c}/{b}" not in names), p.last) for c in p.channels
-            }
-            for block in range(p.first, p.last):
-                start = block * p.samples_per_block
-                data = {c: archive.read(f"L-{c}/{block}") for c in p.channels if block < ends[c]}
-                count = {c: min(8 * len(d), p.limit - start) for c, d in data.items()}
+            facts, names = _facts(p.path, archive), set(archive.namelist())
+            asked = list(range(facts.probes)) if self.channels is None else self.channels
+            if any(c < 0 or c >= facts.probes for c in asked):
+                raise CaptureError(f"{p.path}: has only {facts.probes} channels, asked for {asked}")
+            channels = asked if p.channels is None else [c for c in p.channels if c in asked]
+            limit = facts.samples if self.max_samples is None else min(self.max_samples, facts.samples)
+            size = facts.samples_per_block
+            used = min(facts.blocks, -(-limit // size)) if size else 0
+            first, last = used * p.part // p.parts, used * (p.part + 1) // p.parts
+            # a channel ends at its first missing block, also one of an earlier slice
+            ends = {c: next((b for b in range(last) if f"L-{c}/{b}" not in names), last) for c in channels}
+            if self.aligned:  # the bus ends with its shortest channel
+                last = min([last, *ends.values()])
+            before: dict[int, int] = {}
+            if self.aligned and 0 < first < last:
+                before = {c: _bit(archive.read(f"L-{c}/{first - 1}"), size - 1) for c in channels}
+            for block in range(first, last):
+                start = block * size
+                data = {c: archive.read(f"L-{c}/{block}") for c in channels if block < ends[c]}
+                count = {c: min(8 * len(d), limit - start) for c, d in data.items()}
+                common = {"start_position": start, "timestamp_step": facts.step, "capture_id": capture, "block_num": block}
                 if self.aligned:
-                    if len(data) != len(p.channels):
-                        if data:
-                            raise CaptureError(f"{p.path}: block {block} lacks a channel")
-                        return
-                    rows = [
-                        {"capture_id": capture, "block_num": block, "channels": list(data.items()),
-                         "start_position": start, "num_samples": min(count.values())}
-                    ]
+                    few = min(count.values(), default=0)
+                    rows = [common | {"channels": list(data.items()), "previous": list(before.items()), "num_samples": few}]
+                    before = {c: _bit(d, few - 1) for c, d in data.items()}
                 else:
                     rows = [
-                        {"capture_id": capture, "channel": c, "block_num": block, "data": d,
-                         "start_position": start, "num_samples": count[c]}
+                        common
+                        | {"channel": c, "data": d, "num_samples": count[c], "first": _bit(d, 0), "last": _bit(d, count[c] - 1)}
                         for c, d in data.items()
                     ]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def _arrow_schema(self) -> pa.Schema:
-        common = [("start_position", pa.int64()), ("num_samples", pa.int64())]
-        if self.aligned:
-            return pa.schema(
-                [("capture_id", pa.string()), ("block_num", pa.int64()), ("channels", pa.map_(pa.int32(), pa.binary())), *common]
-            )
-        return pa.schema(
-            [("capture_id", pa.string()), ("channel", pa.int32()), ("block_num", pa.int64()), ("data", pa.binary()), *common]
-        )
+        kinds = {"capture_id": pa.string(), "channel": pa.int32(), "data": pa.binary(), "first": pa.int32(), "last": pa.int32()}
+        kinds |= {"channels": pa.map_(pa.int32(), pa.binary()), "previous": pa.map_(pa.int32(), pa.int32())}
+        names = (RAW_ALIGNED if self.aligned else STORED_BLOCKS).names
+        return pa.schema([(n, kinds.get(n, pa.int64())) for n in names])
 
 
 def register(spark: SparkSession) -> None:
@@ -323,45 +364,50 @@ def read_capture(
     path: str,
     channels: list[int] | None = None,
     max_samples: int | None = None,
-    blocks_per_partition: int = 64,
+    bytes_per_partition: int = BYTES_PER_PARTITION,
 ) -> Capture:
     """Open archives (file, glob or folder) as header and blocks tables."""
     register(spark)
     header = parse_header(spark.read.format("logic_capture").option("table", "header").load(path))
-    reader = spark.read.format("logic_capture").option("blocks_per_partition", blocks_per_partition)
+    reader = spark.read.format("logic_capture").option("bytes_per_partition", bytes_per_partition)
     if channels is not None:
         reader = reader.option("channels", ",".join(map(str, channels)))
     if max_samples is not None:
         reader = reader.option("max_samples", max_samples)
-    steps = header.select("capture_id", timestamp_step(F.col("samplerate_hz")).alias("timestamp_step"))
-    return Capture(header, reader.load(path).join(steps, "capture_id").select(*BLOCKS.names))
+    return Capture(header, reader.load(path))
 
 
 def read_aligned(
-    spark: SparkSession, path: str, channels: list[int], max_samples: int | None = None, blocks_per_partition: int = 16
+    spark: SparkSession,
+    path: str,
+    channels: list[int],
+    max_samples: int | None = None,
+    bytes_per_partition: int = BYTES_PER_PARTITION,
 ) -> DataFrame:
-    """One row per block with the bytes of the given channels, straight from the archive."""
+    """One row per block with the bytes of the given channels, and the level of each just before the block. Ends with
+    the first block that a channel lacks."""
     register(spark)
     reader = spark.read.format("logic_capture").options(
-        table="aligned", channels=",".join(map(str, channels)), blocks_per_partition=blocks_per_partition
+        table="aligned", channels=",".join(map(str, channels)), bytes_per_partition=bytes_per_partition
     )
     if max_samples is not None:
         reader = reader.option("max_samples", max_samples)
-    header = parse_header(spark.read.format("logic_capture").option("table", "header").load(path))
-    steps = header.select("capture_id", timestamp_step(F.col("samplerate_hz")).alias("timestamp_step"))
-    return reader.load(path).join(steps, "capture_id")
+    return reader.load(path)
 
 
 def save_blocks(blocks: DataFrame, path: str) -> None:
-    """Blocks as Parquet, one folder per capture and channel, so channel filters prune."""
-    blocks.write.mode("overwrite").partitionBy("capture_id", "channel").parquet(path)
+    """Blocks as Parquet, one folder per capture and channel, so channel filters prune. First and last bits become
+    columns, so that later steps decide on block borders without reading packed bytes."""
+    ends = {"first": bit_of(F.col("data"), F.lit(0).cast("bigint")), "last": bit_of(F.col("data"), F.col("num_samples") - 1)}
+    stored = blocks.withColumns({k: v for k, v in ends.items() if k not in blocks.columns})
+    stored.select(*STORED_BLOCKS.names).write.mode("overwrite").partitionBy("capture_id", "channel").parquet(path)
 
 
 def load_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks written by ``save_blocks``."""
-    stored = [f for f in BLOCKS.fields if f.name not in ("capture_id", "channel")]
-    keys = [f for f in BLOCKS.fields if f.name in ("capture_id", "channel")]
-    return spark.read.schema(T.StructType([*stored, *keys])).parquet(path).select(*BLOCKS.names)
+    stored = [f for f in STORED_BLOCKS.fields if f.name not in ("capture_id", "channel")]
+    keys = [f for f in STORED_BLOCKS.fields if f.name in ("capture_id", "channel")]
+    return spark.read.schema(T.StructType([*stored, *keys])).parquet(path).select(*STORED_BLOCKS.names)
 
 
 def capture_stats(header: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ def body_bytes(chunks: DataFrame, chunk_bytes: int) -> DataFrame:
                 data = np.frombuffer(row["data"], np.uint8)
                 at = np.arange(len(data), dtype=np.int64) + row["chunk_no"] * chunk_bytes
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["image_id"]] * len(data), pa.string()), pa.array(at), pa.array(data.astype(np.int32))],
+                    [pa.repeat(row["image_id"], len(data)), pa.array(at), pa.array(data.astype(np.int32))],
                     names=BODY_BYTES.names,
                 )
 
