@@ -32,7 +32,7 @@ SAMPLE = 20_000
 MOST_LISTS = 4_096
 CODES = 256
 SUBSPACE = 4
-PROBE = 4.0
+PROBE = 3.0
 #: Members of a list compared in one go; larger lists are split into blocks that all of its queries visit.
 BLOCK = 2_048
 QUERIES = 512
@@ -117,12 +117,15 @@ class Index:
 
     def distances(self, x: np.ndarray, at: int, code: np.ndarray) -> np.ndarray:
         """Distances (queries, members) to the members' codes in list ``at``, summed from one table per subspace."""
-        residual = x - self.lists[at]
-        total = np.zeros((len(x), len(code)), dtype=np.float32)
+        residual = (x - self.lists[at]).astype(np.float32)
+        total = np.zeros((len(code), len(x)), dtype=np.float32)
         for k, part in enumerate(self.parts(x.shape[1])):
-            table = ((residual[:, None, part] - self.codes[k][None]) ** 2).sum(axis=2).astype(np.float32)
-            total += table[:, code[:, k]]
-        return np.sqrt(total)
+            own, codes = residual[:, part], self.codes[k].astype(np.float32)
+            # A row of the table for each code, so that looking up a member copies one row.
+            table = (own**2).sum(axis=1) - 2 * (codes @ own.T)
+            table += (codes**2).sum(axis=1)[:, None]
+            total += table[code[:, k]]
+        return np.sqrt(np.maximum(total, 0)).T
 
 
 def links(vectors: DataFrame, rows: int, width: int, cosine: float) -> DataFrame:
@@ -204,7 +207,7 @@ def links(vectors: DataFrame, rows: int, width: int, cosine: float) -> DataFrame
                 for begin in range(first, last, QUERIES):
                     end = min(last, begin + QUERIES)
                     asked = all_x[begin:end]
-                    near = index.distances(asked, at[0], codes) <= distance + errors[None, :] + 1e-4
+                    near = index.distances(asked, at[0], codes) <= distance + errors[None, :] + 1e-3
                     row, column = np.nonzero(near)
                     exact = np.einsum("ij,ij->i", asked[row], members[column])
                     linked = np.zeros(near.shape, dtype=bool)
