@@ -153,10 +153,15 @@ def upper_median(values: DataFrame, by: list[str], value: str, name: str, width:
     )
 
 
+def _record_order(records: DataFrame) -> Column:
+    """File order of records that were read (``seq``), else time."""
+    return order_key("seq" if "seq" in records.columns else "rising_timestamp")
+
+
 def line_width(records: DataFrame, by: list[str] | None = None, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Bytes per line: upper median of steps of the falling index, floored at 0."""
     by = list(by or FILE)
-    d = records.select(*by, "falling_byte_index", order_key("rising_timestamp").alias("__order"))
+    d = records.select(*by, "falling_byte_index", _record_order(records).alias("__order"))
     d = neighbours(d, by, "__order", ahead={"__next": F.col("falling_byte_index")}, inclusive=False, width=width)
     steps = d.filter(F.col("__next").isNotNull()).select(
         *by, F.greatest(F.col("__next") - F.col("falling_byte_index"), F.lit(0)).alias("__step")
@@ -184,7 +189,7 @@ def line_offsets(
 ) -> DataFrame:
     """Start byte of each image row; the last record only ends the row before it."""
     by = list(by or FILE)
-    d = records.select(*by, "falling_byte_index", order_key("rising_timestamp").alias("__order"))
+    d = records.select(*by, "falling_byte_index", _record_order(records).alias("__order"))
     d = running_sum(d, by, "__order", {"__n": F.lit(1)}, width=width)
     last = d.groupBy(*by).agg(F.max("__n").alias("__last"))
     return d.join(last, by).filter(F.col("__n") < F.col("__last")).select(

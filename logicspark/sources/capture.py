@@ -47,7 +47,7 @@ class CaptureError(ValueError):
     """An archive is not a readable capture."""
 
 
-def _open(path: str):
+def open_file(path: str):
     """Random-access file; local and mounted paths as such, other URIs through Arrow."""
     if "://" not in path or path.startswith("file://"):
         return open(path.removeprefix("file://"), "rb")
@@ -57,7 +57,7 @@ def _open(path: str):
     return store.open_input_file(inner)
 
 
-def _list(path: str) -> list[tuple[str, int]]:
+def list_files(path: str) -> list[tuple[str, int]]:
     """Files of a file, glob or folder with their sizes."""
     if "://" not in path or path.startswith("file://"):
         local = path.removeprefix("file://")
@@ -179,7 +179,7 @@ class CaptureSource(DataSource):
 
 class _HeaderReader(DataSourceReader):
     def __init__(self, options):
-        self.paths = [path for path, _ in _list(options["path"])]
+        self.paths = [path for path, _ in list_files(options["path"])]
         self.root = root_folder(options["path"])
 
     def partitions(self):
@@ -188,7 +188,7 @@ class _HeaderReader(DataSourceReader):
 
     def read(self, partition):
         for path in partition.paths:
-            with _open(path) as f, zipfile.ZipFile(f) as archive:
+            with open_file(path) as f, zipfile.ZipFile(f) as archive:
                 names = set(archive.namelist())
                 if "header" not in names:
                     raise CaptureError(f"{path}: cannot find header")
@@ -201,7 +201,7 @@ class _BlockReader(DataSourceReader):
     """Options: path, channels ("0,3,9"), max_samples, bytes_per_partition, table, prune."""
 
     def __init__(self, options):
-        self.files = _list(options["path"])
+        self.files = list_files(options["path"])
         self.root = root_folder(options["path"])
         self.aligned = options.get("table") == "aligned"
         wanted = options.get("channels")
@@ -249,7 +249,7 @@ class _BlockReader(DataSourceReader):
         if not p.path:
             return
         capture, schema = name_below(p.path, self.root), self._arrow_schema()
-        with _open(p.path) as f, zipfile.ZipFile(f) as archive:
+        with open_file(p.path) as f, zipfile.ZipFile(f) as archive:
             facts, names = _facts(p.path, archive), set(archive.namelist())
             asked = list(range(facts.probes)) if self.channels is None else self.channels
             if any(c < 0 or c >= facts.probes for c in asked):

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 from logicspark.functions.scalar import format_hex
 from logicspark.operators.ordered import DEFAULT_WIDTH, order_key, running_sum
 from logicspark.operators.registers import describe_text
 from logicspark.schemas import LINE_RECORD_COLUMNS, fields
+from logicspark.sources.tables import BodySource
 
 BY = ["capture_id"]
 CHUNK_BYTES = 1 << 23
@@ -21,19 +25,29 @@ _CHUNKS = fields(capture_id="string", file_num="bigint", chunk_no="bigint", data
 
 
 def first_words(words: DataFrame, n: int) -> DataFrame:
-    """First ``n`` words by time; 0 keeps all."""
+    """First ``n`` words by time over all captures; 0 keeps all."""
     ordered = words.orderBy(*BY, "t_ns")
     return ordered.limit(n) if n > 0 else ordered
 
 
-def spi_csv_rows(words: DataFrame, n: int = 0, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Columns of the word log: running id, time with two decimals, six hex digits.
+def first_words_each(words: DataFrame, n: int, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """First ``n`` words of each capture by time; 0 keeps all. Counted in buckets, no capture is sorted in one task."""
+    if n <= 0:
+        return words
+    numbered = running_sum(words.withColumn("__order", order_key("t_ns")), BY, "__order", {"__id": F.lit(1)}, width=width)
+    return numbered.filter(F.col("__id") <= n).drop("__order", "__id")
+
+
+def spi_csv_rows(words: DataFrame, n: int = 0, width: int = DEFAULT_WIDTH, keep_capture: bool = False) -> DataFrame:
+    """Columns of the word log: running id, time with two decimals, six hex digits; ``n`` words of each capture.
 
     The id is a bucketed running count, so an unlimited log is never sorted in one task.
     """
-    kept = first_words(words, n) if n > 0 else words
-    d = running_sum(kept.withColumn("__order", order_key("t_ns")), BY, "__order", {"__id": F.lit(1)}, width=width)
+    d = running_sum(words.withColumn("__order", order_key("t_ns")), BY, "__order", {"__id": F.lit(1)}, width=width)
+    if n > 0:
+        d = d.filter(F.col("__id") <= n)
     return d.select(
+        *(BY if keep_capture else ()),
         F.col("__id").cast("bigint").alias("Id"),
         F.format_string("%d.00", F.col("t_ns")).alias("Time[ns]"),
         format_hex(F.col("mosi"), 6).alias("1:SPI: MOSI data"),
@@ -41,9 +55,11 @@ def spi_csv_rows(words: DataFrame, n: int = 0, width: int = DEFAULT_WIDTH) -> Da
 
 
 def write_spi_csv(words: DataFrame, path: str, n: int = 0, width: int = DEFAULT_WIDTH) -> None:
-    """Word log as CSV part files in id order."""
-    rows = spi_csv_rows(words, n, width)
-    rows.orderBy("Id").write.mode("overwrite").csv(path, header=True)
+    """Word logs as CSV part files in id order, one folder for each capture."""
+    rows = spi_csv_rows(words, n, width, keep_capture=True)
+    rows.repartitionByRange(*BY, "Id").sortWithinPartitions(*BY, "Id").write.mode("overwrite").partitionBy(*BY).csv(
+        path, header=True
+    )
 
 
 def spi_show_rows(words: DataFrame, n: int = 100) -> DataFrame:
@@ -80,49 +96,89 @@ def body_chunks(session_words: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Dat
     return words.groupBy(*key).applyInArrow(assemble, _CHUNKS)
 
 
-class BodySink(DataSource):
-    """Writes body chunks into ``<path>/<capture_id>/capture_%04d.bin``.
+@dataclass
+class _Written(WriterCommitMessage):
+    """Bodies of a task: name, bytes from which the chunk goes on, its unpublished file."""
 
-    On a POSIX shared folder every task writes its chunks at their own offset of the
-    session's file; a repeated task writes the same bytes again. With option
-    ``parts=true`` each chunk becomes a file of its own, for stores without offsets.
-    """
+    chunks: list[tuple[str, int, str]]
 
-    @classmethod
-    def name(cls) -> str:
-        return "capture_body"
 
-    def writer(self, schema, overwrite):
-        return _BodyWriter(self.options)
+class BodyWriter(DataSourceArrowWriter):
+    """Writes body chunks into ``<path>/<capture_id>/capture_%04d.bin``, on any file system that Arrow knows.
 
+    Tasks write each chunk to an unpublished file of their own. Commit, on the driver, publishes: with option
+    ``parts=true`` by giving each chunk its name ``.part-<first byte>``, else by joining a body's chunks in order. So a
+    repeated or failed task leaves nothing behind, and a body that was longer before keeps none of its old bytes."""
 
-class _BodyWriter(DataSourceArrowWriter):
-    def __init__(self, options):
-        self.path = options["path"]
+    def __init__(self, options, overwrite: bool) -> None:
+        self.path = options["path"].rstrip("/")
         self.chunk_bytes = int(options.get("chunk_bytes", str(CHUNK_BYTES)))
         self.parts = options.get("parts", "false") == "true"
+        self.overwrite = overwrite
+        self.job = uuid.uuid4().hex
+
+    def _store(self):
+        from pyarrow import fs
+
+        if "://" in self.path:
+            return fs.FileSystem.from_uri(self.path)
+        return fs.LocalFileSystem(), os.path.abspath(self.path)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        store, root = self._store()
+        chunks = []
         for batch in iterator:
             for row in batch.to_pylist():
-                folder = os.path.join(self.path, row["capture_id"])
-                os.makedirs(folder, exist_ok=True)
-                name = os.path.join(folder, f"capture_{row['file_num']:04d}.bin")
-                if self.parts:
-                    with open(f"{name}.part-{row['chunk_no']:06d}", "wb") as f:
-                        f.write(row["data"])
-                    continue
-                fd = os.open(name, os.O_WRONLY | os.O_CREAT, 0o644)
-                try:
-                    os.pwrite(fd, row["data"], row["chunk_no"] * self.chunk_bytes)
-                finally:
-                    os.close(fd)
-        return WriterCommitMessage()
+                store.create_dir(f"{root}/_unpublished-{self.job}", recursive=True)
+                own = f"{root}/_unpublished-{self.job}/{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as out:
+                    out.write(row["data"])
+                name = f"{row['capture_id']}/capture_{row['file_num']:04d}.bin"
+                chunks.append((name, row["chunk_no"] * self.chunk_bytes, own))
+        return _Written(chunks)
+
+    def commit(self, messages) -> None:
+        from pyarrow import fs
+
+        store, root = self._store()
+        bodies: dict[str, list[tuple[int, str]]] = {}
+        for message in messages:
+            for name, first, own in message.chunks if message else ():
+                bodies.setdefault(name, []).append((first, own))
+        for name, chunks in sorted(bodies.items()):
+            target = f"{root}/{name}"
+            store.create_dir(os.path.dirname(target), recursive=True)
+            for old in store.get_file_info(fs.FileSelector(os.path.dirname(target))):
+                if re.fullmatch(re.escape(os.path.basename(target)) + r"(\.part-[0-9]+)?", old.base_name):
+                    store.delete_file(old.path)
+            if self.parts:
+                for first, own in sorted(chunks):
+                    store.move(own, f"{target}.part-{first:015d}")
+                continue
+            joined = f"{root}/_unpublished-{self.job}/joined"
+            with store.open_output_stream(joined) as out:
+                for _, own in sorted(chunks):
+                    with store.open_input_stream(own) as chunk:
+                        while data := chunk.read(CHUNK_BYTES):
+                            out.write(data)
+            store.move(joined, target)
+        self.abort(messages)
+
+    def abort(self, messages) -> None:
+        from pyarrow import fs
+
+        store, root = self._store()
+        left = f"{root}/_unpublished-{self.job}"
+        if store.get_file_info(left).type == fs.FileType.Directory:
+            store.delete_dir(left)
 
 
 def write_bodies(session_words: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, parts: bool = False) -> None:
-    """One body per session; a session without words has no file."""
-    session_words.sparkSession.dataSource.register(BodySink)
+    """One body per session; a session without words has no file. A body that is there already is replaced.
+
+    Joined bodies pass through the driver chunk by chunk; with ``parts`` only names do, which is the form for long
+    captures."""
+    session_words.sparkSession.dataSource.register(BodySource)
     body_chunks(session_words, chunk_bytes).write.format("capture_body").options(
         chunk_bytes=chunk_bytes, parts=str(parts).lower()
     ).mode("append").save(path)
@@ -190,10 +246,10 @@ def annotate_log(rows: DataFrame) -> DataFrame:
 
 
 def write_annotated_csv(rows: DataFrame, path: str) -> None:
-    """Annotated logs, one folder ``<log>_annotated`` each."""
-    named = annotate_log(rows).withColumn("file", F.concat("log_id", F.lit("_annotated"))).drop("log_id")
-    out = named.select(
-        "file", F.col("id").alias("Id"), F.col("time_text").alias("Time[ns]"),
-        F.col("mosi_text").alias("1:SPI: MOSI data"), "Description",
-    )
+    """Annotated logs, one folder ``<log>_annotated`` each, in file order and with all columns under their names."""
+    headings = {f.name: f.metadata.get("heading", f.name) for f in rows.schema.fields}
+    named = annotate_log(rows).withColumn("file", F.concat("log_id", F.lit("_annotated")))
+    ordered = named.repartitionByRange("file", "seq").sortWithinPartitions("file", "seq")
+    kept = [c for c in rows.columns if c not in ("log_id", "seq")]
+    out = ordered.select("file", *[F.col(f"`{c}`").alias(headings[c]) for c in kept], "Description")
     out.write.mode("overwrite").partitionBy("file").csv(path, header=True)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
 from logicspark.functions.scalar import parse_hex
 from logicspark.schemas import LINE_RECORD_COLUMNS, fields
+from logicspark.sources.capture import list_files, name_below, open_file, root_folder
 
 BODY_BYTES = fields(image_id="string", byte_index="bigint", byte="int")
 
@@ -26,22 +31,51 @@ def companion_path(body_path: Column) -> Column:
     return F.regexp_replace(body_path, r"^(.*?)(\.[^./]*)?$", "$1_tgck.csv")
 
 
-def read_log_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """CSV rows of command logs as text: (log_id, id, time_text, mosi_text).
+def _common_root(path: str | list[str]) -> str:
+    roots = [root_folder(p) for p in ([path] if isinstance(path, str) else path)]
+    return roots[0] if len(set(roots)) == 1 else os.path.commonpath(roots)
 
-    Every row keeps its place through ``monotonically_increasing_id`` of the file scan;
-    logs carry a running id of their own in the first field.
-    """
-    columns = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "time_text", "mosi_text")])
-    return (
-        spark.read.schema(columns)
-        .csv(path, header=True, enforceSchema=True, mode="PERMISSIVE")
-        .select(stem(F.col("_metadata.file_path")).alias("log_id"), "id", "time_text", "mosi_text")
+
+def file_name_below(root: str) -> Column:
+    """Name of the row's file below ``root``, without extension."""
+    full = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
+    below = F.substring_index(full, root.rstrip("/") + "/", -1) if root else F.element_at(F.split(full, "/"), -1)
+    return F.regexp_replace(below, r"\.[^./]*$", "")
+
+
+def file_order() -> Column:
+    """BIGINT that rises with a row's place in its file.
+
+    The start of the row's split plus its number in the scan task. A file of several splits has each full one in a
+    task of its own, and a split has fewer rows than bytes, so numbers of later splits are larger."""
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.col("_metadata.file_block_start") + number
+
+
+LOG_COLUMNS = ("id", "time_text", "mosi_text")
+
+
+def read_log_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """CSV rows of command logs as text: (log_id, seq, id, time_text, mosi_text, further columns as they are named).
+
+    ``seq`` is the row's place in the file; the log's own running id does not count, as it may be missing or repeat.
+    ``log_id`` is the file's path below the folder read. The logs of one call share a heading; names of its first three
+    columns are kept as metadata ``heading`` of the columns here."""
+    raw = spark.read.csv(path, header=True, mode="PERMISSIVE")
+    names = raw.columns
+    if len(names) < len(LOG_COLUMNS):
+        raise ValueError(f"a command log has at least three columns, got {names}")
+    known = [F.col(f"`{n}`").alias(k, metadata={"heading": n}) for n, k in zip(names, LOG_COLUMNS)]
+    return raw.select(
+        file_name_below(_common_root(path)).alias("log_id"),
+        file_order().alias("seq"),
+        *known,
+        *[F.col(f"`{n}`") for n in names[len(LOG_COLUMNS) :]],
     )
 
 
 def read_commands(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(log_id, seq, time_ns, mosi). Short rows are skipped, a bad value fails the job."""
+    """(log_id, seq, time_ns, mosi) with ``seq`` in file order. Short rows are skipped, a bad value fails the job."""
     d = read_log_rows(spark, path).filter(F.col("mosi_text").isNotNull())
     time = F.trim("time_text").try_cast("double")
     mosi = parse_hex(F.trim("mosi_text"))
@@ -52,10 +86,7 @@ def read_commands(spark: SparkSession, path: str | list[str]) -> DataFrame:
         )
 
     return d.select(
-        "log_id",
-        F.trim("id").try_cast("bigint").alias("seq"),
-        sure(time, "time_text", "double").alias("time_ns"),
-        sure(mosi, "mosi_text", "bigint").alias("mosi"),
+        "log_id", "seq", sure(time, "time_text", "double").alias("time_ns"), sure(mosi, "mosi_text", "bigint").alias("mosi")
     )
 
 
@@ -66,17 +97,17 @@ def read_log_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_line_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Line-clock tables: (image_id, rising_timestamp, falling_byte_index).
+    """Line-clock tables: (image_id, seq, rising_timestamp, falling_byte_index), ``seq`` in file order.
 
-    The third column is the line start. Unparsable rows are skipped; a table with
-    fewer than two lines gives nothing.
-    """
+    The third column is the line start; rows in which it is unreadable are skipped, whatever the others hold. A table
+    with fewer than two lines gives nothing."""
     columns = T.StructType([T.StructField(n, T.StringType()) for n in LINE_RECORD_COLUMNS])
     rows = (
         spark.read.schema(columns)
         .csv(path, header=True, enforceSchema=True)
         .select(
-            F.regexp_replace(stem(F.col("_metadata.file_path")), "_tgck$", "").alias("image_id"),
+            F.regexp_replace(file_name_below(_common_root(path)), "_tgck$", "").alias("image_id"),
+            file_order().alias("seq"),
             F.trim("rising_timestamp").try_cast("bigint").alias("rising_timestamp"),
             F.when(F.trim("falling_byte_index").rlike(r"^\+?[0-9]+$"), F.trim("falling_byte_index").try_cast("bigint")).alias(
                 "falling_byte_index"
@@ -88,30 +119,81 @@ def read_line_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.join(enough, "image_id", "left_semi")
 
 
-def read_body_chunks(spark: SparkSession, path: str | list[str], chunk_bytes: int) -> DataFrame:
-    """Capture bodies as (image_id, chunk_no, data).
-
-    Chunk files written by the body sink (``*.part-NNNNNN``) are read as they are; a
-    whole body is cut after reading, so keep long captures in chunk files.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", "content", "length")
-    name = F.element_at(F.split("path", "/"), -1)
-    part = F.regexp_extract(name, r"\.part-([0-9]+)$", 1)
-    first = F.when(part == "", F.lit(0)).otherwise(part.try_cast("bigint"))
-    n = F.greatest(F.ceil(F.col("length") / chunk_bytes), F.lit(1))
-    return (
-        files.select(
-            F.regexp_replace(name, r"\.bin(\.part-[0-9]+)?$", "").alias("image_id"),
-            first.alias("first"),
-            "content",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("i"),
-        )
-        .select(
-            "image_id",
-            (F.col("first") + F.col("i")).alias("chunk_no"),
-            F.substr("content", (F.col("i") * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes)).alias("data"),
-        )
-    )
+_CHUNK = pa.schema([("image_id", pa.string()), ("chunk_no", pa.int64()), ("data", pa.binary())])
+
+
+@dataclass
+class _Range(InputPartition):
+    """Chunks ``first`` to ``last`` - 1 of a body, and its files by the byte each begins at."""
+
+    image_id: str
+    files: list[tuple[int, str, int]]
+    first: int
+    last: int
+
+
+class BodySource(DataSource):
+    """Capture bodies in chunks of option ``chunk_bytes``; a task reads its own byte range, whatever the file sizes.
+
+    A body is ``<name>.bin``, or the files ``<name>.bin.part-<first byte>`` of a body written in parts. Option
+    ``chunks_per_partition`` sets the length of a range."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "capture_body"
+
+    def schema(self) -> T.StructType:
+        return fields(image_id="string", chunk_no="bigint", data="binary")
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _BodyReader(self.options)
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
+        from logicspark.sources.sinks import BodyWriter
+
+        return BodyWriter(self.options, overwrite)
+
+
+class _BodyReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.chunk = options["path"], int(options["chunk_bytes"])
+        self.per = int(options.get("chunks_per_partition", "8"))
+
+    def partitions(self):
+        root, bodies = root_folder(self.path), {}
+        for path, size in list_files(self.path):
+            found = re.fullmatch(r"(.*\.bin)(?:\.part-([0-9]+))?", path)
+            if found:
+                bodies.setdefault(name_below(found[1], root), []).append((int(found[2] or 0), path, size))
+        parts = []
+        for name, files in sorted(bodies.items()):
+            files.sort()
+            total = max(first + size for first, _, size in files)
+            chunks = max(1, -(-total // self.chunk))
+            parts += [_Range(name, files, k, min(chunks, k + self.per)) for k in range(0, chunks, self.per)]
+        return parts or [_Range("", [], 0, 0)]
+
+    def read(self, partition):
+        for chunk in range(partition.first, partition.last):
+            begin, end, data = chunk * self.chunk, (chunk + 1) * self.chunk, []
+            for first, path, size in partition.files:
+                low, high = max(begin, first), min(end, first + size)
+                if low < high:
+                    with open_file(path) as f:
+                        f.seek(low - first)
+                        data.append(f.read(high - low))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([partition.image_id]), pa.array([chunk], pa.int64()), pa.array([b"".join(data)], pa.binary())],
+                schema=_CHUNK,
+            )
+
+
+def read_body_chunks(spark: SparkSession, path: str, chunk_bytes: int) -> DataFrame:
+    """Capture bodies (file, glob or folder) as (image_id, chunk_no, data), in chunks of any size.
+
+    ``image_id`` is the body's path below the folder read, so bodies of several captures stay apart."""
+    spark.dataSource.register(BodySource)
+    return spark.read.format("capture_body").option("chunk_bytes", chunk_bytes).load(path)
 
 
 def body_bytes(chunks: DataFrame, chunk_bytes: int) -> DataFrame:

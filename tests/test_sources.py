@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logicspark import SpiMode, StrobeMode
-from logicspark.operators import parallel, sessions, signal, spi
+from logicspark.operators import parallel, registers, sessions, signal, spi
 from logicspark.plans import jobs, progress
 from logicspark.sources import capture, sinks, tables
 from tests.conftest import SF, rows
@@ -178,7 +178,8 @@ def test_command_log(spark, tmp_path):
     (tmp_path / "a_annotated.csv").write_text(LOG)
     (tmp_path / "b_spi.csv").write_text(LOG)
     got = tables.read_commands(spark, str(tmp_path / "a.csv"))
-    assert rows(got) == [("a", 1, 10.5, 0x600081), ("a", 2, 20.0, 0x00C0FF), ("a", 3, 30.0, 0x600000)]
+    assert rows(got.drop("seq")) == [("a", 10.5, 0x600081), ("a", 20.0, 0x00C0FF), ("a", 30.0, 0x600000)]
+    assert [r.time_ns for r in got.orderBy("seq").collect()] == [10.5, 20.0, 30.0]
     folder = tables.read_log_folder(spark, str(tmp_path))
     assert {r.log_id for r in folder.collect()} == {"a"}
     (tmp_path / "bad.csv").write_text("Id,Time[ns],x\n1,10,zz\n")
@@ -190,12 +191,47 @@ def test_command_log(spark, tmp_path):
     assert got == {"1": "START pixel stream from CCD", "2": "WRITE CCD_CLK_PHASE_00 config=0xC0FF", "short": None, "3": "STOP pixel stream"}
 
 
+def test_log_order_and_columns(spark, tmp_path):
+    """File order counts, whatever the ids say, also over several splits; further columns and headings stay."""
+    (tmp_path / "c0").mkdir()
+    (tmp_path / "c1").mkdir()
+    head = "Nr,Zeit [ns],MOSI,note\n"
+    (tmp_path / "c0" / "log.csv").write_text(head + ",10,010005,first\nx,20,010006,\n7,30,600081,\"a, b\"\n")
+    many = "".join(f"{9 - k % 10},{k},{k % 128:02X}{k % 65536:04X},n{k}\n" for k in range(5000))
+    (tmp_path / "c1" / "log.csv").write_text(head + many)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = tables.read_commands(spark, str(tmp_path / "*" / "log.csv"))
+        assert {r.log_id for r in got.select("log_id").distinct().collect()} == {"c0/log", "c1/log"}
+        in_order = [r.time_ns for r in got.filter("log_id = 'c1/log'").orderBy("seq").collect()]
+        assert in_order == [float(k) for k in range(5000)]
+        state = registers.register_state(registers.register_writes(got.filter("log_id = 'c0/log'")))
+        assert [(r.register, r.value) for r in state.collect()] == [(1, 6)]
+        sinks.write_annotated_csv(tables.read_log_rows(spark, str(tmp_path / "*" / "log.csv")), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    back = spark.read.csv(str(tmp_path / "out"), header=True)
+    assert back.columns == ["Nr", "Zeit [ns]", "MOSI", "note", "Description", "file"]
+    notes = {r["Zeit [ns]"]: r.note for r in back.filter("file = 'c0/log_annotated'").collect()}
+    assert notes == {"10": "first", "20": None, "30": "a, b"} and back.count() == 5003
+
+
+def test_first_words_of_each_capture(spark):
+    words = spark.range(60).select(
+        (F.col("id") % 3).cast("string").alias("capture_id"), F.col("id").alias("mosi"), F.lit(0).cast("bigint").alias("miso"),
+        (F.col("id") * 10).alias("t_ns"), F.lit(0.0).alias("timestamp_us"),
+    )
+    each = sinks.first_words_each(words, 4).groupBy("capture_id").agg(F.count("*").alias("n"), F.max("t_ns").alias("last"))
+    assert rows(each) == [("0", 4, 90), ("1", 4, 100), ("2", 4, 110)]
+    assert sinks.first_words_each(words, 0).count() == 60
+
+
 def test_line_records(spark, tmp_path):
     head = "a,b,c,d,e,f,g,h\n"
-    (tmp_path / "capture_0001_tgck.csv").write_text(head + "1,10, 5 ,1,1,1,1,1\nx,y,z\n2,20,77,1,1,1,1,1\n")
+    (tmp_path / "capture_0001_tgck.csv").write_text(head + "1,10, 5 ,1,1,1,1,1\nx,y,z\n2,bad,77,1,1,1,1,1\n")
     (tmp_path / "capture_0002_tgck.csv").write_text(head + "1,10,5,1,1,1,1,1\n")
     got = tables.read_line_records(spark, str(tmp_path))
-    assert rows(got) == [("capture_0001", 10, 5), ("capture_0001", 20, 77)]
+    assert rows(got.drop("seq")) == [("capture_0001", 10, 5), ("capture_0001", None, 77)]
     offsets = sessions.line_offsets(got, ["image_id"], start_offset=-9)
     assert rows(offsets) == [("capture_0001", 0, 0)]
     assert [r.width for r in sessions.line_width(got, ["image_id"]).collect()] == [72]
@@ -222,12 +258,22 @@ def test_bodies(spark, tmp_path, parts):
     for r in tables.body_bytes(chunks, 100).orderBy("image_id", "byte_index").collect():
         read.setdefault(r.image_id, bytearray()).append(r.byte)
     assert {k: bytes(v) for k, v in read.items()} == {f"capture_{n:04d}": b for n, b in want.items()}
+    for size in (7, 64, 5000):
+        again = {}
+        for r in tables.read_body_chunks(spark, out + "/*/*", size).orderBy("image_id", "chunk_no").collect():
+            assert r.chunk_no * size == len(again.setdefault(r.image_id, bytearray()))
+            again[r.image_id] += r.data
+        assert {k: bytes(v) for k, v in again.items()} == {f"c/capture_{n:04d}": b for n, b in want.items()}
+    sinks.write_bodies(words.filter("byte_index < 5"), out, chunk_bytes=100, parts=parts)
+    short = tables.read_body_chunks(spark, out + "/*/*", 1000).collect()
+    assert {(r.image_id, bytes(r.data)) for r in short} == {(f"c/capture_{n:04d}", b[:5]) for n, b in want.items()}
+    assert sorted(os.listdir(out)) == ["c"]
 
 
 def test_csv_sinks(spark, tmp_path):
     words = spark.createDataFrame([("c", 0xAB, 0, 50, 0.05), ("c", 0x12, 0, 20, 0.02)], "capture_id string, mosi long, miso long, t_ns long, timestamp_us double")
     sinks.write_spi_csv(words, str(tmp_path / "w"))
-    text = "".join(p.read_text() for p in sorted((tmp_path / "w").glob("part-*.csv")))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "w" / "capture_id=c").glob("part-*.csv")))
     assert text.splitlines() == ["Id,Time[ns],1:SPI: MOSI data", "1,20.00,000012", "2,50.00,0000AB"]
     assert sinks.spi_csv_rows(words, 1).count() == 1
     shown = sinks.spi_show_rows(words, 1).collect()
