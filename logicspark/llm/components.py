@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from logicspark.llm.shared import cut
 
 MOST_ROUNDS = 200
+ROWS_PER_TASK = 100_000
 
 
 def forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -34,6 +35,11 @@ def forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
             yield -1 - int(columns[k]), int(columns[label[k]])
 
 
+def _tasks(rows: int) -> int:
+    """Tasks that read a written table: few where it is small, so that rounds do not leave heaps of tiny files."""
+    return max(8, -(-rows // ROWS_PER_TASK))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): label is the smallest node reachable.
 
@@ -42,7 +48,10 @@ def connected(edges: DataFrame) -> DataFrame:
     node. Null ends are ignored."""
     whole = edges.select("a", "b").where("a is not null and b is not null")
     both = cut(whole.union(whole.select("b", "a")).distinct())
+    both = both.coalesce(_tasks(both.count()))
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    tasks = _tasks(labels.count())
+    labels = labels.coalesce(tasks)
     for _ in range(MOST_ROUNDS):
         known = labels.select(F.col("node").alias("v"), F.col("label").alias("found"))
         jumped = labels.join(known, labels["label"] == known["v"]).select("node", "found", F.col("label").alias("old"))
@@ -56,7 +65,7 @@ def connected(edges: DataFrame) -> DataFrame:
             .agg(F.min("found").alias("label"), F.max("old").alias("old"))
         )
         done = merged.where("label <> old").isEmpty()
-        labels = merged.select("node", "label")
+        labels = merged.select("node", "label").coalesce(tasks)
         if done:
             return labels
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

@@ -264,23 +264,24 @@ def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndar
 
 
 def sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the close pairs of each cell of a bucket."""
-    a: list[bytes] = []
-    b: list[bytes] = []
+    """Pairs of labels that the close pairs of each cell of a bucket join: a spanning forest of them."""
+    found: dict[tuple[bytes, bytes], None] = {}
+
+    def out() -> pa.RecordBatch:
+        sides = list(zip(*found, strict=True)) or [(), ()]
+        return pa.RecordBatch.from_pydict({c: pa.array(x, pa.binary()) for c, x in zip(("a", "b"), sides, strict=True)})
+
     for table, left, right in cells(batches):
         rows = {c: np.asarray(table.column(c)) for c in ("shingles", "bits1", "bits2")}
-        names = table.column("content").to_pylist()
-        near = close(rows, left, right)
-        if left is right or np.array_equal(left, right):
-            np.fill_diagonal(near, False)
-        if near.any():
-            for i, j in forest(near):
-                a.append(names[left[i] if i >= 0 else right[-1 - i]])
-                b.append(names[right[j]])
-        if len(a) >= 10_000:
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-            a, b = [], []
-    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        labels = table.column("label").to_pylist()
+        for i, j in forest(close(rows, left, right)):
+            x, y = labels[left[i] if i >= 0 else right[-1 - i]], labels[right[j]]
+            if x != y:
+                found[min(x, y), max(x, y)] = None
+        if len(found) >= 10_000:
+            yield out()
+            found.clear()
+    yield out()
 
 
 def group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,11 +428,12 @@ def groups(docs: DataFrame) -> DataFrame:
     members = cut(with_labels(shared.select("key", *sketch), grouped))
     edge = "a binary, b binary"
     may_be = in_cells(members, "key", BUCKET_BLOCK).mapInArrow(sketch_links, edge)
-    candidates = connected(may_be.union(links)).select(F.col("node").alias("content"), F.col("label").alias("group"))
+    candidates = connected(may_be).select(F.col("node").alias("label"), F.col("label").alias("group"))
+    # Labels are few where groups are large, so groups that no sketch joins to others end here.
     grown = (
         members.select(*sketch, "label")
         .dropDuplicates(["content"])
-        .join(candidates, "content")
+        .join(candidates, "label")
         .join(ordered, "content")
     )
     links = links.union(in_cells(grown, "group", GROUP_BLOCK).mapInArrow(group_links, edge))
