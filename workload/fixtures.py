@@ -162,23 +162,27 @@ def line_clock(spark: SparkSession, sf_dir: str, samples: int = 5) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """21 x n image from the embeddings (B5), planes G, B, R as 16-bit values."""
-    plane = lambda p: F.floor((F.get("embedding", F.col("col") * 3 + p).cast("double") + 1) * 20000).cast("int")
+    """22 x n image from all elements of the embeddings (B5), planes G, B, R as 16-bit values; missing ones are 0."""
+
+    def plane(p: int) -> Column:
+        value = F.floor((F.get("embedding", F.col("col") * 3 + p).cast("double") + 1) * 20000).cast("int")
+        return F.coalesce(value, F.lit(0))
+
     return (
         table(spark, sf_dir, "embeddings")
-        .select(F.concat(F.lit("img"), F.col("vec_id") * 0).alias("image_id"), F.col("vec_id").alias("row"), "embedding", _rows(0, 20).alias("col"))
+        .select(F.concat(F.lit("img"), F.col("vec_id") * 0).alias("image_id"), F.col("vec_id").alias("row"), "embedding", _rows(0, 21).alias("col"))
         .select("image_id", "row", F.col("col").cast("bigint").alias("col"), plane(0).alias("g"), plane(1).alias("b"), plane(2).alias("r"))
     )
 
 
 BODY_CHUNK = 1000
-LINE_STRIDE = 131  # 126 bytes of pixels and a gap
+LINE_STRIDE = 137  # 132 bytes of pixels and a gap
 
 
 def body(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The pixel image as body chunks (image_id, chunk_no, data) and line starts.
 
-    Line r starts at r * 131 + r % 3; bytes between lines are 0xEE.
+    Line r starts at r * 137 + r % 3; bytes between lines are 0xEE.
     """
     px = pixels(spark, sf_dir)
     start = F.expr(f"row * {LINE_STRIDE} + row % 3")
@@ -190,7 +194,7 @@ def body(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
                              F.struct((F.col("at") + 1).alias("at"), F.expr("v div 256").alias("x"))))
     data = values.select("image_id", pair.alias("b")).select("image_id", "b.at", "b.x")
     gaps = px.filter("col = 0").select(
-        "image_id", F.explode(F.sequence(start + 126, start + LINE_STRIDE)).alias("at"), F.lit(238).cast("bigint").alias("x")
+        "image_id", F.explode(F.sequence(start + 132, start + LINE_STRIDE)).alias("at"), F.lit(238).cast("bigint").alias("x")
     )
     # the byte after a gap may belong to the next line, whose data wins; bytes before line 0 do not exist
     bytes_ = gaps.withColumn("o", F.lit(1)).unionByName(data.withColumn("o", F.lit(0)).withColumn("x", F.col("x").cast("bigint")))

@@ -121,8 +121,9 @@ PIXELS = """flat as (
   select vec_id as row, generate_subscripts(embedding, 1) - 1 as i, unnest(embedding) as x from embeddings),
 px as (
   select row, i // 3 as col,
-    max(case when i % 3 = 0 then v end) as g, max(case when i % 3 = 1 then v end) as b, max(case when i % 3 = 2 then v end) as r
-  from (select row, i, cast(floor((cast(x as double) + 1) * 20000) as int) as v from flat where i < 63) group by row, i // 3)"""
+    coalesce(max(case when i % 3 = 0 then v end), 0) as g, coalesce(max(case when i % 3 = 1 then v end), 0) as b,
+    coalesce(max(case when i % 3 = 2 then v end), 0) as r
+  from (select row, i, cast(floor((cast(x as double) + 1) * 20000) as int) as v from flat) group by row, i // 3)"""
 
 
 def _mul(c: str, divisor: int) -> str:
@@ -137,7 +138,7 @@ SCALED = PIXELS + f""", sc as (
   select row, col, {_mul('g', 96)} as g, {_mul('b', 96)} as b, {_mul('r', 96)} as r from px)"""
 MEANS = PIXELS + """, means as (
   select row, avg(g) as g, avg(b) as b, avg(r) as r from px
-  where col between 1 and 19 group by row),
+  where col between 1 and 20 group by row),
 deriv as (
   select row, lead(g) over (order by row) - g as g, lead(b) over (order by row) - b as b, lead(r) over (order by row) - r as r
   from means qualify lead(row) over (order by row) is not null)"""
@@ -352,22 +353,22 @@ from prof order by prof.corr desc, delta limit 5""",
     + ", rp as (select delta, x.g as a, y.r as b from deltas, deriv x join deriv y on y.row = x.row + delta)"
     + ", rr as (select delta, covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)) as corr from rp group by delta having count(*) >= 10 order by 2 desc, 1 limit 1)"
     + " select -bb.delta as bg_delta, round(bb.corr, 6) as bg_corr, rr.delta as gr_delta, round(rr.corr, 6) as gr_corr from bb, rr",
-    # 8 x 90 screen over 21 columns, 21/8 source pixels per cell, scrolled 2 rows
+    # 8 x 90 screen over 22 columns, 22/8 source pixels per cell, scrolled 2 rows
     "viewport_bins": f"""with {PIXELS}, b as (
   select row, col, (row - 2) * 8 as ry, col * 8 as rx from px where row >= 2)
 select row, col, dy, dx from (
-  select row, col, (select max(n) from range(0, 90) t(n) where (n * 21) // 8 + 2 <= row) as dy,
-    (select max(n) from range(0, 8) t(n) where (n * 21) // 8 <= col) as dx from b)
-where row < (90 * 21) // 8 + 2""",
+  select row, col, (select max(n) from range(0, 90) t(n) where (n * 22) // 8 + 2 <= row) as dy,
+    (select max(n) from range(0, 8) t(n) where (n * 22) // 8 <= col) as dx from b)
+where row < (90 * 22) // 8 + 2""",
     "box_downsample": f"""with {SCALED}, cell as (
-  select dy, dx, (dy * 21) // 8 + 2 as r0, ((dy + 1) * 21) // 8 + 2 as r1, (dx * 21) // 8 as c0, ((dx + 1) * 21) // 8 as c1
+  select dy, dx, (dy * 22) // 8 + 2 as r0, ((dy + 1) * 22) // 8 + 2 as r1, (dx * 22) // 8 as c0, ((dx + 1) * 22) // 8 as c1
   from range(0, 90) a(dy) cross join range(0, 8) b(dx)),
 s as (select dy, dx, sum(r) // count(*) as r, sum(g) // count(*) as g, sum(b) // count(*) as b
   from cell join sc on row >= r0 and row < r1 and col >= c0 and col < c1 group by dy, dx)
 select dy, dx, coalesce(cast(r * 65536 + g * 256 + b as int), 3355443) as rgb from cell left join s using (dy, dx)""",
-    # 84 x 60 screen over 21 columns at zoom 2: half a source pixel per cell
+    # 88 x 60 screen over 22 columns at zoom 2: half a source pixel per cell
     "nearest_upsample": f"""with {SCALED} select dy, dx, coalesce((r << 16) + (g << 8) + b, 3355443) as rgb
-from range(0, 60) a(dy) cross join range(0, 84) b(dx) left join sc on row = dy // 2 + 3 and col = dx // 2 + 1""",
+from range(0, 60) a(dy) cross join range(0, 88) b(dx) left join sc on row = dy // 2 + 3 and col = dx // 2 + 1""",
     "scan_image": f"""with {SCALED}, {_shift('sc', '- 1', '+ 2')} select row, col, (r << 16) + (g << 8) + b as rgb from shifted""",
     "parse_sample_rate": """with t as (
   select event_id, user_id, cast(event_id % 9 as int) as n from events)

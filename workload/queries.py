@@ -533,8 +533,8 @@ def _shape(spark, sf) -> DataFrame:
 def pixel_u16(spark, sf):
     """Pixels to body bytes with ragged line gaps, and back."""
     chunks, lines = fx.body(spark, sf)
-    cut = image.line_bytes(chunks, lines, F.lit(126), chunk_bytes=fx.BODY_CHUNK)
-    return image.pixels_u16(cut, 21).select("row", "col", "g", "b", "r")
+    cut = image.line_bytes(chunks, lines, F.lit(132), chunk_bytes=fx.BODY_CHUNK)
+    return image.pixels_u16(cut, 22).select("row", "col", "g", "b", "r")
 
 
 @query
@@ -641,8 +641,8 @@ def auto_deltas(spark, sf):
     return d.select("bg_delta", F.round("bg_corr", 6).alias("bg_corr"), "gr_delta", F.round("gr_corr", 6).alias("gr_corr"))
 
 
-OUT = image.Viewport(21, 8, 90, scroll_row=2.0, scroll_col=0.0, zoom=1.0)
-IN = image.Viewport(21, 84, 60, scroll_row=3.0, scroll_col=1.0, zoom=2.0)
+OUT = image.Viewport(22, 8, 90, scroll_row=2.0, scroll_col=0.0, zoom=1.0)
+IN = image.Viewport(22, 88, 60, scroll_row=3.0, scroll_col=1.0, zoom=2.0)
 
 
 def _frame(spark, sf) -> DataFrame:
@@ -669,7 +669,7 @@ def scan_image(spark, sf):
     """The composed job: body bytes and lines to an aligned colour frame."""
     chunks, lines = fx.body(spark, sf)
     d = jobs.scan_image(
-        chunks, lines, width_bytes=126, chunk_bytes=fx.BODY_CHUNK, bg_delta=1, gr_delta=2, gain=GAIN
+        chunks, lines, width_bytes=132, chunk_bytes=fx.BODY_CHUNK, bg_delta=1, gr_delta=2, gain=GAIN
     )
     return d.select("row", "col", "rgb")
 
