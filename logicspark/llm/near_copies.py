@@ -263,62 +263,74 @@ def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndar
         yield whole()
 
 
-def sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of labels that the close pairs of each cell of a bucket join: a spanning forest of them."""
-    found: dict[tuple[bytes, bytes], None] = {}
+class Joined:
+    """Which names of a task are joined already."""
+
+    def __init__(self) -> None:
+        self.root: dict[bytes, bytes] = {}
+
+    def find(self, name: bytes) -> bytes:
+        above = self.root.setdefault(name, name)
+        while above != name:
+            self.root[name] = self.root[above]
+            name, above = above, self.root[above]
+        return name
+
+    def join(self, x: bytes, y: bytes) -> bool:
+        """Whether the two were apart until now."""
+        x, y = self.find(x), self.find(y)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
+
+
+def edges_of(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    columns = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.RecordBatch.from_pydict({c: pa.array(x, pa.binary()) for c, x in zip("ab", columns, strict=True)})
 
-    def out() -> pa.RecordBatch:
-        sides = list(zip(*found, strict=True)) or [(), ()]
-        return pa.RecordBatch.from_pydict({c: pa.array(x, pa.binary()) for c, x in zip(("a", "b"), sides, strict=True)})
 
+#: Pairs after which a task forgets what it has joined, so that its memory stays bounded.
+FORGET = 200_000
+
+
+def sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of labels that close pairs of a bucket's cell join and that the task has not joined before."""
+    joined, count = Joined(), 0
     for table, left, right in cells(batches):
         rows = {c: np.asarray(table.column(c)) for c in ("shingles", "bits1", "bits2")}
         labels = table.column("label").to_pylist()
+        found = []
         for i, j in forest(close(rows, left, right)):
             x, y = labels[left[i] if i >= 0 else right[-1 - i]], labels[right[j]]
-            if x != y:
-                found[min(x, y), max(x, y)] = None
-        if len(found) >= 10_000:
-            yield out()
-            found.clear()
-    yield out()
+            if joined.join(x, y):
+                found.append((min(x, y), max(x, y)))
+        count += len(found)
+        if found:
+            yield edges_of(found)
+        if count > FORGET:
+            joined, count = Joined(), 0
 
 
 def group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each cell of a candidate group that join contents not yet joined, the closest sketches first. Contents
-    of one label are joined already."""
+    """Pairs of labels that links of a candidate group's cell join, looked for among the closest sketches first."""
     for table, left, right in cells(batches):
         rows = {c: np.asarray(table.column(c)) for c in ("shingles", "bits1", "bits2")}
-        names, labels = table.column("content").to_pylist(), table.column("label").to_pylist()
-        root = list(range(len(names)))
-        first: dict[bytes, int] = {}
-        for k, label in enumerate(labels):
-            root[k] = first.setdefault(label, k)
-
-        def find(k: int, root: list[int] = root) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
+        labels, joined = table.column("label").to_pylist(), Joined()
         i, j = np.nonzero(close(rows, left, right))
         i, j = left[i], right[j]
         if np.array_equal(left, right):
             i, j = i[i < j], j[i < j]
         differing = sum(np.bitwise_count((rows[c][i] ^ rows[c][j]).view(np.uint64)) for c in ("bits1", "bits2"))
         sides: Sequences | None = None
-        a, b = [], []
+        found = []
         for k in np.argsort(differing, kind="stable"):
             p, q = int(i[k]), int(j[k])
-            x, y = find(p), find(q)
-            if x == y:
+            if joined.find(labels[p]) == joined.find(labels[q]):
                 continue
             sides = sides or Sequences(table.column("ordered").to_pylist())
             if sides.near(p, q):
-                root[max(x, y)] = min(x, y)
-                a.append(names[p])
-                b.append(names[q])
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+                joined.join(labels[p], labels[q])
+                found.append((labels[p], labels[q]))
+        yield edges_of(found)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -436,12 +448,11 @@ def groups(docs: DataFrame) -> DataFrame:
         .join(candidates, "label")
         .join(ordered, "content")
     )
-    links = links.union(in_cells(grown, "group", GROUP_BLOCK).mapInArrow(group_links, edge))
-
-    final = connected(links).withColumnRenamed("node", "content")
+    further = connected(in_cells(grown, "group", GROUP_BLOCK).mapInArrow(group_links, edge))
     keyed_rows = signed.select("doc_id", "text_key", "content")
-    heads = contents.select("content", "doc_id").join(final, "content", "left")
-    heads = heads.select("content", "doc_id", F.coalesce("label", "content").alias("group_key"))
+    further = further.select(F.col("node").alias("label"), F.col("label").alias("group_key"))
+    heads = with_labels(contents.select("content", "doc_id"), grouped).join(further, "label", "left")
+    heads = heads.select("content", "doc_id", F.coalesce("group_key", "label").alias("group_key"))
     classes = heads.groupBy("group_key").agg(F.min("doc_id").alias("class_id"))
     heads = cut(heads.select("content", "group_key").join(classes, "group_key"))
     return keyed_rows.join(heads, "content").select(
