@@ -18,6 +18,7 @@ from logicspark.functions.scalar import BACKGROUND, BYTES_PER_PIXEL
 from logicspark.schemas import PIXELS, DisplayMode, require_columns
 
 IMAGE = ["image_id"]
+PLANES = ("g", "b", "r")
 CHUNK_BYTES = 1 << 20
 
 
@@ -88,7 +89,7 @@ def geometry(pixels: DataFrame) -> DataFrame:
     )
 
 
-def _fed_rows(delta: int) -> Column:
+def _fed_rows(delta: Column) -> Column:
     """Output rows that read this source row when row - delta is clamped to the image."""
     row, last = F.col("row"), F.col("total_rows") - 1
     low = F.greatest(F.when(row == 0, F.lit(0)).otherwise(row + delta), F.lit(0))
@@ -96,25 +97,45 @@ def _fed_rows(delta: int) -> Column:
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
 
-def row_shift_compose(pixels: DataFrame, bg_delta: int, gr_delta: int, shape: DataFrame | None = None) -> DataFrame:
+def row_shift_compose(
+    pixels: DataFrame,
+    bg_delta: int = 0,
+    gr_delta: int = 0,
+    shape: DataFrame | None = None,
+    deltas: DataFrame | None = None,
+) -> DataFrame:
     """Blue from ``row - bg_delta``, red from ``row + gr_delta``, both clamped to the image.
 
-    Every plane value is sent to the rows that read it and the planes meet in one
-    aggregation, so the pixel table is shuffled once and never joined with itself.
+    ``deltas`` (image_id, bg_delta, gr_delta) gives each image shifts of its own; images it lacks take the two numbers.
+    Pixels are gathered to image lines once; from there whole lines go to the rows that read them and meet in one
+    aggregation, three rows for a line, and the pixel table is never joined with itself.
     """
     require_columns(pixels, PIXELS, "pixels")
-    shape = geometry(pixels) if shape is None else shape
-    d = pixels.join(shape.select(*IMAGE, "total_rows"), "image_id")
-    none = F.lit(None).cast("int")
-    green = d.select(*IMAGE, "row", "col", "g", none.alias("b"), none.alias("r"))
-    blue = d.select(*IMAGE, F.explode(_fed_rows(bg_delta)).alias("row"), "col", none.alias("g"), "b", none.alias("r"))
-    red = d.select(*IMAGE, F.explode(_fed_rows(-gr_delta)).alias("row"), "col", none.alias("g"), none.alias("b"), "r")
-    return (
-        green.unionByName(blue)
-        .unionByName(red)
-        .groupBy(*IMAGE, "row", "col")
-        .agg(F.max("g").alias("g"), F.max("b").alias("b"), F.max("r").alias("r"))
+    shifts = (geometry(pixels) if shape is None else shape).select(*IMAGE, "total_rows")
+    blue_by, red_by = F.lit(bg_delta), F.lit(gr_delta)
+    if deltas is not None:
+        own = deltas.select(*IMAGE, F.col("bg_delta").alias("__bg"), F.col("gr_delta").alias("__gr"))
+        shifts = shifts.join(own, IMAGE, "left")
+        blue_by, red_by = F.coalesce("__bg", blue_by), F.coalesce("__gr", red_by)
+    shifts = shifts.select(*IMAGE, "total_rows", blue_by.cast("bigint").alias("__bg"), red_by.cast("bigint").alias("__gr"))
+    line = F.array_sort(F.collect_list(F.struct("col", *PLANES)))
+    d = pixels.groupBy(*IMAGE, "row").agg(line.alias("line")).join(shifts, IMAGE)
+
+    def sent(rows: Column, plane: str) -> DataFrame:
+        values = {p: F.col(f"line.{p}") if p == plane else F.lit(None).cast("array<int>") for p in PLANES}
+        return d.select(*IMAGE, F.explode(rows).alias("row"), *[v.alias(p) for p, v in values.items()])
+
+    met = (
+        sent(F.array("row"), "g")
+        .unionByName(sent(_fed_rows(F.col("__bg")), "b"))
+        .unionByName(sent(_fed_rows(-F.col("__gr")), "r"))
+        .groupBy(*IMAGE, "row")
+        .agg(*[F.max(p).alias(p) for p in PLANES])
     )
+    longest = F.greatest(*[F.coalesce(F.size(p), F.lit(0)) for p in PLANES])
+    at = F.explode(F.when(longest > 0, F.sequence(F.lit(0), longest - 1)).otherwise(F.array().cast("array<int>")))
+    cells = met.withColumn("__at", at)
+    return cells.select(*IMAGE, "row", F.col("__at").cast("bigint").alias("col"), *[F.get(p, F.col("__at")).alias(p) for p in PLANES])
 
 
 def channel_toggle(pixels: DataFrame, show_r: bool = True, show_g: bool = True, show_b: bool = True) -> DataFrame:
@@ -139,15 +160,16 @@ def frame_decode(
     gain: float = 1.0 / 96.0,
     gamma: bool = False,
     shape: DataFrame | None = None,
+    deltas: DataFrame | None = None,
 ) -> DataFrame:
-    """(image_id, row, col, rgb) of a grayscale or colour frame."""
+    """(image_id, row, col, rgb) of a grayscale or colour frame; ``deltas`` as in ``row_shift_compose``."""
     scaled = gain_gamma(pixels, gain, gamma)
     r, g, b = F.col("r"), F.col("g"), F.col("b")
     if mode is DisplayMode.GRAYSCALE:
         gray = scaled.withColumn("v", scalar.luma(r, g, b))
         return gray.select(*IMAGE, "row", "col", scalar.pack_rgb(F.col("v"), F.col("v"), F.col("v")).alias("rgb"))
-    if bg_delta or gr_delta:
-        scaled = row_shift_compose(scaled, bg_delta, gr_delta, shape)
+    if bg_delta or gr_delta or deltas is not None:
+        scaled = row_shift_compose(scaled, bg_delta, gr_delta, shape, deltas)
     shown = channel_toggle(scaled, show_r, show_g, show_b)
     return shown.select(*IMAGE, "row", "col", scalar.pack_rgb(r, g, b).alias("rgb"))
 

@@ -18,14 +18,16 @@ from logicspark.sources.sinks import register_csv_rows
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors see: ``spark.checkpoint.dir``, or a local one in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     import tempfile
 
-    return tempfile.gettempdir()
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -35,11 +37,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Broadcast a narrow table when it is seen to be small, else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def spi_decode(
     blocks: DataFrame | Callable[[list[int]], DataFrame],
     *,
@@ -105,6 +102,40 @@ def controlled_capture(
     return ControlledCapture(control, words, edges, records, sessions.capture_index(words, records, width))
 
 
+def capture_job(
+    blocks: DataFrame,
+    *,
+    cs: int,
+    clk: int,
+    mosi: int,
+    line_clock: int,
+    strobe: int,
+    data: Sequence[int],
+    bus_cs: int | None = None,
+    bits_per_word: int = 24,
+    spi_mode: SpiMode = SpiMode.MODE0,
+    spi_polarity: CsPolarity = CsPolarity.ACTIVE_LOW,
+    mode: StrobeMode = StrobeMode.ANY,
+    polarity: CsPolarity = CsPolarity.DISABLED,
+    enable: int = ENABLE_COMMAND,
+    disable: int = DISABLE_COMMAND,
+    width: int = DEFAULT_WIDTH,
+) -> ControlledCapture:
+    """From one block table to sessions, line records and index: the serial lines are decoded to commands, commands
+    gate and split the bus words, and the line clock marks the lines in them."""
+    commands = stage(
+        spi_decode(
+            blocks, cs=cs, clk=clk, mosi=mosi, bits_per_word=bits_per_word, mode=spi_mode, polarity=spi_polarity, width=width
+        ).select("capture_id", "t_ns", "mosi"),
+        "commands",
+    )
+    clock = stage(signal.edge_runs(signal.project_channels(blocks, [line_clock])).drop("channel"), "line-clock")
+    return controlled_capture(
+        blocks, clock, commands, strobe=strobe, data=data, cs=bus_cs, mode=mode, polarity=polarity,
+        enable=enable, disable=disable, width=width,
+    )
+
+
 def register_dump(
     commands: DataFrame,
     capture_num: int | None = None,
@@ -152,7 +183,7 @@ def scan_image(
     shifted = bool(bg_delta or gr_delta) and mode is DisplayMode.COLOR
     return image.frame_decode(
         pixels, mode, bg_delta=bg_delta, gr_delta=gr_delta, gain=gain, gamma=gamma,
-        shape=small_side(shape) if shifted else None,
+        shape=shape if shifted else None,
     )
 
 
@@ -160,16 +191,10 @@ def aligned_scan_image(
     chunks: DataFrame, lines: DataFrame, *, width_bytes: int, chunk_bytes: int = image.CHUNK_BYTES,
     max_delta: int = alignment.MAX_DELTA, **options,
 ) -> tuple[DataFrame, DataFrame]:
-    """Frame with detected shifts, for a single image, and the table of shifts."""
+    """Frame with the shifts detected for each image, and the table of shifts."""
     pixel_width = width_bytes // image.BYTES_PER_PIXEL
     cut = image.line_bytes(chunks, lines, F.lit(pixel_width * image.BYTES_PER_PIXEL), chunk_bytes)
     pixels = stage(image.pixels_u16(cut, pixel_width), "pixels")
-    shape = small_side(stage(image.geometry(pixels), "shape"))
+    shape = stage(image.geometry(pixels), "shape")
     deltas = stage(alignment.auto_deltas(pixels, shape, max_delta), "deltas")
-    one = deltas.limit(2).collect()
-    if len(one) != 1:
-        raise ValueError("detected shifts apply to one image at a time")
-    frame = image.frame_decode(
-        pixels, DisplayMode.COLOR, bg_delta=one[0]["bg_delta"], gr_delta=one[0]["gr_delta"], shape=shape, **options
-    )
-    return frame, deltas
+    return image.frame_decode(pixels, DisplayMode.COLOR, shape=shape, deltas=deltas, **options), deltas

@@ -8,7 +8,7 @@ is repeated after a failure overwrites itself.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,11 +103,13 @@ class _BlockStep:
         )
 
 
-def _start(stream: DataFrame, step, folder: str) -> StreamingQuery:
+def _start(stream: DataFrame, step, folder: str, trigger: Mapping[str, object] | None) -> StreamingQuery:
+    """``trigger`` is that of ``DataStreamWriter.trigger``, such as ``{"processingTime": "5 seconds"}`` for a live feed;
+    without one the query works off what is there and ends."""
     return (
         stream.writeStream.foreachBatch(step)
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -124,6 +126,7 @@ def stream_spi(
     mode: SpiMode = SpiMode.MODE0,
     polarity: CsPolarity = CsPolarity.ACTIVE_LOW,
     width: int = DEFAULT_WIDTH,
+    trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
     """Serial words of a block stream, written to ``<folder>/words`` when a window closes.
 
@@ -152,7 +155,7 @@ def stream_spi(
         tables.write(folded.filter(~closed).select(*spi.PARTS.names), "open", batch_id)
         tables.write(spi.finish_words(folded.filter(closed), bits_per_word), "words", batch_id)
 
-    return _start(blocks, step, folder)
+    return _start(blocks, step, folder, trigger)
 
 
 def stream_parallel(
@@ -166,6 +169,7 @@ def stream_parallel(
     polarity: CsPolarity = CsPolarity.DISABLED,
     control: DataFrame | None = None,
     width: int = DEFAULT_WIDTH,
+    trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
     """Bus words of a block stream, written to ``<folder>/words``.
 
@@ -185,7 +189,7 @@ def stream_parallel(
         )
         tables.write(words, "words", batch_id)
 
-    return _start(blocks, step, folder)
+    return _start(blocks, step, folder, trigger)
 
 
 SESSION_EVENTS = fields(
@@ -210,66 +214,98 @@ SESSION_WORDS = fields(
 )
 
 
-def stream_sessions(events: DataFrame, folder: str, width: int = DEFAULT_WIDTH) -> StreamingQuery:
+_REACH = fields(capture_id="string", kind="string", t_ns="bigint")
+
+
+def stream_sessions(
+    events: DataFrame, folder: str, width: int = DEFAULT_WIDTH, trigger: Mapping[str, object] | None = None
+) -> StreamingQuery:
     """Sessions of a stream of words and control rows, to ``<folder>/session_words``.
 
-    A batch is worked off up to the time both kinds have reached; later rows are held.
-    Kept per capture: control state, last session number, its enable time and word count.
+    A batch is worked off up to the time both kinds have reached; later rows are held until then, or until
+    ``flush_sessions``. Rows that come behind a time worked off already go to ``<folder>/late``. Kept per capture:
+    control state, last session number, its enable time and word count.
     """
     tables = BatchTables(events.sparkSession, folder)
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        held = tables.read("held", batch_id - 1, SESSION_EVENTS)
-        pool = tables.write(batch.select(*SESSION_EVENTS.names).unionByName(held), "pool", batch_id)
-        state = tables.read("state", batch_id - 1, _SESSION_STATE)
-        seen = tables.read("reach", batch_id - 1, fields(capture_id="string", kind="string", t_ns="bigint"))
-        reach = tables.write(
-            seen.unionByName(pool.select(*BY, "kind", "t_ns")).groupBy(*BY, "kind").agg(F.max("t_ns").alias("t_ns")),
-            "reach", batch_id,
-        )
-        upto = reach.groupBy(*BY).agg(F.count(F.lit(1)).alias("__kinds"), F.min("t_ns").alias("__upto"))
-        upto = upto.filter("__kinds = 2").drop("__kinds")
-        known = pool.join(upto, BY, "left")
-        done = F.coalesce(F.col("t_ns") <= F.col("__upto"), F.lit(False))
-        tables.write(known.filter(~done).select(*SESSION_EVENTS.names), "held", batch_id)
-        ready = known.filter(done)
-        words = ready.filter("kind = 'word'").select(*BY, "value", "t_ns", (F.col("t_ns") / 1000).alias("timestamp_us"))
-        control = ready.filter("kind = 'control'").select(*CONTROL.names)
-        both = control.unionByName(state.select(*CONTROL.names))
-        numbered = sessions.assign_sessions(words.select(*WORDS.names), both, width).join(
-            state.select(*BY, "last_file", "file_at", F.col("words").alias("__before")), BY, "left"
-        )
-        numbered = tables.write(numbered, "numbered", batch_id)
-        # the first session of a batch may go on from the batch before
-        opening = numbered.filter("file_num = 1").groupBy(*BY).agg(
-            F.coalesce(F.max(F.col("enabled_at") == F.col("file_at")), F.lit(False)).alias("__goes_on")
-        )
-        last = F.coalesce("last_file", F.lit(0))
-        goes_on = F.col("__goes_on")
-        out = numbered.join(opening, BY).select(
-            *BY, "value", "t_ns",
-            (F.col("file_num") + last - goes_on.cast("bigint")).alias("file_num"),
-            (F.col("byte_index") + F.when(goes_on & (F.col("file_num") == 1), F.col("__before")).otherwise(F.lit(0))).alias(
-                "byte_index"
-            ),
-            "enabled_at",
-        )
-        out = tables.write(out, "session_words", batch_id)
-        newest = out.groupBy(*BY).agg(
-            F.max("file_num").alias("n_file"),
-            F.max_by("enabled_at", "t_ns").alias("n_at"),
-            (F.max_by("byte_index", "t_ns") + 1).alias("n_words"),
-        )
-        switch = both.groupBy(*BY).agg(F.max_by(F.struct("state", "t_ns"), "t_ns").alias("c"))
-        previous = state.select(*BY, "last_file", "file_at", "words")
-        tables.write(
-            switch.join(newest, BY, "left").join(previous, BY, "left").select(
-                *BY, "c.state", "c.t_ns",
-                F.coalesce("n_file", "last_file", F.lit(0)).cast("bigint").alias("last_file"),
-                F.coalesce("n_at", "file_at").alias("file_at"),
-                F.coalesce("n_words", "words", F.lit(0)).cast("bigint").alias("words"),
-            ),
-            "state", batch_id,
-        )
-
-    return _start(events, step, folder)
+    return _start(events, lambda batch, number: _session_step(tables, batch, number, width), folder, trigger)
+
+
+def flush_sessions(spark: SparkSession, folder: str, width: int = DEFAULT_WIDTH) -> None:
+    """Work off the rows that a stopped ``stream_sessions`` still holds, as if both kinds went on for ever.
+
+    The result stands under the number of the next batch, so a stream that is started again overwrites it with what it
+    then knows."""
+    tables = BatchTables(spark, folder)
+    # By file names, as tables without rows have no partition value.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/state").select("path")
+    last = files.select(F.max(F.regexp_extract("path", r"/batch=([0-9]+)/", 1).cast("int"))).first()[0]
+    _session_step(tables, spark.createDataFrame([], SESSION_EVENTS), last + 1, width, to_the_end=True)
+
+
+def _frontier(reach: DataFrame) -> DataFrame:
+    """(capture_id, __upto): the time both kinds have reached."""
+    both = reach.groupBy(*BY).agg(F.count(F.lit(1)).alias("__kinds"), F.min("t_ns").alias("__upto"))
+    return both.filter("__kinds = 2").drop("__kinds")
+
+
+def _session_step(
+    tables: BatchTables, batch: DataFrame, batch_id: int, width: int, to_the_end: bool = False
+) -> None:
+    held = tables.read("held", batch_id - 1, SESSION_EVENTS)
+    state = tables.read("state", batch_id - 1, _SESSION_STATE)
+    seen = tables.read("reach", batch_id - 1, _REACH)
+    passed = _frontier(seen).withColumnRenamed("__upto", "__passed")
+    arrived = tables.write(
+        batch.select(*SESSION_EVENTS.names)
+        .join(passed, BY, "left")
+        .withColumn("late", F.coalesce(F.col("t_ns") <= F.col("__passed"), F.lit(False)))
+        .drop("__passed"),
+        "arrived", batch_id,
+    )
+    tables.write(arrived.filter("late").drop("late"), "late", batch_id)
+    pool = tables.write(arrived.filter("not late").drop("late").unionByName(held), "pool", batch_id)
+    reach = tables.write(
+        seen.unionByName(pool.select(*BY, "kind", "t_ns")).groupBy(*BY, "kind").agg(F.max("t_ns").alias("t_ns")),
+        "reach", batch_id,
+    )
+    known = pool.join(_frontier(reach), BY, "left")
+    done = F.lit(True) if to_the_end else F.coalesce(F.col("t_ns") <= F.col("__upto"), F.lit(False))
+    tables.write(known.filter(~done).select(*SESSION_EVENTS.names), "held", batch_id)
+    ready = known.filter(done)
+    words = ready.filter("kind = 'word'").select(*BY, "value", "t_ns", (F.col("t_ns") / 1000).alias("timestamp_us"))
+    control = ready.filter("kind = 'control'").select(*CONTROL.names)
+    both = control.unionByName(state.select(*CONTROL.names))
+    numbered = sessions.assign_sessions(words.select(*WORDS.names), both, width).join(
+        state.select(*BY, "last_file", "file_at", F.col("words").alias("__before")), BY, "left"
+    )
+    numbered = tables.write(numbered, "numbered", batch_id)
+    # the first session of a batch may go on from the batch before
+    opening = numbered.filter("file_num = 1").groupBy(*BY).agg(
+        F.coalesce(F.max(F.col("enabled_at") == F.col("file_at")), F.lit(False)).alias("__goes_on")
+    )
+    last = F.coalesce("last_file", F.lit(0))
+    goes_on = F.col("__goes_on")
+    before = F.when(goes_on & (F.col("file_num") == 1), F.col("__before")).otherwise(F.lit(0))
+    out = numbered.join(opening, BY).select(
+        *BY, "value", "t_ns",
+        (F.col("file_num") + last - goes_on.cast("bigint")).alias("file_num"),
+        (F.col("byte_index") + before).alias("byte_index"),
+        "enabled_at",
+    )
+    out = tables.write(out, "session_words", batch_id)
+    newest = out.groupBy(*BY).agg(
+        F.max("file_num").alias("n_file"),
+        F.max_by("enabled_at", "t_ns").alias("n_at"),
+        (F.max_by("byte_index", "t_ns") + 1).alias("n_words"),
+    )
+    switch = both.groupBy(*BY).agg(F.max_by(F.struct("state", "t_ns"), "t_ns").alias("c"))
+    previous = state.select(*BY, "last_file", "file_at", "words")
+    tables.write(
+        switch.join(newest, BY, "left").join(previous, BY, "left").select(
+            *BY, "c.state", "c.t_ns",
+            F.coalesce("n_file", "last_file", F.lit(0)).cast("bigint").alias("last_file"),
+            F.coalesce("n_at", "file_at").alias("file_at"),
+            F.coalesce("n_words", "words", F.lit(0)).cast("bigint").alias("words"),
+        ),
+        "state", batch_id,
+    )

@@ -15,19 +15,19 @@ def make(spark, logs):
     return spark.createDataFrame(data, "log_id string, seq long, time_ns double, mosi long")
 
 
-def fold(log):
-    regs, snaps, durations, count, since = {}, [], [], 0, None
-    for t, m in log:
-        if m == ON:
-            count, since = count + 1, t
-            snaps.append((count, t, dict(regs)))
-        elif m == OFF:
-            if since is not None:
-                durations.append((count, float(t - since)))
-                since = None
-        elif not m >> 23 & 1:
-            regs[m >> 16 & 127] = m & 0xFFFF
-    return regs, snaps, durations
+def writes_before(log, end):
+    """Last write to each register among the first ``end`` commands."""
+    return dict((m >> 16 & 127, m & 0xFFFF) for _, m in log[:end] if m not in (ON, OFF) and m < 1 << 23)
+
+
+def looked_up(log):
+    """Registers at the end, registers before each enable, and lengths of neighbouring enable and disable pairs."""
+    starts = [i for i, (_, m) in enumerate(log) if m == ON]
+    snapshots = [(n, log[i][0], writes_before(log, i)) for n, i in enumerate(starts, 1)]
+    switches = [(t, m, sum(x == ON for _, x in log[: i + 1])) for i, (t, m) in enumerate(log) if m in (ON, OFF)]
+    pairs = zip(switches, switches[1:])
+    lengths = [(n, float(t1 - t0)) for (t0, a, n), (t1, b, _) in pairs if (a, b) == (ON, OFF)]
+    return writes_before(log, len(log)), snapshots, lengths
 
 
 @pytest.fixture(scope="module")
@@ -49,7 +49,7 @@ def test_state_machine(spark, logs, width):
     writes, enabled = registers.register_writes(c), registers.enables(c, width=width)
     snapshots = registers.register_snapshots(writes, enabled, width)
     durations = registers.capture_durations(c, width=width)
-    folded = {k: fold(v) for k, v in logs.items()}
+    folded = {k: looked_up(v) for k, v in logs.items()}
     assert rows(registers.register_state(writes)) == sorted(
         ((k, r, v) for k, (regs, _, _) in folded.items() for r, v in regs.items()), key=repr
     )

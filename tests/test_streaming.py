@@ -125,9 +125,9 @@ def test_sessions_equal_batch(spark, tmp_path, pieces):
         (c, bool(i % 2), t)
         for c in ("a", "b") for i, t in enumerate([0, *sorted(rng.sample(range(1, 2000), 21))])
     ]
-    # a control row at the end lets both kinds reach the same time
-    states += [(c, False, 5000) for c in ("a", "b")]
-    words += [(c, 1, 5000, 5.0) for c in ("a", "b")]
+    # words go on after the last control row, so the tail is held until the flush
+    words += [(c, 1, 5000 + k, 5.0) for c in ("a", "b") for k in range(3)]
+    states = [r for r in states if r[2] < 1990] + [(c, True, 1995) for c in ("a", "b")]
     w = spark.createDataFrame(words, "capture_id string, value long, t_ns long, timestamp_us double")
     s = spark.createDataFrame(states, "capture_id string, state boolean, t_ns long")
     want = sessions.assign_sessions(w, s, width=100).select(*incremental.SESSION_WORDS.names)
@@ -148,6 +148,30 @@ def test_sessions_equal_batch(spark, tmp_path, pieces):
     q = incremental.stream_sessions(live, out, width=100)
     q.awaitTermination(600)
     assert q.exception() is None
-    got = incremental.BatchTables(spark, out).result("session_words", incremental.SESSION_WORDS)
-    assert rows(got) == rows(want)
+    stored = incremental.BatchTables(spark, out)
+    before = stored.result("session_words", incremental.SESSION_WORDS)
+    assert before.count() < want.count()
+    incremental.flush_sessions(spark, out, width=100)
+    assert rows(stored.result("session_words", incremental.SESSION_WORDS)) == rows(want)
+    assert stored.result("late", incremental.SESSION_EVENTS).count() == 0
+    incremental.flush_sessions(spark, out, width=100)
+    assert rows(stored.result("session_words", incremental.SESSION_WORDS)) == rows(want)
     assert want.select("file_num").distinct().count() >= 10
+
+
+def test_late_rows_go_to_a_table_of_their_own(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    columns = "capture_id string, kind string, t_ns long, value long, state boolean"
+    first = [("a", "control", 0, None, True), ("a", "word", 100, 1, None), ("a", "control", 100, None, True)]
+    second = [("a", "word", 50, 9, None), ("a", "word", 150, 2, None), ("a", "control", 160, None, False)]
+    for part in (first, second):
+        spark.createDataFrame(part, columns).coalesce(1).write.mode("append").parquet(src)
+        live = spark.readStream.schema(incremental.SESSION_EVENTS).parquet(src)
+        q = incremental.stream_sessions(live, out, width=100)
+        q.awaitTermination(600)
+        assert q.exception() is None
+    stored = incremental.BatchTables(spark, out)
+    assert [(r.t_ns, r.value) for r in stored.result("late", incremental.SESSION_EVENTS).collect()] == [(50, 9)]
+    incremental.flush_sessions(spark, out, width=100)
+    got = stored.result("session_words", incremental.SESSION_WORDS)
+    assert rows(got.select("t_ns", "file_num", "byte_index")) == [(100, 1, 0), (150, 1, 1)]

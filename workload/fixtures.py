@@ -119,6 +119,34 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SERIAL_CS, SERIAL_CLK, SERIAL_MOSI, LINE_CLOCK = 12, 13, 14, 15
+
+
+def whole_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One capture with everything: the noisy channels, a serial frame in each 100 events, a line clock.
+
+    Frame f sends enable if f % 4 is 1, disable if it is 3, else a write; the clock has half periods of 5 events."""
+    frame, o = "event_id div 100", "cast(event_id % 100 as int)"
+    word = (
+        f"case when {frame} % 4 = 1 then {ENABLE} when {frame} % 4 = 3 then {DISABLE}"
+        f" else ({frame} % 128) * 65536 + {frame} * 7 % 65536 end"
+    )
+    bit = f"cast(shiftright({word}, 23 - least(({o} - 11) div 2, 23)) & 1 as int)"
+    lines = {
+        SERIAL_CS: f"not ({o} >= 10 and {o} < 70)",
+        SERIAL_CLK: f"{o} >= 12 and {o} < 60 and {o} % 2 = 0",
+        SERIAL_MOSI: f"{o} >= 11 and {o} < 59 and {bit} = 1",
+        LINE_CLOCK: "(event_id div 5) % 2 = 1",
+    }
+    pair = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.expr(v).alias("value")) for c, v in lines.items()]))
+    more = (
+        table(spark, sf_dir, "events")
+        .select(F.lit(CAPTURE).alias("capture_id"), F.col("event_id").alias("position"), pair.alias("x"))
+        .select("capture_id", "x.channel", "position", "x.value")
+    )
+    return levels(spark, sf_dir).unionByName(more)
+
+
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Command log (B3): signup enables, error disables, click reads, others write."""
     kind = F.col("event_type")

@@ -6,6 +6,8 @@ of the round trip) rather than following the Spark plan.
 
 from __future__ import annotations
 
+from workload import oracle_names
+
 ENABLE, DISABLE = 6291585, 6291456
 
 _K = ",".join(f"({k})" for k in range(12))
@@ -66,9 +68,9 @@ sw as (
     )
 
 
-def lines(words: str = WORDS) -> str:
+def lines(words: str = WORDS, control: str = BLOCKY_CONTROL) -> str:
     return (
-        sessions(words)
+        sessions(words, control)
         + """, lc as (
   select min(event_id) * 1000 as t, cast((event_id // 5) % 2 as int) as v from events group by event_id // 5),
 le as (select t, v, lag(v, 1, 0) over (order by t) as p from lc),
@@ -99,6 +101,11 @@ widths as (
 
 
 LINES = lines()
+# the frames of a capture in which every 100 events carry one, stamped with their first clock edge
+FRAMED_CONTROL = f"""commands as (
+  select (event_id + 12) * 1000 as time_ns,
+    case when event_id // 100 % 4 = 1 then {ENABLE} when event_id // 100 % 4 = 3 then {DISABLE} else 0 end as mosi
+  from events where event_id % 100 = 0 and event_id + 70 <= (select max(event_id) from events))""" + _CONTROL
 GATED_WORDS = STROBE + """, words as (
   select position * 1000 as t, d11 + (d9 << 1) + (d4 << 2) as value from st where d10 = 1 and prev = 0 and d8 = 1)"""
 WRITES = COMMANDS + f""", writes as (
@@ -165,15 +172,13 @@ shifted as (
 
 
 def _describe(source: str) -> str:
-    from logicspark.functions.names import SEQUENCER, SPECIAL, control_rows, timing_rows
-
     def values(d: dict) -> str:
         return ",".join(f"({k}, '{v}')" for k, v in d.items())
 
     return f"""{source}, regs as (
-  select * from (values {values(timing_rows())}, {values(control_rows())}) t(reg, name)),
-specials as (select * from (values {values(SPECIAL)}) t(cmd, special)),
-seqs as (select * from (values {values(SEQUENCER)}) t(sv, sname)),
+  select * from (values {values(oracle_names.REGISTERS)}) t(reg, name)),
+specials as (select * from (values {values(oracle_names.COMMANDS)}) t(cmd, special)),
+seqs as (select * from (values {values(oracle_names.SEQUENCER)}) t(sv, sname)),
 f as (
   select seq, mosi, (mosi >> 23) & 1 as rd, (mosi >> 16) & 127 as reg, mosi & 65535 as value from src),
 described as (
@@ -288,6 +293,10 @@ asof join (select t, max(s) as s from control group by t) c on w.t >= c.t where
     "capture_index": f"""with {LINES} select sw.file_num, printf('capture_%04d.bin', sw.file_num) as filename, count(*) as bytes,
   coalesce(max(width), 0) as width, min(t) / 1000 as start_time_us, max(t) / 1000 as end_time_us,
   max(t) / 1000 - min(t) / 1000 as duration_us, min(t) as start_pos, max(t) as end_pos
+from sw left join widths using (file_num) group by sw.file_num""",
+    "controlled_capture_blocks": f"""with {lines(control=FRAMED_CONTROL)} select sw.file_num, printf('capture_%04d.bin', sw.file_num) as filename, count(*) as bytes,
+  coalesce(max(width), 0) as width, min(t) / 1000 as start_time_us, max(t) / 1000 as end_time_us,
+  max(t) / 1000 - min(t) / 1000 as duration_us, min(t) as start_pos, max(t) as end_pos
 from sw left join widths using (file_num) group by sw.file_num""",
     "capture_body_sink": f"""with {sessions()} select file_num, byte_index // 64 as chunk_no,
   string_agg(printf('%02X', value & 255), '' order by byte_index) as data_hex from sw group by file_num, byte_index // 64""",

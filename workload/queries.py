@@ -390,6 +390,17 @@ def line_offsets(spark, sf):
     return sessions.line_offsets(capture_job(spark, sf).records, width=T).drop("capture_id")
 
 
+@query
+def controlled_capture_blocks(spark, sf):
+    """The whole job from one block table: serial decode, control, bus words, sessions, lines, index."""
+    packed = signal.pack_levels(fx.whole_capture(spark, sf), 1024, 1000)
+    job = jobs.capture_job(
+        packed, cs=fx.SERIAL_CS, clk=fx.SERIAL_CLK, mosi=fx.SERIAL_MOSI, line_clock=fx.LINE_CLOCK,
+        strobe=STROBE, data=DATA, width=T,
+    )
+    return job.index.drop("capture_id")
+
+
 @query
 def controlled_capture(spark, sf):
     """The composed job: serial commands on one side gate and split the bus words."""
