@@ -234,3 +234,34 @@ def body(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     lines = px.filter("col = 0").select("image_id", "row", start.alias("line_start"))
     return chunks, lines
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """New folder name below the shared folder, as a plain path where that is a mounted one."""
+    import re
+    import uuid
+
+    from logicspark.plans.jobs import shared_folder
+
+    return re.sub(r"^file:/+", "/", f"{shared_folder(spark)}/logicspark/{name}-{uuid.uuid4().hex}")
+
+
+def write_archives(blocks: DataFrame, samplerate: str, folder: str) -> None:
+    """One archive ``<folder>/<capture_id>.zip`` for each capture of a block table, written by tasks."""
+    import os
+    import zipfile
+
+    def write(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        path = f"{folder}/{key[0].as_py()}.zip"
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        parts = rows.sort_by([("channel", "ascending"), ("block_num", "ascending")]).to_pylist()
+        probes, last = max(r["channel"] for r in parts) + 1, max(r["block_num"] for r in parts)
+        samples = max(r["start_position"] + r["num_samples"] for r in parts)
+        header = [f"total probes = {probes}", f"samplerate = {samplerate}", f"total samples = {samples}", f"total blocks = {last + 1}"]
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("header", "\n".join(["[version]", *header, *(f"probe{c} = line {c}" for c in range(probes))]))
+            for r in parts:
+                archive.writestr(f"L-{r['channel']}/{r['block_num']}", r["data"])
+        return pa.table({"path": [path]})
+
+    blocks.groupBy("capture_id").applyInArrow(write, "path string").write.format("noop").mode("overwrite").save()

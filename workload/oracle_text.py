@@ -250,6 +250,24 @@ select channel, start_time, case when b = 0 and v = 1 then 1 else 0 end as risin
   select channel, position // 8 as n, sum(v << cast(position % 8 as int)) as x, max(position) as m from levels group by all)
 select channel, n // 128 as block_num, string_agg(printf('%02X', cast(x as int)), '' order by n) as data_hex,
   n // 128 * 1024 as start_position, max(m) + 1 - n // 128 * 1024 as num_samples, 10 as timestamp_step from packed group by channel, n // 128""",
+    "archive_blocks": f"""with {LEVELS}, packed as (
+  select channel, position // 8 as n, sum(v << cast(position % 8 as int)) as x, max(position) as m from levels group by all),
+ends as (select channel, position // 1024 as block_num, arg_min(v, position) as first, arg_max(v, position) as last
+  from levels group by channel, position // 1024),
+whole as (select channel, n // 128 as block_num, string_agg(printf('%02X', cast(x as int)), '' order by n) as data_hex,
+  n // 128 * 1024 as start_position, max(m) + 1 - n // 128 * 1024 as num_samples from packed group by channel, n // 128)
+select *, 10 as timestamp_step from whole join ends using (channel, block_num)""",
+    "capture_header": """select 'c0/run' as capture_id, 12 as total_probes, '100 MHz' as samplerate, count(*) as total_samples,
+  (count(*) + 1023) // 1024 as total_blocks, least(1024, (count(*) + 7) // 8 * 8) as samples_per_block, 'line 3' as probe3,
+  round(count(*) * 1e-8, 9) as duration_s from events""",
+    "archive_aligned": f"with {STROBE} select position, {BYTE} as value, position * 10 as t_ns, position * 10 / 1000 as timestamp_us from st where d10 <> prev and d8 = 1",
+    "command_log_scan": f"""with {COMMANDS} select seq // 1000 as log, row_number() over (partition by seq // 1000 order by seq) as place,
+  cast(time_ns as double) as time_ns, mosi from commands""",
+    "annotated_csv_sink": f"""{DESCRIBED} select case when seq % 3 = 0 then 'x' else cast(seq % 7 as varchar) end as id,
+  printf('%d.00', time_ns) as time_text, printf('%06X', commands.mosi) as mosi_text, 'note ' || seq as note, description
+  from described join commands using (seq)""",
+    "capture_body_scan": f"""with {sessions()} select file_num, byte_index // 48 as chunk_no,
+  string_agg(printf('%02X', value & 255), '' order by byte_index) as data_hex from sw group by file_num, byte_index // 48""",
     "block_bounds": f"""with {LEVELS} select channel, position // 1024 as block_num, min(position) as start_position, max(position) + 1 as end_position,
   min(position) * 10 as start_ns, (max(position) + 1) * 10 as end_ns from levels group by channel, position // 1024""",
     "bounded_scan": f"with {LEVELS} select channel, count(*) as samples, max(position) as last_position, cast(sum(v) as bigint) as ones from levels where position < 1500 group by channel",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logicspark import CsPolarity, DisplayMode, SpiMode, StrobeMode
@@ -12,6 +13,7 @@ from logicspark.functions import scalar
 from logicspark.operators import alignment, control, image, parallel, registers, sessions, signal, spi
 from logicspark.operators.ordered import asof_state
 from logicspark.plans import jobs
+from logicspark.sources import capture, sinks, tables
 from workload import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -746,3 +748,83 @@ def asof_forward(spark, sf):
         values={"next_change": "t_ns"}, forward=True, width=T,
     )
     return d.select("t_ns", "next_change")
+
+
+# --- files written and read back ----------------------------------------------
+
+
+def _archives(spark: SparkSession, sf: str) -> str:
+    """The noisy channels as an archive ``<folder>/c0/run.zip``; the folder."""
+    folder = fx.shared_path(spark, "archives")
+    fx.write_archives(blocks(spark, sf).withColumn("capture_id", F.lit("c0/run")), "100 MHz", folder)
+    return folder
+
+
+@query
+def capture_header(spark, sf):
+    header = capture.read_capture(spark, _archives(spark, sf) + "/*/*.zip").header
+    return capture.capture_stats(header).select(
+        "capture_id", "total_probes", "samplerate", "total_samples", "total_blocks", "samples_per_block",
+        F.get("probe_names", F.lit(3)).alias("probe3"), F.round("duration_s", 9).alias("duration_s"),
+    )
+
+
+@query
+def archive_blocks(spark, sf):
+    opened = capture.read_capture(spark, _archives(spark, sf) + "/*/*.zip", bytes_per_partition=20_000).blocks
+    return opened.select(
+        "channel", "block_num", F.hex("data").alias("data_hex"), "start_position", "num_samples", "timestamp_step", "first", "last"
+    )
+
+
+@query
+def archive_aligned(spark, sf):
+    """Bus words straight from an archive, without a shuffle."""
+    opened = capture.read_aligned(spark, _archives(spark, sf) + "/*/*.zip", [STROBE, CS, *DATA], bytes_per_partition=20_000)
+    return parallel.decode_aligned(
+        opened, strobe=STROBE, data=DATA, cs=CS, mode=StrobeMode.ANY, polarity=CsPolarity.ACTIVE_LOW
+    ).select("position", "value", "t_ns", "timestamp_us")
+
+
+def _logs(spark: SparkSession, sf: str) -> str:
+    """Command logs of 1,000 lines with missing and repeated ids and a fourth column; a glob of the files."""
+    folder = fx.shared_path(spark, "logs")
+    rows = fx.commands(spark, sf).select(
+        F.expr("seq div 1000").alias("log"),
+        "seq",
+        F.when(F.col("seq") % 3 == 0, F.lit("x")).otherwise((F.col("seq") % 7).cast("string")).alias("Id"),
+        F.format_string("%d.00", "time_ns").alias("Time[ns]"),
+        F.format_string("%06X", "mosi").alias("1:SPI: MOSI data"),
+        F.concat(F.lit("note "), F.col("seq")).alias("note"),
+    )
+    rows.repartition("log").sortWithinPartitions("log", "seq").drop("seq").write.partitionBy("log").csv(folder, header=True)
+    return folder + "/*/*.csv"
+
+
+@query
+def command_log_scan(spark, sf):
+    got = tables.read_commands(spark, _logs(spark, sf))
+    place = F.row_number().over(W.partitionBy("log_id").orderBy("seq"))
+    log = F.regexp_extract("log_id", "^log=([0-9]+)/", 1).cast("bigint")
+    return got.select(log.alias("log"), place.alias("place"), "time_ns", "mosi")
+
+
+@query
+def annotated_csv_sink(spark, sf):
+    out = fx.shared_path(spark, "annotated")
+    sinks.write_annotated_csv(tables.read_log_rows(spark, _logs(spark, sf)), out)
+    back = spark.read.csv(out, header=True)
+    return back.select(
+        F.col("Id").alias("id"), F.col("`Time[ns]`").alias("time_text"), F.col("1:SPI: MOSI data").alias("mosi_text"),
+        "note", F.col("Description").alias("description"),
+    )
+
+
+@query
+def capture_body_scan(spark, sf):
+    """Session bodies written in parts of 64 bytes and read in chunks of 48."""
+    out = fx.shared_path(spark, "bodies")
+    sinks.write_bodies(capture_job(spark, sf).words, out, chunk_bytes=64, parts=True)
+    chunks = tables.read_body_chunks(spark, out + "/*/*", 48)
+    number = F.regexp_extract("image_id", "capture_([0-9]+)$", 1).cast("bigint")
+    return chunks.select(number.alias("file_num"), "chunk_no", F.hex("data").alias("data_hex"))
