@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from logicspark.functions.scalar import bit_of, ns_to_us
 from logicspark.operators.ordered import DEFAULT_WIDTH, asof_state
-from logicspark.operators.signal import _bits, first_bit, last_bit, last_bits
+from logicspark.operators.signal import BATCH_ROWS, _bits, first_bit, last_bit, last_bits
 from logicspark.schemas import BLOCKS, CONTROL, CsPolarity, StrobeMode, fields, require_columns
 
 _TRIGGERS = fields(capture_id="string", position="bigint", t_ns="bigint")
@@ -46,8 +46,9 @@ def strobe_triggers(blocks: DataFrame, strobe: int, mode: StrobeMode) -> DataFra
         for batch in batches:
             for row in batch.to_pylist():
                 bits = _bits(row["data"], row["num_samples"])
-                at = np.flatnonzero(_triggered(bits[1:], bits[:-1], mode)) + 1 + row["start_position"]
-                if len(at):
+                every = np.flatnonzero(_triggered(bits[1:], bits[:-1], mode)) + 1 + row["start_position"]
+                for begin in range(0, len(every), BATCH_ROWS):
+                    at = every[begin : begin + BATCH_ROWS]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.repeat(row["capture_id"], len(at)),
@@ -245,22 +246,24 @@ def _decode(
                 hit = _triggered(bits, np.r_[np.uint8(before), bits[:-1]], mode)
                 if gated:
                     hit &= _bits(packed[cs], n) == idle
-                at = np.flatnonzero(hit)
-                if not len(at):
+                every = np.flatnonzero(hit)
+                if not len(every):
                     continue
-                value = np.zeros(len(at), np.uint64)
-                for i, channel in enumerate(lines):
-                    value |= _bits(packed[channel], n)[at].astype(np.uint64) << np.uint64(i)
-                position = at + row["start_position"]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.repeat(row["capture_id"], len(at)),
-                        pa.array(position),
-                        pa.array(value.view(np.int64)),
-                        pa.array(position * row["timestamp_step"]),
-                    ],
-                    names=_WORDS.names,
-                )
+                values = np.zeros(len(every), np.uint64)
+                for i, channel in enumerate(lines):  # one line unpacked at a time
+                    values |= _bits(packed[channel], n)[every].astype(np.uint64) << np.uint64(i)
+                for begin in range(0, len(every), BATCH_ROWS):
+                    at, value = every[begin : begin + BATCH_ROWS], values[begin : begin + BATCH_ROWS]
+                    position = at + row["start_position"]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.repeat(row["capture_id"], len(at)),
+                            pa.array(position),
+                            pa.array(value.view(np.int64)),
+                            pa.array(position * row["timestamp_step"]),
+                        ],
+                        names=_WORDS.names,
+                    )
 
     words = aligned.select("capture_id", "channels", "start_position", "num_samples", "timestamp_step").mapInArrow(
         decode, _WORDS

@@ -14,6 +14,7 @@ from logicspark.operators.ordered import DEFAULT_WIDTH, neighbours, order_key
 from logicspark.schemas import BLOCKS, LEVELS, LINE_RUNS, RUNS, fields, require_columns
 
 LINE = ["capture_id", "channel"]
+BATCH_ROWS = 1 << 16  # rows that a task hands back at once, however large a block is
 
 
 def _bits(data: bytes, count: int) -> np.ndarray:
@@ -73,16 +74,18 @@ def unpack_bits(blocks: DataFrame) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                n = row["num_samples"]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.repeat(row["capture_id"], n),
-                        pa.array(np.full(n, row["channel"], np.int32)),
-                        pa.array(np.arange(n, dtype=np.int64) + row["start_position"]),
-                        pa.array(_bits(row["data"], n).astype(bool)),
-                    ],
-                    names=LEVELS.names,
-                )
+                bits = _bits(row["data"], row["num_samples"]).astype(bool)
+                for begin in range(0, len(bits), BATCH_ROWS):
+                    part = bits[begin : begin + BATCH_ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.repeat(row["capture_id"], len(part)),
+                            pa.repeat(pa.scalar(row["channel"], pa.int32()), len(part)),
+                            pa.array(np.arange(len(part), dtype=np.int64) + row["start_position"] + begin),
+                            pa.array(part),
+                        ],
+                        names=LEVELS.names,
+                    )
 
     return blocks.select("capture_id", "channel", "data", "start_position", "num_samples").mapInArrow(
         unpack, LEVELS
@@ -138,12 +141,13 @@ def _interior_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         for row in batch.to_pylist():
             bits = _bits(row["data"], row["num_samples"])
-            at = np.flatnonzero(bits[1:] != bits[:-1]) + 1
-            if len(at):
+            every = np.flatnonzero(bits[1:] != bits[:-1]) + 1
+            for begin in range(0, len(every), BATCH_ROWS):
+                at = every[begin : begin + BATCH_ROWS]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.repeat(row["capture_id"], len(at)),
-                        pa.array(np.full(len(at), row["channel"], np.int32)),
+                        pa.repeat(pa.scalar(row["channel"], pa.int32()), len(at)),
                         pa.array(bits[at].astype(bool)),
                         pa.array((at + row["start_position"]) * row["timestamp_step"]),
                     ],
