@@ -43,29 +43,45 @@ def _tasks(rows: int) -> int:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): label is the smallest node reachable.
 
-    Each round every node that still has edges gives way to the first of itself and its neighbours, in the order of a
-    hash; edges are renamed, and those inside one node and repeated ones go, so that the table shrinks by a constant
-    share a round whatever its shape. All joins read written tables, so that Spark may split a node with very many
-    links. No edges give no rows; an edge to itself gives its node. Null ends are ignored."""
+    First every node gives way to the smallest of itself and its neighbours, edges are renamed, and those inside one
+    node and repeated ones go, which leaves little of trees and stars. On what is left, each round a node takes the
+    least of its neighbours' labels and of its label's own label. Joins read written tables, so that Spark may split a
+    node with very many links. No edges give no rows; an edge to itself gives its node. Null ends are ignored."""
     whole = edges.select("a", "b").where("a is not null and b is not null")
     left = cut(whole.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    names = cut(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().select("node", F.col("node").alias("label")))
-    tasks = _tasks(names.count())
-    names, left = names.coalesce(tasks), left.where("a <> b").coalesce(tasks)
+    left = left.coalesce(_tasks(left.count()))
+    # Per task at most one row of a node leaves, so a node with very many links is summed up before it moves.
+    heard = left.union(left.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
+    way = cut(heard.select(F.col("a").alias("node"), F.least("a", "b").alias("way")))
+    way = way.coalesce(_tasks(way.count()))
+    one, two = (way.select(F.col("node").alias(f"old_{c}"), F.col("way").alias(f"new_{c}")) for c in "ab")
+    renamed = left.join(one, left["a"] == one["old_a"]).join(two, left["b"] == two["old_b"]).where("new_a <> new_b")
+    ends = renamed.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b"))
+    labels = _settled(cut(ends.distinct())).withColumnRenamed("node", "way")
+    return way.join(labels, "way", "left").select("node", F.coalesce("label", "way").alias("label"))
+
+
+def _settled(left: DataFrame) -> DataFrame:
+    """``connected`` of edges without repeats and without edges to oneself, by rounds."""
+    both = left.union(left.select("b", "a")).coalesce(_tasks(2 * left.count()))
+    labels = cut(
+        both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
+    )
+    tasks = _tasks(labels.count())
+    labels = labels.coalesce(tasks)
     for _ in range(MOST_ROUNDS):
-        if left.isEmpty():
-            least = cut(names.groupBy("label").agg(F.min("node").alias("least")))
-            return names.join(least, "label").select("node", F.col("least").alias("label"))
-        order = F.struct(F.xxhash64("b").alias("hash"), "b")
-        # Per task at most one row of a node leaves, so a node with very many links is summed up before it moves.
-        heard = left.union(left.select("b", "a")).groupBy("a").agg(F.min(order).alias("first"))
-        own = F.struct(F.xxhash64("a").alias("hash"), F.col("a").alias("b"))
-        way = cut(heard.select(F.col("a").alias("old"), F.least(F.col("first"), own).getField("b").alias("new"))).coalesce(tasks)
-        names = cut(
-            names.join(way, names["label"] == way["old"], "left").select("node", F.coalesce("new", "label").alias("label"))
-        ).coalesce(tasks)
-        one, two = (way.select(F.col("old").alias(f"old_{c}"), F.col("new").alias(f"new_{c}")) for c in "ab")
-        renamed = left.join(one, left["a"] == one["old_a"]).join(two, left["b"] == two["old_b"]).where("new_a <> new_b")
-        ends = renamed.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b"))
-        left = cut(ends.distinct()).coalesce(tasks)
+        known = labels.select(F.col("node").alias("v"), F.col("label").alias("found"))
+        jumped = labels.join(known, labels["label"] == known["v"]).select("node", "found", F.col("label").alias("old"))
+        heard = both.join(known, both["b"] == known["v"]).select(
+            F.col("a").alias("node"), "found", F.lit(None).cast(labels.schema["label"].dataType).alias("old")
+        )
+        merged = cut(
+            jumped.union(heard)
+            .groupBy("node")
+            .agg(F.min("found").alias("label"), F.max("old").alias("old"))
+        )
+        done = merged.where("label <> old").isEmpty()
+        labels = merged.select("node", "label").coalesce(tasks)
+        if done:
+            return labels
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
