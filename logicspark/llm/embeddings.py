@@ -1,14 +1,16 @@
 """Near copies among embeddings by product quantisation.
 
 An index of coarse lists (k-means centroids) and codes (k-means in subspaces of the residual) is fitted on a bounded
-sample and holds every vector. A query probes each list that may hold a vector at the wanted cosine: those whose
-bisector with the query's nearest centroid is no further than ``PROBE`` standard deviations of the projection of such a
-vector's offset. In a probed list the distance to a member's code is summed up from tables; as it can be off by no more
-than the member's own quantisation error, members further than the wanted distance plus that error drop out, and the
-exact cosine decides about the rest.
-
-Equal vectors are one node with a weight. A task compares blocks of queries with blocks of one list and returns counts
-and a spanning forest of the links, never the pairs.
+sample and holds every vector. A query visits each list that can hold a vector at the wanted cosine: of such a vector
+the projection on the line from the query's own centroid to the list's is bounded by the cap of the unit sphere around
+the query, and it lies in the list only behind their bisector. In a visited list the distance to a member's code is
+summed up from tables; as it can be off by no more than the member's own quantisation error, members further than the
+wanted distance plus that error drop out, and the exact cosine decides about the rest. All three bounds are exact, so no
+link is left out, whatever directions the vectors lie in.
+
+Equal vectors are one node with a weight. Vectors are dealt in list order to blocks of about equal size, and a task
+compares two blocks (a cell); it returns counts and a spanning forest of the links, never the pairs. A vector moves once
+for each other block that it can have links in, not once for each list.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ SAMPLE = 20_000
 MOST_LISTS = 4_096
 CODES = 256
 SUBSPACE = 4
-PROBE = 3.0
-#: Members of a list compared in one go; larger lists are split into blocks that all of its queries visit.
-BLOCK = 2_048
+#: Blocks that vectors are dealt to at least, and bytes of a block's vectors at most.
+BLOCKS = 12
+BLOCK_BYTES = 1 << 26
+#: Queries compared in one go, and entries of the matrix of links at most.
 QUERIES = 512
+CELLS = 1 << 22
 ROUNDS = 10
 MOST_DIMENSIONS = 16
 
@@ -101,19 +105,17 @@ class Index:
             rest += ((residual[:, part] - self.codes[k][code[:, k]]) ** 2).sum(axis=1)
         return own, code, np.sqrt(rest)
 
-    def probes(self, x: np.ndarray, distance: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of every list to visit, the row's own among them."""
-        far = (self.lists**2).sum(axis=1) - 2 * (x @ self.lists.T)
-        own = far.argmin(axis=1)
-        gap = np.sqrt(np.maximum(((self.lists[:, None, :] - self.lists[None, :, :]) ** 2).sum(axis=2), 1e-30)) if len(
-            self.lists
-        ) <= 512 else None
-        apart = gap[own] if gap is not None else np.stack(
-            [np.sqrt(np.maximum(((self.lists - self.lists[k]) ** 2).sum(axis=1), 1e-30)) for k in own]
-        )
-        to_bisector = (far - far[np.arange(len(x)), own][:, None]) / (2 * apart)
-        reach = distance * min(1.0, PROBE / math.sqrt(x.shape[1]))
-        return np.nonzero(to_bisector <= reach)
+    def probes(self, x: np.ndarray, own: np.ndarray, cosine: float) -> np.ndarray:
+        """Matrix (row, list) of the lists that can hold a unit vector at ``cosine`` or more to a row, its own too."""
+        squares = (self.lists**2).sum(axis=1)
+        far = squares - 2 * (x @ self.lists.T)
+        gap = squares[own][:, None] + squares - 2 * (self.lists[own] @ self.lists.T)
+        gap = np.sqrt(np.maximum(gap, 1e-30))
+        bisector = (squares - squares[own][:, None]) / (2 * gap)
+        along = bisector - (far - far[np.arange(len(x)), own][:, None]) / (2 * gap)
+        # No vector of the cap lies further along the line than this; rounding stays far below 1e-7 where gap > 1e-4.
+        most = along * cosine + np.sqrt(np.maximum(0, 1 - along**2)) * math.sqrt(max(0, 1 - cosine * cosine))
+        return (gap <= 1e-4) | (along >= cosine - 1e-7) | (bisector <= most + 1e-7)
 
     def distances(self, x: np.ndarray, at: int, code: np.ndarray) -> np.ndarray:
         """Distances (queries, members) to the members' codes in list ``at``, summed from one table per subspace."""
@@ -131,7 +133,6 @@ class Index:
 def links(vectors: DataFrame, rows: int, width: int, cosine: float) -> DataFrame:
     """From distinct ``vectors`` (key, weight, x) of one width: (key, n, other), with n further linked vectors of key
     where other is null, else a link."""
-    distance = math.sqrt(2 - 2 * cosine)
     taken = min(SAMPLE, (1 << 26) // (8 * width))
     sample = vectors.orderBy("key").limit(taken).select("x").collect()
     index = Index.fit(np.stack([np.frombuffer(r["x"]) for r in sample]), rows)
@@ -140,104 +141,137 @@ def links(vectors: DataFrame, rows: int, width: int, cosine: float) -> DataFrame
         for batch in batches:
             for begin in range(0, len(batch), 1024):
                 part = batch.slice(begin, 1024)
-                x = np.stack([np.frombuffer(v.as_py()) for v in part.column("x")])
-                own, code, error = index.encode(x)
-                row, visited = index.probes(x, distance)
-                where = pa.array(np.concatenate([np.arange(len(x)), row]))
-                size = len(x)
+                own, code, error = index.encode(np.stack([np.frombuffer(v) for v in part.column("x").to_pylist()]))
                 yield pa.RecordBatch.from_pydict(
-                    {
-                        "list": pa.array(np.concatenate([own, visited]).astype(np.int32)),
-                        "query": pa.array(np.concatenate([np.zeros(size, bool), np.ones(len(row), bool)])),
-                        "key": part.column("key").take(where),
-                        "weight": part.column("weight").take(where),
-                        "x": part.column("x").take(where),
-                        "code": pa.array([c.tobytes() for c in code] + [None] * len(row), pa.binary()),
-                        "error": pa.array(np.concatenate([error, np.zeros(len(row))])),
+                    {c: part.column(c) for c in ("key", "weight", "x")}
+                    | {
+                        "list": pa.array(own.astype(np.int32)),
+                        "code": pa.array([c.tobytes() for c in code], pa.binary()),
+                        "error": pa.array(error),
                     }
                 )
 
-    entry = "list int, query boolean, key binary, weight bigint, x binary, code binary, error double"
-    placed = vectors.mapInArrow(place, entry)
+    entry = "key binary, weight bigint, x binary, list int, code binary, error double"
+    placed = cut(vectors.mapInArrow(place, entry))
     # One number for each list: bounded by MOST_LISTS.
-    sizes = {r["list"]: r["count"] for r in placed.where("not query").groupBy("list").count().collect()}
-    blocks = {k: -(-n // BLOCK) for k, n in sizes.items() if n > BLOCK}
-    many = F.lit(1)
-    if blocks:
-        many = F.coalesce(F.create_map(*[F.lit(v) for kv in blocks.items() for v in kv])[F.col("list")], F.lit(1))
-    placed = placed.withColumn("many", many).withColumn(
-        "block",
-        F.explode(
-            F.when(F.col("query"), F.sequence(F.lit(0), F.col("many") - 1)).otherwise(
-                F.array(F.expr("pmod(xxhash64(key), many)").cast("int"))
-            )
-        ),
-    )
-    dealt = placed.drop("many").repartition("list", "block").sortWithinPartitions("list", "block", "query", "key")
+    found = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}
+    sizes = np.array([found.get(k, 0) for k in range(len(index.lists))], dtype=np.int64)
+    before, total = np.cumsum(sizes) - sizes, int(sizes.sum())
+    blocks = min(total, max(BLOCKS, -(-total * 8 * width // BLOCK_BYTES)))
+    # A list stretches over the blocks from first_block to last_block; a digest deals its members among them.
+    first_block = before * blocks // max(total, 1)
+    last_block = (before + np.maximum(sizes, 1) - 1) * blocks // max(total, 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, len(batch), 1024):
+                part = batch.slice(begin, 1024)
+                own = np.asarray(part.column("list"))
+                x = np.stack([np.frombuffer(v) for v in part.column("x").to_pylist()])
+                digest = np.array([int.from_bytes(k[:6], "big") for k in part.column("key").to_pylist()], dtype=np.int64)
+                block = (before[own] + digest % sizes[own]) * blocks // total
+                visited = index.probes(x, own, cosine)
+                visited[:, sizes == 0] = False
+                edges = np.zeros((len(x), blocks + 1), dtype=np.int64)
+                row, at = np.nonzero(visited)
+                np.add.at(edges, (row, first_block[at]), 1)
+                np.add.at(edges, (row, last_block[at] + 1), -1)
+                row, other = np.nonzero(np.cumsum(edges[:, :-1], axis=1) > 0)
+                own_block = block[row]
+                where = pa.array(row)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "low": pa.array(np.minimum(own_block, other).astype(np.int32)),
+                        "high": pa.array(np.maximum(own_block, other).astype(np.int32)),
+                        "query": pa.array(own_block < other),
+                    }
+                    | {c: part.column(c).take(where) for c in ("key", "weight", "x", "list", "code", "error")}
+                )
+
+    dealt = placed.mapInArrow(deal, f"low int, high int, query boolean, {entry}")
+    dealt = dealt.repartition("low", "high").sortWithinPartitions("low", "high", "query", "list", "key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple[int, int] | None = None
-        keys: list[bytes] = []
-        weights, x, code, error = [], [], [], []
+        held: list[pa.RecordBatch] = []
+        members: Members | None = None
         for batch in batches:
-            lists, own_blocks = np.asarray(batch.column("list")), np.asarray(batch.column("block"))
+            low, high = np.asarray(batch.column("low")), np.asarray(batch.column("high"))
             asks = batch.column("query").to_numpy(zero_copy_only=False)
-            all_keys = batch.column("key").to_pylist()
-            all_weights = np.asarray(batch.column("weight"))
-            all_x = np.stack([np.frombuffer(v) for v in batch.column("x").to_pylist()]) if len(batch) else None
-            all_codes, all_errors = batch.column("code").to_pylist(), np.asarray(batch.column("error"))
             change = np.ones(len(batch), dtype=bool)
-            change[1:] = (lists[1:] != lists[:-1]) | (own_blocks[1:] != own_blocks[:-1]) | (asks[1:] != asks[:-1])
+            change[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (asks[1:] != asks[:-1])
             starts = np.append(np.flatnonzero(change), len(batch))
             for first, last in zip(starts[:-1], starts[1:], strict=True):
-                here = (int(lists[first]), int(own_blocks[first]))
+                here = (int(low[first]), int(high[first]))
                 if here != at:
-                    at, keys, weights, x, code, error = here, [], [], [], [], []
+                    if held and at[0] == at[1]:
+                        members = Members(held)
+                        yield from members.links(index, members, cosine)
+                    at, held, members = here, [], None
+                part = batch.slice(first, last - first)
                 if not asks[first]:
-                    keys += all_keys[first:last]
-                    weights.append(all_weights[first:last])
-                    x.append(all_x[first:last])
-                    code.append(np.stack([np.frombuffer(c, dtype=np.uint8) for c in all_codes[first:last]]))
-                    error.append(all_errors[first:last])
-                    continue
-                if not keys:
-                    continue
-                members, codes = np.concatenate(x), np.concatenate(code)
-                errors, heavy = np.concatenate(error), np.concatenate(weights)
-                for begin in range(first, last, QUERIES):
-                    end = min(last, begin + QUERIES)
-                    asked = all_x[begin:end]
-                    near = index.distances(asked, at[0], codes) <= distance + errors[None, :] + 1e-3
-                    row, column = np.nonzero(near)
-                    exact = np.einsum("ij,ij->i", asked[row], members[column])
-                    linked = np.zeros(near.shape, dtype=bool)
-                    linked[row, column] = exact >= cosine
-                    names = {k: j for j, k in enumerate(keys)}
-                    for i in range(begin, end):
-                        j = names.get(all_keys[i])
-                        if j is not None:
-                            linked[i - begin, j] = False
-                    out_key, out_n, out_other = [], [], []
-                    counted = linked @ heavy
-                    for i in np.flatnonzero(counted):
-                        out_key.append(all_keys[begin + i])
-                        out_n.append(int(counted[i]))
-                        out_other.append(None)
-                    for a, b in forest(linked) if len(out_key) else ():
-                        out_key.append(all_keys[begin + a] if a >= 0 else keys[-1 - a])
-                        out_n.append(0)
-                        out_other.append(keys[b])
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "key": pa.array(out_key, pa.binary()),
-                            "n": pa.array(out_n, pa.int64()),
-                            "other": pa.array(out_other, pa.binary()),
-                        }
-                    )
+                    held.append(part)
+                elif held:
+                    members = members or Members(held)
+                    yield from members.links(index, Members([part]), cosine)
+        if held and at[0] == at[1]:
+            members = Members(held)
+            yield from members.links(index, members, cosine)
 
     return dealt.mapInArrow(compare, "key binary, n bigint, other binary")
 
 
+class Members:
+    """Vectors of a block, sorted by list."""
+
+    def __init__(self, rows: list[pa.RecordBatch]) -> None:
+        table = pa.Table.from_batches(rows)
+        self.keys = table.column("key").to_pylist()
+        self.weight = np.asarray(table.column("weight"))
+        self.list = np.asarray(table.column("list"))
+        self.x = np.stack([np.frombuffer(v) for v in table.column("x").to_pylist()])
+        self.code = np.stack([np.frombuffer(c, dtype=np.uint8) for c in table.column("code").to_pylist()])
+        self.error = np.asarray(table.column("error"))
+
+    def links(self, index: Index, asked: Members, cosine: float) -> Iterator[pa.RecordBatch]:
+        """Counts of both sides and forests of links between ``asked`` and these; if they are the same, of one side."""
+        distance = math.sqrt(2 - 2 * cosine)
+        same = asked is self
+        starts = np.flatnonzero(np.append(True, self.list[1:] != self.list[:-1]))
+        ends = np.append(starts[1:], len(self.list))
+        counted = np.zeros(len(self.keys), dtype=np.int64)
+        step = max(1, min(QUERIES, CELLS // len(self.keys)))
+        for begin in range(0, len(asked.keys), step):
+            x, weight = asked.x[begin : begin + step], asked.weight[begin : begin + step]
+            visited = index.probes(x, asked.list[begin : begin + step], cosine)
+            linked = np.zeros((len(x), len(self.keys)), dtype=bool)
+            for first, last in zip(starts, ends, strict=True):
+                rows = np.flatnonzero(visited[:, self.list[first]])
+                if not len(rows):
+                    continue
+                far = index.distances(x[rows], int(self.list[first]), self.code[first:last])
+                row, column = np.nonzero(far <= distance + self.error[None, first:last] + 1e-3)
+                exact = np.einsum("ij,ij->i", x[rows[row]], self.x[first + column])
+                linked[rows[row], first + column] = exact >= cosine
+            if same:
+                linked[np.arange(len(x)), begin + np.arange(len(x))] = False
+            else:
+                counted += weight @ linked
+            own = linked @ self.weight
+            out = [(asked.keys[begin + i], int(own[i]), None) for i in np.flatnonzero(own)]
+            for a, b in forest(linked) if len(out) else ():
+                out.append((asked.keys[begin + a] if a >= 0 else self.keys[-1 - a], 0, self.keys[b]))
+            yield link_rows(out)
+        yield link_rows([(self.keys[j], int(counted[j]), None) for j in np.flatnonzero(counted)])
+
+
+def link_rows(rows: list[tuple[bytes, int, bytes | None]]) -> pa.RecordBatch:
+    key, n, other = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_pydict(
+        {"key": pa.array(key, pa.binary()), "n": pa.array(n, pa.int64()), "other": pa.array(other, pa.binary())}
+    )
+
+
 def near_vectors(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Links at ``cosine`` or more among all vectors of ``table`` (vec_id, embedding; further columns are ignored).
 

@@ -335,6 +335,26 @@ def test_embeddings(spark, sf):
     assert [r["component_id"] for r in found] == label.tolist()
 
 
+@pytest.mark.parametrize("width, rank", [(64, 8), (256, 16)])
+def test_embeddings_of_few_directions(spark, width, rank):
+    from logicspark.llm import embeddings
+
+    rng = np.random.default_rng(width)
+    base = rng.normal(size=(1500, rank))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    offset = rng.normal(size=base.shape)
+    offset -= (offset * base).sum(axis=1)[:, None] * base
+    offset /= np.linalg.norm(offset, axis=1)[:, None]
+    cosine = rng.uniform(0.9, 0.95, len(base))[:, None]
+    small = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * offset])
+    every = small @ np.linalg.qr(rng.normal(size=(width, rank)))[0].T
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(every)], "vec_id long, embedding array<double>")
+    found = sorted(embeddings.near_vectors(table).collect(), key=lambda r: r["vec_id"])
+    linked = every @ every.T >= 0.9
+    np.fill_diagonal(linked, False)
+    assert [r["n_links"] for r in found] == linked.sum(axis=1).tolist()
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1100)]
