@@ -32,10 +32,11 @@ MARKS = 24
 #: Texts up to this many shingles make a key from every place of their ring.
 EVERY_PLACE = 48
 BITS = 128
-#: Differing bits of the two sketches at which a pair in one bucket is set aside. At similarity 0.8 a bit differs with
-#: chance 0.1: 12.8 bits with deviation 3.4. Short texts repeat shingles over marks and so get more room.
-#: The bounds hold up to 24, up to 96 and from 97 shingles.
+#: Differing bits of the two sketches up to which a text is compared with its bucket's first text right away, up to 24,
+#: up to 96 and from 97 shingles. This only orders the work: pairs with more bits are compared in candidate groups.
 BITS_APART = (64, 44, 30)
+#: Classes of shingles that are counted to bound the matches of a pair.
+BINS = 256
 #: Contents of a bucket, or of a candidate group, that a task compares in one go; more are split into blocks.
 BUCKET_BLOCK = 1_024
 GROUP_BLOCK = 256
@@ -227,15 +228,21 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def close(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Matrix of pairs that length and sketch do not set apart."""
+    """Matrix of pairs that length does not set apart."""
     n, m = rows["shingles"][left][:, None], rows["shingles"][right][None, :]
-    differing = sum(
-        np.bitwise_count((rows[b][left][:, None] ^ rows[b][right][None, :]).view(np.uint64)).astype(np.int64)
-        for b in ("bits1", "bits2")
-    )
-    least = np.minimum(n, m)
-    room = np.where(least <= 24, BITS_APART[0], np.where(least <= 96, BITS_APART[1], BITS_APART[2]))
-    return (differing <= room) & (least >= SIMILARITY * np.maximum(n, m))
+    return np.minimum(n, m) >= (SIMILARITY - 1e-9) * np.maximum(n, m)
+
+
+def may_match(packed: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs reach SIMILARITY by the bound that no more shingles of a class match than either text has of it."""
+    bins = np.stack([np.bincount(np.frombuffer(x, dtype=np.uint32) % BINS, minlength=BINS) for x in packed]).astype(np.int32)
+    total = bins.sum(axis=1)
+    out = np.empty(len(i), dtype=bool)
+    for at in range(0, len(i), 4096):
+        p, q = i[at : at + 4096], j[at : at + 4096]
+        most = np.minimum(bins[p], bins[q]).sum(axis=1)
+        out[at : at + 4096] = most >= (SIMILARITY - 1e-9) * (total[p] + total[q] - most)
+    return out
 
 
 def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -292,11 +299,11 @@ def edges_of(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 FORGET = 200_000
 
 
-def sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def length_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of labels that close pairs of a bucket's cell join and that the task has not joined before."""
     joined, count = Joined(), 0
     for table, left, right in cells(batches):
-        rows = {c: np.asarray(table.column(c)) for c in ("shingles", "bits1", "bits2")}
+        rows = {"shingles": np.asarray(table.column("shingles"))}
         labels = table.column("label").to_pylist()
         found = []
         for i, j in forest(close(rows, left, right)):
@@ -319,6 +326,9 @@ def group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j = left[i], right[j]
         if np.array_equal(left, right):
             i, j = i[i < j], j[i < j]
+        if len(i):
+            near = may_match(table.column("ordered").to_pylist(), i, j)
+            i, j = i[near], j[near]
         differing = sum(np.bitwise_count((rows[c][i] ^ rows[c][j]).view(np.uint64)) for c in ("bits1", "bits2"))
         sides: Sequences | None = None
         found = []
@@ -352,7 +362,7 @@ def verified(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
 
 
 def apart(s: str, other: str) -> str:
-    """SQL of what ``close`` denies: length or sketch sets two rows apart."""
+    """SQL of whether length or sketch puts a pair off to the candidate groups."""
     least = f"least({s}shingles, {other}shingles)"
     differing = f"bit_count({s}bits1 ^ {other}bits1) + bit_count({s}bits2 ^ {other}bits2)"
     room = f"case when {least} <= 24 then {BITS_APART[0]} when {least} <= 96 then {BITS_APART[1]} else {BITS_APART[2]} end"
@@ -389,8 +399,8 @@ def groups(docs: DataFrame) -> DataFrame:
     in all its rows. No rows give no rows.
 
     1. Contents: texts of equal words become one. 2. Buckets of contents with an equal key: each is compared with the
-    bucket's content of the smallest id, and what links makes groups. 3. In buckets that still hold several groups,
-    sketches and lengths tell which contents may be near; these are joined to candidate groups. 4. In a candidate group
+    bucket's content of the smallest id if their sketches are close, and what links makes groups. 3. Contents of a bucket
+    that lengths do not set apart are joined to candidate groups, where the bucket holds several groups. 4. In a candidate group
     all pairs that may be near and are not joined yet are compared, block by block, so no link between different texts
     is left out. Tasks return spanning forests of what they find, never all pairs."""
     texts = keyed(docs)
@@ -439,9 +449,9 @@ def groups(docs: DataFrame) -> DataFrame:
     grouped = connected(links).withColumnRenamed("node", "content")
     members = cut(with_labels(shared.select("key", *sketch), grouped))
     edge = "a binary, b binary"
-    may_be = in_cells(members, "key", BUCKET_BLOCK).mapInArrow(sketch_links, edge)
+    may_be = in_cells(members, "key", BUCKET_BLOCK).mapInArrow(length_links, edge)
     candidates = connected(may_be).select(F.col("node").alias("label"), F.col("label").alias("group"))
-    # Labels are few where groups are large, so groups that no sketch joins to others end here.
+    # Labels are few where groups are large, so groups that no bucket joins to others end here.
     grown = (
         members.select(*sketch, "label")
         .dropDuplicates(["content"])

@@ -147,6 +147,20 @@ def test_near_copies_lose_no_link(spark):
     assert len(set(root)) < len(rows) - 10
 
 
+def test_near_copies_at_the_bound(spark):
+    """Pairs at exactly 0.8 whose sketches differ in more bits than four deviations: n / 9 of n shingles are their own."""
+    lost = {9: (41, 440, 633, 722), 18: (2922,), 27: (144, 840, 954), 36: (2451, 2761), 99: (50, 109, 1135), 117: (1413, 2833)}
+    rows, pairs = [], {}
+    for n, numbers in lost.items():
+        for k in numbers:
+            base = [f"u{n}k{k}x{i}" for i in range(n + 4)]
+            copy = base[: n + 4 - n // 9] + [f"c{n}k{k}x{i}" for i in range(n // 9)]
+            pairs[len(rows) + 1] = len(rows)
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    found = {r["doc_id"]: r["class_id"] for r in near_copies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: found[k] for k in pairs} == pairs
+
+
 def test_near_copies_leave_other_texts_alone(spark, documents):
     found = near_copies.groups(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     by_class = {}
