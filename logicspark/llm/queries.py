@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logicspark.llm import bpe, chat, embeddings, fingerprints, language, mixing, near_copies, passages, quality, sharding
+from logicspark.llm import (
+    bpe,
+    chat,
+    embeddings,
+    fingerprints,
+    language,
+    mixing,
+    near_copies,
+    passages,
+    quality,
+    sharding,
+    token_links,
+)
 from logicspark.llm.shared import table
 
 
@@ -79,6 +91,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(turns.union(own)))
 
 
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_links.linked(table(spark, sf_dir, "documents"), *paths)
+
+
 OP7 = r"""
 with sized as (
   select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as digest,
@@ -128,5 +145,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_near_copies": op9_near_copies,
     "op10_chat": op10_chat,
+    "op12_token_links": op12_token_links,
 }
 ORACLES: dict[str, str] = {"op7_mixing": OP7}
