@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -18,10 +19,11 @@ from logicspark.llm import (
     near_copies,
     passages,
     quality,
+    repair,
     sharding,
     token_links,
 )
-from logicspark.llm.shared import table
+from logicspark.llm.shared import cut, table
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +93,20 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(turns.union(own)))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    damaged = repair.damaged(turns)
+    audits = cut(repair.audited(damaged))
+    digests = repair.digests(repair.repaired(damaged, audits))
+    out = turns.select(F.col("conv_id").cast("bigint").alias("conv_id")).distinct()
+    for part in (audits, digests):
+        own = part.withColumnRenamed("conv_id", "_conv_id")
+        out = out.join(own, F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left").drop("_conv_id")
+    return out.fillna({"audit": "", "repaired_sha256": hashlib.sha256().hexdigest()}).fillna(
+        0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    )
+
+
 def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return token_links.linked(table(spark, sf_dir, "documents"), *paths)
@@ -134,6 +150,94 @@ select doc_id, source, size, source_size, target, cast(times * size as bigint) a
 from taken
 """
 
+OP11 = r"""
+with recursive keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key
+  from conversations),
+coded as (
+  select *, xor(list_reduce(
+           flatten(list_transform(string_split(key, ''),
+                                  lambda c: [cast(ord(c) as bigint), -1, -1, -1, -1, -1, -1, -1, -1])),
+           lambda crc, b: case when b >= 0 then xor(crc, b) else xor(crc >> 1, 3988292384 * (crc & 1)) end,
+           4294967295::bigint), 4294967295::bigint) % 20 as code
+  from keyed),
+damaged as (
+  select conv_id, turn, k, case when code = 4 then 'user' else role end as role,
+         case code when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from coded cross join (values (0), (1)) copies(k)
+  where code <> 0 and (k = 0 or code = 3)),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), k) as place,
+         count(*) over (partition by conv_id) as n,
+         regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as last_char
+  from damaged),
+faulted as (
+  select *, case when last_char = '' then 'blank'
+                 when row_number() over (partition by conv_id, role, text order by place) > 1 then 'duplicate'
+                 when last_char not in ('.', '!', '?') then 'truncated' else 'none' end as fault,
+         substr(role, 1, 1) as initial,
+         lag(substr(role, 1, 1)) over (partition by conv_id order by place) as before
+  from placed),
+summed as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+         count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+         count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal
+  from faulted group by conv_id),
+-- Costs and audits to go from each place on: nothing written (q0), after system (q1), user (q2), assistant (q3).
+going as (
+  select conv_id, n + 1 as place, {'c': 0, 'a': ''} as q0, {'c': 4, 'a': 'II'} as q1, {'c': 2, 'a': 'I'} as q2,
+         {'c': 0, 'a': ''} as q3
+  from (select distinct conv_id, n from placed)
+  union all
+  select conv_id, place,
+         list_min([w0, {'c': 2 + w2.c, 'a': 'I' || w2.a}, {'c': 4 + w3.c, 'a': 'II' || w3.a}]),
+         list_min([w1, {'c': 2 + w2.c, 'a': 'I' || w2.a}, {'c': 4 + w3.c, 'a': 'II' || w3.a}]),
+         list_min([w2, {'c': 2 + w3.c, 'a': 'I' || w3.a}]),
+         list_min([w3, {'c': 2 + w2.c, 'a': 'I' || w2.a}])
+  from (
+    select f.conv_id, f.place,
+           list_min([{'c': 3 + q0.c, 'a': 'D' || q0.a}, {'c': no + 2 + t + q2.c, 'a': 'R' || q2.a},
+                     {'c': no + t + case when initial = 's' then q1.c when initial = 'u' then q2.c else 1000000000 end,
+                      'a': 'K' || case when initial = 's' then q1.a else q2.a end}]) as w0,
+           list_min([{'c': 3 + q1.c, 'a': 'D' || q1.a}, {'c': no + 2 + t + q2.c, 'a': 'R' || q2.a},
+                     {'c': no + t + case when initial = 'u' then q2.c else 1000000000 end, 'a': 'K' || q2.a}]) as w1,
+           list_min([{'c': 3 + q2.c, 'a': 'D' || q2.a}, {'c': no + 2 + t + q3.c, 'a': 'R' || q3.a},
+                     {'c': no + t + case when initial = 'a' then q3.c else 1000000000 end, 'a': 'K' || q3.a}]) as w2,
+           list_min([{'c': 3 + q3.c, 'a': 'D' || q3.a}, {'c': no + 2 + t + q2.c, 'a': 'R' || q2.a},
+                     {'c': no + t + case when initial = 'u' then q2.c else 1000000000 end, 'a': 'K' || q2.a}]) as w3
+    from going g join (
+           select *, case when fault in ('blank', 'duplicate') then 1000000000 else 0 end as no,
+                  case when fault = 'truncated' then 1 else 0 end as t
+           from faulted) f
+      on f.conv_id is not distinct from g.conv_id and f.place = g.place - 1)),
+audits as (select conv_id, q0.c as cost, q0.a as audit from going where place = 1),
+edits as (
+  select conv_id, i, substr(audit, i, 1) as edit, i - len(replace(substr(audit, 1, i), 'I', '')) as inserted
+  from (select conv_id, audit, unnest(range(1, len(audit) + 1)) as i from audits)),
+outputs as (
+  select e.conv_id, e.i, e.edit, f.role, f.text, f.initial,
+         row_number() over (partition by e.conv_id order by e.i) - 1 as o,
+         first_value(e.edit = 'K' and f.initial = 's') over (partition by e.conv_id order by e.i) as opened
+  from edits e left join faulted f
+    on e.edit <> 'I' and f.conv_id is not distinct from e.conv_id and f.place = e.i - e.inserted
+  where e.edit <> 'D'),
+hashed as (
+  select conv_id, sha256(string_agg(
+           case when edit = 'K' then role when (o - opened::int) % 2 = 0 then 'user' else 'assistant' end
+           || ':' || case when edit = 'I' then '' else text end, chr(10) order by i)) as repaired_sha256
+  from outputs group by conv_id)
+select c.conv_id, coalesce(s.gaps, 0)::bigint as gaps, coalesce(s.blank, 0)::bigint as blank,
+       coalesce(s.duplicate, 0)::bigint as duplicate, coalesce(s.truncated, 0)::bigint as truncated,
+       coalesce(s.illegal, 0)::bigint as illegal, coalesce(a.cost, 0)::bigint as cost, coalesce(a.audit, '') as audit,
+       coalesce(h.repaired_sha256, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join summed s on s.conv_id is not distinct from c.conv_id
+left join audits a on a.conv_id is not distinct from c.conv_id
+left join hashed h on h.conv_id is not distinct from c.conv_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_repeats": op2_repeats,
@@ -145,6 +249,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_near_copies": op9_near_copies,
     "op10_chat": op10_chat,
+    "op11_repair": op11_repair,
     "op12_token_links": op12_token_links,
 }
-ORACLES: dict[str, str] = {"op7_mixing": OP7}
+ORACLES: dict[str, str] = {"op7_mixing": OP7, "op11_repair": OP11}
