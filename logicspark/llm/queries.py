@@ -17,6 +17,7 @@ from logicspark.llm import (
     language,
     mixing,
     near_copies,
+    ngram_trie,
     passages,
     quality,
     repair,
@@ -112,6 +113,14 @@ def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_links.linked(table(spark, sf_dir, "documents"), *paths)
 
 
+def op13_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality.held_out(F.col("doc_id"), 5, 1)
+    model = ngram_trie.fit(docs.where(~held_out))
+    scores = ngram_trie.scored(docs.withColumn("held_out", held_out), model)
+    return scores.withColumn("train_tokens", F.lit(model.tokens).cast("bigint"))
+
+
 OP7 = r"""
 with sized as (
   select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as digest,
@@ -251,5 +260,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
     "op11_repair": op11_repair,
     "op12_token_links": op12_token_links,
+    "op13_trie_scores": op13_trie_scores,
 }
 ORACLES: dict[str, str] = {"op7_mixing": OP7, "op11_repair": OP11}
