@@ -190,8 +190,8 @@ class Trie:
         """Shards that are asked for, entries before them, and where the questions are."""
         order = np.argsort(shard, kind="stable")
         numbers, begins = np.unique(shard[order], return_index=True)
-        for number, here in zip(numbers, np.split(order, begins[1:]), strict=True):
-            yield self.shard(level, int(number)), int(self.model.before[level - 1][number]), here
+        for number, begin, stop in zip(numbers, begins, [*begins, len(order)][1:], strict=True):
+            yield self.shard(level, int(number)), int(self.model.before[level - 1][number]), order[begin:stop]
 
     def tokens(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id and count of each token."""
