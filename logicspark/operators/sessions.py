@@ -80,19 +80,14 @@ def session_summary(session_words: DataFrame) -> DataFrame:
     )
 
 
-def line_edge_to_word(line_clock: DataFrame, session_words: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Line-clock edges inside a session, each with the first word at or after it.
-
-    An edge is inside when the word before it and the word at or after it belong to the
-    same session, that is first word < edge <= last word.
-    """
-    require_columns(session_words, fields(capture_id="string", file_num="bigint", byte_index="bigint", t_ns="bigint"))
-    edges = edge_detect(line_clock, BY, width).filter(F.col("rising") | F.col("falling"))
+def edge_words(edges: DataFrame, session_words: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """``edges`` (capture_id, edge_t, rising) with ``file_before``, the session of the last word before each, and
+    ``file_num``, ``byte_index``, ``clock_t`` of the first word at or after it; null where there is none."""
     none = F.lit(None).cast("bigint")
     both = edges.select(
-        *BY, F.col("start_time").alias("edge_t"), "rising",
+        *BY, "edge_t", "rising",
         *[none.alias(c) for c in ("file_num", "byte_index", "clock_t")],
-        order_key("start_time", 0).alias("__order"),
+        order_key("edge_t", 0).alias("__order"),
     ).unionByName(
         session_words.select(
             *BY, none.alias("edge_t"), F.lit(None).cast("boolean").alias("rising"),
@@ -106,14 +101,24 @@ def line_edge_to_word(line_clock: DataFrame, session_words: DataFrame, width: in
         ahead={"__file": F.col("file_num"), "__byte": F.col("byte_index"), "__clock": F.col("clock_t")},
         width=width,
     )
-    return found.filter(
-        F.col("edge_t").isNotNull() & (F.col("__file") == F.col("__file_before"))
-    ).select(
-        *BY, F.col("__file").alias("file_num"), "edge_t", "rising",
+    return found.filter(F.col("edge_t").isNotNull()).select(
+        *BY, F.col("__file_before").alias("file_before"), F.col("__file").alias("file_num"), "edge_t", "rising",
         F.col("__byte").alias("byte_index"), F.col("__clock").alias("clock_t"),
     )
 
 
+def line_edge_to_word(line_clock: DataFrame, session_words: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """Line-clock edges inside a session, each with the first word at or after it.
+
+    An edge is inside when the word before it and the word at or after it belong to the
+    same session, that is first word < edge <= last word.
+    """
+    require_columns(session_words, fields(capture_id="string", file_num="bigint", byte_index="bigint", t_ns="bigint"))
+    edges = edge_detect(line_clock, BY, width).filter(F.col("rising") | F.col("falling"))
+    found = edge_words(edges.withColumnRenamed("start_time", "edge_t"), session_words, width)
+    return found.filter(F.col("file_num") == F.col("file_before")).drop("file_before")
+
+
 def line_records(session_edges: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """One record per rising edge, filled by the falling edge that follows it; else zeros."""
     d = session_edges.withColumn("__order", order_key("edge_t"))
