@@ -13,6 +13,9 @@ size asks for; a task opens the archive, reads header and directory, and works o
 own block range. Time step, first and last bit of a block come from the scan, so no
 table needs a join of packed bytes.
 
+``readStream`` follows archives that grow and archives that are added: the blocks table only, in the order in which blocks
+are there on every look. The offset is the number of blocks taken of each file and channel.
+
 A capture is named by its path below the folder that was opened, without extension.
 """
 
@@ -29,7 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    EqualTo,
+    In,
+    InputPartition,
+)
 
 from logicspark.functions.scalar import RATE_UNITS, bit_of, parse_sample_rate
 from logicspark.schemas import BLOCKS, HEADER, STORED_BLOCKS, fields
@@ -41,6 +51,7 @@ RAW_ALIGNED = fields(
     start_position="bigint", num_samples="bigint", timestamp_step="bigint",
 )
 BYTES_PER_PARTITION = 64 << 20
+BLOCKS_PER_PARTITION = 32
 
 
 class CaptureError(ValueError):
@@ -176,6 +187,11 @@ class CaptureSource(DataSource):
             return _HeaderReader(self.options)
         return _BlockReader(self.options)
 
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+        if self.options.get("table", "blocks") != "blocks":
+            raise CaptureError("only the blocks of archives can be followed")
+        return _BlockStream(self.options)
+
 
 class _HeaderReader(DataSourceReader):
     def __init__(self, options):
@@ -285,10 +301,91 @@ class _BlockReader(DataSourceReader):
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def _arrow_schema(self) -> pa.Schema:
-        kinds = {"capture_id": pa.string(), "channel": pa.int32(), "data": pa.binary(), "first": pa.int32(), "last": pa.int32()}
-        kinds |= {"channels": pa.map_(pa.int32(), pa.binary()), "previous": pa.map_(pa.int32(), pa.int32())}
-        names = (RAW_ALIGNED if self.aligned else STORED_BLOCKS).names
-        return pa.schema([(n, kinds.get(n, pa.int64())) for n in names])
+        return _arrow_schema(RAW_ALIGNED if self.aligned else STORED_BLOCKS)
+
+
+def _arrow_schema(table: T.StructType) -> pa.Schema:
+    kinds = {"capture_id": pa.string(), "channel": pa.int32(), "data": pa.binary(), "first": pa.int32(), "last": pa.int32()}
+    kinds |= {"channels": pa.map_(pa.int32(), pa.binary()), "previous": pa.map_(pa.int32(), pa.int32())}
+    return pa.schema([(n, kinds.get(n, pa.int64())) for n in table.names])
+
+
+@dataclass
+class _StreamPart(InputPartition):
+    """Blocks [first, last) of one channel of an archive."""
+
+    path: str
+    channel: int
+    first: int
+    last: int
+
+
+class _BlockStream(DataSourceStreamReader):
+    """Blocks of growing archives. Options: path, channels, max_samples, blocks_per_partition.
+
+    An offset holds, for each file and channel, how many blocks from 0 on have been taken. A look at the files opens the
+    directories of those whose size has changed, and no entry but the header. A block counts once it is whole, or the last
+    one that the header tells of; a channel waits at its first missing block. A file that cannot be opened yet, or lacks
+    its header or first block, is left for the next look. Blocks once taken must not change."""
+
+    def __init__(self, options):
+        self.options = dict(options)
+        wanted = options.get("channels")
+        self.channels = sorted({int(c) for c in wanted.split(",")}) if wanted else None
+        self.max_samples = int(options["max_samples"]) if options.get("max_samples") else None
+        self.per_partition = int(options.get("blocks_per_partition", str(BLOCKS_PER_PARTITION)))
+        self.looked_at: dict[str, tuple[int, dict[str, int]]] = {}
+
+    def initialOffset(self) -> dict:
+        return {"files": {}}
+
+    def latestOffset(self) -> dict:
+        for path, size in list_files(self.options["path"]):
+            if path not in self.looked_at or self.looked_at[path][0] != size:
+                try:
+                    self.looked_at[path] = size, self._count(path)
+                except (zipfile.BadZipFile, CaptureError, OSError):
+                    continue
+        return {"files": {path: counts for path, (_, counts) in self.looked_at.items()}}
+
+    def _count(self, path: str) -> dict[str, int]:
+        with open_file(path) as f, zipfile.ZipFile(f) as archive:
+            facts = _facts(path, archive)
+            sizes = {e.filename: e.file_size for e in archive.infolist()}
+        limit = facts.samples if self.max_samples is None else min(self.max_samples, facts.samples)
+        used = min(facts.blocks, -(-limit // facts.samples_per_block)) if facts.samples_per_block else 0
+
+        def whole(channel: int, block: int) -> bool:
+            size = sizes.get(f"L-{channel}/{block}")
+            return size is not None and (8 * size >= facts.samples_per_block or block == facts.blocks - 1)
+
+        channels = range(facts.probes) if self.channels is None else [c for c in self.channels if c < facts.probes]
+        return {str(c): next((b for b in range(used) if not whole(c, b)), used) for c in channels}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        parts = []
+        for path, counts in sorted(end["files"].items()):
+            taken = start["files"].get(path, {})
+            for channel, last in sorted(counts.items(), key=lambda x: int(x[0])):
+                for first in range(taken.get(channel, 0), last, self.per_partition):
+                    parts.append(_StreamPart(path, int(channel), first, min(first + self.per_partition, last)))
+        return parts
+
+    def read(self, partition: _StreamPart) -> Iterator[pa.RecordBatch]:
+        p, schema = partition, _arrow_schema(STORED_BLOCKS)
+        capture = name_below(p.path, root_folder(self.options["path"]))
+        with open_file(p.path) as f, zipfile.ZipFile(f) as archive:
+            facts = _facts(p.path, archive)
+            limit = facts.samples if self.max_samples is None else min(self.max_samples, facts.samples)
+            for block in range(p.first, p.last):
+                start, data = block * facts.samples_per_block, archive.read(f"L-{p.channel}/{block}")
+                count = min(8 * len(data), limit - start)
+                row = {
+                    "capture_id": capture, "channel": p.channel, "block_num": block, "data": data,
+                    "start_position": start, "num_samples": count, "timestamp_step": facts.step,
+                    "first": _bit(data, 0), "last": _bit(data, count - 1),
+                }
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
 
 
 def register(spark: SparkSession) -> None:
@@ -395,6 +492,17 @@ def read_aligned(
     return reader.load(path)
 
 
+def stream_capture(
+    spark: SparkSession, path: str, channels: list[int] | None = None, blocks_per_partition: int = BLOCKS_PER_PARTITION
+) -> DataFrame:
+    """Blocks of the archives at ``path`` (file, glob or folder) as a stream that goes on as archives grow or are added."""
+    register(spark)
+    reader = spark.readStream.format("logic_capture").option("blocks_per_partition", blocks_per_partition)
+    if channels is not None:
+        reader = reader.option("channels", ",".join(map(str, channels)))
+    return reader.load(path)
+
+
 def save_blocks(blocks: DataFrame, path: str) -> None:
     """Blocks as Parquet, one folder per capture and channel, so channel filters prune. First and last bits become
     columns, so that later steps decide on block borders without reading packed bytes."""

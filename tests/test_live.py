@@ -1,13 +1,16 @@
 """Live streams end to end: line records of sessions, and bus words under a control stream."""
 
 import random
+import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from logicspark import CsPolarity, StrobeMode
 from logicspark.operators import parallel, sessions, signal
 from logicspark.schemas import BLOCKS, CONTROL, fields
+from logicspark.sources import capture
 from logicspark.streaming import incremental
 from tests.conftest import SF, rows
 from workload import fixtures as fx
@@ -155,3 +158,55 @@ def test_control_behind_its_blocks_is_late(spark, blocks, tmp_path):
     assert rows(stored.result("late", CONTROL)) == [("c0", False, 40_000)]
     want = parallel.parallel_words(blocks.filter("capture_id = 'c0' and block_num = 0"), **BUS)
     assert rows(stored.result("words", BUS_WORDS)) == rows(want.select(*BUS_WORDS.names))
+
+
+def write_archive(path, data, blocks, samples_per_block, samples):
+    """An archive that says ``samples`` samples and holds ``blocks`` (channel -> number of blocks) so far."""
+    total = -(-samples // samples_per_block)
+    header = f"total probes = {len(data)}\nsamplerate = 100 MHz\ntotal samples = {samples}\ntotal blocks = {total}\n"
+    with zipfile.ZipFile(path, "w") as archive:
+        archive.writestr("header", header)
+        for channel, held in blocks.items():
+            for block in held:
+                part = data[channel][block * samples_per_block : (block + 1) * samples_per_block]
+                archive.writestr(f"L-{channel}/{block}", np.packbits(part, bitorder="little").tobytes())
+
+
+def test_growing_archives(spark, tmp_path):
+    """Two archives that grow over four looks, one of them added late, one with a gap for a while."""
+    rng = np.random.default_rng(2)
+    data = {name: rng.integers(0, 2, (3, 1000), dtype=np.uint8) for name in ("x", "y")}
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    looks = [
+        {"x": {0: range(1), 1: range(1)}},
+        {"x": {0: range(3), 1: [0, 2], 2: range(2)}, "y": {0: range(2), 1: range(2), 2: range(2)}},
+        {"x": {0: range(3), 1: range(3), 2: range(3)}, "y": {0: range(2), 1: range(2), 2: range(2)}},
+        {n: {c: range(4) for c in range(3)} for n in ("x", "y")},
+    ]
+    counts = []
+    for look in looks:
+        for name, held in look.items():
+            write_archive(folder / f"{name}.zip", data[name], held, 256, 1000)
+        (folder / "still-written.zip").write_bytes(b"PK")
+        live = capture.stream_capture(spark, str(folder), blocks_per_partition=2)
+        query = live.writeStream.format("parquet").option("checkpointLocation", f"{out}-at")
+        finish(query.trigger(availableNow=True).start(out))
+        counts.append(spark.read.parquet(out).count())
+    (folder / "still-written.zip").unlink()
+    assert counts == [2, 12, 15, 24]
+    assert rows(spark.read.parquet(out)) == rows(capture.read_capture(spark, str(folder)).blocks)
+    finish(query.trigger(availableNow=True).start(out))
+    assert spark.read.parquet(out).count() == 24
+
+
+def test_following_some_channels(spark, tmp_path):
+    data = np.random.default_rng(3).integers(0, 2, (3, 700), dtype=np.uint8)
+    write_archive(tmp_path / "x.zip", data, {c: range(3) for c in range(3)}, 256, 700)
+    live = capture.stream_capture(spark, str(tmp_path / "*.zip"), channels=[2])
+    finish(live.writeStream.format("memory").queryName("some_channels").trigger(availableNow=True).start())
+    want = capture.read_capture(spark, str(tmp_path / "*.zip"), channels=[2]).blocks
+    assert rows(spark.table("some_channels")) == rows(want) and want.count() == 3
+    with pytest.raises(Exception, match="only the blocks"):
+        header = spark.readStream.format("logic_capture").option("table", "header").load(str(tmp_path))
+        finish(header.writeStream.format("noop").trigger(availableNow=True).start())
