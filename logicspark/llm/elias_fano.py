@@ -23,18 +23,27 @@ def or_into(words: np.ndarray, place: np.ndarray, bits: np.ndarray) -> None:
         words[place[first]] |= np.add.reduceat(bits, first)
 
 
+def repeated(byte: int) -> np.uint64:
+    return U(int.from_bytes(bytes([byte]) * 8, "little"))
+
+
+#: Position of the nth one of each byte.
+SELECT_IN_BYTE = np.array(
+    [([k for k in range(8) if byte >> k & 1] + [0] * 8)[:8] for byte in range(256)], dtype=np.int64
+).ravel()
+
+
 def select_in_word(words: np.ndarray, nth: np.ndarray) -> np.ndarray:
-    """Position of the nth one (from 0) of each word."""
-    words, nth = words.copy(), nth.astype(np.int64)
-    place = np.zeros(len(words), dtype=np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count(words & U((1 << width) - 1)).astype(np.int64)
-        on = nth >= ones
-        nth -= np.where(on, ones, 0)
-        step = np.where(on, width, 0)
-        place += step
-        words >>= step.astype(U)
-    return place
+    """Position of the nth one (from 0) of each word: the byte by the ones up to each byte, then its bit."""
+    ones = words - (words >> U(1) & repeated(0x55))
+    ones = (ones & repeated(0x33)) + (ones >> U(2) & repeated(0x33))
+    upto = (ones + (ones >> U(4)) & repeated(0x0F)) * repeated(1)
+    nth = nth.astype(U)
+    over = (nth * repeated(1) | repeated(0x80)) - upto & repeated(0x80)
+    place = np.bitwise_count(over).astype(U) << U(3)
+    rest = nth - (upto << U(8) >> place & U(0xFF))
+    byte = words >> place & U(0xFF)
+    return place.astype(np.int64) + SELECT_IN_BYTE[(byte << U(3) | rest).astype(np.int64)]
 
 
 @dataclass
@@ -89,8 +98,9 @@ class EliasFano:
         place = place.astype(np.int64)
         return (self._select(self.ones, place, False) - place).astype(U) << U(self.bits) | self.tail(place)
 
-    def find(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Place of the first number that is not below each value, in places [begin, end); end where there is none.
+    def find(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the first number that is not below each value, in places [begin, end), or end where there is none;
+        and whether that number is the value.
 
         The high part of the value gives the bucket, the low bits are searched in it by halving."""
         values = values.astype(U)
@@ -98,11 +108,19 @@ class EliasFano:
         last = 64 * len(self.high) - int(self.ones[-1]) - int(np.bitwise_count(self.high[-1])) - 1
         beyond = high > last
         high = np.minimum(high, last)
-        stop = self._select(self.zeros, high, True) - high
-        start = np.where(high > 0, self._select(self.zeros, np.maximum(high - 1, 0), True) + 1 - high, 0)
+        bit = np.zeros(len(high), dtype=np.int64)
+        after = np.flatnonzero(high > 0)
+        bit[after] = self._select(self.zeros, high[after] - 1, True) + 1
+        start = bit - high
+        # The bucket goes on to the next zero, mostly in the same word.
+        rest = ~self.high[bit >> 6] >> (bit & 63).astype(U)
+        stop = start + np.bitwise_count((rest & (~rest + U(1))) - U(1))
+        long = np.flatnonzero(rest == 0)
+        stop[long] = self._select(self.zeros, high[long], True) - high[long]
         low, top = np.clip(start, begin, end), np.clip(stop, begin, end)
         low[beyond] = top[beyond] = end[beyond]
         tail = values & U((1 << self.bits) - 1)
+        until = top.copy()
         open_ = np.flatnonzero(low < top)
         while len(open_):
             middle = (low[open_] + top[open_]) >> 1
@@ -110,7 +128,10 @@ class EliasFano:
             low[open_] = np.where(below, middle + 1, low[open_])
             top[open_] = np.where(below, top[open_], middle)
             open_ = open_[low[open_] < top[open_]]
-        return low
+        exact = np.zeros(len(values), dtype=bool)
+        inside = np.flatnonzero(low < until)
+        exact[inside] = self.tail(low[inside]) == tail[inside]
+        return low, exact
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
         size = np.array([self.n, self.bits], dtype=np.int64)

@@ -41,7 +41,7 @@ QUANTUM = 4096
 #: Bytes of training text for each shard of a level.
 SHARD_BYTES = 16 << 20
 #: Tokens whose n-grams are added up at a time; a longer text makes a chunk of its own.
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 19
 #: Pending entries at which the task of a shard adds up what it has.
 PENDING = 1 << 22
 
@@ -203,24 +203,25 @@ class Trie:
             if not known.n:
                 continue
             wanted = different[here] - (shard[here] << np.uint64(shift))
-            at = known.find(wanted, np.zeros(len(here), dtype=np.int64), np.full(len(here), known.n))
-            there = at < known.n
-            there[there] = known.at(at[there]) == wanted[there]
+            at, there = known.find(wanted, np.zeros(len(here), dtype=np.int64), np.full(len(here), known.n))
             at, here = at[there], here[there]
             upto = sums.at(np.concatenate([at, np.maximum(at - 1, 0)])).astype(np.int64)
             ids[here] = before + at
             counts[here] = upto[: len(at)] - np.where(at > 0, upto[len(at) :], 0)
         return ids[back], counts[back]
 
-    def children(self, level: int, parents: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Entry of a level below each parent whose last token has this relative name, its log probability, and the
-        parent's log weight. Parents are not -1; a last token may be."""
-        out = np.full(len(parents), -1, dtype=np.int64)
+    def children(
+        self, level: int, parents: np.ndarray, last: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Entry of a level below each parent whose last token has this relative name, its place among the children of
+        the parent, its log probability, and the parent's log weight. Parents are not -1; a last token may be."""
+        out, nth = np.full((2, len(parents)), -1, dtype=np.int64)
         log_p, weight = np.zeros(len(parents)), np.zeros(len(parents))
         bounds = self.model.parents(level)
-        different, back = np.unique(parents, return_inverse=True)
-        order = np.argsort(back, kind="stable")
-        stops = np.cumsum(np.bincount(back, minlength=len(different)))
+        order = np.argsort(parents)
+        in_order = parents[order]
+        begins = np.flatnonzero(np.diff(in_order, prepend=-1))
+        different, stops = in_order[begins], np.append(begins, len(order))[1:]
         number = np.searchsorted(bounds, different, side="right") - 1
         for shard, before, here in self.by_shard(level, number):
             own = different[here] - bounds[number[here[0]]]
@@ -229,28 +230,17 @@ class Trie:
             after = np.flatnonzero(begin > 0)
             base[after] = shard.places.at(begin[after] - 1).astype(np.int64) + 1
             # Parents rise within a shard, and so do the questions that ask for them.
-            asked = order[(stops[here[0] - 1] if here[0] else 0) : stops[here[-1]]]
-            which = back[asked] - here[0]
+            asked = order[begins[here[0]] : stops[here[-1]]]
+            which = np.repeat(np.arange(len(here)), stops[here] - begins[here])
             weight[asked] = decoded(shard.weights[own])[which]
             use = (last[asked] >= 0) & (begin < end)[which]
             asked, which = asked[use], which[use]
             wanted = last[asked] + base[which]
-            at = shard.places.find(wanted, begin[which], end[which])
-            there = at < end[which]
-            there[there] = shard.places.at(at[there]).astype(np.int64) == wanted[there]
+            at, there = shard.places.find(wanted, begin[which], end[which])
             out[asked[there]] = before + at[there]
+            nth[asked[there]] = (at - begin[which])[there]
             log_p[asked[there]] = decoded(shard.codes[at[there]])
-        return out, log_p, weight
-
-    def first_child(self, level: int, parents: np.ndarray) -> np.ndarray:
-        """Place of the first entry of a level below each parent."""
-        different, back = np.unique(parents, return_inverse=True)
-        out = np.zeros(len(different), dtype=np.int64)
-        bounds = self.model.parents(level)
-        number = np.searchsorted(bounds, different, side="right") - 1
-        for shard, before, here in self.by_shard(level, number):
-            out[here] = before + shard.pointers.at(different[here] - bounds[number[here[0]]]).astype(np.int64)
-        return out[back]
+        return out, nth, log_p, weight
 
 
 @dataclass
@@ -272,13 +262,9 @@ def walked(trie: Trie, tokens: Tokens, upto: int) -> tuple[np.ndarray, list[Walk
         parent = np.concatenate([[-1], below.place[:-1]])
         use = np.flatnonzero((since >= level - 1) & (parent >= 0))
         place, log_p = np.full(len(ids), -1, dtype=np.int64), below.log_p.copy()
-        found, own, weight = trie.children(level, parent[use], below.last[use])
-        place[use] = found
-        log_p[use] = np.where(found >= 0, own, log_p[use] + weight)
-        last = np.full(len(ids), -1, dtype=np.int64)
-        if level < trie.model.order:
-            there = np.flatnonzero(place >= 0)
-            last[there] = place[there] - trie.first_child(level, parent[there])
+        last = place.copy()
+        place[use], last[use], own, weight = trie.children(level, parent[use], below.last[use])
+        log_p[use] = np.where(place[use] >= 0, own, log_p[use] + weight)
         levels.append(Walk(place, log_p, last))
     return counts, levels
 
@@ -302,7 +288,14 @@ def added_up(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarra
     """Different keys in order, the sum of their counts, and where each of them stood first."""
     if not len(counts):
         return keys, counts, np.zeros(0, dtype=np.int64)
-    order = np.lexsort(keys[::-1])
+    spans = [int(k.max()) + 1 for k in keys]
+    if math.prod(spans) < 1 << 62:
+        code = keys[0]
+        for key, span in zip(keys[1:], spans[1:], strict=True):
+            code = code * span + key
+        order = np.argsort(code)
+    else:
+        order = np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
     new = np.ones(len(order), dtype=bool)
     new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)

@@ -29,7 +29,9 @@ def test_elias_fano(numbers, universe, data):
     asked = np.array([*values, *data.draw(st.lists(st.integers(0, 2 * universe), max_size=20))], dtype=np.uint64)
     begin = np.array([data.draw(st.integers(0, n)) for _ in asked], dtype=np.int64)
     end = np.array([data.draw(st.integers(int(b), n)) for b in begin], dtype=np.int64)
-    assert got.find(asked, begin, end).tolist() == np.clip(np.searchsorted(values, asked), begin, end).tolist()
+    place, exact = got.find(asked, begin, end)
+    assert place.tolist() == np.clip(np.searchsorted(values, asked), begin, end).tolist()
+    assert exact.tolist() == [int(x) in values[b:e].tolist() for x, b, e in zip(asked, begin, end, strict=True)]
 
 
 def plain_tokens(text):
