@@ -23,7 +23,7 @@ CHUNK_BYTES = 1 << 20
 
 
 def line_bytes(chunks: DataFrame, lines: DataFrame, width_bytes: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Bytes of each line: (image_id, row, data). Short at the end of the body.
+    """Bytes of each line: (image_id, row, width_bytes, data). Short at the end of the body.
 
     ``chunks``: (image_id, chunk_no, data), ``chunk_bytes`` each but the last.
     ``lines``: (image_id, row, line_start) and whatever ``width_bytes`` refers to.
@@ -42,15 +42,15 @@ def line_bytes(chunks: DataFrame, lines: DataFrame, width_bytes: Column, chunk_b
     first = F.greatest(start - base, F.lit(0))
     size = F.least(end - base, F.lit(chunk_bytes)) - first
     pieces = want.join(chunks.select(*IMAGE, "chunk_no", "data"), [*IMAGE, "chunk_no"], "left").select(
-        *IMAGE, "row",
+        *IMAGE, "row", "__w",
         F.struct("chunk_no", F.substr("data", (first + 1).cast("int"), size.cast("int")).alias("part")).alias("piece"),
     )
     # a line spans width / chunk_bytes + 2 chunks at most
     return (
         pieces.groupBy(*IMAGE, "row")
-        .agg(F.array_sort(F.collect_list("piece")).alias("p"))
+        .agg(F.array_sort(F.collect_list("piece")).alias("p"), F.max("__w").alias("width_bytes"))
         .select(
-            *IMAGE, "row",
+            *IMAGE, "row", "width_bytes",
             F.aggregate(
                 "p", F.lit(b""), lambda all_, x: F.concat(all_, F.coalesce(x.part, F.lit(b"")))
             ).alias("data"),
@@ -58,28 +58,33 @@ def line_bytes(chunks: DataFrame, lines: DataFrame, width_bytes: Column, chunk_b
     )
 
 
-def pixels_u16(lines: DataFrame, pixel_width: int) -> DataFrame:
-    """Line bytes to pixels, low byte first; a value with a missing byte is 0."""
+def pixels_u16(lines: DataFrame, pixel_width: int | None = None) -> DataFrame:
+    """Line bytes to pixels, low byte first; a value with a missing byte is 0.
+
+    Without ``pixel_width`` each line has the whole pixels of its own ``width_bytes``."""
+    width = F.expr(f"width_bytes div {BYTES_PER_PIXEL}") if pixel_width is None else F.lit(pixel_width)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                raw = row["data"][: pixel_width * BYTES_PER_PIXEL]
+                wide = row["pixel_width"]
+                raw = row["data"][: wide * BYTES_PER_PIXEL]
                 whole = np.frombuffer(raw[: len(raw) // 2 * 2], "<u2")
-                planes = np.zeros(pixel_width * 3, np.int32)
+                planes = np.zeros(wide * 3, np.int32)
                 planes[: len(whole)] = whole
-                g, b, r = planes.reshape(pixel_width, 3).T
+                g, b, r = planes.reshape(wide, 3).T
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.repeat(row["image_id"], pixel_width),
-                        pa.array(np.full(pixel_width, row["row"], np.int64)),
-                        pa.array(np.arange(pixel_width, dtype=np.int64)),
+                        pa.repeat(row["image_id"], wide),
+                        pa.array(np.full(wide, row["row"], np.int64)),
+                        pa.array(np.arange(wide, dtype=np.int64)),
                         *(pa.array(np.ascontiguousarray(p)) for p in (g, b, r)),
                     ],
                     names=PIXELS.names,
                 )
 
-    return lines.select("image_id", "row", "data").mapInArrow(unpack, PIXELS)
+    own = lines.select("image_id", "row", "data", width.cast("int").alias("pixel_width"))
+    return own.mapInArrow(unpack, PIXELS)
 
 
 def geometry(pixels: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from logicspark.operators.control import DISABLE_COMMAND, ENABLE_COMMAND, contro
 from logicspark.operators.ordered import DEFAULT_WIDTH
 from logicspark.schemas import CsPolarity, DisplayMode, SpiMode, StrobeMode
 from logicspark.sources.sinks import register_csv_rows
+from logicspark.sources.capture import root_folder
+from logicspark.sources.tables import companion_path, file_name_below, read_body_chunks, read_line_records
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -187,6 +189,66 @@ def scan_image(
     )
 
 
+@dataclass
+class ScanFiles:
+    """Bodies of a folder and what their line tables say: body chunks, line starts and bytes of a line of each image."""
+
+    chunks: DataFrame
+    lines: DataFrame
+    widths: DataFrame
+
+
+def open_scans(
+    spark: SparkSession, folder: str, chunk_bytes: int = image.CHUNK_BYTES, start_offset: int = 4, width: int = DEFAULT_WIDTH
+) -> ScanFiles:
+    """Bodies ``<folder>/*/*.bin`` (or parts) with the line tables that belong to them.
+
+    An image needs both: bodies whose companion is not there, and tables without a body, give nothing. Lines start at the
+    falling index; their width is the upper median of the steps between them, so each image has its own."""
+    paths = f"{folder}/*/*.bin*"
+    chunks = read_body_chunks(spark, paths, chunk_bytes)
+    # By names alone; a part of a body is named after it.
+    body = F.concat(F.regexp_replace(file_name_below(root_folder(paths)), r"\.bin$", ""), F.lit(".bin"))
+    bodies = spark.read.format("binaryFile").load(paths).select(companion_path(body).alias("table")).distinct()
+    table = F.concat("image_id", F.lit("_tgck.csv")) == F.col("table")
+    records = read_line_records(spark, f"{folder}/*/*_tgck.csv").join(bodies, table, "left_semi")
+    widths = sessions.line_width(records, ["image_id"], width).withColumnRenamed("width", "width_bytes")
+    lines = sessions.line_offsets(records, ["image_id"], start_offset, width)
+    return ScanFiles(chunks, lines, widths)
+
+
+def scan_image_files(
+    spark: SparkSession,
+    folder: str,
+    *,
+    chunk_bytes: int = image.CHUNK_BYTES,
+    start_offset: int = 4,
+    width: int = DEFAULT_WIDTH,
+    deltas: DataFrame | None = None,
+    bg_delta: int = 0,
+    gr_delta: int = 0,
+    gain: float = 1.0 / 96.0,
+    gamma: bool = False,
+    mode: DisplayMode = DisplayMode.COLOR,
+) -> DataFrame:
+    """Frames (image_id, row, col, rgb) of all scans of a folder, each with the line width that its own table shows.
+
+    ``deltas`` (image_id, bg_delta, gr_delta) as in ``row_shift_compose``."""
+    files = open_scans(spark, folder, chunk_bytes, start_offset, width)
+    lines = files.lines.join(files.widths, "image_id")
+    pixel = F.lit(image.BYTES_PER_PIXEL)
+    whole = F.expr(f"width_bytes div {image.BYTES_PER_PIXEL}") * pixel
+    pixels = image.pixels_u16(image.line_bytes(files.chunks, lines, whole, chunk_bytes))
+    shape = lines.groupBy("image_id").agg(
+        (F.max("row") + 1).alias("total_rows"), F.expr(f"max(width_bytes) div {image.BYTES_PER_PIXEL}").alias("pixel_width")
+    )
+    shifted = mode is DisplayMode.COLOR and (bg_delta or gr_delta or deltas is not None)
+    return image.frame_decode(
+        pixels, mode, bg_delta=bg_delta, gr_delta=gr_delta, gain=gain, gamma=gamma,
+        shape=shape if shifted else None, deltas=deltas,
+    )
+
+
 def aligned_scan_image(
     chunks: DataFrame, lines: DataFrame, *, width_bytes: int, chunk_bytes: int = image.CHUNK_BYTES,
     max_delta: int = alignment.MAX_DELTA, **options,

@@ -21,6 +21,7 @@ from logicspark.sources.tables import BodySource
 
 BY = ["capture_id"]
 CHUNK_BYTES = 1 << 23
+LINES_PER_CHUNK = 1 << 16
 _CHUNKS = fields(capture_id="string", file_num="bigint", chunk_no="bigint", data="binary")
 
 
@@ -98,22 +99,24 @@ def body_chunks(session_words: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Dat
 
 @dataclass
 class _Written(WriterCommitMessage):
-    """Bodies of a task: name, bytes from which the chunk goes on, its unpublished file."""
+    """Files of a task: name, byte from which the file goes on, the unpublished file."""
 
-    chunks: list[tuple[str, int, str]]
+    files: list[tuple[str, int, str]]
 
 
 class BodyWriter(DataSourceArrowWriter):
-    """Writes body chunks into ``<path>/<capture_id>/capture_%04d.bin``, on any file system that Arrow knows.
+    """Writes chunks into ``<path>/<capture_id>/capture_%04d<suffix>``, on any file system that Arrow knows.
 
-    Tasks write each chunk to an unpublished file of their own. Commit, on the driver, publishes: with option
-    ``parts=true`` by giving each chunk its name ``.part-<first byte>``, else by joining a body's chunks in order. So a
-    repeated or failed task leaves nothing behind, and a body that was longer before keeps none of its old bytes."""
+    Option ``suffix`` is ``.bin`` unless told. Chunks of a file come to one task in order, which joins them in an
+    unpublished file of its own; with ``parts=true`` each chunk makes a file ``.part-<first byte>``, in any task. Commit,
+    on the driver, only gives the files their names, so a repeated or failed task leaves nothing behind, and a file that
+    was longer before keeps none of its old bytes."""
 
     def __init__(self, options, overwrite: bool) -> None:
         self.path = options["path"].rstrip("/")
         self.chunk_bytes = int(options.get("chunk_bytes", str(CHUNK_BYTES)))
         self.parts = options.get("parts", "false") == "true"
+        self.suffix = options.get("suffix", ".bin")
         self.overwrite = overwrite
         self.job = uuid.uuid4().hex
 
@@ -126,42 +129,42 @@ class BodyWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = self._store()
-        chunks = []
+        files: list[tuple[str, int, str]] = []
+        stream = None
         for batch in iterator:
             for row in batch.to_pylist():
-                store.create_dir(f"{root}/_unpublished-{self.job}", recursive=True)
-                own = f"{root}/_unpublished-{self.job}/{uuid.uuid4().hex}"
-                with store.open_output_stream(own) as out:
-                    out.write(row["data"])
-                name = f"{row['capture_id']}/capture_{row['file_num']:04d}.bin"
-                chunks.append((name, row["chunk_no"] * self.chunk_bytes, own))
-        return _Written(chunks)
+                name = f"{row['capture_id']}/capture_{row['file_num']:04d}{self.suffix}"
+                if self.parts or stream is None or files[-1][0] != name:
+                    if stream is not None:
+                        stream.close()
+                    store.create_dir(f"{root}/_unpublished-{self.job}", recursive=True)
+                    first = row["chunk_no"] * self.chunk_bytes if self.parts else 0
+                    files.append((name, first, f"{root}/_unpublished-{self.job}/{uuid.uuid4().hex}"))
+                    stream = store.open_output_stream(files[-1][2])
+                stream.write(row["data"])
+        if stream is not None:
+            stream.close()
+        return _Written(files)
 
     def commit(self, messages) -> None:
         from pyarrow import fs
 
         store, root = self._store()
-        bodies: dict[str, list[tuple[int, str]]] = {}
+        found: dict[str, list[tuple[int, str]]] = {}
         for message in messages:
-            for name, first, own in message.chunks if message else ():
-                bodies.setdefault(name, []).append((first, own))
-        for name, chunks in sorted(bodies.items()):
+            for name, first, own in message.files if message else ():
+                found.setdefault(name, []).append((first, own))
+        torn = [name for name, files in found.items() if not self.parts and len(files) > 1]
+        if torn:
+            raise ValueError(f"chunks of {torn[0]} came to several tasks or out of order")
+        for name, files in sorted(found.items()):
             target = f"{root}/{name}"
             store.create_dir(os.path.dirname(target), recursive=True)
             for old in store.get_file_info(fs.FileSelector(os.path.dirname(target))):
                 if re.fullmatch(re.escape(os.path.basename(target)) + r"(\.part-[0-9]+)?", old.base_name):
                     store.delete_file(old.path)
-            if self.parts:
-                for first, own in sorted(chunks):
-                    store.move(own, f"{target}.part-{first:015d}")
-                continue
-            joined = f"{root}/_unpublished-{self.job}/joined"
-            with store.open_output_stream(joined) as out:
-                for _, own in sorted(chunks):
-                    with store.open_input_stream(own) as chunk:
-                        while data := chunk.read(CHUNK_BYTES):
-                            out.write(data)
-            store.move(joined, target)
+            for first, own in sorted(files):
+                store.move(own, f"{target}.part-{first:015d}" if self.parts else target)
         self.abort(messages)
 
     def abort(self, messages) -> None:
@@ -173,15 +176,41 @@ class BodyWriter(DataSourceArrowWriter):
             store.delete_dir(left)
 
 
+def _write_files(chunks: DataFrame, path: str, chunk_bytes: int, parts: bool, suffix: str) -> None:
+    chunks.sparkSession.dataSource.register(BodySource)
+    if not parts:
+        chunks = chunks.repartition("capture_id", "file_num").sortWithinPartitions("capture_id", "file_num", "chunk_no")
+    chunks.write.format("capture_body").options(
+        chunk_bytes=chunk_bytes, parts=str(parts).lower(), suffix=suffix
+    ).mode("append").save(path)
+
+
 def write_bodies(session_words: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, parts: bool = False) -> None:
     """One body per session; a session without words has no file. A body that is there already is replaced.
 
-    Joined bodies pass through the driver chunk by chunk; with ``parts`` only names do, which is the form for long
-    captures."""
-    session_words.sparkSession.dataSource.register(BodySource)
-    body_chunks(session_words, chunk_bytes).write.format("capture_body").options(
-        chunk_bytes=chunk_bytes, parts=str(parts).lower()
-    ).mode("append").save(path)
+    Chunks are put together by many tasks; one task for each body then appends them in order, a chunk at a time. With
+    ``parts`` each chunk stays a file of its own, which is the form for captures too long for one writer. The driver
+    handles names only."""
+    _write_files(body_chunks(session_words, chunk_bytes), path, chunk_bytes, parts, ".bin")
+
+
+def line_table_chunks(records: DataFrame, lines: int = LINES_PER_CHUNK, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """Text of each session's line table, heading first, in chunks of ``lines`` records in time order."""
+    file = ["capture_id", "file_num"]
+    ordered = records.withColumn("__order", order_key("rising_timestamp"))
+    numbered = running_sum(ordered, file, "__order", {"__n": F.lit(1)}, width=width)
+    text = F.concat_ws(",", *[F.col(c).cast("string") for c in LINE_RECORD_COLUMNS])
+    line = F.array_sort(F.collect_list(F.struct("__n", text.alias("line"))))
+    chunks = numbered.groupBy(*file, F.expr(f"(__n - 1) div {lines}").alias("chunk_no")).agg(line.alias("__lines"))
+    body = F.concat(F.array_join("__lines.line", "\n"), F.lit("\n"))
+    heading = F.when(F.col("chunk_no") == 0, F.lit(",".join(LINE_RECORD_COLUMNS) + "\n")).otherwise("")
+    return chunks.select(*file, F.col("chunk_no").cast("bigint").alias("chunk_no"), F.concat(heading, body).cast("binary").alias("data"))
+
+
+def write_line_tables(records: DataFrame, path: str, width: int = DEFAULT_WIDTH) -> None:
+    """``<path>/<capture_id>/capture_%04d_tgck.csv`` for each session that has records, beside its body: the name that
+    ``companion_path`` gives."""
+    _write_files(line_table_chunks(records, width=width), path, CHUNK_BYTES, False, "_tgck.csv")
 
 
 def write_capture_index(index: DataFrame, path: str) -> None:
