@@ -17,6 +17,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -140,7 +141,7 @@ def listed(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray)
 
     ``last_a`` and ``last_b`` are the last tokens of the groups. Tokens are numbered group by group, A before B."""
     place, mark = np.zeros(len(a) + len(b), dtype=np.int64), np.full(len(a) + len(b), ord(","), dtype=np.uint8)
-    ids = np.zeros(len(a) + len(b), dtype=np.int64)
+    ids = np.zeros(len(a) + len(b), dtype=np.int32)
     group_of_a = np.repeat(np.arange(len(last_a)), np.diff(last_a, prepend=-1))
     group_of_b = np.repeat(np.arange(len(last_b)), np.diff(last_b, prepend=-1))
     b_before = np.concatenate([[0], last_b[:-1] + 1]) if len(last_b) else last_b
@@ -148,15 +149,16 @@ def listed(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray)
     place_b = np.arange(len(b)) + (last_a[group_of_b] + 1 if len(b) else 0)
     ids[place_a], ids[place_b] = a, b
     mark[place_a[last_a]], mark[place_b[last_b]] = ord("|"), ord(";")
-    digits = np.ones(len(ids), dtype=np.int64)
+    digits = np.ones(len(ids), dtype=np.uint8)
     for k in range(1, len(str(ids.max(initial=0)))):
         digits += ids >= 10**k
-    place = np.cumsum(digits + 1)
+    place = np.cumsum(digits + np.uint8(1), dtype=np.int64)
     text = np.zeros(place[-1] if len(place) else 0, dtype=np.uint8)
     text[place - 1] = mark
     for k in range(int(digits.max()) if len(digits) else 0):
         here = digits > k
-        text[place[here] - 2 - k] = ord("0") + ids[here] // 10**k % 10
+        text[place[here] - 2 - k] = ord("0") + ids[here] % 10
+        ids //= 10
     return text, place
 
 
@@ -189,7 +191,7 @@ class Aligner:
                 b"".join(map(self.own.a_tokens.__getitem__, ids_a)) == whole
                 and b"".join(map(self.own.b_tokens.__getitem__, ids_b)) == whole
             )
-            packed = (np.array(ids, dtype=np.int32).tobytes() for ids in (ids_a, ids_b))
+            packed = (array("i", ids).tobytes() for ids in (ids_a, ids_b))
             self.known[part] = tuple(packed) if given_back else None
 
     def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
