@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logicspark.schemas import PIXELS, require_columns
+from logicspark.schemas import PIXELS, fields, require_columns
 
 IMAGE = ["image_id"]
 PLANES = ("g", "b", "r")
 MAX_DELTA = 80
 MIN_OVERLAP = 10
 SAMPLED_COLUMNS = 64
+BUCKET_ROWS = 1 << 12
+LAG_SUMS = fields(
+    image_id="string", plane="string", delta="bigint", n="bigint",
+    a="double", b="double", ab="double", aa="double", bb="double",
+)
 
 
 def row_means(pixels: DataFrame, shape: DataFrame) -> DataFrame:
@@ -74,6 +83,63 @@ def normalized_corr(pairs: DataFrame) -> DataFrame:
     return d.filter(F.col("n") >= MIN_OVERLAP).select(*IMAGE, "delta", "n", corr.alias("corr"))
 
 
+def lag_sums(
+    derivative: DataFrame, planes: Sequence[str], max_delta: int = MAX_DELTA, reference: str = "g",
+    bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """Sums over all pairs (reference of row, plane of row + delta), for every plane and delta in -D..D.
+
+    Rows go to the task of their bucket of rows, and those within D of its border to the next one too, where they only
+    serve as partners. One pass over a bucket gives the sums of all deltas and planes; the shuffle that adds them up holds
+    2 D + 1 rows a bucket and plane.
+    """
+    low, high = (F.floor((F.col("row") + d) / bucket_rows) for d in (-max_delta, max_delta))
+    names = [reference, *planes]
+    dealt = derivative.select(
+        *IMAGE, "row", *[F.col(p).cast("double").alias(f"p{k}") for k, p in enumerate(names)],
+        F.explode(F.sequence(low, high)).alias("bucket"),
+    )
+
+    def sums(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        begin = key[1].as_py() * bucket_rows
+        row = rows.column("row").to_numpy() - begin + max_delta
+        values = np.full((len(names), bucket_rows + 2 * max_delta), np.nan)
+        for k in range(len(names)):
+            values[k, row] = rows.column(f"p{k}").to_numpy()
+        own = values[0, max_delta : max_delta + bucket_rows]
+        out: list[dict] = []
+        for k, plane in enumerate(planes, 1):
+            for delta in range(-max_delta, max_delta + 1):
+                other = values[k, max_delta + delta : max_delta + delta + bucket_rows]
+                met = ~(np.isnan(own) | np.isnan(other))
+                a, b = own[met], other[met]
+                if len(a):
+                    parts = (a.sum(), b.sum(), a @ b, a @ a, b @ b)
+                    out.append(dict(zip(LAG_SUMS.names, [key[0].as_py(), plane, delta, len(a), *parts], strict=True)))
+        return pa.Table.from_pylist(out, schema=_LAG_SUMS)
+
+    parts = dealt.groupBy(*IMAGE, "bucket").applyInArrow(sums, LAG_SUMS)
+    return parts.groupBy(*IMAGE, "plane", "delta").agg(*[F.sum(c).alias(c) for c in LAG_SUMS.names[3:]])
+
+
+_LAG_SUMS = pa.schema(
+    [("image_id", pa.string()), ("plane", pa.string()), ("delta", pa.int64()), ("n", pa.int64())]
+    + [(c, pa.float64()) for c in ("a", "b", "ab", "aa", "bb")]
+)
+
+
+def correlated(sums: DataFrame) -> DataFrame:
+    """Correlation per plane and delta from ``lag_sums``, as ``normalized_corr`` has it from pairs."""
+    n = F.col("n")
+    cov = F.col("ab") - F.col("a") * F.col("b") / n
+    scale = F.sqrt(
+        F.greatest(F.col("aa") - F.col("a") * F.col("a") / n, F.lit(0.0))
+        * F.greatest(F.col("bb") - F.col("b") * F.col("b") / n, F.lit(0.0))
+    )
+    corr = F.when(scale > 1e-12, cov / scale).otherwise(F.lit(0.0))
+    return sums.filter(n >= MIN_OVERLAP).select(*IMAGE, "plane", "delta", "n", corr.alias("corr"))
+
+
 def best_delta(profile: DataFrame, shape: DataFrame, max_delta: int = MAX_DELTA) -> DataFrame:
     """Delta of the highest correlation, the smallest among equals.
 
@@ -95,16 +161,23 @@ def top_corr(profile: DataFrame, k: int = 5) -> DataFrame:
 
 
 def plane_delta(derivative: DataFrame, shape: DataFrame, plane: str, max_delta: int = MAX_DELTA) -> DataFrame:
-    return best_delta(normalized_corr(lag_profile(derivative, plane, max_delta)), shape, max_delta)
+    return best_delta(correlated(lag_sums(derivative, [plane], max_delta)), shape, max_delta)
 
 
 def auto_deltas(pixels: DataFrame, shape: DataFrame, max_delta: int = MAX_DELTA) -> DataFrame:
-    """Both planes against green, in the signs ``row_shift_compose`` takes."""
-    derivative = row_derivative(row_means(pixels, shape))
-    blue = plane_delta(derivative, shape, "b", max_delta).select(
-        *IMAGE, (-F.col("delta")).alias("bg_delta"), F.col("corr").alias("bg_corr")
-    )
-    red = plane_delta(derivative, shape, "r", max_delta).select(
-        *IMAGE, F.col("delta").alias("gr_delta"), F.col("corr").alias("gr_corr")
+    """Both planes against green, in the signs ``row_shift_compose`` takes. One pass over the rows serves both."""
+    sums = lag_sums(row_derivative(row_means(pixels, shape)), ["b", "r"], max_delta)
+    best = F.max(F.struct("corr", (-F.col("delta")).alias("minus")))
+    of = {p: F.max(F.when(F.col("plane") == p, F.col("best"))).alias(p) for p in ("b", "r")}
+    found = correlated(sums).groupBy(*IMAGE, "plane").agg(best.alias("best")).groupBy(*IMAGE).agg(*of.values())
+    small = (F.col("total_rows") < 2 * max_delta + 2) | (F.col("pixel_width") == 0)
+
+    def delta(plane: str):
+        return F.when(small, 0).otherwise(F.coalesce(-F.col(f"{plane}.minus"), F.lit(0)))
+
+    def corr(plane: str):
+        return F.when(small, 0.0).otherwise(F.coalesce(F.col(f"{plane}.corr"), F.lit(float("-inf"))))
+
+    return shape.join(found, IMAGE, "left").select(
+        *IMAGE, (-delta("b")).alias("bg_delta"), corr("b").alias("bg_corr"), delta("r").alias("gr_delta"), corr("r").alias("gr_corr")
     )
-    return blue.join(red, IMAGE)

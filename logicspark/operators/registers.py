@@ -55,21 +55,56 @@ def register_state(writes: DataFrame) -> DataFrame:
     return writes.groupBy(*LOG, "register").agg(F.max_by("value", "seq").alias("value"))
 
 
+#: Enables that one row hands on at a time.
+SPAN = 1 << 12
+
+
 def register_snapshots(
     writes: DataFrame, enabled: DataFrame, width: int = DEFAULT_WIDTH
 ) -> DataFrame:
     """Registers known just before each enable, long form.
 
-    Each enable asks every register that was ever written for its last earlier write:
-    an as-of lookup per (log, register), at most 128 rows per enable.
+    A write holds for the enables after it up to the next write of its register, which is a range of enable numbers:
+    from the enables counted at the write to those counted at the next one. Only these rows are made, and a write that no
+    enable sees makes none. Ranges are handed on in spans, so no row carries a long list.
     """
-    known = writes.select(*LOG, "register").distinct()
-    asked = enabled.join(known, LOG)
-    d = asof_state(
-        asked, writes, [*LOG, "register"], probe_time="seq", state_time="seq",
-        values={"value": "value"}, include_equal=False, width=width,
+    counted = asof_state(
+        writes.select(*LOG, "seq", "register", "value"), enabled, LOG, probe_time="seq", state_time="seq",
+        values={"__before": "enable_num"}, include_equal=False, width=width,
+    ).withColumn("__before", F.coalesce("__before", F.lit(0)))
+    held = neighbours(
+        counted.withColumn("__order", order_key("seq")), [*LOG, "register"], "__order",
+        ahead={"__until": F.col("__before")}, inclusive=False, width=width,
+    )
+    last = enabled.groupBy(*LOG).agg(F.max("enable_num").alias("__last"))
+    ranges = held.join(last, LOG).withColumn("__until", F.coalesce("__until", "__last")).filter("__until > __before")
+    first = F.explode(F.sequence(F.col("__before") + 1, F.col("__until"), F.lit(SPAN)))
+    spans = ranges.withColumn("__first", first)
+    number = F.explode(F.sequence(F.col("__first"), F.least(F.col("__first") + (SPAN - 1), F.col("__until"))))
+    seen = spans.select(*LOG, "register", "value", number.alias("enable_num"))
+    return seen.join(enabled.select(*LOG, "enable_num", "time_ns"), [*LOG, "enable_num"]).select(
+        *LOG, "enable_num", "time_ns", "register", "value"
+    )
+
+
+def snapshot_before(writes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Registers known just before one enable of each log (log_id, enable_num, time_ns, seq), without the other enables:
+    the last write of each register before it. A choice that fails does so also when there are no writes."""
+    limit = chosen.select(*LOG, "enable_num", "time_ns", F.col("seq").alias("__until"))
+    found = (
+        writes.drop("time_ns").join(limit, LOG)
+        .filter(F.col("seq") < F.col("__until"))
+        .groupBy(*LOG, "enable_num", "time_ns", "register")
+        .agg(F.max_by("value", "seq").alias("value"))
     )
-    return d.filter(F.col("value").isNotNull()).select(*LOG, "enable_num", "time_ns", "register", "value")
+    # Never a row, but the choice is looked at whatever the join does.
+    looked_at = chosen.agg(F.count(F.lit(1)).alias("n")).filter("n < 0")
+    return found.union(looked_at.select(*_not_null(found)))
+
+
+def _not_null(df: DataFrame) -> list[Column]:
+    """A row of empty values; with nulls, joins would leave a branch out unseen."""
+    return [(F.lit("") if kind == "string" else F.lit(0).cast(kind)).alias(name) for name, kind in df.dtypes]
 
 
 def snapshot_maps(snapshots: DataFrame) -> DataFrame:
@@ -124,11 +159,10 @@ def snapshot_pick(
     snapshots: DataFrame, durations: DataFrame | None = None, capture_num: int | None = None,
     enabled: DataFrame | None = None,
 ) -> DataFrame:
-    """Snapshot of the chosen capture, or of the longest one; fails when there is none.
+    """Rows of the chosen capture, or of the longest one; the query fails when there is none.
 
-    The choice is one row per log, looked at once here so that a missing capture is an
-    error and not an empty table. ``enabled`` lets a capture without any known register
-    count as found.
+    ``snapshots`` is anything with log_id and enable_num. Given the enables themselves it picks one of each log, before
+    any snapshot is made (``snapshot_before``). ``enabled`` lets a capture without any known register count as found.
     """
     if (durations is None) == (capture_num is None):
         raise ValueError("give either durations or capture_num")
@@ -139,9 +173,10 @@ def snapshot_pick(
     else:
         chosen = longest_capture(durations).select(*LOG, "enable_num")
         missing = "No enable/disable pairs found"
-    if chosen.isEmpty():
-        raise LookupError(missing)
-    return snapshots.join(chosen, [*LOG, "enable_num"])
+    # No row, or an error when nothing was chosen.
+    none = F.when(F.count(F.lit(1)) == 0, F.raise_error(missing).cast("boolean")).otherwise(F.lit(False))
+    guard = chosen.agg(none.alias("__none")).filter("__none").select(*_not_null(snapshots))
+    return snapshots.join(chosen, [*LOG, "enable_num"]).select(*snapshots.columns).union(guard)
 
 
 def ordered_registers(snapshot: DataFrame) -> DataFrame:

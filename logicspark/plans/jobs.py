@@ -152,14 +152,7 @@ def register_dump(
     enabled = registers.enables(commands, enable, width)
     durations = None if capture_num is not None else registers.capture_durations(commands, enable, disable, width)
     chosen = registers.snapshot_pick(enabled, durations, capture_num)
-    limit = chosen.select("log_id", "enable_num", "time_ns", F.col("seq").alias("__until"))
-    writes = registers.register_writes(commands, enable, disable)
-    snapshot = (
-        writes.drop("time_ns").join(limit, "log_id")
-        .filter(F.col("seq") < F.col("__until"))
-        .groupBy("log_id", "enable_num", "time_ns", "register")
-        .agg(F.max_by("value", "seq").alias("value"))
-    )
+    snapshot = registers.snapshot_before(registers.register_writes(commands, enable, disable), chosen)
     return register_csv_rows(snapshot)
 
 

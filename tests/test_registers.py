@@ -78,6 +78,17 @@ def test_ties_take_the_last_and_missing_fails(spark):
         jobs.register_dump(c, capture_num=9).collect()
     with pytest.raises(Exception, match="No enable/disable pairs found"):
         jobs.register_dump(make(spark, {"l": [(0, ON)]})).collect()
+    with pytest.raises(Exception, match="Capture #9 not found"):
+        registers.snapshot_pick(registers.enables(c), capture_num=9).collect()
+
+
+def test_long_ranges_go_in_spans(spark, monkeypatch):
+    monkeypatch.setattr(registers, "SPAN", 3)
+    log = [(0, 5 << 16 | 7)] + [(k, ON) for k in range(1, 12)] + [(12, 5 << 16 | 8), (13, 6 << 16 | 1), (14, 5 << 16 | 9), (15, ON)]
+    c = make(spark, {"l": log})
+    got = registers.register_snapshots(registers.register_writes(c), registers.enables(c, width=2), width=2)
+    want = [(k, 5, 7) for k in range(1, 12)] + [(12, 5, 9), (12, 6, 1)]
+    assert rows(got.select("enable_num", "register", "value")) == sorted(want, key=repr)
 
 
 def test_snapshot_map(spark):

@@ -507,15 +507,22 @@ def longest_capture(spark, sf):
     return registers.longest_capture(registers.capture_durations(fx.commands(spark, sf), width=S)).drop("log_id")
 
 
+def _picked(commands: DataFrame, **choice) -> DataFrame:
+    """Registers before the chosen enable of the log."""
+    chosen = registers.snapshot_pick(registers.enables(commands, width=S), **choice)
+    return registers.snapshot_before(registers.register_writes(commands), chosen)
+
+
 @query
 def snapshot_pick(spark, sf):
-    durations = registers.capture_durations(fx.commands(spark, sf), width=S)
-    return registers.snapshot_pick(_snapshots(spark, sf), durations).select("enable_num", "register", "value")
+    c = fx.commands(spark, sf)
+    durations = registers.capture_durations(c, width=S)
+    return _picked(c, durations=durations).select("enable_num", "register", "value")
 
 
 @query
 def ordered_registers(spark, sf):
-    picked = registers.snapshot_pick(_snapshots(spark, sf), capture_num=3)
+    picked = _picked(fx.commands(spark, sf), capture_num=3)
     return registers.ordered_registers(picked).select("register", "value")
 
 
@@ -523,7 +530,7 @@ def ordered_registers(spark, sf):
 def register_csv_sink(spark, sf):
     from logicspark.sources.sinks import register_csv_rows
 
-    picked = registers.snapshot_pick(_snapshots(spark, sf), capture_num=5)
+    picked = _picked(fx.commands(spark, sf), capture_num=5)
     return register_csv_rows(picked).select("register", "value_hex", "value_dec")
 
 
@@ -612,7 +619,7 @@ def _means(spark, sf) -> DataFrame:
 
 def _profile(spark, sf, plane: str, max_delta: int) -> DataFrame:
     derivative = alignment.row_derivative(_means(spark, sf))
-    return alignment.normalized_corr(alignment.lag_profile(derivative, plane, max_delta))
+    return alignment.correlated(alignment.lag_sums(derivative, [plane], max_delta)).drop("plane")
 
 
 @query
