@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logicspark.functions.scalar import bit_of, ns_to_us
 from logicspark.operators.ordered import DEFAULT_WIDTH, asof_state
@@ -80,25 +81,48 @@ def strobe_triggers(blocks: DataFrame, strobe: int, mode: StrobeMode) -> DataFra
 
 
 def cs_inactive_gate(triggers: DataFrame, blocks: DataFrame, cs: int, polarity: CsPolarity) -> DataFrame:
-    """Keep triggers at which chip-select is inactive (the bus side uses it inverted)."""
+    """Keep triggers at which chip-select is inactive (the bus side uses it inverted).
+
+    Triggers meet the chip-select bytes of their block number in one task, where the bytes come first and once; no row
+    carries them along. A trigger that no block covers goes.
+    """
     if polarity is CsPolarity.DISABLED:
         return triggers
-    line = blocks.filter(F.col("channel") == cs).select(
-        "capture_id",
-        "data",
-        F.col("start_position").alias("__start"),
-        F.col("num_samples").alias("__n"),
-        F.col("block_num"),
-    )
+    idle = 1 if polarity is CsPolarity.ACTIVE_LOW else 0
     size = blocks.groupBy("capture_id").agg(F.max("num_samples").alias("__size"))
-    want = 1 if polarity is CsPolarity.ACTIVE_LOW else 0
-    return (
-        triggers.join(size, "capture_id")
-        .withColumn("block_num", F.expr("position div __size"))
-        .join(line, ["capture_id", "block_num"])
-        .filter(bit_of(F.col("data"), F.col("position") - F.col("__start")) == want)
-        .select(*triggers.columns)
+    trigger = F.struct(*[F.col(f"`{c}`") for c in triggers.columns])
+    asked = triggers.filter(F.col("position").isNotNull()).join(size, "capture_id").select(
+        "capture_id", F.expr("position div __size").alias("block_num"), "position", trigger.alias("trigger")
     )
+    line = blocks.filter(F.col("channel") == cs).select("capture_id", "block_num", "data", "start_position", "num_samples")
+    key = ["capture_id", "block_num"]
+    met = asked.unionByName(line, allowMissingColumns=True).withColumn("__asks", F.col("data").isNull())
+    dealt = met.repartition(*key).sortWithinPartitions(*key, "__asks").drop("__asks")
+
+    def gate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, start, bits = None, 0, np.zeros(0, np.uint8)
+        for batch in batches:
+            captures, numbers = batch.column("capture_id").to_pylist(), batch.column("block_num").to_pylist()
+            positions = batch.column("position").fill_null(-1).to_numpy()
+            keep = np.zeros(len(batch), bool)
+            held = np.flatnonzero(positions < 0)
+            for begin, end in zip(np.r_[0, held], np.r_[held, len(batch)], strict=True):
+                begin = int(begin)
+                if begin < end and positions[begin] < 0:
+                    row = batch.slice(begin, 1).to_pylist()[0]
+                    of, start = (row["capture_id"], row["block_num"]), row["start_position"]
+                    bits = _bits(row["data"], row["num_samples"])
+                    begin += 1
+                here = np.array([x == of for x in zip(captures[begin:end], numbers[begin:end], strict=True)], bool)
+                at = positions[begin:end] - start
+                here &= (at >= 0) & (at < len(bits))
+                here[here] = bits[at[here]] == idle
+                keep[begin:end] = here
+            yield pa.RecordBatch.from_arrays([batch.column("trigger").filter(pa.array(keep))], names=["trigger"])
+
+    kept = dealt.select(*key, "position", "trigger", "data", "start_position", "num_samples")
+    schema = T.StructType([T.StructField("trigger", kept.schema["trigger"].dataType)])
+    return kept.mapInArrow(gate, schema).select("trigger.*")
 
 
 def align_blocks(

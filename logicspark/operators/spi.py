@@ -88,96 +88,27 @@ def _merge_lines(
     return out
 
 
-def _clock_and_select(clk: DataFrame, cs: DataFrame, polarity: CsPolarity, width: int) -> DataFrame:
-    """Clock and chip-select rows with the latest state of each other.
-
-    Ties: an inactive edge ends its window before a clock run at the same time; a
-    clock run at the instant of an active edge still counts as the gap's last one.
-    """
-    require_columns(clk, LINE_RUNS, "clock runs")
-    require_columns(cs, LINE_RUNS, "chip-select runs")
-    if polarity is CsPolarity.DISABLED:
-        raise ValueError("without chip-select a window never closes, so no word could be decoded")
-    active = cs_active(F.col("value"), polarity)
-    none = F.lit(None)
-    cs_rows = cs.select(
-        "capture_id",
-        F.col("start_time").alias("t"),
-        none.cast("boolean").alias("clk"),
-        active.alias("cs"),
-        order_key("start_time", F.when(active, 2).otherwise(0)).alias("__order"),
-    )
-    clk_rows = clk.select(
-        "capture_id",
-        F.col("start_time").alias("t"),
-        F.col("value").alias("clk"),
-        none.cast("boolean").alias("cs"),
-        order_key("start_time", 1).alias("__order"),
-    )
-    is_cs, is_clk = F.col("cs").isNotNull(), F.col("clk").isNotNull()
-    return neighbours(
-        cs_rows.unionByName(clk_rows),
-        BY,
-        "__order",
-        back={
-            "cs_state": F.col("cs"),
-            "cs_start": F.when(is_cs, F.col("t")),
-            "clk_level": F.col("clk"),
-            "clk_start": F.when(is_clk, F.col("t")),
-        },
-        ahead={"cs_end": F.when(is_cs, F.col("t"))},
-        inclusive=False,
-        width=width,
-    )
-
-
 def cs_window_clock(
     clk: DataFrame, cs: DataFrame, polarity: CsPolarity = CsPolarity.ACTIVE_LOW, width: int = DEFAULT_WIDTH
 ) -> DataFrame:
     """Clock runs read inside each window, each once, with the level read before it.
 
-    Columns: capture_id, a, b, t (start of the clock run), value, previous.
+    Columns: capture_id, a, b, t (start of the clock run), value, previous. A run that begins in the gap before a window
+    and goes on into it is read by the window if it is the gap's last one. Both lines are packed per bucket and shuffled
+    once, as for ``spi_bits``.
     """
-    merged = _clock_and_select(clk, cs, polarity, width)
-    closed = F.col("cs_end").isNotNull()
-    inside = merged.filter(F.col("clk").isNotNull() & F.col("cs_state") & closed).select(
-        "capture_id",
-        F.col("cs_start").alias("a"),
-        F.col("cs_end").alias("b"),
-        "t",
-        F.col("clk").alias("value"),
-        F.coalesce("clk_level", F.lit(False)).alias("previous"),
-    )
-    # chip-select rows alone: the clock level when the gap began, and its last run
-    edges = neighbours(
-        merged.filter(F.col("cs").isNotNull()).select(
-            "capture_id", "t", "cs", "cs_end", "clk_level", "clk_start", "__order"
-        ),
-        BY,
-        "__order",
-        back={"gap_start": F.col("t"), "gap_level": F.coalesce("clk_level", F.lit(False))},
-        inclusive=False,
-        width=width,
-    )
-    gap = edges.filter(
-        F.col("cs") & closed & (F.col("clk_start") >= F.coalesce("gap_start", F.lit(0)))
-    ).select(
-        "capture_id",
-        F.col("t").alias("a"),
-        F.col("cs_end").alias("b"),
-        F.col("clk_start").alias("t"),
-        F.col("clk_level").alias("value"),
-        F.coalesce("gap_level", F.lit(False)).alias("previous"),
-    )
-    return inside.unionByName(gap)
+    _check(polarity)
+    packed = _pack_runs(_merge_lines(clk, cs, None, None, polarity), width)
+    return _scan(packed, _emit_clock, _CLOCK, SpiMode.MODE0, False)
 
 
+_CLOCK = fields(capture_id="string", a="bigint", b="bigint", t="bigint", value="boolean", previous="boolean")
 _CLK_STATE = fields(v="boolean", t="bigint", mosi="boolean", miso="boolean")
 _GAP_STATE = fields(t="bigint", level="boolean")
 _SUMMARY = fields(
     capture_id="string", __bucket="bigint", mosi="boolean", miso="boolean", n_target="bigint",
     clk=_CLK_STATE, gap=_GAP_STATE, cs=fields(active="boolean", t="bigint", n_target="bigint"),
-    cs_clk=_CLK_STATE, cs_gap=_GAP_STATE,
+    cs_clk=_CLK_STATE, cs_gap=_GAP_STATE, cs_first="bigint",
 )
 _BITS = fields(capture_id="string", a="bigint", t="bigint", bit_no="bigint", mosi="boolean", miso="boolean")
 _PARTIAL_WORDS = fields(
@@ -249,6 +180,7 @@ def _summarise(target: bool):
             "cs": None if c < 0 else {"active": bool(b.high[c]), "t": int(b.t[c]), "n_target": int(b.n_hits[c])},
             "cs_clk": None if c < 0 else clk(c),
             "cs_gap": None if c < 0 else gap(c),
+            "cs_first": None if c < 0 else int(b.t[np.argmax(b.is_cs)]),
         }
         return pa.Table.from_pylist([row], schema=to_arrow_schema(_SUMMARY))
 
@@ -258,6 +190,7 @@ def _summarise(target: bool):
 def _carry(summary: DataFrame, target: bool, initial_clock: bool) -> DataFrame:
     """State entering each bucket: one row per bucket, chained per capture."""
     before = W.partitionBy(*BY).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy(*BY).orderBy(F.col(BUCKET).desc()).rowsBetween(W.unboundedPreceding, -1)
 
     def clk_known(c: str) -> Column:
         return F.when(
@@ -298,13 +231,14 @@ def _carry(summary: DataFrame, target: bool, initial_clock: bool) -> DataFrame:
                 "in_miso": F.last("miso", True).over(before),
                 "in_hits": F.coalesce(F.sum("n_target").over(before), F.lit(0)),
                 "final_cs": F.max("cs.t").over(W.partitionBy(*BY)),
+                "next_cs": F.last("cs_first", True).over(after),
             }
         )
         .withColumn("in_clk", F.last(clk_known("clk"), True).over(before))
         .withColumn("in_gap", F.last(gap_known("gap"), True).over(before))
         .withColumn("in_cs", F.last(cs_known, True).over(before))
         .select(
-            *BY, BUCKET, "in_mosi", "in_miso", "in_hits", "final_cs",
+            *BY, BUCKET, "in_mosi", "in_miso", "in_hits", "final_cs", "next_cs",
             F.col("in_clk.v").alias("clk_v"), F.col("in_clk.t").alias("clk_t"),
             F.col("in_clk.mosi").alias("clk_mosi"), F.col("in_clk.miso").alias("clk_miso"),
             F.col("in_gap.t").alias("gap_t"), F.col("in_gap.level").alias("gap_level"),
@@ -314,14 +248,9 @@ def _carry(summary: DataFrame, target: bool, initial_clock: bool) -> DataFrame:
     )
 
 
-def _sampled_bits(rows: pa.Table, carry: pa.Table, target: bool, initial_clock: bool):
-    """(a, t, bit_no, mosi, miso) arrays of a bucket, given the state entering it."""
-    s = carry.to_pylist()[0]
-    b = _Bucket(rows, target)
-    mosi, miso = (b.level(b.last_data[x], bool(s[f"in_{x}"])) for x in ("mosi", "miso"))
-    final_cs = -1 if s["final_cs"] is None else s["final_cs"]
-
-    # windows opening here: the gap's last clock run is read if its edge is new
+def _openings(b: _Bucket, s: dict, initial_clock: bool) -> tuple[np.ndarray, ...]:
+    """Windows that open in a bucket: row, time and level of the last clock run before (-1 for none), whether that run
+    began in the gap, and the level before the gap's runs."""
     w = np.flatnonzero(b.is_cs & b.high)
     k, g = b.last_clk[w], b.last_gap[w]
     clk_t = np.where(k >= 0, b.t[k], -1 if s["clk_t"] is None else s["clk_t"])
@@ -330,7 +259,20 @@ def _sampled_bits(rows: pa.Table, carry: pa.Table, target: bool, initial_clock:
     entry = initial_clock if s["clk_v"] is None else s["clk_v"]
     held = initial_clock if s["gap_level"] is None else s["gap_level"]
     level = np.where(g >= 0, b.level(b.last_clk[g], entry), held)
-    opens = (clk_t >= gap_t) & (clk_v == target) & (level != target)
+    return w, clk_t, clk_v, clk_t >= gap_t, level
+
+
+def _sampled_bits(rows: pa.Table, carry: pa.Table, target: bool, initial_clock: bool):
+    """(a, t, bit_no, mosi, miso) arrays of a bucket, given the state entering it."""
+    s = carry.to_pylist()[0]
+    b = _Bucket(rows, target)
+    mosi, miso = (b.level(b.last_data[x], bool(s[f"in_{x}"])) for x in ("mosi", "miso"))
+    final_cs = -1 if s["final_cs"] is None else s["final_cs"]
+
+    # windows opening here: the gap's last clock run is read if its edge is new
+    w, clk_t, clk_v, in_gap, level = _openings(b, s, initial_clock)
+    opens = in_gap & (clk_v == target) & (level != target)
+    k = b.last_clk[w]
     w_mosi = np.where(k >= 0, mosi[k], bool(s["clk_mosi"]))
     w_miso = np.where(k >= 0, miso[k], bool(s["clk_miso"]))
     gap_reads = opens & (b.t[w] < final_cs)
@@ -355,6 +297,31 @@ def _sampled_bits(rows: pa.Table, carry: pa.Table, target: bool, initial_clock:
     )
 
 
+def _emit_clock(target: bool, initial_clock: bool):
+    """Clock runs of a bucket that lie in closed windows, and the last one of each gap before such a window."""
+
+    def one(key: tuple[pa.Scalar, ...], rows: pa.Table, carry: pa.Table) -> pa.Table:
+        s = carry.to_pylist()[0]
+        b = _Bucket(rows, target)
+        cs_at = np.flatnonzero(b.is_cs)
+        cs_t = np.r_[b.t[cs_at], -1 if s["next_cs"] is None else s["next_cs"]]
+        w, clk_t, clk_v, in_gap, level = _openings(b, s, initial_clock)
+        e = np.flatnonzero(b.is_clk)
+        c, before = b.last_cs[e], np.r_[-1, b.last_clk[:-1]][e]
+        a = np.r_[b.t[w], np.where(c >= 0, b.t[c], s["cs_t"] or 0)]
+        end = cs_t[np.searchsorted(cs_at, np.r_[w, e], side="right")]
+        entry = initial_clock if s["clk_v"] is None else s["clk_v"]
+        keep = np.r_[in_gap, np.where(c >= 0, b.high[c], bool(s["cs_active"]))] & (end >= 0)
+        columns = [
+            a, end, np.r_[clk_t, b.t[e]], np.r_[clk_v, b.high[e]].astype(bool),
+            np.r_[level, b.level(before, entry)].astype(bool),
+        ]
+        capture = pa.repeat(key[0].as_py(), int(keep.sum()))
+        return pa.Table.from_arrays([capture, *(pa.array(x[keep]) for x in columns)], names=_CLOCK.names)
+
+    return one
+
+
 def _emit_bits(target: bool, initial_clock: bool):
     def one(key: tuple[pa.Scalar, ...], rows: pa.Table, carry: pa.Table) -> pa.Table:
         a, t, bit, mosi, miso = _sampled_bits(rows, carry, target, initial_clock)
@@ -508,7 +475,7 @@ def spi_parts(
         F.when(F.col("cs_t").isNotNull(), F.struct(
             F.col("cs_active").alias("active"), F.col("cs_t").alias("t"),
             (F.col("in_hits") - F.col("bits_done")).alias("n_target"))).alias("cs"),
-        none.cast(_CLK_STATE).alias("cs_clk"), none.cast(_GAP_STATE).alias("cs_gap"),
+        none.cast(_CLK_STATE).alias("cs_clk"), none.cast(_GAP_STATE).alias("cs_gap"), none.cast("bigint").alias("cs_first"),
     )
     return parts, after
 
