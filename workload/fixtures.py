@@ -6,12 +6,15 @@ rules as SQL (``workload.oracle_text``).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from logicspark.operators import signal
 from logicspark.schemas import BLOCKS
 
 CAPTURE = "c0"
@@ -246,22 +249,55 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return re.sub(r"^file:/+", "/", f"{shared_folder(spark)}/logicspark/{name}-{uuid.uuid4().hex}")
 
 
-def write_archives(blocks: DataFrame, samplerate: str, folder: str) -> None:
-    """One archive ``<folder>/<capture_id>.zip`` for each capture of a block table, written by tasks."""
+RUN_SAMPLES = 4096
+
+
+def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the noisy channels in captures ``c{r % 3}/run{r}`` of 4,096 samples, at 100 and 50 MHz in turn."""
+    run = F.expr(f"position div {RUN_SAMPLES}")
+    cut = levels(spark, sf_dir).withColumns(
+        {"capture_id": F.format_string("c%d/run%d", run % 3, run), "position": F.col("position") % RUN_SAMPLES}
+    )
+    packed = signal.pack_levels(cut, SAMPLES_PER_BLOCK, STEP_NS)
+    slow = F.regexp_extract("capture_id", "run([0-9]+)$", 1).cast("bigint") % 2 == 1
+    return packed.withColumn("timestamp_step", F.when(slow, 2 * STEP_NS).otherwise(STEP_NS).cast("bigint"))
+
+
+def write_archives(blocks: DataFrame, folder: str) -> None:
+    """One archive ``<folder>/<capture_id>.zip`` for each capture of a block table, its rate from the time step.
+
+    Sorted blocks stream through the tasks into the open archive; the header goes in last, when its totals are known."""
     import os
     import zipfile
 
-    def write(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        path = f"{folder}/{key[0].as_py()}.zip"
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        parts = rows.sort_by([("channel", "ascending"), ("block_num", "ascending")]).to_pylist()
-        probes, last = max(r["channel"] for r in parts) + 1, max(r["block_num"] for r in parts)
-        samples = max(r["start_position"] + r["num_samples"] for r in parts)
-        header = [f"total probes = {probes}", f"samplerate = {samplerate}", f"total samples = {samples}", f"total blocks = {last + 1}"]
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr("header", "\n".join(["[version]", *header, *(f"probe{c} = line {c}" for c in range(probes))]))
-            for r in parts:
-                archive.writestr(f"L-{r['channel']}/{r['block_num']}", r["data"])
-        return pa.table({"path": [path]})
-
-    blocks.groupBy("capture_id").applyInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    def finish(archive: zipfile.ZipFile, totals: dict[str, int]) -> None:
+        header = [f"total probes = {totals['probes']}", f"samplerate = {1000 // totals['step']} MHz"]
+        header += [f"total samples = {totals['samples']}", f"total blocks = {totals['blocks']}"]
+        names = [f"probe{c} = line {c}" for c in range(totals["probes"])]
+        archive.writestr("header", "\n".join(["[version]", *header, *names]))
+        archive.close()
+        os.replace(archive.filename, archive.filename.removesuffix(".part"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, archive, totals = None, None, {}
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if row["capture_id"] != of:
+                    if archive is not None:
+                        finish(archive, totals)
+                    of, totals = row["capture_id"], dict.fromkeys(("probes", "samples", "blocks"), 0)
+                    os.makedirs(os.path.dirname(f"{folder}/{of}"), exist_ok=True)
+                    archive = zipfile.ZipFile(f"{folder}/{of}.zip.part", "w", zipfile.ZIP_DEFLATED)
+                archive.writestr(f"L-{row['channel']}/{row['block_num']}", row["data"])
+                totals["step"] = row["timestamp_step"]
+                seen = (row["channel"] + 1, row["start_position"] + row["num_samples"], row["block_num"] + 1)
+                for name, value in zip(("probes", "samples", "blocks"), seen, strict=True):
+                    totals[name] = max(totals[name], value)
+        if archive is not None:
+            finish(archive, totals)
+        yield pa.RecordBatch.from_pydict({"done": pa.array([1], pa.int32())})
+
+    order = ["capture_id", "channel", "block_num"]
+    dealt = blocks.select(*BLOCKS.names).repartition("capture_id").sortWithinPartitions(*order)
+    dealt.mapInArrow(write, "done int").write.format("noop").mode("overwrite").save()

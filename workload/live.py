@@ -65,7 +65,7 @@ def stream_blocks(spark, sf):
     """Archives followed by the stream reader."""
     opened = capture.stream_capture(spark, q._archives(spark, sf) + "/*/*.zip", blocks_per_partition=4)
     return to_the_end(opened, "followed").select(
-        "channel", "block_num", F.hex("data").alias("data_hex"), "start_position", "num_samples", "timestamp_step", "first", "last"
+        "capture_id", "channel", "block_num", F.hex("data").alias("data_hex"), "start_position", "num_samples", "timestamp_step", "first", "last"
     )
 
 

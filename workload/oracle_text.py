@@ -26,6 +26,11 @@ LEVELS = f"""levels as (
   select cast(k as int) as channel, event_id as position,
          cast(((event_id * (2 * k + 3) + user_id * (k + 1)) >> cast(k % 5 as int)) & 1 as int) as v
   from events cross join (values {_K}) as c(k))"""
+# archives of 4,096 samples, at 100 and 50 MHz in turn
+RUN_NAME = "'c' || (position // 4096 % 3) || '/run' || position // 4096"
+RUN_STEP = "case position // 4096 % 2 when 1 then 20 else 10 end"
+ARCHIVED = LEVELS + f""", archived as (
+  select {RUN_NAME} as capture_id, {RUN_STEP} as step, channel, position % 4096 as position, v from levels)"""
 RUNS = LEVELS + """, flagged as (
   select *, lag(v) over (partition by channel order by position) as p from levels),
 runs as (select channel, position * 10 as start_time, v from flagged where p is null or p <> v)"""
@@ -250,17 +255,25 @@ select channel, start_time, case when b = 0 and v = 1 then 1 else 0 end as risin
   select channel, position // 8 as n, sum(v << cast(position % 8 as int)) as x, max(position) as m from levels group by all)
 select channel, n // 128 as block_num, string_agg(printf('%02X', cast(x as int)), '' order by n) as data_hex,
   n // 128 * 1024 as start_position, max(m) + 1 - n // 128 * 1024 as num_samples, 10 as timestamp_step from packed group by channel, n // 128""",
-    "archive_blocks": f"""with {LEVELS}, packed as (
-  select channel, position // 8 as n, sum(v << cast(position % 8 as int)) as x, max(position) as m from levels group by all),
-ends as (select channel, position // 1024 as block_num, arg_min(v, position) as first, arg_max(v, position) as last
-  from levels group by channel, position // 1024),
-whole as (select channel, n // 128 as block_num, string_agg(printf('%02X', cast(x as int)), '' order by n) as data_hex,
-  n // 128 * 1024 as start_position, max(m) + 1 - n // 128 * 1024 as num_samples from packed group by channel, n // 128)
-select *, 10 as timestamp_step from whole join ends using (channel, block_num)""",
-    "capture_header": """select 'c0/run' as capture_id, 12 as total_probes, '100 MHz' as samplerate, count(*) as total_samples,
-  (count(*) + 1023) // 1024 as total_blocks, least(1024, (count(*) + 7) // 8 * 8) as samples_per_block, 'line 3' as probe3,
-  round(count(*) * 1e-8, 9) as duration_s from events""",
-    "archive_aligned": f"with {STROBE} select position, {BYTE} as value, position * 10 as t_ns, position * 10 / 1000 as timestamp_us from st where d10 <> prev and d8 = 1",
+    "archive_blocks": f"""with {ARCHIVED}, packed as (
+  select capture_id, step, channel, position // 8 as n, sum(v << cast(position % 8 as int)) as x, max(position) as m
+  from archived group by all),
+ends as (select capture_id, channel, position // 1024 as block_num, arg_min(v, position) as first, arg_max(v, position) as last
+  from archived group by capture_id, channel, position // 1024),
+whole as (select capture_id, step as timestamp_step, channel, n // 128 as block_num,
+  string_agg(printf('%02X', cast(x as int)), '' order by n) as data_hex,
+  n // 128 * 1024 as start_position, max(m) + 1 - n // 128 * 1024 as num_samples
+  from packed group by capture_id, step, channel, n // 128)
+select * from whole join ends using (capture_id, channel, block_num)""",
+    "capture_header": f"""with {ARCHIVED}, one as (
+  select capture_id, step, count(*) as n from archived where channel = 0 group by capture_id, step)
+select capture_id, 12 as total_probes, case step when 10 then '100 MHz' else '50 MHz' end as samplerate, n as total_samples,
+  (n + 1023) // 1024 as total_blocks, least(1024, (n + 7) // 8 * 8) as samples_per_block, 'line 3' as probe3,
+  round(n * case step when 10 then 1e-8 else 2e-8 end, 9) as duration_s from one""",
+    "archive_aligned": f"""with {WIDE}, st as (
+  select *, coalesce(lag(d10) over (partition by position // 4096 order by position), 0) as prev from wide)
+select {RUN_NAME} as capture_id, position % 4096 as position, {BYTE} as value, position % 4096 * {RUN_STEP} as t_ns,
+  position % 4096 * {RUN_STEP} / 1000 as timestamp_us from st where d10 <> prev and d8 = 1""",
     "command_log_scan": f"""with {COMMANDS} select seq // 1000 as log, row_number() over (partition by seq // 1000 order by seq) as place,
   cast(time_ns as double) as time_ns, mosi from commands""",
     "annotated_csv_sink": f"""{DESCRIBED} select case when seq % 3 = 0 then 'x' else cast(seq % 7 as varchar) end as id,

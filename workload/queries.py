@@ -761,9 +761,9 @@ def asof_forward(spark, sf):
 
 
 def _archives(spark: SparkSession, sf: str) -> str:
-    """The noisy channels as an archive ``<folder>/c0/run.zip``; the folder."""
+    """The noisy channels as archives of several captures, two levels deep; the folder."""
     folder = fx.shared_path(spark, "archives")
-    fx.write_archives(blocks(spark, sf).withColumn("capture_id", F.lit("c0/run")), "100 MHz", folder)
+    fx.write_archives(fx.archived(spark, sf), folder)
     return folder
 
 
@@ -780,7 +780,7 @@ def capture_header(spark, sf):
 def archive_blocks(spark, sf):
     opened = capture.read_capture(spark, _archives(spark, sf) + "/*/*.zip", bytes_per_partition=20_000).blocks
     return opened.select(
-        "channel", "block_num", F.hex("data").alias("data_hex"), "start_position", "num_samples", "timestamp_step", "first", "last"
+        "capture_id", "channel", "block_num", F.hex("data").alias("data_hex"), "start_position", "num_samples", "timestamp_step", "first", "last"
     )
 
 
@@ -790,7 +790,7 @@ def archive_aligned(spark, sf):
     opened = capture.read_aligned(spark, _archives(spark, sf) + "/*/*.zip", [STROBE, CS, *DATA], bytes_per_partition=20_000)
     return parallel.decode_aligned(
         opened, strobe=STROBE, data=DATA, cs=CS, mode=StrobeMode.ANY, polarity=CsPolarity.ACTIVE_LOW
-    ).select("position", "value", "t_ns", "timestamp_us")
+    ).select("capture_id", "position", "value", "t_ns", "timestamp_us")
 
 
 def _logs(spark: SparkSession, sf: str) -> str:
