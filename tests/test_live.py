@@ -49,15 +49,15 @@ def as_events(words, control, line):
     return out + [(c, "line", t, None, v) for c, v, t in line]
 
 
-@pytest.mark.parametrize("pieces,jitter", [(1, 0), (3, 150), (7, 150)])
+@pytest.mark.parametrize("pieces,jitter", [(3, 150), (7, 150)])
 def test_line_records_equal_batch(spark, tmp_path, pieces, jitter):
     words, control, line = live_capture(pieces)
     w = spark.createDataFrame(words, "capture_id string, value long, t_ns long, timestamp_us double")
     s = spark.createDataFrame(control, CONTROL)
     clock = spark.createDataFrame(line, "capture_id string, value boolean, start_time long")
-    want = sessions.assign_sessions(w, s, width=100)
+    want = sessions.assign_sessions(w, s, width=100).cache()
     edges = sessions.line_edge_to_word(clock, want, width=100)
-    records = sessions.line_records(edges, width=100).select(*incremental.RECORDS.names)
+    records = sessions.line_records(edges, width=100).select(*incremental.RECORDS.names).cache()
     index = sessions.capture_index(want, records, width=100)
     rng = random.Random(pieces)
     events = sorted(as_events(words, control, line), key=lambda r: r[2] + rng.randrange(jitter + 1))
@@ -68,8 +68,7 @@ def test_line_records_equal_batch(spark, tmp_path, pieces, jitter):
         finish(incremental.stream_sessions(live, out, width=100, line_clock=True, delay=jitter))
     stored = incremental.BatchTables(spark, out)
     assert stored.result("late", incremental.SESSION_EVENTS).count() == 0
-    if pieces > 1:
-        assert 0 < stored.result("records", incremental.RECORDS).count() < records.count()
+    assert 0 < stored.result("records", incremental.RECORDS).count() < records.count()
     incremental.flush_sessions(spark, out, width=100, line_clock=True)
     assert rows(stored.result("session_words", incremental.SESSION_WORDS)) == rows(
         want.select(*incremental.SESSION_WORDS.names)
@@ -80,33 +79,6 @@ def test_line_records_equal_batch(spark, tmp_path, pieces, jitter):
     assert index.filter("width > 0").count()
 
 
-def test_an_open_record_survives_batches(spark, tmp_path):
-    """A rising edge, its falling edge and the end of the session come in batches of their own."""
-    parts = [
-        [("a", "control", 0, None, True), ("a", "word", 10, 1, None), ("a", "line", 0, None, False)],
-        [("a", "line", 20, None, True), ("a", "word", 30, 2, None), ("a", "control", 30, None, None)],
-        [("a", "word", 40, 3, None), ("a", "line", 45, None, False), ("a", "control", 45, None, None)],
-        [("a", "word", 50, 4, None), ("a", "line", 55, None, True), ("a", "control", 60, None, None)],
-        [("a", "word", 60, 5, None), ("a", "line", 70, None, False), ("a", "control", 65, None, False), ("a", "word", 90, 6, None)],
-        [("a", "line", 100, None, True), ("a", "control", 100, None, None), ("a", "word", 110, 7, None)],
-    ]
-    # Control rows without a state are no changes; they are left out, the rest of the batch brings the time on.
-    parts = [[r if r[4] is not None or r[1] != "control" else (*r[:4], True) for r in p] for p in parts]
-    words = [(r[0], r[3], r[2], r[2] / 1000) for p in parts for r in p if r[1] == "word"]
-    control = [(r[0], r[4], r[2]) for p in parts for r in p if r[1] == "control"]
-    line = [(r[0], r[4], r[2]) for p in parts for r in p if r[1] == "line"]
-    out = str(tmp_path / "out")
-    for live in feed(spark, str(tmp_path / "in"), incremental.SESSION_EVENTS, parts):
-        finish(incremental.stream_sessions(live, out, width=100, line_clock=True))
-    incremental.flush_sessions(spark, out, width=100, line_clock=True)
-    w = spark.createDataFrame(words, "capture_id string, value long, t_ns long, timestamp_us double")
-    want = sessions.assign_sessions(w, spark.createDataFrame(control, CONTROL), width=100)
-    clock = spark.createDataFrame(line, "capture_id string, value boolean, start_time long")
-    records = sessions.line_records(sessions.line_edge_to_word(clock, want, width=100), width=100)
-    got = incremental.BatchTables(spark, out).result("records", incremental.RECORDS)
-    assert rows(got) == rows(records.select(*incremental.RECORDS.names))
-
-
 @pytest.fixture(scope="module")
 def blocks(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("blocks"))
