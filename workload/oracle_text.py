@@ -209,13 +209,16 @@ k as (select a, b, s as t, clk.v from clk join win on s < b and (e > a or e is n
 kp as (select *, lag(v, 1, 0) over (order by t) as previous from k)"""
 
 
-def _noise_words(active: int, rising: bool) -> str:
+def _noise_words(active: int, rising: bool, bits: int = 1) -> str:
     edge = "v = 1 and previous = 0" if rising else "v = 0 and previous = 1"
     return "with " + NOISE_CLOCK.replace("{active}", str(active)) + f""", s as (
   select a, t, greatest(t - 1, 0) as at, row_number() over (partition by a order by t) - 1 as i from kp where {edge}),
 m as (select start_time, v from runs where channel = 6), n as (select start_time, v from runs where channel = 5)
-select s.a as window_id, s.i as word_no, cast(m.v as bigint) as mosi, cast(n.v as bigint) as miso, s.t as t_ns
-from s asof join m on s.at >= m.start_time asof join n on s.at >= n.start_time"""
+select s.a as window_id, s.i // {bits} as word_no,
+  cast(sum(m.v << cast({bits} - 1 - s.i % {bits} as int)) as bigint) as mosi,
+  cast(sum(n.v << cast({bits} - 1 - s.i % {bits} as int)) as bigint) as miso, min(s.t) as t_ns
+from s asof join m on s.at >= m.start_time asof join n on s.at >= n.start_time
+group by s.a, s.i // {bits} having count(*) = {bits}"""
 
 
 def _trigger(where: str) -> str:
@@ -234,6 +237,11 @@ select t as start_time, 1 - v as low, v as high, 1 as none from r""",
 from frames cross join (values (0),(1),(2)) t(n)""",
     "spi_word_noise_rising": _noise_words(1, True),
     "spi_word_noise_falling": _noise_words(0, False),
+    "spi_word_noise_pairs": _noise_words(1, True, 2),
+    "first_words_each": f"""with {WIDE}, st as (
+  select *, coalesce(lag(d10) over (partition by position // 4096 order by position), 0) as prev from wide),
+w as (select {RUN_NAME} as capture_id, position % 4096 * {RUN_STEP} as t_ns, {BYTE} as value from st where d10 <> prev)
+select capture_id, t_ns, value from w qualify row_number() over (partition by capture_id order by t_ns) <= 10""",
     "spi_sampling_edge": f"with {FRAMES} select base + 100 as a, base + 130 + 20 * b as t from frames cross join (values {_BITS}) t(b)",
     "bit_index": f"with {FRAMES} select base + 100 as a, base + 120 + 20 * b as t, b as bit_no from frames cross join (values {_BITS}) t(b)",
     "cs_window_clock": "with " + NOISE_CLOCK.replace("{active}", "0") + " select a, b, t, v as value from kp",
@@ -283,8 +291,8 @@ select {RUN_NAME} as capture_id, position % 4096 as position, {BYTE} as value, p
   string_agg(printf('%02X', value & 255), '' order by byte_index) as data_hex from sw group by file_num, byte_index // 48""",
     "block_bounds": f"""with {LEVELS} select channel, position // 1024 as block_num, min(position) as start_position, max(position) + 1 as end_position,
   min(position) * 10 as start_ns, (max(position) + 1) * 10 as end_ns from levels group by channel, position // 1024""",
-    "bounded_scan": f"with {LEVELS} select channel, count(*) as samples, max(position) as last_position, cast(sum(v) as bigint) as ones from levels where position < 1500 group by channel",
-    "channel_projection": f"with {RUNS} select channel, count(*) as n_runs from runs where channel in (2, 5, 11) group by channel",
+    "bounded_scan": f"with {LEVELS} select channel, position, v as value from levels where position < 1500",
+    "channel_projection": f"with {RUNS} select channel, start_time, v as value from runs where channel in (2, 5, 11)",
     "run_counter": f"with {RUNS} select channel, least(count(*), 3000) as n_runs from runs group by channel",
     "probe_bit": f"""with {LEVELS}, k as (select cast(user_id % 14 as int) as channel, event_id * 3 - user_id % 5 as position from events),
 n as (select count(*) as n from events)
@@ -308,7 +316,7 @@ from h group by block_num""",
     "parallel_word_level": f"with {STROBE} select position, d11 + (d9 << 1) + (d4 << 2) as value from st where d10 = 1 and d8 = 0",
     "command_match": f"with {COMMANDS} select seq, case mosi when {ENABLE} then 1 when {DISABLE} then 0 end as state from commands",
     "control_state": f"with {CONTROL} select t as t_ns, s as state from control",
-    "initial_state_union": f"with {CONTROL} select s as state, count(*) as n, min(t) as first_t from control group by s",
+    "initial_state_union": f"with {CONTROL} select s as state, t as t_ns from control",
     "state_monitor": f"with {CONTROL} select t as t_ns, case s when 1 then 'ENABLED' else 'DISABLED' end as report from control",
     "command_monitor": f"""with {COMMANDS} select time_ns as t_ns, mosi, printf('SPI Command: 0x%06X at t=%.6fs', mosi, time_ns / 1e9) as report
 from commands where mosi in ({ENABLE}, {DISABLE})""",

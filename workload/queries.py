@@ -122,6 +122,7 @@ def _noisy_words(mode: SpiMode, polarity: CsPolarity, bits: int) -> Query:
 
 QUERIES["spi_word_noise_rising"] = _noisy_words(SpiMode.MODE0, CsPolarity.ACTIVE_HIGH, 1)
 QUERIES["spi_word_noise_falling"] = _noisy_words(SpiMode.MODE1, CsPolarity.ACTIVE_LOW, 1)
+QUERIES["spi_word_noise_pairs"] = _noisy_words(SpiMode.MODE0, CsPolarity.ACTIVE_HIGH, 2)
 
 
 @query
@@ -175,6 +176,13 @@ def limit_n(spark, sf):
     return first_words(frames_spi(spark, sf), 50).select("t_ns", "mosi")
 
 
+@query
+def first_words_each(spark, sf):
+    """The first ten bus words of every capture."""
+    words = parallel.parallel_words(fx.archived(spark, sf), strobe=STROBE, data=DATA, mode=StrobeMode.ANY)
+    return sinks.first_words_each(words, 10, width=P).select("capture_id", "t_ns", "value")
+
+
 # --- signal --------------------------------------------------------------------
 
 
@@ -217,17 +225,13 @@ def block_bounds(spark, sf):
 @query
 def bounded_scan(spark, sf):
     capped = signal.bound_blocks(blocks(spark, sf), 1500)
-    return signal.unpack_bits(capped).groupBy("channel").agg(
-        F.count(F.lit(1)).alias("samples"),
-        F.max("position").alias("last_position"),
-        F.sum(F.col("value").cast("bigint")).alias("ones"),
-    )
+    return signal.unpack_bits(capped).select("channel", "position", *as_int("value"))
 
 
 @query
 def channel_projection(spark, sf):
     kept = signal.project_channels(blocks(spark, sf), [2, 5, 11], total_probes=fx.CHANNELS)
-    return signal.edge_runs(kept).groupBy("channel").agg(F.count(F.lit(1)).alias("n_runs"))
+    return signal.edge_runs(kept).select("channel", "start_time", *as_int("value"))
 
 
 @query
@@ -313,9 +317,8 @@ def control_state(spark, sf):
 @query
 def initial_state_union(spark, sf):
     c = capture_commands(spark, sf)
-    return control.initial_state(c).unionByName(control.state_changes(c, width=T)).groupBy(
-        F.col("state").cast("int").alias("state")
-    ).agg(F.count(F.lit(1)).alias("n"), F.min("t_ns").alias("first_t"))
+    both = control.initial_state(c).unionByName(control.state_changes(c, width=T))
+    return both.select("t_ns", *as_int("state"))
 
 
 @query
