@@ -442,12 +442,16 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
     return model
 
 
+SCORES = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """Scores of every whole text of ``docs`` (doc_id, text, further columns): all columns but text, and n_tokens, n_known
-    (tokens seen in training), base_score and score, log10 probabilities by tokens alone and by the trie.
+    (tokens seen in training), base_score and score, log10 probabilities by tokens alone and by the trie. They replace
+    columns of these names.
 
     A null text counts as empty, whose only token is the end. Every row gives a row. No row is shuffled."""
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if c.lower() not in ("text", *SCORES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(model)
@@ -461,6 +465,5 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             columns["score"] = pa.array(np.add.reduceat(levels[-1].log_p, begins))
             yield from pa.Table.from_pydict(columns).to_batches()
 
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes if c != "text")
-    schema += (", " if schema else "") + "n_tokens bigint, n_known bigint, base_score double, score double"
+    schema = ", ".join([f"`{c}` {kind}" for c, kind in docs.dtypes if c in kept] + [f"{c} {k}" for c, k in SCORES.items()])
     return docs.mapInArrow(run, schema)

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from logicspark.llm import ngram_trie, queries
 from logicspark.llm.elias_fano import EliasFano, packed, unpacked
@@ -130,7 +131,7 @@ def test_query(spark):
 
 def test_cases(spark):
     rows = [(None, "a null id", 1), (4, None, 1), (4, "a tie", 1), (4, "a tie", 1), (5, "x" * 70_000, 1)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, shard int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, shard int").withColumn("score", F.lit("old"))
     model = ngram_trie.fit(docs)
     out = ngram_trie.scored(docs, model).collect()
     assert sorted(r["n_tokens"] for r in out) == [1, 2, 3, 3, 4] and all(r["shard"] == 1 for r in out)
