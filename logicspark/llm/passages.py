@@ -116,27 +116,35 @@ EDGES = "doc_id bigint, text_key bigint, at bigint, right boolean, first_id bigi
 
 
 def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ends of later units at which no other later unit of the text goes on, with the same end of the first one."""
+    """Later units at either end of a stretch that later units cover without a gap, with the same end of the first one."""
     for batch in batches:
         marks = batch.column("_marks")
         row = np.repeat(np.arange(len(marks)), np.asarray(marks.value_lengths()))
         flat = marks.flatten()
         span, first_span = (flat.field(name).to_numpy() for name in ("span", "first_span"))
-        begin, size = span >> 32, (span >> 1) & 0x7FFFFFFF
-        base = row.astype(np.int64) << 32
-        open_left = ~np.isin(base + begin, base + begin + size)
-        open_right = ~np.isin(base + begin + size, base + begin)
-        for right, chosen in ((False, np.flatnonzero(open_left)), (True, np.flatnonzero(open_right))):
+        order = np.lexsort((span, row))
+        row, span, first_span = row[order], span[order], first_span[order]
+        size = (span >> 1) & 0x7FFFFFFF
+        begin = (row.astype(np.int64) << 32) + (span >> 32)
+        reach = np.maximum.accumulate(begin + size)
+        fresh = np.ones(len(begin), dtype=bool)
+        fresh[1:] = (begin[1:] > reach[:-1]) | (row[1:] != row[:-1])
+        stretch = np.cumsum(fresh) - 1
+        starts = np.flatnonzero(fresh)
+        ends = reach[np.append(starts[1:], len(begin)) - 1] if len(begin) else reach
+        for right in (False, True):
+            limit = ends[stretch] == begin + size if right else begin[starts][stretch] == begin
+            chosen = np.flatnonzero(limit)
             add = size[chosen] if right else 0
-            take = pa.array(row[chosen])
+            take, unit = pa.array(row[chosen]), pa.array(order[chosen])
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("_id").take(take),
                     "text_key": batch.column("_key").take(take),
-                    "at": pa.array(begin[chosen] + add),
+                    "at": pa.array((span[chosen] >> 32) + add),
                     "right": pa.array(np.full(len(chosen), right)),
-                    "first_id": flat.field("first_id").take(pa.array(chosen)),
-                    "first_key": flat.field("first_key").take(pa.array(chosen)),
+                    "first_id": flat.field("first_id").take(unit),
+                    "first_key": flat.field("first_key").take(unit),
                     "first_at": pa.array((first_span[chosen] >> 32) + add),
                 }
             )
@@ -152,8 +160,8 @@ def neighbours(hashes: np.ndarray, at: int, right: bool) -> np.ndarray:
 
 
 def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words beside the asked places of a text."""
-    powers = Powers()
+    """The words beside the asked places of a text, once a task for rows equal in id and text."""
+    powers, told = Powers(), set()
     for batch in batches:
         asked = batch.column("_asked")
         for first, texts in pieces(batch.column("text")):
@@ -161,6 +169,10 @@ def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = np.searchsorted(found.doc, np.arange(len(texts) + 1))
             out: dict[str, list] = {"row": [], "first_at": [], "right": [], "near": []}
             for k in range(len(texts)):
+                name = (batch.column("doc_id")[first + k].as_py(), batch.column("text_key")[first + k].as_py())
+                if name in told:
+                    continue
+                told.add(name)
                 hashes = found.hash[bounds[k] : bounds[k + 1]]
                 for place in asked[first + k].as_py():
                     out["row"].append(first + k)
@@ -286,12 +298,19 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         F.collect_set(F.struct("first_at", "right")).alias("_asked")
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
-    # Of rows equal in id and text each answers alike; one answer is taken below.
-    told = cut(
-        texts.join(asked, same)
-        .select("doc_id", "text_key", "text", "_asked")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "removed")]
+    rows = docs.select(
+        F.struct(*others).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", key.alias("text_key")
+    )
+    # All columns go into this join as into the last one, so that both read one shuffle of the texts. Tasks that split
+    # equal rows between them answer alike; the hash among the keys leaves the next join a shuffle that it may split.
+    told = (
+        rows.join(asked, same)
+        .select("row", "doc_id", "text", "text_key", "_asked")
         .mapInArrow(answers, ANSWERS)
-        .dropDuplicates(["first_id", "first_key", "first_at", "right"])
+        .groupBy(F.xxhash64("first_key", "first_at").alias("_hash"), "first_id", "first_key", "first_at", "right")
+        .agg(F.first("near").alias("near"))
+        .drop("_hash")
         .toDF("_first_id", "_first_key", "_first_at", "_right", "near")
     )
     met = (
@@ -309,8 +328,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     work = marks.join(grown, of_mark, "left").select(
         "_id", "_key", F.transform("_marks", lambda m: F.struct(m["span"].alias("span"))).alias("_marks"), "_grown"
     )
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "removed")]
-    rows = docs.select(F.struct(*others).alias("row"), "doc_id", "text", key.alias("text_key"))
     marked = rows.join(work, same, "left").select("row", "text", "_marks", "_grown")
     schema = T.StructType([marked.schema["row"], marked.schema["text"], T.StructField("removed", REMOVED)])
     cleaned = marked.mapInArrow(remove, schema)

@@ -299,16 +299,17 @@ def plain_removals(texts):
             else:
                 first[key] = (d, begin)
     covered, lines = [set() for _ in texts], [set() for _ in texts]
-    starts, ends = {(d, b) for d, b, *_ in later}, {(d, e) for d, _, e, *_ in later}
     for d, begin, end, line, fd, fbegin in later:
         covered[d] |= set(range(begin, end))
         lines[d] |= set(range(begin, end)) if line else set()
-        if (d, begin) not in ends:
+    units_only = [set(c) for c in covered]
+    for d, begin, end, line, fd, fbegin in later:
+        if begin - 1 not in units_only[d]:
             for k in range(1, 49):
                 if k > begin or k > fbegin or read[d][begin - k][0] != read[fd][fbegin - k][0]:
                     break
                 covered[d].add(begin - k)
-        if (d, end) not in starts:
+        if end not in units_only[d]:
             for k in range(48):
                 fk = fbegin + end - begin + k
                 if end + k >= len(read[d]) or fk >= len(read[fd]) or read[d][end + k][0] != read[fd][fk][0]:
