@@ -134,16 +134,19 @@ def asof_state(
     values: Mapping[str, str],
     include_equal: bool = True,
     forward: bool = False,
+    ties: Column | None = None,
     width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Nearest ``state`` row in time for each ``probe`` row (no match gives null).
 
     ``values`` maps output names to state columns of primitive type. Backward takes
     the latest state with time <= probe (``<`` when ``include_equal`` is false),
-    forward the earliest with time >= probe (or ``>``).
+    forward the earliest with time >= probe (or ``>``). ``ties`` (0..5) orders states
+    of one time; without it such states must not differ.
     """
     state_first = include_equal != forward
-    state_rank, probe_rank = (0, 1) if state_first else (1, 0)
+    state_rank, probe_rank = (0, RANKS - 1) if state_first else (1, 0)
+    state_rank = F.lit(state_rank) + (F.lit(0) if ties is None else ties.cast("int"))
     marker, order = "__probe", "__order"
     left = probe.withColumn(marker, F.lit(True)).withColumn(order, order_key(probe_time, probe_rank))
     right = state.select(

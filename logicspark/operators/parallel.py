@@ -296,10 +296,11 @@ def _decode(
 
 
 def enable_asof(rows: DataFrame, control: DataFrame, time: str = "t_ns", width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Add ``enabled``: control state at or before each row, false before the first."""
+    """Add ``enabled``: control state at or before each row, false before the first; at equal times enabled holds."""
     require_columns(control, CONTROL, "control")
     out = asof_state(
-        rows, control, ["capture_id"], probe_time=time, state_time="t_ns", values={"enabled": "state"}, width=width
+        rows, control, ["capture_id"], probe_time=time, state_time="t_ns", values={"enabled": "state"},
+        ties=F.col("state"), width=width,
     )
     return out.withColumn("enabled", F.coalesce("enabled", F.lit(False)))
 

@@ -24,12 +24,12 @@ FILE = ["capture_id", "file_num"]
 
 
 def session_asof(words: DataFrame, control: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Words while enabled, with ``enabled_at``, the enabling change they belong to."""
+    """Words while enabled, with ``enabled_at``, the enabling change they belong to; at equal times enabled holds."""
     require_columns(words, WORDS, "words")
     require_columns(control, CONTROL, "control")
     d = asof_state(
         words, control, BY, probe_time="t_ns", state_time="t_ns",
-        values={"__state": "state", "enabled_at": "t_ns"}, width=width,
+        values={"__state": "state", "enabled_at": "t_ns"}, ties=F.col("state"), width=width,
     )
     return d.filter("__state").drop("__state")
 

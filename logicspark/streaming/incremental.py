@@ -227,7 +227,7 @@ class _BusStep:
         # What later blocks can need: the control rows to come, and the last one before them.
         at = control.join(passed.withColumnRenamed("t_ns", "__passed"), BY, "left")
         over = F.coalesce(F.col("t_ns") <= F.col("__passed"), F.lit(False))
-        last = at.filter(over).groupBy(*BY).agg(F.max_by("state", "t_ns").alias("state"), F.max("t_ns").alias("t_ns"))
+        last = at.filter(over).groupBy(*BY).agg(F.max(F.struct("t_ns", "state")).alias("x")).select(*BY, "x.state", "x.t_ns")
         self.tables.write(at.filter(~over).select(*CONTROL.names).unionByName(last), "control", batch_id)
 
     def words(self, feed: _BlockStep, control: DataFrame | None, batch_id: int) -> None:
@@ -493,7 +493,7 @@ def _session_step(
         (F.max_by("byte_index", "t_ns") + 1).alias("n_words"),
         F.max("t_ns").alias("n_word_at"),
     )
-    switch = both.groupBy(*BY).agg(F.max_by(F.struct("state", "t_ns"), "t_ns").alias("c"))
+    switch = both.groupBy(*BY).agg(F.max(F.struct("t_ns", "state")).alias("c"))
     previous = state.select(*BY, "last_file", "file_at", "words", "word_at")
     after = tables.write(
         switch.join(newest, BY, "left").join(previous, BY, "left").select(

@@ -187,3 +187,16 @@ def test_hot_session_is_numbered_across_buckets(spark):
     s = spark.createDataFrame([("c", False, 0), ("c", True, 0)], "capture_id string, state boolean, t_ns long").filter("state")
     got = sessions.assign_sessions(w, s, width=100)
     assert got.filter("byte_index = value and file_num = 1").count() == 5000
+
+
+def test_enable_at_the_time_of_the_initial_state(spark):
+    commands = spark.createDataFrame([("c", 0, 0x600081), ("c", 20, 0x600000), ("c", 40, 0x600081)], "capture_id string, t_ns long, mosi long")
+    state = control.control_state(commands)
+    words = spark.createDataFrame(
+        [("c", t, 7, t / 1000) for t in (0, 10, 20, 30, 40)], "capture_id string, t_ns long, value long, timestamp_us double"
+    )
+    for order in (F.col("state"), ~F.col("state")):
+        dealt = state.coalesce(1).sortWithinPartitions("t_ns", order)
+        assert rows(parallel.enable_gate(words, dealt).select("t_ns")) == [(0,), (10,), (40,)]
+        found = sessions.assign_sessions(words, dealt).select("t_ns", "file_num", "enabled_at", "byte_index")
+        assert rows(found) == [(0, 1, 0, 0), (10, 1, 0, 1), (40, 2, 40, 0)]
