@@ -157,12 +157,15 @@ class BodyWriter(DataSourceArrowWriter):
         torn = [name for name, files in found.items() if not self.parts and len(files) > 1]
         if torn:
             raise ValueError(f"chunks of {torn[0]} came to several tasks or out of order")
+        # Each folder is listed once, however many files it has or gets.
+        for folder in sorted({os.path.dirname(f"{root}/{name}") for name in found}):
+            store.create_dir(folder, recursive=True)
+            for old in store.get_file_info(fs.FileSelector(folder)):
+                name = os.path.relpath(re.sub(r"\.part-[0-9]+$", "", f"{folder}/{old.base_name}"), root)
+                if name in found:
+                    store.delete_file(old.path)
         for name, files in sorted(found.items()):
             target = f"{root}/{name}"
-            store.create_dir(os.path.dirname(target), recursive=True)
-            for old in store.get_file_info(fs.FileSelector(os.path.dirname(target))):
-                if re.fullmatch(re.escape(os.path.basename(target)) + r"(\.part-[0-9]+)?", old.base_name):
-                    store.delete_file(old.path)
             for first, own in sorted(files):
                 store.move(own, f"{target}.part-{first:015d}" if self.parts else target)
         self.abort(messages)

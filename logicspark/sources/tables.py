@@ -122,8 +122,12 @@ def read_line_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
 _CHUNK = pa.schema([("image_id", pa.string()), ("chunk_no", pa.int64()), ("data", pa.binary())])
 
 
+#: Bytes of bodies that a task reads, and what opening a file counts as, so that small bodies share a task.
+TASK_BYTES, OPEN_BYTES = 1 << 22, 1 << 15
+
+
 @dataclass
-class _Range(InputPartition):
+class _Range:
     """Chunks ``first`` to ``last`` - 1 of a body, and its files by the byte each begins at."""
 
     image_id: str
@@ -132,11 +136,20 @@ class _Range(InputPartition):
     last: int
 
 
+@dataclass
+class _Ranges(InputPartition):
+    ranges: list[_Range]
+
+
+def _chunk_rows(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CHUNK)], schema=_CHUNK)
+
+
 class BodySource(DataSource):
-    """Capture bodies in chunks of option ``chunk_bytes``; a task reads its own byte range, whatever the file sizes.
+    """Capture bodies in chunks of option ``chunk_bytes``; a task reads its own byte ranges, whatever the file sizes.
 
     A body is ``<name>.bin``, or the files ``<name>.bin.part-<first byte>`` of a body written in parts. Option
-    ``chunks_per_partition`` sets the length of a range."""
+    ``chunks_per_partition`` sets the length of a range. Short ranges share a task, up to ``TASK_BYTES``."""
 
     @classmethod
     def name(cls) -> str:
@@ -165,27 +178,40 @@ class _BodyReader(DataSourceReader):
             found = re.fullmatch(r"(.*\.bin)(?:\.part-([0-9]+))?", path)
             if found:
                 bodies.setdefault(name_below(found[1], root), []).append((int(found[2] or 0), path, size))
-        parts = []
+        tasks, bytes_ = [[]], 0
         for name, files in sorted(bodies.items()):
             files.sort()
             total = max(first + size for first, _, size in files)
             chunks = max(1, -(-total // self.chunk))
-            parts += [_Range(name, files, k, min(chunks, k + self.per)) for k in range(0, chunks, self.per)]
-        return parts or [_Range("", [], 0, 0)]
+            for k in range(0, chunks, self.per):
+                last = min(chunks, k + self.per)
+                held = [x for x in files if x[0] < last * self.chunk and x[0] + x[2] > k * self.chunk]
+                cost = (last - k) * self.chunk + len(held) * OPEN_BYTES
+                if tasks[-1] and bytes_ + cost > TASK_BYTES:
+                    tasks.append([])
+                    bytes_ = 0
+                tasks[-1].append(_Range(name, held, k, last))
+                bytes_ += cost
+        return [_Ranges(t) for t in tasks]
 
     def read(self, partition):
-        for chunk in range(partition.first, partition.last):
-            begin, end, data = chunk * self.chunk, (chunk + 1) * self.chunk, []
-            for first, path, size in partition.files:
-                low, high = max(begin, first), min(end, first + size)
-                if low < high:
-                    with open_file(path) as f:
-                        f.seek(low - first)
-                        data.append(f.read(high - low))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([partition.image_id]), pa.array([chunk], pa.int64()), pa.array([b"".join(data)], pa.binary())],
-                schema=_CHUNK,
-            )
+        rows, bytes_ = [], 0
+        for part in partition.ranges:
+            for chunk in range(part.first, part.last):
+                begin, end, data = chunk * self.chunk, (chunk + 1) * self.chunk, []
+                for first, path, size in part.files:
+                    low, high = max(begin, first), min(end, first + size)
+                    if low < high:
+                        with open_file(path) as f:
+                            f.seek(low - first)
+                            data.append(f.read(high - low))
+                rows.append((part.image_id, chunk, b"".join(data)))
+                bytes_ += len(rows[-1][2])
+                if bytes_ >= TASK_BYTES:
+                    yield _chunk_rows(rows)
+                    rows, bytes_ = [], 0
+        if rows:
+            yield _chunk_rows(rows)
 
 
 def read_body_chunks(spark: SparkSession, path: str, chunk_bytes: int) -> DataFrame:

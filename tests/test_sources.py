@@ -310,3 +310,24 @@ def test_progress(spark, archive):
     n = watched.count()
     assert seen.get["rows"] == n
     assert seen.get["first_ns"] == 0
+
+
+def test_many_small_bodies_share_a_listing_and_a_task(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    from pyarrow import fs
+
+    out, bodies = str(tmp_path / "out"), {n: bytes([n, n + 1, n + 2]) for n in range(1, 61)}
+    batch = pa.RecordBatch.from_pylist(
+        [{"capture_id": "c", "file_num": n, "chunk_no": 0, "data": data} for n, data in bodies.items()]
+    )
+    listed, selector = [], fs.FileSelector
+    monkeypatch.setattr(fs, "FileSelector", lambda *a, **b: listed.append(a) or selector(*a, **b))
+    for _ in range(2):  # the second time the bodies are replaced
+        writer = sinks.BodyWriter({"path": out}, False)
+        writer.commit([writer.write(iter([batch]))])
+    assert len(listed) == 2
+    assert len(tables._BodyReader({"path": out + "/*/*.bin", "chunk_bytes": "2"}).partitions()) == 1
+    found = tables.read_body_chunks(spark, out + "/*/*.bin", 2).collect()
+    want = {(f"c/capture_{n:04d}", k): data[2 * k : 2 * k + 2] for n, data in bodies.items() for k in range(2)}
+    assert {(r["image_id"], r["chunk_no"]): bytes(r["data"]) for r in found} == want
+    assert len(found) == len(want)
