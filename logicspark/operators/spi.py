@@ -435,24 +435,57 @@ def _pack_blocks(blocks: DataFrame, lines: dict[int, list[int]], polarity: CsPol
     ).mapInArrow(pack, _PACKED)
 
 
+def _pack_lines(
+    blocks: DataFrame, opening: DataFrame, lines: dict[str, int | None], polarity: CsPolarity, width: int
+) -> DataFrame:
+    """Packed rows of all lines from blocks (none empty) and the runs that begin on their first samples."""
+    served: dict[int, list[int]] = {}
+    for line, name in enumerate(("cs", "clk", "mosi", "miso")):
+        if lines[name] is not None:
+            served.setdefault(lines[name], []).append(line)
+    inverted = polarity is CsPolarity.ACTIVE_LOW
+    line = F.explode(F.create_map(*[F.lit(x) for c, of in served.items() for x in (c, of)])[F.col("channel")])
+    first = opening.select("capture_id", "value", "start_time", line.alias("line"))
+    high = F.when(F.col("line") == _CS, ~F.col("value") if inverted else F.col("value")).otherwise(F.col("value"))
+    rank = (
+        F.when(F.col("line") == _CS, F.when(high, 3).otherwise(1))
+        .when(F.col("line") == _CLK, 2)
+        .otherwise(F.when(F.col("start_time") == 0, 0).otherwise(4))
+    )
+    key = order_key("start_time", rank) * 8 + 2 * F.col("line") + high.cast("int")
+    opened = first.select("capture_id", key.alias("key"))
+    return _pack_blocks(blocks, served, polarity, width).unionByName(_pack_runs(opened, width))
+
+
 def _buckets(packed: DataFrame, target: bool):
     buckets = packed.repartition(*BY, BUCKET).groupBy(*BY, BUCKET)
     return buckets, buckets.applyInArrow(_summarise(target), _SUMMARY)
 
 
+def packed_lines(
+    blocks: DataFrame, lines: dict[str, int | None], tails: DataFrame,
+    *, polarity: CsPolarity = CsPolarity.ACTIVE_LOW, width: int = DEFAULT_WIDTH,
+) -> DataFrame:
+    """Level changes of a piece of a capture per time bucket, for ``spi_parts``; no run becomes a row.
+
+    ``lines`` has the channels of cs, clk, mosi and miso, ``tails`` the last bits of blocks that came earlier.
+    """
+    _check(polarity)
+    used = blocks.filter(F.col("channel").isin([c for c in lines.values() if c is not None]) & (F.col("num_samples") > 0))
+    return _pack_lines(used, opening_runs(used, tails), lines, polarity, width)
+
+
 def spi_parts(
-    clk: DataFrame, cs: DataFrame, mosi: DataFrame | None, miso: DataFrame | None, prefix: DataFrame,
-    *, bits_per_word: int, mode: SpiMode = SpiMode.MODE0, polarity: CsPolarity = CsPolarity.ACTIVE_LOW,
-    width: int = DEFAULT_WIDTH,
+    packed: DataFrame, prefix: DataFrame, *, bits_per_word: int, mode: SpiMode = SpiMode.MODE0
 ) -> tuple[DataFrame, DataFrame]:
-    """One piece of a capture, given what the pieces before it left behind.
+    """One piece of a capture (``packed_lines``), given what the pieces before it left behind.
 
     Returns folded words, also of windows still open, and the state after this piece
     (``prefix`` of the next one): one row per capture. Start with an empty ``prefix``.
     """
-    _check(polarity, bits_per_word)
+    _check(CsPolarity.ACTIVE_LOW, bits_per_word)
     target = mode.samples_on_rising
-    buckets, summary = _buckets(_pack_runs(_merge_lines(clk, cs, mosi, miso, polarity), width), target)
+    buckets, summary = _buckets(packed, target)
     known = prefix.select(*_SUMMARY.names).unionByName(summary)
     ends = known.select(*BY).distinct().withColumn(BUCKET, F.lit(_AFTER_ALL).cast("bigint"))
     carry = _carry(known.unionByName(ends, allowMissingColumns=True), target, False)
@@ -554,17 +587,9 @@ def spi_words_from_blocks(
     the row path.
     """
     _check(polarity, bits_per_word)
-    channels = {"cs": cs, "clk": clk, "mosi": mosi, "miso": miso}
-    served: dict[int, list[int]] = {}
-    for line, channel in zip((_CS, _CLK, _MOSI, _MISO), channels.values(), strict=True):
-        if channel is not None:
-            served.setdefault(channel, []).append(line)
-    used = blocks.filter(F.col("channel").isin(sorted(served)) & (F.col("num_samples") > 0))
-    opening = opening_runs(used)
-    first = {n: None if c is None else opening.filter(F.col("channel") == c) for n, c in channels.items()}
-    packed = _pack_blocks(used, served, polarity, width).unionByName(
-        _pack_runs(_merge_lines(first["clk"], first["cs"], first["mosi"], first["miso"], polarity), width)
-    )
+    lines = {"cs": cs, "clk": clk, "mosi": mosi, "miso": miso}
+    used = blocks.filter(F.col("channel").isin([c for c in lines.values() if c is not None]) & (F.col("num_samples") > 0))
+    packed = _pack_lines(used, opening_runs(used), lines, polarity, width)
     parts = _scan(packed, partial(_emit_words, n=bits_per_word), _PARTIAL_WORDS, mode, initial_clock)
     return finish_words(fold_parts(parts), bits_per_word)
 

@@ -160,12 +160,11 @@ def stream_spi(
     def step(batch: DataFrame, batch_id: int) -> None:
         feed = _BlockStep(tables, channels)
         feed.run(batch, batch_id)
-        runs = tables.write(signal.edge_runs(feed.ready, feed.tails), "runs", batch_id)
-        line = {n: None if c is None else runs.filter(F.col("channel") == c) for n, c in lines.items()}
+        packed = tables.write(
+            spi.packed_lines(feed.ready, lines, feed.tails, polarity=polarity, width=width), "packed", batch_id
+        )
         parts, prefix = spi.spi_parts(
-            line["clk"], line["cs"], line["mosi"], line["miso"],
-            tables.read("prefix", batch_id - 1, spi.PREFIX),
-            bits_per_word=bits_per_word, mode=mode, polarity=polarity, width=width,
+            packed, tables.read("prefix", batch_id - 1, spi.PREFIX), bits_per_word=bits_per_word, mode=mode
         )
         prefix = tables.write(prefix, "prefix", batch_id)
         both = tables.read("open", batch_id - 1, spi.PARTS).unionByName(parts)

@@ -80,34 +80,34 @@ def waveform(spark: SparkSession, sf_dir: str, source: str = "customer") -> dict
 
 
 FRAMES_PER_BLOCK = 64
+BLOCKS_PER_GROUP = 32
 
 
 def waveform_blocks(spark: SparkSession, sf_dir: str, source: str = "orders") -> DataFrame:
     """The same serial lines (cs 0, clk 1, mosi 2) as packed blocks, 100 samples a frame."""
 
     def build(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        block = key[0].as_py()
-        n = FRAMES_PER_BLOCK
-        bits = {c: np.full((n, 100), 1 if c == 0 else 0, np.uint8) for c in range(3)}
-        at = 12 + 2 * np.arange(24)
-        for base, word in zip(rows.column("base").to_pylist(), rows.column("word").to_pylist(), strict=True):
-            f = base // 1000 - block * n
-            bits[0][f, 10:70] = 0
-            bits[1][f, at] = 1
-            sent = (word >> np.arange(23, -1, -1)) & 1
-            bits[2][f, 11:59] = np.repeat(sent, 2)
-        data = [np.packbits(b.reshape(-1), bitorder="little").tobytes() for b in bits.values()]
+        n, total = FRAMES_PER_BLOCK, FRAMES_PER_BLOCK * BLOCKS_PER_GROUP
+        f = rows.column("base").to_numpy() // 1000 - key[0].as_py() * total
+        bits = [np.full((total, 100), 1 if c == 0 else 0, np.uint8) for c in range(3)]
+        bits[0][f, 10:70] = 0
+        bits[1][f, 12:60:2] = 1
+        sent = (rows.column("word").to_numpy()[:, None] >> np.arange(23, -1, -1)) & 1
+        bits[2][f, 11:59] = np.repeat(sent, 2, axis=1)
+        packed = [np.packbits(b.reshape(BLOCKS_PER_GROUP, n * 100), axis=1, bitorder="little") for b in bits]
         return pa.Table.from_pylist(
             [
-                {"capture_id": CAPTURE, "channel": c, "block_num": block, "data": d, "start_position": block * n * 100,
-                 "num_samples": n * 100, "timestamp_step": STEP_NS}
-                for c, d in enumerate(data)
+                {"capture_id": CAPTURE, "channel": c, "block_num": block, "data": d[k].tobytes(),
+                 "start_position": block * n * 100, "num_samples": n * 100, "timestamp_step": STEP_NS}
+                for k in np.unique(f // n).tolist()
+                for block in (key[0].as_py() * BLOCKS_PER_GROUP + k,)
+                for c, d in enumerate(packed)
             ],
             schema=to_arrow_schema(BLOCKS),
         )
 
-    block = F.expr(f"base div {1000 * FRAMES_PER_BLOCK}").alias("block")
-    return frames(spark, sf_dir, source).select(block, "base", "word").groupBy("block").applyInArrow(build, BLOCKS)
+    group = F.expr(f"base div {1000 * FRAMES_PER_BLOCK * BLOCKS_PER_GROUP}").alias("group")
+    return frames(spark, sf_dir, source).select(group, "base", "word").groupBy("group").applyInArrow(build, BLOCKS)
 
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:

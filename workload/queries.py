@@ -101,7 +101,8 @@ def spi_word(spark, sf):
 @query
 def spi_word_blocks(spark, sf):
     """The round trip from packed blocks, over all orders."""
-    d = jobs.spi_decode(fx.waveform_blocks(spark, sf), cs=0, clk=1, mosi=2, width=T)
+    packed = jobs.stage(fx.waveform_blocks(spark, sf), "blocks")
+    d = jobs.spi_decode(packed, cs=0, clk=1, mosi=2, width=T)
     return d.select("window_id", "word_no", "mosi", "miso", "t_ns")
 
 
