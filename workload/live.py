@@ -166,10 +166,16 @@ def session_files(spark: SparkSession, sf: str) -> str:
     return out
 
 
+def line_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of all line tables below a folder, which is listed as one path."""
+    columns = ", ".join(f"{c} string" for c in sinks.LINE_RECORD_COLUMNS)
+    return spark.read.schema(columns).csv(folder, header=True, recursiveFileLookup=True, pathGlobFilter="*_tgck.csv")
+
+
 @q.query
 def line_record_sink(spark, sf):
     """Line tables as text, all eight columns, one file for each session that has records."""
-    back = spark.read.csv(session_files(spark, sf) + "/*/*_tgck.csv", header=True)
+    back = line_tables(spark, session_files(spark, sf))
     file = session_number("_metadata.file_name")
     return back.select(file.alias("file_num"), *[F.col(c).cast("bigint").alias(c) for c in back.columns])
 
@@ -209,16 +215,15 @@ def command_dir_scan(spark, sf):
 @q.query
 def controlled_capture_files(spark, sf):
     """The whole job from one block table to bodies and line tables; the bodies read back."""
-    packed = signal.pack_levels(fx.whole_capture(spark, sf), 1024, 1000)
     job = jobs.capture_job(
-        packed, cs=fx.SERIAL_CS, clk=fx.SERIAL_CLK, mosi=fx.SERIAL_MOSI, line_clock=fx.LINE_CLOCK,
+        q.whole_blocks(spark, sf), cs=fx.SERIAL_CS, clk=fx.SERIAL_CLK, mosi=fx.SERIAL_MOSI, line_clock=fx.LINE_CLOCK,
         strobe=q.STROBE, data=q.DATA, width=q.T,
     )
     out = fx.shared_path(spark, "job")
     sinks.write_bodies(job.words, out, chunk_bytes=128)
     sinks.write_line_tables(job.records, out, width=q.T)
     chunks = tables.read_body_chunks(spark, out + "/*/*.bin", 100)
-    records = spark.read.csv(out + "/*/*_tgck.csv", header=True)
+    records = line_tables(spark, out)
     lines_of = records.groupBy(session_number("_metadata.file_name").alias("file_num")).agg(
         F.count(F.lit(1)).alias("lines"), F.sum(F.col("falling_timestamp").cast("bigint")).alias("falls")
     )

@@ -38,6 +38,11 @@ def blocks(spark: SparkSession, sf: str, step: int = fx.STEP_NS) -> DataFrame:
     return signal.pack_levels(fx.levels(spark, sf), fx.SAMPLES_PER_BLOCK, step)
 
 
+def whole_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Block table of the capture with everything, written once: the job reads it for every line."""
+    return jobs.stage(signal.pack_levels(fx.whole_capture(spark, sf), 1024, 1000), "blocks")
+
+
 def line(spark: SparkSession, sf: str, channel: int, step: int = fx.STEP_NS) -> DataFrame:
     """Runs of one noisy channel."""
     one = fx.levels(spark, sf).filter(F.col("channel") == channel)
@@ -399,9 +404,8 @@ def line_offsets(spark, sf):
 @query
 def controlled_capture_blocks(spark, sf):
     """The whole job from one block table: serial decode, control, bus words, sessions, lines, index."""
-    packed = signal.pack_levels(fx.whole_capture(spark, sf), 1024, 1000)
     job = jobs.capture_job(
-        packed, cs=fx.SERIAL_CS, clk=fx.SERIAL_CLK, mosi=fx.SERIAL_MOSI, line_clock=fx.LINE_CLOCK,
+        whole_blocks(spark, sf), cs=fx.SERIAL_CS, clk=fx.SERIAL_CLK, mosi=fx.SERIAL_MOSI, line_clock=fx.LINE_CLOCK,
         strobe=STROBE, data=DATA, width=T,
     )
     return job.index.drop("capture_id")
