@@ -22,6 +22,7 @@ A capture is named by its path below the folder that was opened, without extensi
 from __future__ import annotations
 
 import glob
+import itertools
 import os
 import re
 import zipfile
@@ -52,6 +53,8 @@ RAW_ALIGNED = fields(
 )
 BYTES_PER_PARTITION = 64 << 20
 BLOCKS_PER_PARTITION = 32
+#: Packed bytes that a task of a stream reads, and what opening a file counts as, so that small archives share a task.
+STREAM_TASK_BYTES, OPEN_BYTES = 1 << 22, 1 << 15
 
 
 class CaptureError(ValueError):
@@ -311,7 +314,7 @@ def _arrow_schema(table: T.StructType) -> pa.Schema:
 
 
 @dataclass
-class _StreamPart(InputPartition):
+class _StreamRange:
     """Blocks [first, last) of one channel of an archive."""
 
     path: str
@@ -320,13 +323,21 @@ class _StreamPart(InputPartition):
     last: int
 
 
+@dataclass
+class _StreamPart(InputPartition):
+    """Ranges of a task, those of one archive side by side."""
+
+    ranges: list[_StreamRange]
+
+
 class _BlockStream(DataSourceStreamReader):
     """Blocks of growing archives. Options: path, channels, max_samples, blocks_per_partition.
 
     An offset holds, for each file and channel, how many blocks from 0 on have been taken. A look at the files opens the
     directories of those whose size has changed, and no entry but the header. A block counts once it is whole, or the last
     one that the header tells of; a channel waits at its first missing block. A file that cannot be opened yet, or lacks
-    its header or first block, is left for the next look. Blocks once taken must not change."""
+    its header or first block, is left for the next look. Blocks once taken must not change. A range has up to
+    ``blocks_per_partition`` blocks; short ranges share a task, up to ``STREAM_TASK_BYTES``."""
 
     def __init__(self, options):
         self.options = dict(options)
@@ -363,29 +374,45 @@ class _BlockStream(DataSourceStreamReader):
         return {str(c): next((b for b in range(used) if not whole(c, b)), used) for c in channels}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        parts = []
+        sizes, tasks, bytes_, opened = dict(list_files(self.options["path"])), [[]], 0, None
         for path, counts in sorted(end["files"].items()):
             taken = start["files"].get(path, {})
+            block_bytes = sizes.get(path, 0) // max(1, sum(counts.values()))
             for channel, last in sorted(counts.items(), key=lambda x: int(x[0])):
                 for first in range(taken.get(channel, 0), last, self.per_partition):
-                    parts.append(_StreamPart(path, int(channel), first, min(first + self.per_partition, last)))
-        return parts
+                    own = _StreamRange(path, int(channel), first, min(first + self.per_partition, last))
+                    cost = (own.last - first) * block_bytes + (OPEN_BYTES if path != opened else 0)
+                    if tasks[-1] and bytes_ + cost > STREAM_TASK_BYTES:
+                        tasks.append([])
+                        bytes_ = 0
+                    tasks[-1].append(own)
+                    bytes_, opened = bytes_ + cost, path
+        return [_StreamPart(t) for t in tasks if t]
 
     def read(self, partition: _StreamPart) -> Iterator[pa.RecordBatch]:
-        p, schema = partition, _arrow_schema(STORED_BLOCKS)
-        capture = name_below(p.path, root_folder(self.options["path"]))
-        with open_file(p.path) as f, zipfile.ZipFile(f) as archive:
-            facts = _facts(p.path, archive)
-            limit = facts.samples if self.max_samples is None else min(self.max_samples, facts.samples)
-            for block in range(p.first, p.last):
-                start, data = block * facts.samples_per_block, archive.read(f"L-{p.channel}/{block}")
-                count = min(8 * len(data), limit - start)
-                row = {
-                    "capture_id": capture, "channel": p.channel, "block_num": block, "data": data,
-                    "start_position": start, "num_samples": count, "timestamp_step": facts.step,
-                    "first": _bit(data, 0), "last": _bit(data, count - 1),
-                }
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
+        schema, root = _arrow_schema(STORED_BLOCKS), root_folder(self.options["path"])
+        rows, bytes_ = [], 0
+        for path, ranges in itertools.groupby(partition.ranges, key=lambda r: r.path):
+            capture = name_below(path, root)
+            with open_file(path) as f, zipfile.ZipFile(f) as archive:
+                facts = _facts(path, archive)
+                limit = facts.samples if self.max_samples is None else min(self.max_samples, facts.samples)
+                for channel, block in ((r.channel, b) for r in ranges for b in range(r.first, r.last)):
+                    start, data = block * facts.samples_per_block, archive.read(f"L-{channel}/{block}")
+                    count = min(8 * len(data), limit - start)
+                    rows.append(
+                        {
+                            "capture_id": capture, "channel": channel, "block_num": block, "data": data,
+                            "start_position": start, "num_samples": count, "timestamp_step": facts.step,
+                            "first": _bit(data, 0), "last": _bit(data, count - 1),
+                        }
+                    )
+                    bytes_ += len(data)
+                    if bytes_ >= STREAM_TASK_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, bytes_ = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def register(spark: SparkSession) -> None:

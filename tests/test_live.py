@@ -182,3 +182,16 @@ def test_following_some_channels(spark, tmp_path):
     with pytest.raises(Exception, match="only the blocks"):
         header = spark.readStream.format("logic_capture").option("table", "header").load(str(tmp_path))
         finish(header.writeStream.format("noop").trigger(availableNow=True).start())
+
+
+def test_small_archives_share_a_task(tmp_path):
+    data = np.random.default_rng(4).integers(0, 2, (3, 700), dtype=np.uint8)
+    for k in range(40):
+        write_archive(tmp_path / f"x{k:02d}.zip", data, {c: range(3) for c in range(3)}, 256, 700)
+    reader = capture._BlockStream({"path": str(tmp_path / "*.zip"), "blocks_per_partition": "2"})
+    end = reader.latestOffset()
+    parts = reader.partitions(reader.initialOffset(), end)
+    assert len(parts) == 1 and reader.partitions(end, end) == []
+    read = [r for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
+    places = [(r["capture_id"], r["channel"], r["block_num"]) for r in read]
+    assert places == [(f"x{k:02d}", c, b) for k in range(40) for c in range(3) for b in range(3)]
