@@ -162,6 +162,27 @@ def listed(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray)
     return text, place
 
 
+def given_back(
+    ids: np.ndarray, ends: np.ndarray, whole: list[bytes], tokens: np.ndarray, start: np.ndarray, length: np.ndarray
+) -> np.ndarray:
+    """Which of the texts ``whole`` their own ids give back; a text's ids end at its place of ``ends``.
+
+    ``tokens`` holds the bytes of all tokens on end, from ``start`` on and ``length`` long."""
+    sizes = np.fromiter(map(len, whole), dtype=np.int64, count=len(whole))
+    own = length[ids]
+    stop = np.cumsum(own)
+    upto = np.concatenate([[0], stop])[ends]
+    right = np.diff(upto, prepend=0) == sizes
+    at = np.repeat(start[ids] - (stop - own), own) + np.arange(upto[-1] if len(upto) else 0)
+    made, wanted = tokens[at], np.frombuffer(b"".join(whole), dtype=np.uint8)
+    if right.all():
+        differs = np.flatnonzero(made != wanted)
+        right[np.searchsorted(upto, differs, side="right")] = False
+        return right
+    texts, begin = made.tobytes(), upto - np.diff(upto, prepend=0)
+    return np.array([texts[i:j] == w for i, j, w in zip(begin.tolist(), upto.tolist(), whole, strict=True)], dtype=bool)
+
+
 class Aligner:
     """Both tokenizers of one task."""
 
@@ -175,6 +196,8 @@ class Aligner:
         self.chars = 0
         self.a_length = np.array([len(t) for t in own.a_tokens], dtype=np.int64)
         self.b_length = np.array([len(t) for t in own.b_tokens], dtype=np.int64)
+        self.a_start, self.b_start = np.cumsum(self.a_length) - self.a_length, np.cumsum(self.b_length) - self.b_length
+        self.a_bytes, self.b_bytes = (np.frombuffer(b"".join(t), dtype=np.uint8) for t in (own.a_tokens, own.b_tokens))
 
     def remember(self, wanted: set[str]) -> None:
         """Encodes the parts not known yet; None for one that either tokenizer does not give back."""
@@ -185,14 +208,19 @@ class Aligner:
             return
         self.chars += sum(map(len, fresh))
         every_a = self.a.encode_batch_fast([" " + p for p in fresh], add_special_tokens=False)
-        for part, encoding, ids_b in zip(fresh, every_a, self.b.encode(fresh, num_threads=1), strict=True):
-            ids_a, whole = encoding.ids, b" " + part.encode()
-            given_back = (
-                b"".join(map(self.own.a_tokens.__getitem__, ids_a)) == whole
-                and b"".join(map(self.own.b_tokens.__getitem__, ids_b)) == whole
-            )
-            packed = (array("i", ids).tobytes() for ids in (ids_a, ids_b))
-            self.known[part] = tuple(packed) if given_back else None
+        ids = [[e.ids for e in every_a], self.b.encode(fresh, num_threads=1)]
+        whole = [b" " + p.encode() for p in fresh]
+        right, packed = np.ones(len(fresh), dtype=bool), []
+        for own, tokens, start, length in zip(
+            ids, (self.a_bytes, self.b_bytes), (self.a_start, self.b_start), (self.a_length, self.b_length), strict=True
+        ):
+            every = np.fromiter(chain.from_iterable(own), dtype=np.int32)
+            ends = np.cumsum(np.fromiter(map(len, own), dtype=np.int64, count=len(own)))
+            right &= given_back(every, ends, whole, tokens, start, length)
+            raw, bounds = every.tobytes(), (4 * ends).tolist()
+            packed.append([raw[i:j] for i, j in zip([0, *bounds[:-1]], bounds, strict=True)])
+        self.known.update(zip(fresh, zip(*packed, strict=True), strict=True))
+        self.known.update((fresh[k], None) for k in np.flatnonzero(~right).tolist())
 
     def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each tokenizer the ids of all texts on end and how many each text has; a text that either of them does not

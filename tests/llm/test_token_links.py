@@ -117,3 +117,18 @@ def test_cases(spark):
     assert out[1][1:] == out[4][1:] == (0, 0, 0, 0, "", 0, 0)
     assert out[2] == out[3] and out[2][4] == 2
     assert token_links.linked(docs.where("false"), A, B).collect() == []
+
+
+def test_texts_given_back_are_found_for_a_whole_batch_at_once():
+    tokens = [b" ", b"a", b"bc", b"", b"\xc3\xa9"]
+    length = np.array([len(t) for t in tokens])
+    table = np.frombuffer(b"".join(tokens), dtype=np.uint8), np.cumsum(length) - length, length
+
+    def found(texts, ids):
+        ends = np.cumsum([len(x) for x in ids], dtype=np.int64)
+        return token_links.given_back(np.array([k for x in ids for k in x], dtype=np.int32), ends, texts, *table).tolist()
+
+    assert found([b" a", b" bc", b" \xc3\xa9"], [[0, 1], [0, 3, 2], [0, 4]]) == [True, True, True]
+    assert found([b" a", b" cb", b" \xc3\xa9"], [[0, 1], [0, 2], [0, 4]]) == [True, False, True]
+    assert found([b" aa", b" bc", b" "], [[0, 1], [0, 2], []]) == [False, True, False]
+    assert found([], []) == []
