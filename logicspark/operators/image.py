@@ -20,6 +20,7 @@ from logicspark.schemas import PIXELS, DisplayMode, require_columns
 IMAGE = ["image_id"]
 PLANES = ("g", "b", "r")
 CHUNK_BYTES = 1 << 20
+PIXELS_PER_BATCH = 1 << 15
 
 
 def line_bytes(chunks: DataFrame, lines: DataFrame, width_bytes: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -58,6 +59,12 @@ def line_bytes(chunks: DataFrame, lines: DataFrame, width_bytes: Column, chunk_b
     )
 
 
+def _whole_values(data: pa.Buffer, size: int) -> bytes:
+    """``size`` bytes of a line, zeros from the first value that misses a byte."""
+    have = min(len(data), size) // 2 * 2
+    return data[:have].to_pybytes().ljust(size, b"\0")
+
+
 def pixels_u16(lines: DataFrame, pixel_width: int | None = None) -> DataFrame:
     """Line bytes to pixels, low byte first; a value with a missing byte is 0.
 
@@ -66,22 +73,24 @@ def pixels_u16(lines: DataFrame, pixel_width: int | None = None) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                wide = row["pixel_width"]
-                raw = row["data"][: wide * BYTES_PER_PIXEL]
-                whole = np.frombuffer(raw[: len(raw) // 2 * 2], "<u2")
-                planes = np.zeros(wide * 3, np.int32)
-                planes[: len(whole)] = whole
-                g, b, r = planes.reshape(wide, 3).T
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.repeat(row["image_id"], wide),
-                        pa.array(np.full(wide, row["row"], np.int64)),
-                        pa.array(np.arange(wide, dtype=np.int64)),
-                        *(pa.array(np.ascontiguousarray(p)) for p in (g, b, r)),
-                    ],
-                    names=PIXELS.names,
-                )
+            wide = batch.column("pixel_width").to_numpy()
+            # Lines of one width are unpacked together, some PIXELS_PER_BATCH at a time.
+            for width in np.unique(wide[wide > 0]).tolist():
+                own, together = np.flatnonzero(wide == width), max(1, PIXELS_PER_BATCH // width)
+                for k in range(0, len(own), together):
+                    part = batch.take(pa.array(own[k : k + together]))
+                    raw = b"".join(_whole_values(d.as_buffer(), width * BYTES_PER_PIXEL) for d in part.column("data"))
+                    planes = np.frombuffer(raw, "<u2").astype(np.int32).reshape(-1, 3).T
+                    at = np.arange(len(part)).repeat(width)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("image_id").take(pa.array(at)),
+                            part.column("row").take(pa.array(at)),
+                            pa.array(np.tile(np.arange(width, dtype=np.int64), len(part))),
+                            *(pa.array(np.ascontiguousarray(p)) for p in planes),
+                        ],
+                        names=PIXELS.names,
+                    )
 
     own = lines.select("image_id", "row", "data", width.cast("int").alias("pixel_width"))
     return own.mapInArrow(unpack, PIXELS)
@@ -112,8 +121,8 @@ def row_shift_compose(
     """Blue from ``row - bg_delta``, red from ``row + gr_delta``, both clamped to the image.
 
     ``deltas`` (image_id, bg_delta, gr_delta) gives each image shifts of its own; images it lacks take the two numbers.
-    Pixels are gathered to image lines once; from there whole lines go to the rows that read them and meet in one
-    aggregation, three rows for a line, and the pixel table is never joined with itself.
+    Pixels are gathered to image lines once; from there whole lines go, in one pass, to the rows that read them and meet
+    in one aggregation, three rows for a line. The pixel table is read once and never joined with itself.
     """
     require_columns(pixels, PIXELS, "pixels")
     shifts = (geometry(pixels) if shape is None else shape).select(*IMAGE, "total_rows")
@@ -124,16 +133,19 @@ def row_shift_compose(
         blue_by, red_by = F.coalesce("__bg", blue_by), F.coalesce("__gr", red_by)
     shifts = shifts.select(*IMAGE, "total_rows", blue_by.cast("bigint").alias("__bg"), red_by.cast("bigint").alias("__gr"))
     line = F.array_sort(F.collect_list(F.struct("col", *PLANES)))
-    d = pixels.groupBy(*IMAGE, "row").agg(line.alias("line")).join(shifts, IMAGE)
+    planes = pixels.groupBy(*IMAGE, "row").agg(line.alias("line")).select(*IMAGE, "row", *[F.col(f"line.{p}").alias(p) for p in PLANES])
+    d = planes.join(shifts, IMAGE)
+
+    # Each line goes out under the rows that read its plane k.
+    fed = (F.array("row"), _fed_rows(F.col("__bg")), _fed_rows(-F.col("__gr")))
 
-    def sent(rows: Column, plane: str) -> DataFrame:
-        values = {p: F.col(f"line.{p}") if p == plane else F.lit(None).cast("array<int>") for p in PLANES}
-        return d.select(*IMAGE, F.explode(rows).alias("row"), *[v.alias(p) for p, v in values.items()])
+    def named(k: int) -> Column:
+        return F.transform(fed[k], lambda row: F.struct(row.alias("row"), F.lit(k).alias("k")))
 
+    to = F.explode(F.concat(*[named(k) for k in range(len(PLANES))])).alias("__to")
+    sent = d.select(*IMAGE, to, *PLANES)
     met = (
-        sent(F.array("row"), "g")
-        .unionByName(sent(_fed_rows(F.col("__bg")), "b"))
-        .unionByName(sent(_fed_rows(-F.col("__gr")), "r"))
+        sent.select(*IMAGE, "__to.row", *[F.when(F.col("__to.k") == k, F.col(p)).alias(p) for k, p in enumerate(PLANES)])
         .groupBy(*IMAGE, "row")
         .agg(*[F.max(p).alias(p) for p in PLANES])
     )

@@ -204,7 +204,8 @@ def open_scans(
     body = F.concat(F.regexp_replace(file_name_below(root_folder(paths)), r"\.bin$", ""), F.lit(".bin"))
     bodies = spark.read.format("binaryFile").load(paths).select(companion_path(body).alias("table")).distinct()
     table = F.concat("image_id", F.lit("_tgck.csv")) == F.col("table")
-    records = read_line_records(spark, f"{folder}/*/*_tgck.csv").join(bodies, table, "left_semi")
+    # Width and line starts go through the records several times.
+    records = stage(read_line_records(spark, f"{folder}/*/*_tgck.csv").join(bodies, table, "left_semi"), "records")
     widths = sessions.line_width(records, ["image_id"], width).withColumnRenamed("width", "width_bytes")
     lines = sessions.line_offsets(records, ["image_id"], start_offset, width)
     return ScanFiles(chunks, lines, widths)
@@ -228,7 +229,7 @@ def scan_image_files(
 
     ``deltas`` (image_id, bg_delta, gr_delta) as in ``row_shift_compose``."""
     files = open_scans(spark, folder, chunk_bytes, start_offset, width)
-    lines = files.lines.join(files.widths, "image_id")
+    lines = stage(files.lines.join(files.widths, "image_id"), "lines")
     pixel = F.lit(image.BYTES_PER_PIXEL)
     whole = F.expr(f"width_bytes div {image.BYTES_PER_PIXEL}") * pixel
     pixels = image.pixels_u16(image.line_bytes(files.chunks, lines, whole, chunk_bytes))

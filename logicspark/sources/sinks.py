@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ BY = ["capture_id"]
 CHUNK_BYTES = 1 << 23
 LINES_PER_CHUNK = 1 << 16
 _CHUNKS = fields(capture_id="string", file_num="bigint", chunk_no="bigint", data="binary")
+_PIECES = fields(capture_id="string", file_num="bigint", chunk_no="bigint", at="binary", bytes="binary")
 
 
 def first_words(words: DataFrame, n: int) -> DataFrame:
@@ -77,16 +79,41 @@ def spi_show_rows(words: DataFrame, n: int = 100) -> DataFrame:
 def body_chunks(session_words: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Low byte of every word as (capture_id, file_num, chunk_no, data) chunks.
 
-    A group is one chunk, so a long session is put together by many tasks.
+    Words of a batch are packed by chunk before the shuffle. A group is one chunk, so a long session is put together by
+    many tasks.
     """
     key = ["capture_id", "file_num", "chunk_no"]
     words = session_words.select(
         "capture_id", "file_num", F.expr(f"byte_index div {chunk_bytes}").alias("chunk_no"), "byte_index",
-        F.col("value").bitwiseAND(F.lit(0xFF)).cast("smallint").alias("byte"),
+        F.coalesce(F.col("value").bitwiseAND(F.lit(0xFF)), F.lit(0)).cast("smallint").alias("byte"),
     )
 
-    def assemble(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        ordered = rows.sort_by("byte_index").column("byte").to_numpy().astype("uint8")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            capture = batch.column("capture_id").dictionary_encode(null_encoding="encode").indices.to_numpy()
+            file, chunk, at = (batch.column(c).to_numpy() for c in ("file_num", "chunk_no", "byte_index"))
+            order = np.lexsort((at, chunk, file, capture))
+            new = np.zeros(len(order), bool)
+            for k in (capture, file, chunk):
+                new[1:] |= np.diff(k[order]) != 0
+            new[0] = True
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(order))
+            places, bytes_ = at[order].astype("<i8"), batch.column("byte").to_numpy()[order].astype(np.uint8)
+            first = batch.take(pa.array(order[starts]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(first.column(k) for k in key),
+                    *(pa.array([v[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()) for v in (places, bytes_)),
+                ],
+                names=[*key, "at", "bytes"],
+            )
+
+    def assemble(key: tuple[pa.Scalar, ...], pieces: pa.Table) -> pa.Table:
+        at, bytes_ = (b"".join(pieces.column(c).to_pylist()) for c in ("at", "bytes"))
+        ordered = np.frombuffer(bytes_, np.uint8)[np.argsort(np.frombuffer(at, "<i8"), kind="stable")]
         return pa.Table.from_pylist(
             [dict(zip(_CHUNKS.names, [*(k.as_py() for k in key), ordered.tobytes()], strict=True))],
             schema=pa.schema(
@@ -94,7 +121,7 @@ def body_chunks(session_words: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Dat
             ),
         )
 
-    return words.groupBy(*key).applyInArrow(assemble, _CHUNKS)
+    return words.mapInArrow(pack, _PIECES).groupBy(*key).applyInArrow(assemble, _CHUNKS)
 
 
 @dataclass
