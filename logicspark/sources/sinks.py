@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
@@ -137,7 +137,7 @@ class BodyWriter(DataSourceArrowWriter):
     Option ``suffix`` is ``.bin`` unless told. Chunks of a file come to one task in order, which joins them in an
     unpublished file of its own; with ``parts=true`` each chunk makes a file ``.part-<first byte>``, in any task. Commit,
     on the driver, only gives the files their names, so a repeated or failed task leaves nothing behind, and a file that
-    was longer before keeps none of its old bytes."""
+    was longer before keeps none of its old bytes. Mode ``overwrite`` drops all else below the path."""
 
     def __init__(self, options, overwrite: bool) -> None:
         self.path = options["path"].rstrip("/")
@@ -184,6 +184,10 @@ class BodyWriter(DataSourceArrowWriter):
         torn = [name for name, files in found.items() if not self.parts and len(files) > 1]
         if torn:
             raise ValueError(f"chunks of {torn[0]} came to several tasks or out of order")
+        if self.overwrite and store.get_file_info(root).type == fs.FileType.Directory:
+            for old in store.get_file_info(fs.FileSelector(root)):
+                if old.base_name != f"_unpublished-{self.job}":
+                    (store.delete_dir if old.type == fs.FileType.Directory else store.delete_file)(old.path)
         # Each folder is listed once, however many files it has or gets.
         for folder in sorted({os.path.dirname(f"{root}/{name}") for name in found}):
             store.create_dir(folder, recursive=True)
@@ -206,13 +210,13 @@ class BodyWriter(DataSourceArrowWriter):
             store.delete_dir(left)
 
 
-def _write_files(chunks: DataFrame, path: str, chunk_bytes: int, parts: bool, suffix: str) -> None:
+def _write_files(chunks: DataFrame, path: str, chunk_bytes: int, parts: bool, suffix: str, mode: str = "append") -> None:
     chunks.sparkSession.dataSource.register(BodySource)
     if not parts:
         chunks = chunks.repartition("capture_id", "file_num").sortWithinPartitions("capture_id", "file_num", "chunk_no")
     chunks.write.format("capture_body").options(
         chunk_bytes=chunk_bytes, parts=str(parts).lower(), suffix=suffix
-    ).mode("append").save(path)
+    ).mode(mode).save(path)
 
 
 def write_bodies(session_words: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, parts: bool = False) -> None:
@@ -304,11 +308,31 @@ def annotate_log(rows: DataFrame) -> DataFrame:
     return describe_text(rows, "mosi_text", "Description")
 
 
+#: Characters that Spark escapes in names of partition folders.
+_ESCAPED = "%" + "".join(map(chr, range(1, 32))) + "\"#'*/:=?\\\x7f{[]^"
+
+
+def _partition_folder(column: str, value: Column) -> Column:
+    """Name of a partition folder, as Spark reads it back."""
+    for c in _ESCAPED:
+        value = F.replace(value, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return F.concat(F.lit(f"{column}="), F.coalesce(value, F.lit("__HIVE_DEFAULT_PARTITION__")))
+
+
 def write_annotated_csv(rows: DataFrame, path: str) -> None:
-    """Annotated logs, one folder ``<log>_annotated`` each, in file order and with all columns under their names."""
+    """Annotated logs, one folder ``file=<log>_annotated`` each, in file order and with all columns under their names.
+
+    Text is put together in groups of at most ``LINES_PER_CHUNK`` lines, each a file with the heading, named by its place;
+    a long log is neither sorted nor written in one task, and the logs are read once."""
     headings = {f.name: f.metadata.get("heading", f.name) for f in rows.schema.fields}
-    named = annotate_log(rows).withColumn("file", F.concat("log_id", F.lit("_annotated")))
-    ordered = named.repartitionByRange("file", "seq").sortWithinPartitions("file", "seq")
-    kept = [c for c in rows.columns if c not in ("log_id", "seq")]
-    out = ordered.select("file", *[F.col(f"`{c}`").alias(headings[c]) for c in kept], "Description")
-    out.write.mode("overwrite").partitionBy("file").csv(path, header=True)
+    kept = [c for c in rows.columns if c not in ("log_id", "seq")] + ["Description"]
+    cells = F.struct(*[F.col(f"`{c}`").cast("string").alias(f"c{k}") for k, c in enumerate(kept)])
+    heading = F.struct(*[F.lit(headings.get(c, c)).alias(f"c{k}") for k, c in enumerate(kept)])
+    line = F.array_sort(F.collect_list(F.struct("seq", F.to_csv(cells).alias("line"))))
+    text = annotate_log(rows).groupBy("log_id", F.expr(f"seq div {LINES_PER_CHUNK}").alias("chunk_no")).agg(line.alias("x"))
+    chunks = text.select(
+        _partition_folder("file", F.concat("log_id", F.lit("_annotated"))).alias("capture_id"),
+        F.lit(0).cast("bigint").alias("file_num"), F.col("chunk_no").cast("bigint").alias("chunk_no"),
+        F.concat(F.to_csv(heading), F.lit("\n"), F.array_join("x.line", "\n"), F.lit("\n")).cast("binary").alias("data"),
+    )
+    _write_files(chunks, path, LINES_PER_CHUNK, True, ".csv", "overwrite")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import os
 import re
 from collections.abc import Iterator
@@ -55,13 +56,26 @@ def file_order() -> Column:
 LOG_COLUMNS = ("id", "time_text", "mosi_text")
 
 
+def _with_heading(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """CSV rows as text, the heading taken from the first file that is not empty: inferring it lists every file again."""
+    read = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    for one in [path] if isinstance(path, str) else path:
+        if "://" in one.removeprefix("file://"):
+            break
+        first = next((f for f, size in list_files(one) if size and os.path.basename(f)[0] not in "._"), None)
+        if first is not None:
+            names = spark.read.option("header", True).csv(glob.escape(first)).columns
+            return read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
+    return read.csv(path)
+
+
 def read_log_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """CSV rows of command logs as text: (log_id, seq, id, time_text, mosi_text, further columns as they are named).
 
     ``seq`` is the row's place in the file; the log's own running id does not count, as it may be missing or repeat.
     ``log_id`` is the file's path below the folder read. The logs of one call share a heading; names of its first three
     columns are kept as metadata ``heading`` of the columns here."""
-    raw = spark.read.csv(path, header=True, mode="PERMISSIVE")
+    raw = _with_heading(spark, path)
     names = raw.columns
     if len(names) < len(LOG_COLUMNS):
         raise ValueError(f"a command log has at least three columns, got {names}")

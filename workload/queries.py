@@ -804,15 +804,20 @@ def archive_aligned(spark, sf):
 def _logs(spark: SparkSession, sf: str) -> str:
     """Command logs of 1,000 lines with missing and repeated ids and a fourth column; a glob of the files."""
     folder = fx.shared_path(spark, "logs")
-    rows = fx.commands(spark, sf).select(
-        F.expr("seq div 1000").alias("log"),
-        "seq",
-        F.when(F.col("seq") % 3 == 0, F.lit("x")).otherwise((F.col("seq") % 7).cast("string")).alias("Id"),
-        F.format_string("%d.00", "time_ns").alias("Time[ns]"),
-        F.format_string("%06X", "mosi").alias("1:SPI: MOSI data"),
-        F.concat(F.lit("note "), F.col("seq")).alias("note"),
+    cells = F.concat_ws(
+        ",",
+        F.when(F.col("seq") % 3 == 0, F.lit("x")).otherwise((F.col("seq") % 7).cast("string")),
+        F.format_string("%d.00", "time_ns"), F.format_string("%06X", "mosi"), F.concat(F.lit("note "), F.col("seq")),
+    )
+    line = F.array_sort(F.collect_list(F.struct("seq", cells.alias("line"))))
+    logs = fx.commands(spark, sf).groupBy(F.expr("seq div 1000").alias("log")).agg(line.alias("x"))
+    text = F.concat(F.lit("Id,Time[ns],1:SPI: MOSI data,note\n"), F.array_join("x.line", "\n"), F.lit("\n"))
+    zero = F.lit(0).cast("bigint")
+    chunks = logs.select(
+        F.concat(F.lit("log="), F.col("log")).alias("capture_id"), zero.alias("file_num"), zero.alias("chunk_no"),
+        text.cast("binary").alias("data"),
     )
-    rows.repartition("log").sortWithinPartitions("log", "seq").drop("seq").write.partitionBy("log").csv(folder, header=True)
+    sinks._write_files(chunks, folder, 1 << 23, False, ".csv")
     return folder + "/*/*.csv"
 
 
@@ -828,7 +833,8 @@ def command_log_scan(spark, sf):
 def annotated_csv_sink(spark, sf):
     out = fx.shared_path(spark, "annotated")
     sinks.write_annotated_csv(tables.read_log_rows(spark, _logs(spark, sf)), out)
-    back = spark.read.csv(out, header=True)
+    columns = "Id string, `Time[ns]` string, `1:SPI: MOSI data` string, note string, Description string"
+    back = spark.read.schema(columns).csv(out, header=True)
     return back.select(
         F.col("Id").alias("id"), F.col("`Time[ns]`").alias("time_text"), F.col("1:SPI: MOSI data").alias("mosi_text"),
         "note", F.col("Description").alias("description"),
